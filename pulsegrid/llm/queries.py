@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, mixing, packing, sharding, token_files
-from .base import utf8_bytes
+from . import host_rules, langid, minhash, mixing, packing, quality, sharding, substrings, token_files, vectors
+from .base import is_held_out, utf8_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,4 +39,30 @@ def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_shuffled_shards, op4_token_files, op7_packed_sequences, op9_mixed_sources)}
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+
+
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+_ALL = (op1_host_quality, op2_shuffled_shards, op3_quality_scores, op4_token_files, op5_near_duplicates, op6_repeated_spans, op7_packed_sequences, op8_near_duplicate_vectors, op9_mixed_sources, op10_languages)
+QUERIES = {f.__name__: f for f in _ALL}
