@@ -1,4 +1,4 @@
-"""Token-ID files: flat unsigned 32-bit ids beside 64-bit document offsets, and their reader."""
+"""Token-ID files: flat unsigned integers beside 64-bit document offsets, and their reader."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .base import exclusive_offsets, fresh_path, materialize
 from .tokens import encoder, tokenizer_path
 
-MANIFEST = "file string, nulls long, docs long, tokens long"
+MANIFEST = "file string, width int, nulls long, docs long, tokens long"
 
 
 def _store(uri: str):
@@ -39,12 +39,12 @@ def _read(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1, rows_per_file: int = 20_000) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1, rows_per_file: int = 10_000) -> DataFrame:
     """Encodes every text and writes the ids in ascending key order; returns the manifest, one row for each file, with `base`.
 
     Rows are range-partitioned by key (equal keys in order of their texts' crc32), sorted and encoded. A task writes files of
     rows_per_file documents each: <file>.ids, the ids of all its documents one after the other, each document ended by
-    end_id; <file>.offsets, for each document where its ids end in the file, as unsigned 64-bit integers; <file>.keys,
+    end_id, as little-endian unsigned integers of `width` bytes (2 if the whole vocabulary fits, else 4); <file>.offsets, for each document where its ids end in the file, as unsigned 64-bit integers; <file>.keys,
     the keys as signed 64-bit integers. A file's `base`, the ids of all documents before it, is a prefix sum over the
     manifest. Names hold a random part, so that the files of a failed attempt are never taken for others; the manifest
     names those that count. Null texts are empty; null keys come first (`nulls` counts them); an empty table has no files.
@@ -59,6 +59,7 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
         held: list[tuple[pd.Series, list[bytes]]] = []
         code = encoder(tokenizer_path(tokenizer), kind)
         end = np.array([end_id], "<u4").tobytes()
+        width = 2 if max(end_id + 1, code.tokenizer.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else 4
 
         def close() -> pd.DataFrame:
             nonlocal n
@@ -68,10 +69,10 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
             ends = np.cumsum([len(x) // 4 for x in ids])
             name = f"{folder}/part-{part:06d}-{n:06d}-{uuid.uuid4().hex}"
             n += 1
-            _write(f"{name}.ids", ids)
+            _write(f"{name}.ids", [np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()])
             _write(f"{name}.offsets", [ends.astype("<u8").tobytes()])
             _write(f"{name}.keys", [keys.fillna(0).astype("int64").to_numpy().astype("<i8").tobytes()])
-            return pd.DataFrame({"file": [name], "nulls": [int(keys.isna().sum())], "docs": [len(ids)], "tokens": [int(ends[-1])], "part": [part], "n": [n]})
+            return pd.DataFrame({"file": [name], "width": [width], "nulls": [int(keys.isna().sum())], "docs": [len(ids)], "tokens": [int(ends[-1])], "part": [part], "n": [n]})
 
         for rows in batches:
             for lo in range(0, len(rows), 1000):
@@ -90,14 +91,14 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
 
 
 def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each document: key, start (ids of all documents before it), n_tokens, ids_crc32 of its bytes."""
+    """One row for each document: key, start (ids of all documents before it), n_tokens, ids_crc32 of its ids as unsigned 32-bit integers."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for f in files.itertuples(index=False):
-                ids, ends, keys = _read(f"{f.file}.ids", "<u4"), _read(f"{f.file}.offsets", "<u8").astype("int64"), _read(f"{f.file}.keys", "<i8")
+                ids, ends, keys = _read(f"{f.file}.ids", f"<u{f.width}"), _read(f"{f.file}.offsets", "<u8").astype("int64"), _read(f"{f.file}.keys", "<i8")
                 starts = np.concatenate(([0], ends[:-1]))
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts, ends)]
                 named = pd.Series(keys, dtype="Int64")
                 named[: f.nulls] = pd.NA
                 yield pd.DataFrame({key: named, "start": f.base + starts, "n_tokens": ends - starts, "ids_crc32": crc})
