@@ -97,23 +97,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
                 out["_h1"] = [int.from_bytes(xxhash.xxh64_digest(r, seed=1), "little", signed=True) if r else None for r in raw]
                 out["_h2"] = [int.from_bytes(xxhash.xxh64_digest(r, seed=2), "little", signed=True) if r else None for r in raw]
                 out[["_h1", "_h2"]] = out[["_h1", "_h2"]].astype("Int64")
-                yield out.assign(_sig=[signature(f, seeds).tobytes() if len(f) else None for f in found], _set=[r or None for r in raw])
+                yield out.assign(_sig=[signature(f, seeds).tobytes() if len(f) else None for f in found])
 
     from pyspark.sql.types import StructType
 
     schema = StructType([df.schema[c] for c in kept])
-    for name, kind in (("n_shingles", "long"), ("_h1", "long"), ("_h2", "long"), ("_sig", "binary"), ("_set", "binary")):
+    for name, kind in (("n_shingles", "long"), ("_h1", "long"), ("_h2", "long"), ("_sig", "binary")):
         schema = schema.add(name, kind)
-    rows = materialize(df.select(*kept, F.col(text).alias("_t")).mapInPandas(describe, schema), "sets")
-    members = rows.drop("_sig", "_set")
+    rows = materialize(df.select(*kept, F.col(text).alias("_t")).mapInPandas(describe, schema), "hashes")
+    members = rows.drop("_sig")
     named = rows.where(F.col("_h1").isNotNull() & F.col(key).isNotNull())
-    classes = named.groupBy("_h1", "_h2").agg(F.min(F.col(key).cast("long")).alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = rows.select(F.col(key).cast("long").alias("rep"), "_h1", "_h2", "_sig", "_set").join(classes.select("rep", "_h1", "_h2"), ["rep", "_h1", "_h2"])
-    reps = materialize(reps.groupBy("rep").agg(F.first("_sig").alias("sig"), F.first("_set").alias("set")), "reps")
-    edges = candidate_links(reps.select("rep", "sig"), orders, hashes, depths, region, loose)
+    classes = materialize(named.groupBy("_h1", "_h2").agg(F.min(F.col(key).cast("long")).alias("rep"), F.first("_sig").alias("sig")), "classes")
+    edges = candidate_links(classes.select("rep", "sig"), orders, hashes, depths, region, loose)
     groups = materialize(components(edges), "groups")
-    linked = exact_links(reps, groups, percent, block)
+    linked = exact_links(shingle_sets(df, key, text, classes, groups, width), percent, block)
     found = components(linked).select(F.col("node").alias("rep"), "component")
     done = classes.join(found, "rep", "left").select("_h1", "_h2", F.coalesce("component", "rep").alias("component_id"))
     joined = members.join(done, ["_h1", "_h2"], "left")
@@ -123,55 +120,84 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), alone))
 
 
-def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, depths: tuple[int, ...], region: int, loose: float) -> DataFrame:
-    """Spanning forests (a, b) of candidates in the regions of all trees."""
+def shingle_sets(df: DataFrame, key: str, text: str, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """component, n, node, set for the classes in candidate groups: their sets are cut again from the texts, so that no other text's set is kept."""
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        for rows in batches:
+            for lo in range(0, len(rows), 500):
+                some = rows.iloc[lo : lo + 500]
+                raw = [shingles(t, width).astype("<u8").tobytes() for t in some["t"]]
+                same = [int.from_bytes(xxhash.xxh64_digest(r, seed=1), "little", signed=True) == h for r, h in zip(raw, some["_h1"])]
+                yield some.drop(columns=["t", "_h1"]).assign(set=raw)[same]  # another text under the same key isn't the class
+
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    wanted = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "_h1"), "node")
+    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))
+    made = texts.join(wanted, "node").select("component", "n", "node", "t", "_h1").mapInPandas(cut, "component long, n long, node long, set binary")
+    return made.groupBy("component", "n", "node").agg(F.first("set").alias("set"))
+
+
+def prefix_hashes(cut: np.ndarray, tree: int, depth: int) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh64_intdigest(r[:depth].tobytes(), seed=tree * 64 + depth) >> 1 for r in cut]
+
+
+def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, depths: tuple[int, ...], region: int, loose: float) -> DataFrame:
+    """Spanning forests (a, b) of candidates in the regions of all trees."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), hashes)
             for t, order in enumerate(orders):
-                cut = np.ascontiguousarray(sigs[:, order])
-                made = {f"p{d}": [xxhash.xxh64_intdigest(r[:d].tobytes(), seed=t * 64 + d) >> 1 for r in cut] for d in depths}
-                tail = [int.from_bytes(r[depths[-1] : depths[-1] + 3].tobytes(), "big") for r in cut]
-                yield pd.DataFrame({"rep": rows["rep"], **made, "tail": tail})
+                yield pd.DataFrame({"rep": rows["rep"], "tree": t, "p": prefix_hashes(np.ascontiguousarray(sigs[:, order[: depths[0]]]), t, depths[0])})
 
-    names = [f"p{d}" for d in depths]
+    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), hashes)
+            for t in np.unique(rows["tree"]):
+                at = (rows["tree"] == t).to_numpy()
+                cut = np.ascontiguousarray(sigs[at][:, orders[t]])
+                made = {f"p{d}": prefix_hashes(cut, int(t), d) for d in depths[1:]}
+                tail = [int.from_bytes(r[depths[-1] : depths[-1] + 3].astype(">u2").tobytes(), "big") for r in cut]
+                yield pd.DataFrame({"rep": rows["rep"][at], **made, "tail": tail})
+
+    def split(left: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
+        """Rows in regions of two up to `region`, and rows in larger ones."""
+        some = left.join(left.groupBy(p).agg(F.count("*").alias("n")).where("n > 1"), p)
+        return some.where(F.col("n") <= region).select(F.col(p).alias("region"), "rep"), some.where(F.col("n") > region).drop("n")
+
+    start = materialize(sigs.mapInPandas(first, "rep long, tree int, p long"), "forest")
+    regions, left = split(start, "p")
+    names = [f"p{d}" for d in depths[1:]]
     schema = "rep long, " + ", ".join(f"{p} long" for p in names) + ", tail long"
-    left = materialize(sigs.mapInPandas(prefixes, schema), "forest")
-    placed: list[DataFrame] = []
-    for level, p in enumerate(names):
-        counts = left.groupBy(p).agg(F.count("*").alias("n")).where("n > 1")
-        some = left.join(counts, p)
-        placed.append(some.where(F.col("n") <= region).select(F.col(p).alias("region"), "rep"))
-        left = some.where(F.col("n") > region).drop("n")
-        if level + 1 < len(names):
-            left = materialize(left, "forest")
-            if left.isEmpty():
-                break
-    else:  # regions that no depth cuts: runs of neighbours by the rest of the order, led by the region's first classes
+    left = materialize(left.join(sigs, "rep").select("rep", "tree", "sig").mapInPandas(deeper, schema), "forest")
+    for p in names:
+        if left.isEmpty():
+            break
+        placed, left = split(left, p)
+        regions = regions.unionAll(placed)
+        left = materialize(left, "forest")
+    else:  # regions that no depth cuts: runs of neighbours by the rest of the order, led by the region's first class
         p = names[-1]
-        sizes = left.groupBy(p).agg(F.count("*").alias("n"), F.min(F.struct("tail", "rep")).alias("lead"))
-        runs = left.join(sizes, p).withColumn("runs", F.ceil(F.col("n") / region).cast("long"))
-        width = F.lit(float(1 << 48))
-        run = F.least(F.col("runs") - 1, F.floor(F.col("tail") / width * F.col("runs"))).cast("long")
-        spread = F.pmod(F.xxhash64("rep"), F.col("runs"))  # the tails of near copies are mostly equal: salt them as well
-        own = runs.select(F.xxhash64(p, F.lit("tail"), run, spread).alias("region"), "rep")
-        leads = sizes.withColumn("runs", F.ceil(F.col("n") / region).cast("long"))
+        sizes = left.groupBy(p).agg(F.count("*").alias("n"), F.min(F.struct("tail", "rep")).alias("lead")).withColumn("runs", F.ceil(F.col("n") / region).cast("long"))
+        runs = left.join(sizes, p)
+        spread = F.pmod(F.xxhash64("rep"), F.col("runs"))  # tails of near copies are mostly equal: they are salted as well
+        run = F.floor(F.col("tail") / F.lit(float(1 << 48)) * F.col("runs")).cast("long")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1))
-        second = runs.select(p, "runs", "rep", F.xxhash64(p, F.lit("salt"), spread).alias("region"))
-        lead = leads.select(p, F.col("lead.rep").alias("rep"), every.alias("r")).select(F.xxhash64(p, F.lit("salt"), F.col("r")).alias("region"), "rep")
-        placed += [own, second.select("region", "rep").unionAll(lead).distinct()]
-    regions = placed[0]
-    for more in placed[1:]:
-        regions = regions.unionAll(more)
+        own = runs.select(F.xxhash64(p, F.lit("run"), run, spread).alias("region"), "rep")
+        salted = runs.select(F.xxhash64(p, F.lit("salt"), spread).alias("region"), "rep")
+        lead = sizes.select(p, F.col("lead.rep").alias("rep"), every.alias("r")).select(F.xxhash64(p, F.lit("salt"), F.col("r")).alias("region"), "rep")
+        regions = regions.unionAll(own).unionAll(salted.unionAll(lead).distinct())
 
     def candidates(_: int, rows: pd.DataFrame) -> pd.DataFrame | None:
         if len(rows) < 2:
             return None
         rep = rows["rep"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), hashes)
+        sig = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), hashes)
         least = loose * hashes
         if len(rows) == 2:
             return pd.DataFrame({"a": rep[:1], "b": rep[1:]}) if (sig[0] == sig[1]).sum() >= least else None
@@ -184,7 +210,11 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
         moved = np.nonzero(root != np.arange(len(rows)))[0]
         return pd.DataFrame({"a": rep[root[moved]], "b": rep[moved]}) if len(moved) else None
 
-    full = regions.join(sigs, "rep").select("region", "rep", "sig")
+    def low_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"rep": rows["rep"], "low": [x[::2] for x in rows["sig"]]})
+
+    full = regions.join(sigs.mapInPandas(low_bytes, "rep long, low binary"), "rep").select("region", "rep", "low")
     return materialize(by_key(full, "region", ["rep"], candidates, "a long, b long").distinct(), "candidates")
 
 
@@ -203,12 +233,10 @@ def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     return total
 
 
-def exact_links(reps: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """Spanning forests (a, b) of the exact links inside each candidate group."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    full = groups.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "set"), "node")
+def exact_links(full: DataFrame, percent: int, block: int) -> DataFrame:
+    """Spanning forests (a, b) of the exact links inside each candidate group (component, n, node, set)."""
     full = full.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
-    full = materialize(full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "groups")
+    full = materialize(full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "sets")
 
     def compare(_: int, rows: pd.DataFrame) -> pd.DataFrame | None:
         guests = rows["guest"].to_numpy(bool)
