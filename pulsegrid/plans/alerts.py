@@ -1 +1,115 @@
-"""Queries."""
+"""Queries P10 to P15, P17, P19 and P21 to P26."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import alerts as O
+from .registry import Data, query
+
+NOW = 1705968000  # 2024-01-23
+EVENT_RULES = "(values " + ", ".join(f"('{r[0]}', '{r[6]}', {r[5]})" for r in O.RULES if r[1] == "event") + ") r(kind, severity, cycles)"
+KINDS = "select event_id as id, user_id as device_id, ts, case event_id % 6 when 0 then 'bgp_neighbor_down' when 1 then 'config_changed' when 2 then 'endpoint_moved' when 3 then 'log_flood' when 4 then 'bgp_neighbor_up' else 'nothing' end as kind, concat(event_type, ' ', repeat(props, 12)) as message, case when event_id % 2 = 0 then concat('bgp:', cast(user_id as varchar(20))) end as dedup_key from events"
+
+
+@query("P10_event_alerts", f"select id, e.kind, device_id, severity, case when length(message) > 120 then message[1:120] || '…' else message end as title, coalesce(dedup_key, e.kind || ':' || device_id::VARCHAR) as dedup_key from ({KINDS}) e join {EVENT_RULES} on r.kind = e.kind where severity <> 'info'")
+def p10(d: Data):
+    return O.alerts_from_events(d.sql(KINDS), O.rule_table(d.spark)).select("id", "kind", "device_id", "severity", "title", "dedup_key")
+
+
+@query("P11_clearing_events", f"select 'bgp:' || device_id::VARCHAR as dedup_key, count(*) as n, max(ts) as ts from ({KINDS}) where kind = 'bgp_neighbor_up' group by 1")
+def p11(d: Data):
+    return O.clearing_keys(d.sql(KINDS)).groupBy("dedup_key").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
+
+
+ACTIONS = "select concat('k', cast(user_id % 60 as varchar(9))) as dedup_key, event_id as n, cast(event_id * 337 as double) as t, case when event_id % 3 = 0 then 'resolve' else 'raise' end as action, cast(event_id % 4 + 1 as int) as severity from events"
+FOLDED = f"""
+with recursive s as (select *, row_number() over (partition by dedup_key order by t, n) as i from ({ACTIONS})),
+f as (select dedup_key, i, case when action = 'raise' then 1 else 0 end as k, case when action = 'raise' then t end as opened, case when action = 'raise' then t end as updated, null::DOUBLE as resolved, case when action = 'raise' then 1 else 0 end as occ, case when action = 'raise' then severity else 0 end as sev, 0 as re from s where i = 1 union all
+ select s.dedup_key, s.i,
+  case when action = 'raise' and (k = 0 or (resolved is not null and t - resolved >= 30000)) then k + 1 else k end,
+  case when action = 'raise' and (k = 0 or (resolved is not null and t - resolved >= 30000)) then t else opened end,
+  case when action = 'raise' or (k > 0 and resolved is null) then t else updated end,
+  case when action = 'raise' then null when k > 0 and resolved is null then t else resolved end,
+  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then 1 else occ + 1 end else occ end,
+  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then severity when resolved is null then greatest(sev, severity) else sev end else sev end,
+  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then 0 when resolved is not null then re + 1 else re end else re end
+ from f join s on s.dedup_key = f.dedup_key and s.i = f.i + 1)
+select dedup_key, k::INT as n, opened, updated, resolved, occ::INT as occurrences, sev::INT as severity, re::INT as reopened from (select *, row_number() over (partition by dedup_key, k order by i desc) as last from f where k > 0) where last = 1"""
+
+
+@query("P12_upserted_alerts", FOLDED)
+def p12(d: Data):
+    return O.upsert_alerts(d.sql(ACTIONS), 30000)
+
+
+@query("P13_resolved_alerts", f"select dedup_key, n, resolved, resolved - opened as seconds from ({FOLDED}) where resolved is not null")
+def p13(d: Data):
+    return O.upsert_alerts(d.sql(ACTIONS), 30000).where("resolved is not null").select("dedup_key", "n", "resolved", (F.col("resolved") - F.col("opened")).alias("seconds"))
+
+
+VALUED = "select a.id, a.rule, a.severity, d.role, cast(a.id % 120 as double) as value, 95.0e0 as escalate from v_alerts a join v_devices d on d.device_id = a.device_id"
+
+
+@query("P14_severity_by_role", f"select id, role, case when rule = 'device_down' and role in ('core', 'router', 'firewall') then 'critical' when value >= 95 then 'major' else severity end as severity from ({VALUED})")
+def p14(d: Data):
+    return O.severity_by_role(d.sql(VALUED)).select("id", "role", "severity")
+
+
+@query("P15_folded_children", "select a.id, coalesce(c.n, 0) as children from v_alerts a left join (select root_cause, count(*) as n from v_alerts group by 1) c on c.root_cause = a.id where a.root_cause is null")
+def p15(d: Data):
+    return O.fold_children(d("v_alerts")).select("id", "children")
+
+
+@query("P17_auto_resolved", f"select id, rule from (select case id % 4 when 0 then 'config_changed' when 1 then 'environment_fault' else rule end as rule, id, state, opened_at from v_alerts) a join {EVENT_RULES} on r.kind = a.rule where state <> 'resolved' and cycles > 0 and floor(epoch(opened_at)) + cycles * 60 <= {NOW}")
+def p17(d: Data):
+    rule = F.when(F.col("id") % 4 == 0, "config_changed").when(F.col("id") % 4 == 1, "environment_fault").otherwise(F.col("rule"))
+    return O.auto_resolved(d("v_alerts").withColumn("rule", rule), O.rule_table(d.spark), NOW).select("id", "rule")
+
+
+@query("P19_archived_alerts", f"select id, state = 'resolved' and {NOW} - floor(epoch(resolved_at)) > 86400 as archived from v_alerts where state <> 'x'")
+def p19(d: Data):
+    live, old = O.archive_split(d("v_alerts"), NOW)
+    both = O.all_alerts(live.withColumn("archived", F.lit(False)), old.withColumn("archived", F.lit(True)))
+    return both.select("id", "archived")
+
+
+@query("P21_alert_list", "select id, severity, state, opened_at from v_alerts where severity in ('critical', 'major') and site_id = 2 and root_cause is null")
+def p21(d: Data):
+    return O.alert_list(d("v_alerts"), least="major", site=2, roots=True).select("id", "severity", "state", "opened_at")
+
+
+@query("P22_evidence", "select dedup_key, string_agg(m, ', ' order by ts, id) as evidence from (select user_id::VARCHAR as dedup_key, event_id as id, ts, event_type || ' ' || strftime(ts, '%H:%M:%S') as m, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 20 group by 1")
+def p22(d: Data):
+    return O.evidence(d("events").select(F.col("user_id").cast("string").alias("dedup_key"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("source")))
+
+
+@query("P23_operator_actions", "select id, case when id % 7 = 0 and state = 'open' then 'acked' when id % 7 = 1 then 'resolved' else state end as state from v_alerts")
+def p23(d: Data):
+    actions = d("v_alerts").where("id % 7 <= 1").select("id", F.col("opened_at").alias("at"), F.when(F.col("id") % 7 == 0, "ack").otherwise("resolve").alias("action"))
+    return O.acted_on(d("v_alerts"), actions).select("id", "state")
+
+
+@query("P24_notifications", """
+select id, 'day' as part from v_alerts where case when state = 'resolved' then notified else severity <> 'info' end union all
+select id, 'night' from v_alerts where (case when state = 'resolved' then notified else severity <> 'info' end) and severity = 'critical'""")
+def p24(d: Data):
+    day = O.to_notify(d("v_alerts"), 720, quiet=(1320, 360)).select("id", F.lit("day").alias("part"))
+    return day.unionByName(O.to_notify(d("v_alerts"), 60, quiet=(1320, 360)).select("id", F.lit("night").alias("part")))
+
+
+@query("P25_rules", "select rule as id, case when rule in ('icmp_loss', 'probe_failed') then 'critical' when rule = 'device_down' then 'major' when rule = 'interface_down' then 'major' else 'major' end as severity, count(*) as alerts from v_alerts group by 1, 2")
+def p25(d: Data):
+    rules = O.rule_table(d.spark)
+    changed = rules.where("id in ('icmp_loss', 'probe_failed')").withColumn("severity", F.lit("critical"))
+    return d("v_alerts").select(F.col("rule").alias("id")).join(F.broadcast(O.rule_table(d.spark, changed)), "id").groupBy("id", F.col("severity")).agg(F.count("*").alias("alerts"))
+
+
+LINKS = "select a_device, b_device, concat('GIGABITETHERNET1/', cast(1 + a_device % 7 as varchar(9))) as a_if, concat('Vlan', cast(1 + b_device % 7 as varchar(9))) as b_if from v_links"
+
+
+@query("P26_link_status", f"""
+select a_device, b_device, case when a.oper_up = false or b.oper_up = false then 'down' when a.oper_up is null and b.oper_up is null then 'unknown' when coalesce(a.oper_up, true) and coalesce(b.oper_up, true) and (a.oper_up is null or b.oper_up is null) then 'up' else 'up' end as status
+from ({LINKS}) l left join v_interfaces a on a.device_id = a_device and lower(a.name) = lower(a_if) left join v_interfaces b on b.device_id = b_device and lower(b.name) = lower(b_if)""")
+def p26(d: Data):
+    return O.link_status(d.sql(LINKS), d("v_interfaces")).select("a_device", "b_device", "status")

@@ -1 +1,123 @@
-"""Queries."""
+"""Queries P1 to P9, P16, P18, P20 and P27."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import state as O
+from .registry import Data, query
+
+RUNS = """select sample_id, device_id, ts, ok, row_number() over (partition by device_id, run order by ts, sample_id) as n from (
+ select *, sum(flip) over (partition by device_id order by ts, sample_id) as run from (
+ select sample_id, device_id, ts, {0} as ok, coalesce((({0}) <> lag({0}) over (partition by device_id order by ts, sample_id))::INT, 0) as flip from v_device_samples))"""
+
+
+@query("P1_streaks", f"select sample_id, device_id, case when ok then 0 else n end as fails, case when ok then n else 0 end as oks from ({RUNS.format('reachable or snmp_ok')})")
+def p1(d: Data):
+    rows = d("v_device_samples").select("sample_id", "device_id", "ts", (F.col("reachable") | F.col("snmp_ok")).alias("ok"))
+    return O.streaks(rows, "device_id", "ok", ["ts", "sample_id"]).select("sample_id", "device_id", "fails", "oks")
+
+
+@query("P2_thresholds", """
+with recursive s as (select sample_id, device_id, cpu_pct as v, row_number() over (partition by device_id order by ts, sample_id) as n from v_device_samples),
+f as (select device_id, sample_id, n, case when v >= 30 then 1 else 0 end as run, false as on_ from s where n = 1 union all
+ select s.device_id, s.sample_id, s.n, case when v >= 30 then least(run + 1, 2) when v <= 10 then 0 else run end, case when v >= 30 then on_ or least(run + 1, 2) >= 2 when v <= 10 then false else on_ end
+ from f join s on s.device_id = f.device_id and s.n = f.n + 1)
+select device_id, sample_id, on_ as on from f""")
+def p2(d: Data):
+    rows = d("v_device_samples").select("sample_id", "device_id", "ts", "cpu_pct")
+    return O.thresholds(rows, "device_id", "cpu_pct", ["ts", "sample_id"], 30, 10, 2).select("device_id", "sample_id", "on")
+
+
+@query("P3_silent_agents", f"select device_id, sample_id, n as run from ({RUNS.format('reachable and not snmp_ok')}) where ok and n >= 2")
+def p3(d: Data):
+    return O.silent_agents(d("v_device_samples"), 2)
+
+
+STATUS = """
+with recursive s as (select sample_id, device_id, ts, reachable as r, cpu_pct >= 50 as g, device_id % 9 = 0 and sample_id % 20 < 5 as m, row_number() over (partition by device_id order by ts, sample_id) as n from v_device_samples),
+f as (select device_id, sample_id, ts, n, case when r then 0 else 1 end as fails, case when r then 1 else 0 end as oks, case when m then 'maintenance' when not r then 'up' when g then 'degraded' else 'up' end as status from s where n = 1 union all
+ select s.device_id, s.sample_id, s.ts, s.n, case when r then 0 else fails + 1 end, case when r then oks + 1 else 0 end,
+ case when m then 'maintenance' when not r and fails + 1 >= 2 then 'down' when status = 'down' and (case when r then oks + 1 else 0 end) < 2 then status when r or status in ('maintenance', 'down') then case when g then 'degraded' else 'up' end else status end
+ from f join s on s.device_id = f.device_id and s.n = f.n + 1)"""
+
+
+def _status(d: Data):
+    rows = d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), ((F.col("device_id") % 9 == 0) & (F.col("sample_id") % 20 < 5)).alias("maintenance"))
+    return O.device_status(rows, "device_id", ["ts", "sample_id"], 2)
+
+
+@query("P4_device_status", STATUS + " select device_id, sample_id, status from f")
+def p4(d: Data):
+    return _status(d).select("device_id", "sample_id", "status")
+
+
+@query("P5_suppressed", """
+with recursive p as (select device_id, cast(floor(device_id / 3) as bigint) as parent from v_devices where device_id > 0),
+s as (select device_id, case when device_id % 2 = 1 or device_id % 5 = 0 then 'down' else 'up' end as status from v_devices),
+c as (select device_id, device_id as cause from s where status = 'down' union all
+ select c.device_id, p.parent from c join p on p.device_id = c.cause join s on s.device_id = p.parent and s.status = 'down'),
+t as (select device_id, min(cause) as cause from c group by device_id)
+select s.device_id, case when t.cause <> s.device_id then 'unreachable' else status end as status, case when t.cause <> s.device_id then t.cause end as cause from s left join t using (device_id)""")
+def p5(d: Data):
+    devices = d("v_devices")
+    parents = devices.where("device_id > 0").select("device_id", F.floor(F.col("device_id") / 3).cast("long").alias("parent"))
+    status = devices.select("device_id", F.when((F.col("device_id") % 2 == 1) | (F.col("device_id") % 5 == 0), "down").otherwise("up").alias("status"))
+    return O.suppressed(status, parents)
+
+
+MOVES = "select device_id, sample_id, ts, epoch_us(ts) as us, status, previous from (select *, lag(status) over (partition by device_id order by ts, sample_id) as previous from f) where previous <> status"
+
+
+@query("P6_flaps", STATUS + f", m as ({MOVES}) select device_id, sample_id, previous, status, count(*) over w as changes, (count(*) over w) > 3 as flapping from m window w as (partition by device_id order by us range between 863999999999 preceding and current row)")
+def p6(d: Data):
+    return O.transitions(_status(d), "device_id", ["ts", "sample_id"], 864000, 3).select("device_id", "sample_id", "previous", "status", "changes", "flapping")
+
+
+@query("P7_interface_status", """
+select i.device_id, if_index, case when not admin_up then 'disabled' when d.status in ('down', 'unreachable') then 'unreachable' when d.status is null then 'unknown' when oper_up then 'up' else 'down' end as status
+from v_interfaces i left join v_devices d on d.device_id = i.device_id and d.monitored""")
+def p7(d: Data):
+    return O.interface_status(d("v_interfaces"), d("v_devices").where("monitored")).select("device_id", "if_index", "status")
+
+
+@query("P8_hard_evidence", """
+with r as (select device_id as object, ts, reachable as up, 0 as kind from v_device_samples union all select device_id, recv, kind2 = 1, 1 from (select *, trap_id % 7 as kind2 from v_traps) where kind2 <= 1)
+select object, max_by(up, (ts, kind, up)) as up, max(ts) as since from r group by object""")
+def p8(d: Data):
+    samples = d("v_device_samples").select(F.col("device_id").alias("object"), "ts", F.col("reachable").alias("up"))
+    events = d("v_traps").where("trap_id % 7 <= 1").select(F.col("device_id").alias("object"), F.col("recv").alias("ts"), (F.col("trap_id") % 7 == 1).alias("up"))
+    return O.latest_evidence(samples, events)
+
+
+@query("P9_failure_bursts", """
+select event_id, user_id, recent from (select event_id, user_id, count(*) over (partition by user_id order by epoch_us(ts) range between 172799999999 preceding and current row) as recent from events where event_type = 'error') where recent >= 3""")
+def p9(d: Data):
+    return O.sliding_count(d("events").where("event_type = 'error'"), "user_id", 172800, 3).select("event_id", "user_id", "recent")
+
+
+@query("P16_sites_down", "select site_id, count(*) as devices, sum((status in ('down', 'unreachable'))::INT)::BIGINT as bad from v_devices where monitored group by 1 having count(*) >= 2 and sum((status in ('down', 'unreachable'))::INT) * 100 >= count(*) * 15")
+def p16(d: Data):
+    return O.sites_down(d("v_devices"), 2, 15)
+
+
+NOW = 1706659200
+
+
+@query("P18_stale_devices", f"select device_id, max(floor(epoch(ts)))::BIGINT as last_poll, 'unknown' as status from v_device_samples group by 1 having {NOW} - last_poll > 5 * 7200")
+def p18(d: Data):
+    return O.stale_devices(d("v_device_samples"), NOW, 7200)
+
+
+@query("P20_maintenance", """
+select sample_id, device_id from v_device_samples s where exists (select 1 from v_maintenance w where s.ts between w.from_ts and w.to_ts
+ and (w.device_id = s.device_id or (w.device_id is null and w.site_id = s.device_id % 5) or (w.device_id is null and w.site_id is null)))""")
+def p20(d: Data):
+    rows = d("v_device_samples").select("sample_id", "device_id", (F.col("device_id") % 5).alias("site_id"), "ts")
+    return O.under_maintenance(rows, d("v_maintenance")).select("sample_id", "device_id")
+
+
+@query("P27_status_events", STATUS + f", m as ({MOVES}) select device_id, sample_id, previous, status, case status when 'down' then 'major' when 'degraded' then 'minor' else 'info' end as severity from m")
+def p27(d: Data):
+    severity = F.when(F.col("status") == "down", "major").when(F.col("status") == "degraded", "minor").otherwise("info")
+    return O.transitions(_status(d), "device_id", ["ts", "sample_id"]).select("device_id", "sample_id", "previous", "status", severity.alias("severity"))
