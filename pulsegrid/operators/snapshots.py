@@ -130,7 +130,7 @@ def status_matches(code: Column, wanted: Column) -> Column:
     """Whether an HTTP status is in a list of codes and ranges such as 200-299,301."""
     low, high = (lambda p: F.get(F.split(p, "-"), F.lit(0)).try_cast("int")), (lambda p: F.get(F.split(p, "-"), F.lit(1)).try_cast("int"))
     one = lambda p: F.coalesce(F.when(F.instr(p, "-") > 0, code.between(F.coalesce(low(p), F.lit(0)), F.coalesce(high(p), F.lit(0)))).otherwise(p.try_cast("int") == code), F.lit(False))
-    return F.exists(F.transform(F.split(wanted, ","), F.trim), one)
+    return F.exists(F.transform(F.split(wanted, ","), lambda x: F.trim(x)), one)
 
 
 def certificate_events(df: DataFrame, warn: int = 14) -> DataFrame:

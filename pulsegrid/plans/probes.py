@@ -1 +1,99 @@
-"""Queries."""
+"""Queries Q1 to Q5 and C1 to C7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import snapshots as O
+from .registry import Data, query
+
+
+@query("Q1_probe_summary", """
+with l as (select *, row_number() over (partition by probe_id order by ts desc, run_id desc) as n from v_probe_results)
+select probe_id, count(*) as runs, round(avg(ok::INT) * 100, 6) as ok_pct, round(avg(case when ok then ms end), 6) as mean_ms, max_by(ok, -n) as last_ok, coalesce(min(case when ok then n end), count(*) + 1) - 1 as fail_streak from l where n <= 120 group by 1""")
+def q1(d: Data):
+    return O.probe_summary(d("v_probe_results"))
+
+
+@query("Q2_probe_events", """
+with a as (select *, coalesce((ok <> lag(ok) over w)::INT, 0) as flip from v_probe_results window w as (partition by probe_id order by ts, run_id)),
+b as (select *, sum(flip) over (partition by probe_id order by ts, run_id) as run from a), c as (select *, row_number() over (partition by probe_id, run order by ts, run_id) as n from b),
+f as (select *, case when ok then 0 else n end as fails from c), g as (select *, lag(fails) over (partition by probe_id order by ts, run_id) as was from f)
+select probe_id, run_id, case when fails = 2 then 'probe_failed' else 'probe_ok' end as kind from g where fails = 2 or (ok and was >= 2)""")
+def q2(d: Data):
+    return O.probe_events(d("v_probe_results"))
+
+
+CODES = "select event_id as id, cast(200 + event_id % 300 as int) as code, case event_id % 4 when 0 then '200-299,301' when 1 then '404' when 2 then '200-399' else ' 250 , 400-450' end as wanted from events"
+
+
+@query("Q3_status_matches", f"select id, case id % 4 when 0 then code between 200 and 299 or code = 301 when 1 then code = 404 when 2 then code between 200 and 399 else code = 250 or code between 400 and 450 end as ok from ({CODES})")
+def q3(d: Data):
+    return d.sql(CODES).select("id", O.status_matches(F.col("code"), F.col("wanted")).alias("ok"))
+
+
+CERTS = "select probe_id, run_id, ts, cast(timestamp '2024-01-14 00:00:00' + interval '1' day * cast(run_id % 5 * 9 as int) as date) as expires from v_probe_results"
+
+
+@query("Q4_certificates", f"""
+with a as (select *, date_diff('day', ts::DATE, expires) as days from ({CERTS})), b as (select *, coalesce(lag(days <= 14) over (partition by probe_id order by ts, run_id), false) as was from a)
+select probe_id, run_id, days::INT as days, case when days < 0 then 'expired' when days <= 14 and not was then 'expiring' else 'renewed' end as kind from b where days < 0 or (days <= 14 and not was) or (days > 14 and was)""")
+def q4(d: Data):
+    return O.certificate_events(d.sql(CERTS))
+
+
+@query("Q5_route_changes", """
+with p as (select probe_id, run_id, ts, 'a>' || case when run_id % 3 = 0 then '' else 'b' || (run_id % 2)::VARCHAR || '>' end || 'c' as path from v_probe_results)
+select probe_id, run_id, previous, path from (select *, lag(path) over (partition by probe_id order by ts, run_id) as previous from p) where previous <> path""")
+def q5(d: Data):
+    middle = F.when(F.col("run_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("b"), (F.col("run_id") % 2).cast("string")))
+    rows = d("v_probe_results").select("probe_id", "run_id", "ts", F.array(F.lit("a"), middle, F.lit(None), F.lit("c")).alias("hops"))
+    return O.route_changes(rows)
+
+
+CONFIGS = "select device_id, floor(seq / 3) as grp, seq, concat('! Time: ', cast(seq as varchar(9)), chr(10), '!last change ', cast(seq as varchar(9)), chr(10), substr(first_value(config) over (partition by device_id, floor(seq / 3) order by seq), 1, 200), chr(9)) as config from v_config_versions"
+NORMAL = r"regexp_replace(regexp_replace(regexp_replace(config, '(^|\n)(!.*(change|updated|Time).*(\n|$))+', '\1', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') || chr(10)"
+
+
+@query("C1_normalised", f"select device_id, seq, md5({NORMAL}) as hash from ({CONFIGS})")
+def c1(d: Data):
+    return d.sql(CONFIGS).select("device_id", "seq", F.md5(O.normalised(F.col("config")).cast("binary")).alias("hash"))
+
+
+@query("C2_versions", f"""
+with h as (select device_id, seq, sha256({NORMAL}) as hash from ({CONFIGS})), n as (select *, coalesce((hash <> lag(hash) over (partition by device_id order by seq))::INT, 1) as new from h),
+v as (select *, sum(new) over (partition by device_id order by seq) as version from n)
+select device_id, version::BIGINT as version, min(seq) as seq, count(*) - 1 as unchanged from v group by 1, 2""")
+def c2(d: Data):
+    return O.versions(d.sql(CONFIGS)).select("device_id", "version", "seq", "unchanged")
+
+
+LINES = "select device_id, seq, replace(replace(config, '. ', concat('.', chr(10))), ', ', chr(10)) as config from v_config_versions"
+
+
+@query("C3_line_diffs")
+def c3(d: Data):
+    return O.diffs(O.consecutive(d.sql(LINES))).select("device_id", "seq", "added", "removed")
+
+
+@query("C4_hunks")
+def c4(d: Data):
+    return O.diffs(O.consecutive(d.sql(LINES))).select("device_id", "seq", "n_hunks", "diff")
+
+
+@query("C5_newest_versions", "select device_id, seq from (select *, row_number() over (partition by device_id order by seq desc) as n from v_config_versions) where n <= 2")
+def c5(d: Data):
+    return O.keep_newest(d("v_config_versions"), "device_id", "seq", 2).select("device_id", "seq")
+
+
+BACKUPS = "select user_id as device_id, event_id as at, case when event_type = 'error' then 'timeout' end as error from events"
+
+
+@query("C6_backup_overview", f"select d.device_id, coalesce(count(b.at), 0) as runs, max(b.at) as last_run, arg_max_null(b.error, b.at) as error from v_devices d left join ({BACKUPS}) b using (device_id) group by 1")
+def c6(d: Data):
+    return O.backup_overview(d("v_devices"), d.sql(BACKUPS))
+
+
+@query("C7_backup_events", f'''select device_id, "at", case when bad then 'failing' else 'working' end as kind from (select device_id, "at", error is not null as bad, coalesce(lag(error is not null) over (partition by device_id order by "at"), false) as was from ({BACKUPS})) where bad <> was''')
+def c7(d: Data):
+    return O.backup_events(d.sql(BACKUPS))

@@ -40,7 +40,7 @@ def with_views(text: str) -> str:
 
     def need(sql: str) -> None:
         for name in dict.fromkeys(_USED.findall(sql)):
-            if name in VIEWS and name not in found:
+            if name in VIEWS and name not in found and f"{name} as (" not in text:
                 need(VIEWS[name])
                 if name not in found:
                     found.append(name)

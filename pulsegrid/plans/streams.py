@@ -1 +1,52 @@
-"""Queries."""
+"""Query S9 and the streaming forms of M3, P2, L7: run over the tables as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.storage import fresh_path
+from ..streaming import jobs as J
+from .metrics import ROLLUP
+from .registry import ORACLES, Data, query
+
+
+def _events(d: Data, slices: int = 3) -> DataFrame:
+    """The events as a stream of several micro-batches: they land in a folder slice by slice, in order."""
+    rows, path = d("events"), fresh_path(d.spark, "landing")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for k in range(slices):
+        rows.where(F.floor(F.col("event_id") * slices / (last + 1)) == k).write.mode("append").parquet(path)
+    return J.intake(d.spark, path, rows.schema, 1)
+
+
+def _through(d: Data, stream: DataFrame, mode: str = "append") -> str:
+    path = fresh_path(d.spark, "stream")
+    J.run(stream, f"{path}/checkpoint", f"{path}/rows", mode)
+    return f"{path}/rows"
+
+
+@query("S9_stream_intake", "select event_id, user_id as device_id, ts, value as rtt_ms, event_type <> 'error' as reachable from events")
+def s9(d: Data):
+    rows = _events(d).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("rtt_ms"), (F.col("event_type") != "error").alias("reachable"))
+    return d.spark.read.parquet(_through(d, rows))
+
+
+@query("M3_stream_rollup", ROLLUP.format(""))
+def m3_stream(d: Data):
+    rows = _events(d).select(F.col("event_type").alias("metric"), F.col("user_id").alias("device_id"), "ts", F.col("value").alias("v"))
+    return J.latest(d.spark, _through(d, J.rollup(rows, ["metric", "device_id"]), "update"), ["metric", "device_id", "t"])
+
+
+@query("P2_stream_thresholds", ORACLES.get("P2_thresholds"))
+def p2_stream(d: Data):
+    rows = _events(d).select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("device_id"), "ts", (F.col("value") % 100).alias("v"))
+    return d.spark.read.parquet(_through(d, J.thresholds(rows, 30, 10, 2)))
+
+
+@query("L7_stream_suppression", f"select event_id, user_id::VARCHAR || '|' || event_type as key from ({ORACLES['L7_storm_suppression']})")
+def l7_stream(d: Data):
+    rows = _events(d).select("event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("t"))
+    return d.spark.read.parquet(_through(d, J.suppress(rows, 43200)))
+
+

@@ -14,3 +14,11 @@ def with_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}")
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared store."""
+    import uuid
+
+    with_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{kind}-{uuid.uuid4().hex}"

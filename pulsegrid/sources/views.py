@@ -7,7 +7,7 @@ select s_suppkey as device_id, n_regionkey as site_id, s_name as name, s_nationk
        case when s_suppkey = 0 then 'router' when s_suppkey <= 2 then 'core' when s_suppkey <= 8 then 'distribution'
             when s_suppkey % 11 = 0 then 'ap' else 'access' end as role,
        (s_suppkey % 7 <> 6) as monitored,
-       concat('10.', cast(n_regionkey as varchar(9)), '.', cast(floor(s_suppkey / 250) as varchar(9)), '.', cast(s_suppkey % 250 + 1 as varchar(9))) as ip,
+       concat('10.', cast(n_regionkey as varchar(9)), '.', cast(cast(floor(s_suppkey / 250) as bigint) as varchar(9)), '.', cast(s_suppkey % 250 + 1 as varchar(9))) as ip,
        case s_suppkey % 5 when 0 then 'down' when 1 then 'degraded' else 'up' end as status
 from supplier join nation on s_nationkey = n_nationkey""",
     "v_interfaces": """
