@@ -17,6 +17,17 @@ WORD_RE = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+#: What this worker keeps between tasks, by operator.
+CACHES: list[dict] = []
+
+
+def keep_only(cache: dict | None = None) -> None:
+    """Empties the caches of other operators: a reused worker holds one operator's at most."""
+    for other in CACHES:
+        if other is not cache:
+            other.clear()
+
+
 def words_of(text: str | None, lower: bool = False) -> list[str]:
     """The words of a text; `lower` lower-cases A-Z only. Null gives none."""
     if not text:

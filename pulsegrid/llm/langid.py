@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import is_held_out, others
+from .base import is_held_out, keep_only, others
 
 BITS = 14
 ORDERS = 4
@@ -88,10 +88,13 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_class: int,
     drawn = train.where(F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale)) < F.element_at(rate, F.col("c")))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            flags, known = presence(list(rows["t"]))
-            packed = np.packbits(flags > 0, axis=1)
-            yield pd.DataFrame({"c": rows["c"][known].tolist(), "bits": [packed[i].tobytes() for i in np.nonzero(known)[0]]})
+        keep_only()
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                rows = batch.iloc[lo : lo + 64]
+                flags, known = presence(list(rows["t"]))
+                packed = np.packbits(flags > 0, axis=1)
+                yield pd.DataFrame({"c": rows["c"][known].tolist(), "bits": [packed[i].tobytes() for i in np.nonzero(known)[0]]})
 
     got = sorted(drawn.mapInPandas(features, "c string, bits binary").collect())
     if not got:
@@ -102,7 +105,7 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_class: int,
     return rows, [got[i]["c"] for i in order]
 
 
-def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 500, max_classes: int = 400, landmarks: int = 192, seed: int = 10, batch: int = 128) -> DataFrame:
+def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 500, max_classes: int = 400, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
     """Adds lang_pred and score (0 to 1: the softmax of the class scores) to df; the text stays.
 
     Learns from `labelled` (default: df itself): text and non-null lang of rows whose id isn't held out, at most about
@@ -115,6 +118,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_i
     shared = df.sparkSession.sparkContext.broadcast(model)  # classes x 2^14 numbers, bounded by max_classes
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only()
         known_model = shared.value
         for rows in batches:
             pred, sure = np.full(len(rows), "und", object), np.zeros(len(rows))

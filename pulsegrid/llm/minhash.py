@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import by_key, components, materialize, others, words_of
+from .base import CACHES, by_key, components, keep_only, materialize, others, words_of
 from .links import local_roots
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -27,12 +27,13 @@ class _WordHash(dict):
         import xxhash
 
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
 
 _WORDS = _WordHash()
+CACHES.append(_WORDS)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -88,15 +89,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        keep_only(_WORDS)
         for rows in batches:
             for lo in range(0, len(rows), 500):
                 some = rows.iloc[lo : lo + 500]
                 found = [shingles(t, width) for t in some["_t"]]
                 raw = [f.astype("<u8").tobytes() for f in found]
                 out = some.drop(columns="_t").assign(n_shingles=list(map(len, found)))
-                out["_h1"] = [int.from_bytes(xxhash.xxh64_digest(r, seed=1), "little", signed=True) if r else None for r in raw]
-                out["_h2"] = [int.from_bytes(xxhash.xxh64_digest(r, seed=2), "little", signed=True) if r else None for r in raw]
-                out[["_h1", "_h2"]] = out[["_h1", "_h2"]].astype("Int64")
+                for n in (1, 2):  # as Int64 from the start: a plain column with nulls would turn to floats
+                    out[f"_h{n}"] = pd.array([int.from_bytes(xxhash.xxh64_digest(r, seed=n), "little", signed=True) if r else None for r in raw], "Int64")
                 yield out.assign(_sig=[signature(f, seeds).tobytes() if len(f) else None for f in found])
 
     from pyspark.sql.types import StructType
@@ -126,6 +127,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, classes: DataFrame, groups:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        keep_only(_WORDS)
         for rows in batches:
             for lo in range(0, len(rows), 500):
                 some = rows.iloc[lo : lo + 500]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_RE, is_held_out, others
+from .base import CACHES, WORD_RE, is_held_out, keep_only, others
 
 BITS = 18
 _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[a-zß-öø-ÿ]+|[0-9]+|[^\W\d_]+")
@@ -28,12 +28,13 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         value = zlib.crc32(word.lower().encode("utf-8", "replace")) << 32 | zlib.crc32(shape_of(word).encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
 
 _WORDS = _Words()
+CACHES.append(_WORDS)
 
 
 def indicators(text: str | None) -> np.ndarray:
@@ -136,6 +137,7 @@ def score_quality(df: DataFrame, model: Model, text: str = "text", threshold: fl
     kept = [c for c in others(df, "score", "predicted") if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only(_WORDS)
         for rows in batches:
             points = np.array([shared.value.score(indicators(t)) for t in rows[text]])
             yield rows[kept].assign(score=points, predicted=(points >= threshold).astype("int32"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize, others
+from .base import keep_only, materialize, others
 
 _END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
 _MASK = (1 << 63) - 1
@@ -77,6 +77,7 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     row = F.xxhash64(F.lit(6), F.col(key), F.col(text))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only()
         for rows in batches:
             made = [(h, k, r, i * 16 + n) for k, r, t in zip(rows["k"], rows["row"], rows["t"]) for h, i, n in spans(t)]
             out = pd.DataFrame(made, columns=["h", "k", "row", "at"])

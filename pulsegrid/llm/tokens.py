@@ -6,6 +6,8 @@ import os
 import re
 import sys
 
+from .base import CACHES, keep_only
+
 #: Texts with other characters than these go to the tokenizer whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
@@ -24,7 +26,7 @@ class Encoder:
     dropped) or "byte" (byte level, a piece keeps its leading space).
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, kind: str, keep: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,6 +78,8 @@ def encoder(path: str, kind: str) -> Encoder:
     found = _ENCODERS.get((path, kind))
     if found is None:
         found = _ENCODERS[path, kind] = Encoder(path, kind)
+        CACHES.append(found.known)
+    keep_only(found.known)
     return found
 
 
