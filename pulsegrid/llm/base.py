@@ -26,6 +26,27 @@ def keep_only(cache: dict | None = None) -> None:
     for other in CACHES:
         if other is not cache:
             other.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker have freed to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_slices(rows: pd.DataFrame, size: int = 500) -> Iterator[pd.DataFrame]:
+    """A batch in slices, so that what is made of it at once stays small."""
+    for lo in range(0, len(rows), size):
+        yield rows.iloc[lo : lo + size]
 
 
 def words_of(text: str | None, lower: bool = False) -> list[str]:

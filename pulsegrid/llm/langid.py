@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import is_held_out, keep_only, others
+from .base import give_back, is_held_out, keep_only, others
 
 BITS = 14
 ORDERS = 4
@@ -134,6 +134,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_i
                 pred[at] = [known_model.classes[b] for b in best[known]]
                 sure[at] = chances[np.arange(len(best)), best][known]
             yield rows.assign(lang_pred=pred, score=sure)
+        give_back()
 
     kept = df.select(*others(df, "lang_pred", "score"))
     schema = kept.schema

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import others
+from .base import give_back, others
 from .tokens import encoder, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -161,5 +161,6 @@ def pack_documents(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
                     yield from close()
         if held:
             yield from close()
+        give_back()
 
     return df.select(*kept, F.col(text)).mapInPandas(run, schema)

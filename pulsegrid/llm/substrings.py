@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep_only, materialize, others
+from .base import give_back, in_slices, keep_only, materialize, others
 
 _END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
 _MASK = (1 << 63) - 1
@@ -78,23 +78,30 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
-        for rows in batches:
-            made = [(h, k, r, i * 16 + n) for k, r, t in zip(rows["k"], rows["row"], rows["t"]) for h, i, n in spans(t)]
-            out = pd.DataFrame(made, columns=["h", "k", "row", "at"])
-            out["k"] = out["k"].astype("Int64")
-            yield out
+        for batch in batches:
+            for rows in in_slices(batch):
+                made = [(h, k, r, i * 16 + n) for k, r, t in zip(rows["k"], rows["row"], rows["t"]) for h, i, n in spans(t)]
+                yield pd.DataFrame(made, columns=["h", "k", "row", "at"], dtype="int64")
+        give_back()
 
     all_spans = materialize(df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, k long, row long, at long"), "spans")
     place = F.struct("k", "row", F.col("at"))
     first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     hits = all_spans.join(first, "h").where(place != F.col("first")).groupBy("row").agg(F.collect_set("at").alias("hits"))
 
-    def clean(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        made = [(None, 0, 0) if t is None else without(t, [] if x is None else list(x)) for t, x in zip(texts, hits)]
-        return pd.DataFrame(made, columns=["text", "n_sentences", "n_removed"])
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only()
+        for batch in batches:
+            for rows in in_slices(batch):
+                made = [(None, 0, 0) if t is None else without(t, [] if x is None else list(x)) for t, x in zip(rows[text], rows["_hits"])]
+                out = rows.drop(columns="_hits")
+                out[text] = [m[0] for m in made]
+                yield out.assign(n_sentences=[m[1] for m in made], n_removed=[m[2] for m in made]).astype({"n_sentences": "int32", "n_removed": "int32"})
+        give_back()
+
+    from pyspark.sql.types import StructType
 
-    cleaned = F.pandas_udf(clean, "text string, n_sentences int, n_removed int")
     kept = others(df, "n_sentences", "n_removed")
-    joined = df.select(*kept, row.alias("_row")).join(hits.withColumnRenamed("row", "_row"), "_row", "left")
-    done = joined.withColumn("_done", cleaned(F.col(text), F.col("hits")))
-    return done.select(*[F.col("_done.text").alias(c) if c == text else F.col(c) for c in kept], "_done.n_sentences", "_done.n_removed")
+    joined = df.select(*kept, row.alias("_row")).join(hits.select(F.col("row").alias("_row"), F.col("hits").alias("_hits")), "_row", "left").drop("_row")
+    schema = StructType([df.schema[c] for c in kept]).add("n_sentences", "integer").add("n_removed", "integer")
+    return joined.mapInPandas(clean, schema)
