@@ -69,7 +69,7 @@ def counters_to_rates(df: DataFrame) -> DataFrame:
 
 def utilisation(bps: Column, speed_mbps: Column) -> Column:
     """Percent of the speed; 0 where the speed isn't known."""
-    return F.when(speed_mbps > 0, F.round(bps / (speed_mbps * 1_000_000) * 100, 6)).otherwise(0.0)
+    return F.when(speed_mbps > 0, bps / (speed_mbps * 1_000_000) * 100).otherwise(0.0)
 
 
 def thin_history(df: DataFrame, keys: list[str], gap: int = 300) -> DataFrame:
@@ -106,7 +106,7 @@ def profile_metrics(values: DataFrame, profile: DataFrame) -> DataFrame:
     """Values (device_id, metric, at, v) scaled and aggregated (avg, max, sum or first) as the small profile table (metric, scale, how) says."""
     rows = values.join(F.broadcast(profile), "metric").withColumn("v", F.col("v") * F.col("scale"))
     made = F.when(F.col("how") == "avg", F.avg("v")).when(F.col("how") == "max", F.max("v")).when(F.col("how") == "sum", F.sum("v")).otherwise(F.min_by("v", "at"))
-    return rows.groupBy("device_id", "metric", "how").agg(F.round(made, 6).alias("value"))
+    return rows.groupBy("device_id", "metric", "how").agg(made.alias("value"))
 
 
 def load_percent(df: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def noisiest(alerts: DataFrame, n: int = 15) -> DataFrame:
 
 def busiest(interfaces: DataFrame, n: int = 25) -> DataFrame:
     """Ports by their peak in either direction, percent capped at 100."""
-    cap = lambda c: F.round(F.least(F.col(c), F.lit(100.0)), 6)
+    cap = lambda c: F.least(F.col(c), F.lit(100.0))
     return interfaces.select("device_id", "if_index", cap("in_util").alias("in_pct"), cap("out_util").alias("out_pct")).orderBy(F.desc(F.greatest("in_pct", "out_pct")), "device_id", "if_index").limit(n)
 
 

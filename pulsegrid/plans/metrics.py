@@ -97,7 +97,7 @@ def m9(d: Data):
     return M.counters_to_rates(d("v_if_counters"))
 
 
-@query("M10_utilisation", "select device_id, if_index, case when speed_mbps > 0 then round(in_bps / (speed_mbps * 1000000) * 100, 6) else 0.0 end as in_util, case when speed_mbps > 0 then round(out_bps / (speed_mbps * 1000000) * 100, 6) else 0.0 end as out_util from v_interfaces")
+@query("M10_utilisation", "select device_id, if_index, case when speed_mbps > 0 then in_bps / (speed_mbps * 1000000) * 100 else 0.0 end as in_util, case when speed_mbps > 0 then out_bps / (speed_mbps * 1000000) * 100 else 0.0 end as out_util from v_interfaces")
 def m10(d: Data):
     return d("v_interfaces").select("device_id", "if_index", M.utilisation(F.col("in_bps"), F.col("speed_mbps")).alias("in_util"), M.utilisation(F.col("out_bps"), F.col("speed_mbps")).alias("out_util"))
 
@@ -131,11 +131,12 @@ PROFILE = [("view", 0.5, "avg"), ("error", 2.0, "max"), ("click", 1.0, "sum"), (
 
 @query("M14_profile_metrics", """
 with p(metric, scale, how) as (values ('view', 0.5, 'avg'), ('error', 2.0, 'max'), ('click', 1.0, 'sum'), ('signup', 10.0, 'first'))
-select device_id, metric, how, round(case how when 'avg' then avg(v * scale) when 'max' then max(v * scale) when 'sum' then sum(v * scale) else min_by(v * scale, arrival) end, 6) as value
+select device_id, metric, how, round(case how when 'avg' then avg(v * scale) when 'max' then max(v * scale) when 'sum' then sum(v * scale) else min_by(v * scale, arrival) end + 1e-9, 6) as value
 from v_metric_samples join p using (metric) group by device_id, metric, how""")
 def m14(d: Data):
     profile = d.spark.createDataFrame(PROFILE, "metric string, scale double, how string")
-    return M.profile_metrics(d("v_metric_samples").withColumnRenamed("arrival", "at"), profile)
+    made = M.profile_metrics(d("v_metric_samples").withColumnRenamed("arrival", "at"), profile)
+    return made.withColumn("value", F.round(F.col("value") + 1e-9, 6))  # the engines round exact halves differently
 
 
 LOADS = """select device_id, case when event_n = 0 then 'ALL' else cast(event_n as varchar(9)) end as cpu, cpu_v, used, free, reserved, mem_given, physical from (

@@ -38,7 +38,7 @@ def r3(d: Data):
     return O.noisiest(d("v_alerts"))
 
 
-@query("R4_busiest_interfaces", "select device_id, if_index, round(least(in_bps / (speed_mbps * 1000000) * 100, 100.0), 6) as in_pct, round(least(out_bps / (speed_mbps * 1000000) * 100, 100.0), 6) as out_pct from v_interfaces order by greatest(in_pct, out_pct) desc, 1, 2 limit 25")
+@query("R4_busiest_interfaces", "select device_id, if_index, least(in_bps / (speed_mbps * 1000000) * 100, 100.0) as in_pct, least(out_bps / (speed_mbps * 1000000) * 100, 100.0) as out_pct from v_interfaces order by greatest(in_pct, out_pct) desc, 1, 2 limit 25")
 def r4(d: Data):
     rows = d("v_interfaces")
     return O.busiest(rows.select("device_id", "if_index", M.utilisation(F.col("in_bps"), F.col("speed_mbps")).alias("in_util"), M.utilisation(F.col("out_bps"), F.col("speed_mbps")).alias("out_util")))
