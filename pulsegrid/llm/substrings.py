@@ -87,6 +87,7 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     all_spans = materialize(df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, k long, row long, at long"), "spans")
     place = F.struct("k", "row", F.col("at"))
     first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    first = materialize(first, "spans")  # as a table of its own, both sides of the join are plain shuffles, which Spark splits where they are skewed
     hits = all_spans.join(first, "h").where(place != F.col("first")).groupBy("row").agg(F.collect_set("at").alias("hits"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
