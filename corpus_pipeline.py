@@ -21,7 +21,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates on five-word shingles."""
+    """One document, that of the smallest id, of each group of near duplicates on five-word shingles.
+
+    Ids name documents: of rows that share an id one stays, and rows without an id count as one document.
+    """
     verdicts = minhash.near_duplicates(docs.select("doc_id", "text"), width=5).where("kept").select("doc_id").distinct()
     once = docs.dropDuplicates(["doc_id"])
     return once.join(verdicts, once["doc_id"].eqNullSafe(verdicts["doc_id"]), "left_semi").select(*docs.columns)
