@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch
+from ..sources.storage import with_checkpoints
 
 
 def streaks(df: DataFrame, key: str, ok: str, order: list[str]) -> DataFrame:
@@ -103,12 +104,13 @@ def suppressed(status: DataFrame, parents: DataFrame, rounds: int = 16) -> DataF
 
     status: device_id, status; parents: device_id, parent. Each round doubles the distance that causes travel.
     """
-    down = status.where("status = 'down'").select("device_id")
+    with_checkpoints(status.sparkSession)
+    down = status.where("status = 'down'").select("device_id").checkpoint()
     up = down.join(parents, "device_id").join(down.select(F.col("device_id").alias("parent")), "parent").select("device_id", F.col("parent").alias("cause"))
-    hops = down.join(up, "device_id", "left").select("device_id", F.coalesce("cause", "device_id").alias("cause"))
+    hops = down.join(up, "device_id", "left").select("device_id", F.coalesce("cause", "device_id").alias("cause")).checkpoint()
     for _ in range(rounds.bit_length()):
         onward = hops.select(F.col("device_id").alias("cause"), F.col("cause").alias("next"))
-        hops = hops.join(onward, "cause").select("device_id", F.col("next").alias("cause"))
+        hops = hops.join(onward, "cause").select("device_id", F.col("next").alias("cause")).checkpoint()
     out = status.join(hops, "device_id", "left")
     moved = F.col("cause").isNotNull() & (F.col("cause") != F.col("device_id"))
     return out.select("device_id", F.when(moved, "unreachable").otherwise(F.col("status")).alias("status"), F.when(moved, F.col("cause")).alias("cause"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import short_host, short_port
+from ..sources.storage import with_checkpoints
 
 INFRA = ("core", "distribution", "access", "router", "firewall")
 SWITCHES = ("core", "distribution", "access")
@@ -131,8 +132,9 @@ def parents(devices: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFra
     ends = links.select(F.col("a_device").alias("device_id")).unionAll(links.select(F.col("b_device").alias("device_id"))).groupBy("device_id").agg(F.count("*").alias("n"))
     w = Window.partitionBy("site_id").orderBy("_o", F.desc("_n"), "device_id")
     roots = devices.join(ends, "device_id", "left").withColumns({"_o": order, "_n": F.coalesce("n", F.lit(0))}).withColumn("_p", F.row_number().over(w)).where("_p = 1")
-    pairs = neighbours(links)
-    done = roots.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop"))
+    with_checkpoints(devices.sparkSession)
+    pairs = neighbours(links).checkpoint()
+    done = roots.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")).checkpoint()
     for hop in range(max_hops):
         last = done.where(F.col("hop") == hop).select(F.col("device_id").alias("from"))
         step = pairs.select(F.col("device_id").alias("from"), F.col("peer").alias("device_id")).join(last, "from").groupBy("device_id").agg(F.min("from").cast("long").alias("parent"))

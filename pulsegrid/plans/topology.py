@@ -144,9 +144,6 @@ tree as (select h.device_id, case when h.hop = 0 then null else (select min(p.de
 
 
 def _tree(d: Data):
-    from ..sources.storage import with_checkpoints
-
-    with_checkpoints(d.spark)
     return O.parents(d("v_devices"), d("v_links"))
 
 
