@@ -67,7 +67,7 @@ def fit_kernel_ridge(rows: np.ndarray, labels: list[str], landmarks: int = 192,
     L = rows[chosen].astype(np.float64)
     s, u = np.linalg.eigh(L @ L.T)
     whiten = u[:, s > 1e-8] / np.sqrt(s[s > 1e-8])
-    space = rows @ (L.T @ whiten)
+    space = (rows @ (L.T @ whiten).astype(np.float32)).astype(np.float64)  # the sample itself stays in single precision
     goal = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
     weight = np.sqrt(1.0 / np.array([len(at[x]) for x in labels]))[:, None]  # classes count alike
     A = (space * weight).T @ (space * weight) + ridge * np.eye(space.shape[1]) / len(classes)
@@ -99,10 +99,12 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_class: int,
     got = sorted(drawn.mapInPandas(features, "c string, bits binary").collect())
     if not got:
         return np.zeros((0, 1 << BITS), np.float32), []
-    rows = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    order = np.random.default_rng(seed).permutation(len(got))
-    rows = rows[order] / np.sqrt(np.maximum(rows[order].sum(axis=1, keepdims=True), 1))
-    return rows, [got[i]["c"] for i in order]
+    got = [got[i] for i in np.random.default_rng(seed).permutation(len(got))]
+    rows = np.empty((len(got), 1 << BITS), np.float32)
+    for i, r in enumerate(got):
+        rows[i] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
+        rows[i] /= max(1.0, float(np.sqrt(rows[i].sum())))
+    return rows, [r["c"] for r in got]
 
 
 def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 500, max_classes: int = 400, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
@@ -115,6 +117,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_i
     """
     rows, names = training_rows(df if labelled is None else labelled, key, text, lang, per_class, max_classes, seed)
     model = fit_kernel_ridge(rows, names, landmarks) if names else None
+    del rows
     shared = df.sparkSession.sparkContext.broadcast(model)  # classes x 2^14 numbers, bounded by max_classes
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
