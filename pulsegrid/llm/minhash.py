@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import CACHES, by_key, components, keep_only, materialize, others, words_of
@@ -72,6 +72,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
        depth, so depth adapts to each region. What is still too large at the last depth is cut by the rest of the order
        into runs of neighbours, and its first classes join every run. In each region, classes whose signatures
        agree on a share of at least `loose` become candidates: a region returns a spanning forest of them, not pairs.
+       Cuts part classes that the first depth would join, so all classes that any tree had in a region too large are joined
+       once more on rare shingles, without regions (crowded_links).
     2. The forests' connected components hold every candidate link; each gets its full sets once. A component of
        at most `block` classes is compared exactly in one place. A larger one is cut into blocks that all meet a few pivots;
        then every class outside its largest linked part meets all blocks, so that no link between parts is lost. Exact
@@ -109,8 +111,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     members = rows.drop("_sig")
     named = rows.where(F.col("_h1").isNotNull() & F.col(key).isNotNull())
     classes = materialize(named.groupBy("_h1", "_h2").agg(F.min(F.col(key).cast("long")).alias("rep"), F.first("_sig").alias("sig")), "classes")
-    edges = candidate_links(classes.select("rep", "sig"), orders, hashes, depths, region, loose)
+    edges, crowd = candidate_links(classes.select("rep", "sig"), orders, hashes, depths, region, loose)
     groups = materialize(components(edges), "groups")
+    if not crowd.isEmpty():
+        more = crowded_links(df, key, text, classes, crowd, groups, width, percent)
+        if not more.isEmpty():
+            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "groups")
     linked = exact_links(shingle_sets(df, key, text, classes, groups, width), percent, block)
     found = components(linked).select(F.col("node").alias("rep"), "component")
     done = classes.join(found, "rep", "left").select("_h1", "_h2", F.coalesce("component", "rep").alias("component_id"))
@@ -142,14 +148,81 @@ def shingle_sets(df: DataFrame, key: str, text: str, classes: DataFrame, groups:
     return made.groupBy("component", "n", "node").agg(F.first("set").alias("set"))
 
 
+def crowded_links(df: DataFrame, key: str, text: str, classes: DataFrame, crowd: DataFrame, groups: DataFrame, width: int, percent: int, sample: int = 20_000, common: int = 50_000) -> DataFrame:
+    """Candidates (a, b: components, or classes outside any) between the classes of `crowd` (rep), by an exact prefix filter.
+
+    In one total order of all shingles, two sets that link share a shingle of their first len - ceil(percent * len / 100) + 1.
+    Any order is right; here shingles that are common in a sample of the crowd come last, so that few sets share a first
+    one. Pairs within one component of `groups` are done. The others meet in a join that compares lengths and one bit of each
+    min-hash: a linked pair differs in a share of (100 - percent) / 200 of them, and the limit lies six deviations above.
+    """
+    made = classes.join(crowd, "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    made = made.select("rep", "_h1", "sig", F.coalesce("component", "rep").alias("part"))
+    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
+    every = max(1, crowd.count() // sample)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+        import xxhash
+
+        keep_only(_WORDS)
+        for rows in batches:
+            for lo in range(0, len(rows), 500):
+                some = rows.iloc[lo : lo + 500]
+                found = [shingles(t, width) for t in some["t"]]
+                same = [int.from_bytes(xxhash.xxh64_digest(f.astype("<u8").tobytes(), seed=1), "little", signed=True) == h for f, h in zip(found, some["_h1"])]
+                yield some[same], [f for f, ok in zip(found, same) if ok]  # another text under the same key isn't the class
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found in cut(batches):
+            if found:
+                yield pd.DataFrame({"s": np.concatenate(found).view(np.int64)})
+
+    few = made.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(every)) == 0)
+    counts = texts.join(few.select("rep", "_h1"), "rep").mapInPandas(counted, "s long").groupBy("s").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "s").limit(common).toPandas().sort_values("s")
+    often, times = top["s"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, found in cut(batches):
+            if not found:
+                continue
+            heads = []
+            for f in found:
+                own = f.view(np.int64)
+                weight = np.zeros(len(own), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    weight = np.where(often[at] == own, times[at], 0)
+                heads.append(own[np.lexsort((own, weight))[: len(own) + (-percent * len(own) // 100) + 1]])
+            sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)[:, :128]
+            bits = np.zeros((len(rows), 128), np.uint8)
+            bits[:, : sigs.shape[1]] = sigs & 1
+            bits = np.packbits(bits, axis=1).view(np.int64)
+            n = list(map(len, heads))
+            yield pd.DataFrame({"s": np.concatenate(heads), "part": np.repeat(rows["part"].to_numpy(np.int64), n), "size": np.repeat(list(map(len, found)), n), "m1": np.repeat(bits[:, 0], n), "m2": np.repeat(bits[:, 1], n)})
+
+    heads = texts.join(made, "rep").mapInPandas(first, "s long, part long, size int, m1 long, m2 long")
+    own = Window.partitionBy("s")
+    met = heads.withColumns({"low": F.min("part").over(own), "high": F.max("part").over(own)}).where("low <> high")
+    met = materialize(met.select("s", "part", "size", "m1", "m2", "low"), "heads")
+    left = met.where("part <> low").select("s", *[F.col(c).alias(f"{c}_l") for c in ("part", "size", "m1", "m2")])
+    n_bits = min(128, len(classes.select("sig").first()[0]) // 2)
+    share = (100 - percent) / 200
+    most = int(n_bits * share + 6 * (n_bits * share * (1 - share)) ** 0.5) + 1
+    apart = F.bit_count(F.col("m1").bitwiseXOR(F.col("m1_l"))) + F.bit_count(F.col("m2").bitwiseXOR(F.col("m2_l")))
+    fits = (100 * F.least("size", "size_l") >= percent * F.greatest("size", "size_l")) & (apart <= most)
+    pairs = met.join(left, "s").where((F.col("part") != F.col("part_l")) & fits)
+    return materialize(pairs.select(F.greatest("part", "part_l").alias("a"), F.least("part", "part_l").alias("b")).distinct(), "candidates")
+
+
 def prefix_hashes(cut: np.ndarray, tree: int, depth: int) -> list[int]:
     import xxhash
 
     return [xxhash.xxh64_intdigest(r[:depth].tobytes(), seed=tree * 64 + depth) >> 1 for r in cut]
 
 
-def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, depths: tuple[int, ...], region: int, loose: float) -> DataFrame:
-    """Spanning forests (a, b) of candidates in the regions of all trees."""
+def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, depths: tuple[int, ...], region: int, loose: float) -> tuple[DataFrame, DataFrame]:
+    """Spanning forests (a, b) of candidates in the regions of all trees, and the classes (rep) that a tree's first depth leaves in a region too large."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -176,6 +249,7 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
     regions, left = split(start, "p")
     names = [f"p{d}" for d in depths[1:]]
     schema = "rep long, " + ", ".join(f"{p} long" for p in names) + ", tail long"
+    crowd = materialize(left.select("rep").distinct(), "crowd")
     left = materialize(left.join(sigs, "rep").select("rep", "tree", "sig").mapInPandas(deeper, schema), "forest")
     for p in names:
         if left.isEmpty():
@@ -217,7 +291,7 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
             yield pd.DataFrame({"rep": rows["rep"], "low": [x[::2] for x in rows["sig"]]})
 
     full = regions.join(sigs.mapInPandas(low_bytes, "rep long, low binary"), "rep").select("region", "rep", "low")
-    return materialize(by_key(full, "region", ["rep"], candidates, "a long, b long").distinct(), "candidates")
+    return materialize(by_key(full, "region", ["rep"], candidates, "a long, b long").distinct(), "candidates"), crowd
 
 
 def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:

@@ -158,6 +158,22 @@ def test_near_duplicates(spark, docs, none, options):
         assert {r.component_id for r in out.where(F.col("doc_id") == 204).collect()} == {5}
 
 
+@pytest.mark.parametrize("deep", [9, 14])
+def test_near_duplicates_in_crowded_regions(spark, deep):
+    """A template crowds the trees' first depth; every pair of near copies in it is found, whatever the next depth."""
+    rng = random.Random(deep)
+    template = words(rng, 100, 10**6)
+    texts = []
+    for i in range(150):
+        own = words(rng, 26, 10**6)
+        texts += [" ".join(template + own), " ".join(template + [f"m{i}" if j in (4, 12, 20) else w for j, w in enumerate(own)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2, percent=90, trees=4, depths=(2, deep), region=8, loose=0.75).collect()}
+    sets = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    assert (len(pairs), sum(got[i] == got[j] for i, j in pairs)) == (150, 150) and got == joined(pairs, range(len(texts)))
+
+
 def test_repeated_spans(spark, docs, none):
     rng = random.Random(6)
     passage = " ".join(" ".join(words(rng, 9)).capitalize() + "." for _ in range(7))
