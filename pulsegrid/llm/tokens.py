@@ -22,7 +22,7 @@ class Encoder:
 
     Such tokenizers first split a text into pieces and then encode each piece by itself. In texts of plain Latin
     characters the pieces are found here, and the ids of pieces seen before are kept (the tokenizer itself encodes each
-    new piece); any other text is encoded whole. `kind` is the file's splitting rule: "word" (lower case, white space
+    new piece); any other text, and one that spells an added token such as <|endoftext|> in either case, is encoded whole. `kind` is the file's splitting rule: "word" (lower case, white space
     dropped) or "byte" (byte level, a piece keeps its leading space).
     """
 
@@ -31,7 +31,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.keep, self.known = kind, keep, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -54,8 +54,8 @@ class Encoder:
         for at, text in enumerate(texts):
             if not text:
                 out.append(b"")
-            elif _PLAIN.fullmatch(text):
-                pieces = find(text.lower() if self.kind == "word" else text)
+            elif _PLAIN.fullmatch(text) and not any(map((low := text.lower()).__contains__, self.added)):
+                pieces = find(low if self.kind == "word" else text)
                 new.update(pieces)
                 out.append(pieces)
             else:

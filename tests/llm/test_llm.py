@@ -93,6 +93,16 @@ def test_encoder_equals_tokenizer(file, kind):
     assert code.encode(texts) == [np.array(code.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("file,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_keeps_added_tokens(file, kind):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(file))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext| > x", "no token 12"]
+    texts += [f"x {t.content} y{t.content}" for t in fresh.get_added_tokens_decoder().values()]
+    assert Encoder(tokenizer_path(file), kind).encode(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing(docs, none):
     code = Encoder(tokenizer_path("byte_bpe_50k.json"), "byte")
     out = packing.pack_documents(docs.select("doc_id", "text", "shard")).collect()
