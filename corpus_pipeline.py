@@ -21,13 +21,15 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates on five-word shingles.
+    """One document, that of the smallest id (null last), of each group of near duplicates on five-word shingles.
 
-    Ids name documents: of rows that share an id one stays, and rows without an id count as one document.
+    Rows are numbered, so that rows without an id or with a shared one are judged each by its own text.
     """
-    verdicts = minhash.near_duplicates(docs.select("doc_id", "text"), width=5).where("kept").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(verdicts, once["doc_id"].eqNullSafe(verdicts["doc_id"]), "left_semi").select(*docs.columns)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows.select("_row", "text"), key="_row", width=5).select("_row", "component_id")
+    names = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("name"))
+    first = names.join(groups, "_row").groupBy("component_id").agg(F.min("name").alias("name")).select("name._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

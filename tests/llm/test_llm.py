@@ -184,6 +184,17 @@ def test_near_duplicates_in_crowded_regions(spark, deep):
     assert (len(pairs), sum(got[i] == got[j] for i, j in pairs)) == (150, 150) and got == joined(pairs, range(len(texts)))
 
 
+def test_deduplicated_judges_rows(spark):
+    """Rows that share an id, or have none, go by their own texts."""
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(words(rng, 40, 10**6)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, c), (None, d), (None, d + " more"), (None, a), (9, e), (8, e + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.deduplicated(spark, df, "").collect()
+    made = Counter((r.doc_id, r.text.removesuffix(" more")) for r in got)
+    assert made == Counter([(3, a), (7, b), (None, c), (None, d), (8, e)])
+
+
 def test_repeated_spans(spark, docs, none):
     rng = random.Random(6)
     passage = " ".join(" ".join(words(rng, 9)).capitalize() + "." for _ in range(7))
