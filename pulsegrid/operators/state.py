@@ -99,16 +99,16 @@ def silent_agents(df: DataFrame, cycles: int = 3) -> DataFrame:
     return streaks(rows, "device_id", "quiet", ["ts", "sample_id"]).where(F.col("oks") >= cycles).select("device_id", "sample_id", F.col("oks").alias("run"))
 
 
-def suppressed(status: DataFrame, parents: DataFrame, rounds: int = 16) -> DataFrame:
+def suppressed(status: DataFrame, parents: DataFrame) -> DataFrame:
     """down turns to unreachable, with the topmost failed device as cause, where the upstream device is down or unreachable.
 
-    status: device_id, status; parents: device_id, parent. Each round doubles the distance that causes travel.
+    status: device_id, status; parents: device_id, parent. Each round doubles the distance that causes travel, up to the number of failed devices.
     """
     with_checkpoints(status.sparkSession)
     down = status.where("status = 'down'").select("device_id").checkpoint()
     up = down.join(parents, "device_id").join(down.select(F.col("device_id").alias("parent")), "parent").select("device_id", F.col("parent").alias("cause"))
     hops = down.join(up, "device_id", "left").select("device_id", F.coalesce("cause", "device_id").alias("cause")).checkpoint()
-    for _ in range(rounds.bit_length()):
+    for _ in range(down.count().bit_length()):
         onward = hops.select(F.col("device_id").alias("cause"), F.col("cause").alias("next"))
         hops = hops.join(onward, "cause").select("device_id", F.col("next").alias("cause")).checkpoint()
     out = status.join(hops, "device_id", "left")

@@ -123,10 +123,11 @@ def infer_roles(devices: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("device_id", "site_id", made.alias("role"))
 
 
-def parents(devices: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFrame:
+def parents(devices: DataFrame, links: DataFrame) -> DataFrame:
     """Upstream device of each device: breadth first from every site's root (router before core before distribution before others, then most links, then the smallest id).
 
-    Of equally near parents the smallest id counts. Each hop joins the frontier to the links and is checkpointed.
+    Of equally near parents the smallest id counts. Each hop joins the frontier to the links and is checkpointed, until none is new:
+    a device beside the last hop is in it, in the hop before or new.
     """
     order = F.when(F.col("role").isin("router", "firewall"), 0).when(F.col("role") == "core", 1).when(F.col("role") == "distribution", 2).otherwise(3)
     ends = links.select(F.col("a_device").alias("device_id")).unionAll(links.select(F.col("b_device").alias("device_id"))).groupBy("device_id").agg(F.count("*").alias("n"))
@@ -135,22 +136,23 @@ def parents(devices: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFra
     with_checkpoints(devices.sparkSession)
     pairs = neighbours(links).checkpoint()
     done = roots.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")).checkpoint()
-    for hop in range(max_hops):
-        last = done.where(F.col("hop") == hop).select(F.col("device_id").alias("from"))
-        step = pairs.select(F.col("device_id").alias("from"), F.col("peer").alias("device_id")).join(last, "from").groupBy("device_id").agg(F.min("from").cast("long").alias("parent"))
-        step = step.join(done.select("device_id"), "device_id", "left_anti").withColumn("hop", F.lit(hop + 1)).checkpoint()
-        if step.isEmpty():
-            break
+    before, last, hop = done, done, 0
+    while not last.isEmpty():
+        hop += 1
+        step = pairs.select(F.col("device_id").alias("from"), F.col("peer").alias("device_id")).join(last.select(F.col("device_id").alias("from")), "from").groupBy("device_id").agg(F.min("from").cast("long").alias("parent"))
+        near = before.select("device_id").unionAll(last.select("device_id"))
+        step = step.join(near, "device_id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         done = done.unionByName(step)
+        before, last = last, step
     return done
 
 
-def impact(tree: DataFrame, rounds: int = 64) -> DataFrame:
+def impact(tree: DataFrame) -> DataFrame:
     """Number of devices below each one in the parent tree."""
     level = tree.where("parent is not null").select("device_id", F.col("parent").alias("above"))
     up = level.select(F.col("device_id").alias("above"), F.col("above").alias("next"))
     total = level.select("above")
-    for _ in range(rounds):
+    for _ in range(tree.count()):  # no path is longer
         level = level.join(up, "above").select("device_id", F.col("next").alias("above")).checkpoint()
         if level.isEmpty():
             break

@@ -87,6 +87,24 @@ def test_suppressed_chain(spark):
     assert sorted(rows(state.suppressed(status, parents))) == [(1, "down", None), (2, "unreachable", 1), (3, "unreachable", 1), (4, "up", None)]
 
 
+def test_suppressed_long_chain(spark):
+    status = spark.createDataFrame([(i, "down") for i in range(1, 81)], "device_id long, status string")
+    made = rows(state.suppressed(status, spark.createDataFrame([(i, i - 1) for i in range(2, 81)], "device_id long, parent long")))
+    assert sorted(made) == [(1, "down", None)] + [(i, "unreachable", 1) for i in range(2, 81)]
+
+
+def test_tree_of_seventy_hops(spark):
+    from pulsegrid.sources.storage import with_checkpoints
+
+    with_checkpoints(spark)
+    n = 71
+    devices = spark.createDataFrame([(i, 1, "router" if i == 1 else "access") for i in range(1, n + 1)], "device_id long, site_id int, role string").coalesce(1)
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, n)], "a_device long, b_device long").coalesce(1)
+    assert sorted(rows(topology.parents(devices, links))) == [(i, i - 1 if i > 1 else None, i - 1) for i in range(1, n + 1)]
+    tree = spark.createDataFrame([(i, i - 1 if i > 1 else None, i - 1) for i in range(1, n + 1)], "device_id long, parent long, hop int").coalesce(1)
+    assert sorted(rows(topology.impact(tree))) == [(i, n - i) for i in range(1, n + 1)]
+
+
 def test_alert_life(spark):
     acts = [("k", 0.0, 1, "raise", 2), ("k", 10.0, 2, "raise", 4), ("k", 20.0, 3, "resolve", 0), ("k", 100.0, 4, "raise", 1), ("k", 200.0, 5, "resolve", 0), ("k", 9000.0, 6, "raise", 1)]
     made = alerts.upsert_alerts(spark.createDataFrame(acts, "dedup_key string, t double, n int, action string, severity int")).orderBy("n").collect()
