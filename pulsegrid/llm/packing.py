@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +18,29 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 class Pool:
-    """Whole or part documents (index, start, length) of one tier, the longest that fits first."""
+    """Whole or part documents (index, start) by length, with a bit set for each length held."""
 
-    def __init__(self) -> None:
-        self.items: list[tuple[int, int, int]] = []  # (length, doc, start), ascending
+    def __init__(self, longest: int) -> None:
+        self.stacks: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]
+        self.held = 0
 
     def add(self, doc: int, start: int, length: int) -> None:
-        insort(self.items, (length, doc, start))
+        self.stacks[length].append((doc, start))
+        self.held |= 1 << length
 
-    def fitting(self, room: int) -> tuple[int, int, int] | None:
-        at = bisect_right(self.items, (room, 1 << 60, 0))
-        return self.items.pop(at - 1) if at else None
+    def take(self, length: int) -> tuple[int, int, int]:
+        stack = self.stacks[length]
+        doc, start = stack.pop()
+        if not stack:
+            self.held ^= 1 << length
+        return doc, start, length
+
+    def longest(self, room: int) -> int:
+        """The greatest length held up to room, or 0."""
+        return max(0, (self.held & ((2 << room) - 1)).bit_length() - 1)
+
+    def shortest(self) -> int:
+        return (self.held & -self.held).bit_length() - 1
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -39,41 +50,32 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[
     tier that holds them. Tiers are packed from the longest down: a window opens with the longest document of its
     tier, then takes the longest fitting document of its own or any shorter tier, and what no whole document fits is
     filled with the head of the shortest document left, whose tail goes back to the tier of its length. So every
-    window is full; only the last, when nothing is left to fill it, is short.
+    window is full; only the last, when nothing is left to fill it, is short. A tier is a range of lengths, so all tiers share one pool.
     """
     longest = tiers[-1]
-    pools = {t: Pool() for t in tiers}
+    pool = Pool(longest)
     out: list[list[tuple[int, int, int]]] = []
-
-    def route(doc: int, start: int, length: int) -> None:
-        pools[next(t for t in tiers if length <= t)].add(doc, start, length)
-
     for doc, n in enumerate(lengths):
-        for start in range(0, n - n % longest, longest):
-            out.append([(doc, start, longest)])
-        if n % longest:
-            route(doc, n - n % longest, n % longest)
+        rest = n % longest
+        out.extend([(doc, start, longest)] for start in range(0, n - rest, longest))
+        if rest:
+            pool.add(doc, n - rest, rest)
     short: list[list[tuple[int, int, int]]] = []
     for level in range(len(tiers) - 1, -1, -1):
-        size, below = tiers[level], tiers[level::-1]
-        while pools[size].items:
-            length, doc, start = pools[size].items.pop()
-            window, room = [(doc, start, length)], size - length
-            while room:
-                # the longest whole document that fits; shorter tiers hold only shorter ones
-                found = next((x for t in below if (x := pools[t].fitting(room))), None)
-                if found:
-                    window.append((found[1], found[2], found[0]))
-                    room -= found[0]
-                    continue
-                donor = next((pools[t] for t in tiers[: level + 1] if pools[t].items), None)
-                if donor is None:
-                    break
-                length, doc, start = donor.items.pop(0)
-                window.append((doc, start, room))
-                route(doc, start + room, length - room)
-                room = 0
-            (out if not room else short).append(window)
+        size, below = tiers[level], tiers[level - 1] if level else 0
+        while (first := pool.longest(size)) > below:
+            window, room = [pool.take(first)], size - first
+            while room and pool.held:
+                fits = pool.longest(room)
+                if fits:
+                    window.append(pool.take(fits))
+                    room -= fits
+                else:
+                    doc, start, length = pool.take(pool.shortest())
+                    window.append((doc, start, room))
+                    pool.add(doc, start + room, length - room)
+                    room = 0
+            (short if room else out).append(window)
     # short windows: one for each tier at most; together they make the longest windows, and only the last is padded
     room, window = longest, []
     for doc, start, length in [p for w in short for p in w]:
@@ -89,15 +91,21 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[
     return out
 
 
-def step_groups(sizes: list[int], tokens_per_step: int) -> list[int]:
-    """A step for each sequence: sequences of a size go together, each step holds the same tokens, the last of a size fewer."""
-    seen: dict[int, int] = {}
-    names: dict[tuple[int, int], int] = {}
-    out = []
-    for n in sizes:
-        done = seen[n] = seen.get(n, 0) + n
-        out.append(names.setdefault((n, (done - n) // tokens_per_step), len(names)))
-    return out
+class StepGroups:
+    """Numbers of training steps: sequences of a size go together, each step holds the same tokens, the last of a size fewer."""
+
+    def __init__(self, tokens_per_step: int) -> None:
+        self.tokens_per_step = tokens_per_step
+        self.open: dict[int, list[int]] = {}  # size: number and tokens of its last step
+        self.n = 0
+
+    def step_of(self, size: int) -> int:
+        last = self.open.get(size)
+        if last is None or last[1] + size > self.tokens_per_step:
+            last = self.open[size] = [self.n, 0]
+            self.n += 1
+        last[1] += size
+        return last[0]
 
 
 def pack_documents(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 1, tiers: tuple[int, ...] = TIERS, tokens_per_step: int = 65_536, tokens_per_round: int = 4_000_000) -> DataFrame:
@@ -106,8 +114,8 @@ def pack_documents(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
 
     A task encodes its rows and packs them in rounds of tokens_per_round, so memory is bounded and nothing is
     shuffled; see pack(). Sequences of a shorter tier are exactly full, all others have the longest tier's size and
-    only the last one of a task's round is padded. sequence_id and step_group start at the task's number times 2^36 and
-    are unique. Null and empty texts have the end id alone; repeated rows are packed each; columns of df that clash
+    only the last one of a task's round is padded. Step groups go on over a task's rounds, so a task has one group for each tier that isn't
+    full. sequence_id and step_group start at the task's number times 2^36 and are unique. Null and empty texts have the end id alone; repeated rows are packed each; columns of df that clash
     with added ones are dropped; an empty table gives no rows.
     """
     from pyspark.sql.types import StructType
@@ -123,26 +131,25 @@ def pack_documents(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
 
         code, base = encoder(tokenizer_path(tokenizer), kind), TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
-        n_sequences = n_steps = 0
+        n_sequences, groups = 0, StepGroups(tokens_per_step)
         held: list[pd.DataFrame] = []
         ids: list[bytes] = []
         total = 0
 
         def close() -> Iterator[pd.DataFrame]:
-            nonlocal n_sequences, n_steps, total
+            nonlocal n_sequences, total
             rows = pd.concat(held, ignore_index=True)
             sequences = pack([len(x) // 4 for x in ids], tiers)
             sums = [sum(p[2] for p in s) for s in sequences]
-            tier_of = [n if n in tiers else tiers[-1] for n in sums]
-            steps = step_groups(tier_of, tokens_per_step)
             made = []
-            for k, (sequence, n, tier, step) in enumerate(zip(sequences, sums, tier_of, steps)):
-                at = 0
+            for k, (sequence, n) in enumerate(zip(sequences, sums)):
+                at, tier = 0, n if n in tiers else tiers[-1]
+                step = base + groups.step_of(tier)
                 for doc, start, length in sequence:
                     piece = ids[doc][4 * start : 4 * (start + length)]
-                    made.append((doc, start, length, zlib.crc32(piece), len(ids[doc]) // 4, base + n_sequences + k, at, n, tier, base + n_steps + step, piece))
+                    made.append((doc, start, length, zlib.crc32(piece), len(ids[doc]) // 4, base + n_sequences + k, at, n, tier, step, piece))
                     at += length
-            n_sequences, n_steps, total = n_sequences + len(sequences), n_steps + max(steps, default=-1) + 1, 0
+            n_sequences, total = n_sequences + len(sequences), 0
             for lo in range(0, len(made), 5000):
                 some = made[lo : lo + 5000]
                 pieces = pd.DataFrame([x[1:] for x in some], columns=[f.name for f in schema.fields[len(kept) :]])

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import exclusive_offsets, fresh_path, materialize
+from .base import exclusive_offsets, fresh_path, materialize, partitions
 from .tokens import encoder, tokenizer_path
 
-MANIFEST = "file string, width int, nulls long, docs long, tokens long"
+MANIFEST = "file string, width long, nulls long, docs long, tokens long"
 
 
 def _store(uri: str):
@@ -39,11 +40,11 @@ def _read(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1, rows_per_file: int = 10_000) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1, tokens_per_file: int = 2_000_000) -> DataFrame:
     """Encodes every text and writes the ids in ascending key order; returns the manifest, one row for each file, with `base`.
 
-    Rows are range-partitioned by key (equal keys in order of their texts' crc32), sorted and encoded. A task writes files of
-    rows_per_file documents each: <file>.ids, the ids of all its documents one after the other, each document ended by
+    Rows are range-partitioned by key (equal keys in order of their texts' crc32), sorted and encoded. A task closes a file at the
+    document that brings it to tokens_per_file: <file>.ids, the ids of all its documents one after the other, each document ended by
     end_id, as little-endian unsigned integers of `width` bytes (2 if the whole vocabulary fits, else 4); <file>.offsets, for each document where its ids end in the file, as unsigned 64-bit integers; <file>.keys,
     the keys as signed 64-bit integers. A file's `base`, the ids of all documents before it, is a prefix sum over the
     manifest. Names hold a random part, so that the files of a failed attempt are never taken for others; the manifest
@@ -52,42 +53,46 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
     spark = df.sparkSession
     spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[pd.Series, list[bytes]]] = []
         code = encoder(tokenizer_path(tokenizer), kind)
-        end = np.array([end_id], "<u4").tobytes()
         width = 2 if max(end_id + 1, code.tokenizer.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else 4
-
-        def close() -> pd.DataFrame:
-            nonlocal n
-            keys = pd.concat([k for k, _ in held])
-            ids = [x for _, made in held for x in made]
-            held.clear()
-            ends = np.cumsum([len(x) // 4 for x in ids])
+        end = np.array([end_id], f"<u{width}").tobytes()
+        keys: list[int | None] = []
+        ids: list[bytes] = []
+        total = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal n, total
+            ends = np.cumsum([len(x) // width for x in ids])
             name = f"{folder}/part-{part:06d}-{n:06d}-{uuid.uuid4().hex}"
-            n += 1
-            _write(f"{name}.ids", [np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()])
+            _write(f"{name}.ids", ids)
             _write(f"{name}.offsets", [ends.astype("<u8").tobytes()])
-            _write(f"{name}.keys", [keys.fillna(0).astype("int64").to_numpy().astype("<i8").tobytes()])
-            return pd.DataFrame({"file": [name], "width": [width], "nulls": [int(keys.isna().sum())], "docs": [len(ids)], "tokens": [int(ends[-1])], "part": [part], "n": [n]})
-
-        for rows in batches:
-            for lo in range(0, len(rows), 1000):
-                some = rows.iloc[lo : lo + 1000]
-                held.append((some[key], [x + end for x in code.encode(list(some[text]))]))
-                if sum(len(k) for k, _ in held) >= rows_per_file:
+            _write(f"{name}.keys", [np.array([k or 0 for k in keys], "<i8").tobytes()])
+            row = {"file": name, "width": width, "nulls": keys.count(None), "docs": len(ids), "tokens": int(ends[-1]), "part": part, "n": n}
+            n, total = n + 1, 0
+            keys.clear()
+            ids.clear()
+            return pa.RecordBatch.from_pylist([row])
+
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):  # Arrow keeps ids beside nulls whole
+                made = code.ids_of(t.as_py())
+                ids.append((np.frombuffer(made, "<u4").astype("<u2").tobytes() if width == 2 else made) + end)
+                keys.append(k)
+                total += len(ids[-1]) // width
+                if total >= tokens_per_file:
                     yield close()
-        if held:
+        if ids:
             yield close()
 
     rows = df.select(F.col(key).cast("long").alias(key), text)
     tie = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     dealt = rows.repartitionByRange(F.col(key).asc_nulls_first(), tie).sortWithinPartitions(F.col(key).asc_nulls_first(), tie)
-    made = materialize(dealt.mapInPandas(write, MANIFEST + ", part long, n long"), "manifest")
-    return exclusive_offsets(made.withColumn("at", F.col("part") * 100_000 + F.col("n")), [], "at", "tokens").drop("part", "n")
+    made = materialize(dealt.mapInArrow(write, MANIFEST + ", part long, n long"), "manifest")
+    return exclusive_offsets(made.withColumn("at", F.shiftleft("part", 20) + F.col("n")), [], "at", "tokens").drop("part", "n")
 
 
 def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -103,7 +108,7 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 named[: f.nulls] = pd.NA
                 yield pd.DataFrame({key: named, "start": f.base + starts, "n_tokens": ends - starts, "ids_crc32": crc})
 
-    files = manifest.repartition(F.col("file"))
+    files = manifest.repartition(partitions(manifest.sparkSession))  # dealt in turn to a stated number of tasks, which stay apart
     return files.mapInPandas(read, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -5,69 +5,108 @@ from __future__ import annotations
 import os
 import re
 import sys
+from array import array
+from collections.abc import Callable
 
 from .base import CACHES, keep_only
 
-#: Texts with other characters than these go to the tokenizer whole.
+#: Texts of these characters only are plain.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
 _PIECES = {
     "word": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+"),
     "byte": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"),
 }
+_CHUNK = re.compile(r"(?<=\S)(?= )")
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: visible Latin-1 characters stand for themselves, other bytes take letters from 256 on in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return [chr(256 + rest.index(b)) if b in rest else chr(b) for b in range(256)]
+
+
+class _Kept(dict):
+    """What `make` gives for strings seen lately. When `keep` are held they become the old ones, of which those used again are taken over."""
+
+    def __init__(self, make: Callable[[str], bytes], keep: int) -> None:
+        self.make, self.keep, self.old = make, keep, {}
+
+    def __missing__(self, text: str) -> bytes:
+        made = self.old.get(text) or self.make(text)
+        if len(text) <= 64:
+            if len(self) >= self.keep:
+                self.old = dict(self)
+                super().clear()
+            self[text] = made
+        return made
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
 
 class Encoder:
     """Ids of texts by a tokenizer file of the tokenizers library, equal to encoding each text whole.
 
-    Such tokenizers first split a text into pieces and then encode each piece by itself. In texts of plain Latin
-    characters the pieces are found here, and the ids of pieces seen before are kept (the tokenizer itself encodes each
-    new piece); any other text, and one that spells an added token such as <|endoftext|> in either case, is encoded whole. `kind` is the file's splitting rule: "word" (lower case, white space
-    dropped) or "byte" (byte level, a piece keeps its leading space).
+    Such tokenizers split a text into pieces and their model encodes each piece by itself. In a text of plain Latin characters
+    the pieces are found here, the file's own model encodes each new piece, and the ids of pieces seen lately are kept. Any other text is
+    cut before each space that follows a character which isn't white space, as no piece of these files holds such a space in its
+    middle; plain chunks go that way too, others to the tokenizer as they are. A text that spells an added token such as <|endoftext|>, in either
+    case, is encoded whole. `kind` is the file's splitting rule: "word" (lower case, white space dropped) or "byte" (byte
+    level, a piece keeps its leading space).
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, kind: str, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.keep, self.known = kind, keep, {}
+        self.kind, self.find = kind, _PIECES[kind].findall
+        letters = _byte_letters()
+        self.written = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256) if _PLAIN.fullmatch(chr(c))}
+        self.pieces = _Kept(self._piece, keep)
+
+    def _piece(self, piece: str) -> bytes:
+        return _bytes_of([t.id for t in self.model.tokenize(piece.translate(self.written))])
+
+    def _whole(self, text: str) -> bytes:
+        return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def ids_of(self, text: str | None) -> bytes:
+        """Ids of one text; null is empty."""
+        if not text:
+            return b""
+        low = text.lower()
+        if any(map(low.__contains__, self.added)):
+            return self._whole(text)
+        get = self.pieces.__getitem__
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(get, self.find(low if self.kind == "word" else text)))
+        made = []
+        for chunk in _CHUNK.split(text):
+            if _PLAIN.fullmatch(chunk):
+                made += map(get, self.find(chunk.lower() if self.kind == "word" else chunk))
+            else:
+                made.append(self._whole(chunk))
+        return b"".join(made)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """One bytes value for each text."""
+        return list(map(self.ids_of, texts))
 
-        made = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in made:
-                a.byteswap()
-        return [a.tobytes() for a in made]
+    def clear(self) -> None:
+        self.pieces.clear()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes value for each text; null is empty."""
-        out: list[bytes | list[str]] = []
-        new: set[str] = set()
-        whole: list[int] = []
-        find, known = _PIECES[self.kind].findall, self.known
-        if len(known) > self.keep:  # bounded memory: start again
-            known.clear()
-        for at, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-            elif _PLAIN.fullmatch(text) and not any(map((low := text.lower()).__contains__, self.added)):
-                pieces = find(low if self.kind == "word" else text)
-                new.update(pieces)
-                out.append(pieces)
-            else:
-                whole.append(at)
-                out.append(b"")
-        fresh = [p for p in new if p not in known]
-        known.update(zip(fresh, self._encode(fresh)))
-        get = known.__getitem__
-        made = [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
-        for at, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            made[at] = ids
-        return made
+
+def _bytes_of(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -78,8 +117,8 @@ def encoder(path: str, kind: str) -> Encoder:
     found = _ENCODERS.get((path, kind))
     if found is None:
         found = _ENCODERS[path, kind] = Encoder(path, kind)
-        CACHES.append(found.known)
-    keep_only(found.known)
+        CACHES.append(found)
+    keep_only(found)
     return found
 
 

@@ -74,7 +74,7 @@ def test_shards(docs, none):
 
 def test_token_files(docs, none):
     code = Encoder(tokenizer_path("word_bpe_49k.json"), "word")
-    out = token_files.token_files(docs.select("doc_id", "text"), rows_per_file=17).orderBy("start").collect()
+    out = token_files.token_files(docs.select("doc_id", "text"), tokens_per_file=400).orderBy("start").collect()
     rows = docs.collect()
     want = Counter()
     for r in rows:
