@@ -3,62 +3,99 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import give_back, in_slices, keep_only, materialize, others
 
-_END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
-_MASK = (1 << 63) - 1
-#: Runs of one or two sentences count from so many words; longer runs grow until they have LONG words.
-ONE, TWO, LONG, MOST = 50, 30, 12, 8
-
-
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Places of sentences: each ends after . ! or ? before white space, or at a line's end; blank ones are left out."""
-    out, at = [], 0
-    for m in _END.finditer(text or ""):
-        out.append((at, m.start()))
-        at = m.end()
-    out.append((at, len(text or "")))
-    return [(a, b) for a, b in out if text and text[a:b].strip()]
+#: A sentence ends after its mark and white space (marks of scripts written without spaces need none), or at a line's end.
+_END = re.compile(r"(?<=[.!?…؟۔।॥])[ \t]+|(?<=[。！？｡])[ \t]*|\n+")
+#: A word; a character of a script written without spaces counts as one.
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_UNIT = re.compile(rf"{_WIDE.pattern}|[^\s{_WIDE.pattern[1:-1]}]+")
+_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Runs of one or two sentences count from so many words, longer ones from LONG. A sentence of more than CUT words is
+#: taken in pieces, which begin at every word whose hash is a multiple of EVERY; runs with pieces count from TWO words.
+#: A sentence of at most SHORT characters is taken with the next one, unless its own hash is a multiple of SOME. All
+#: these cuts follow from the words beside them, so the same passage is cut alike in every text.
+ONE, TWO, LONG, CUT, EVERY, SHORT, SOME = 50, 30, 12, 40, 8, 24, 4
+_MASK = (1 << 128) - 1
+_HALF = (1 << 63) - 1
+#: More than the sentences of any run: each has a word, and a run ends with its TWO words at most.
+RUN = 64
+
+
+def sentences(text: str | None) -> list[tuple[int, int, bool]]:
+    """Places of sentences and of the pieces of long ones (True); blank ones are left out."""
+    out: list[tuple[int, int, bool]] = []
+    if not text:
+        return out
+    wide = not text.isascii() and _WIDE.search(text) is not None
+    plain = not wide and _ODD_SPACE.search(text) is None
+    at = start = 0
+    for stop, after in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+        part = text[at:stop]
+        if plain and part.count(" ") < CUT:
+            n = 0 if not part or part.isspace() else 1  # not more than CUT
+        else:
+            n = len(_UNIT.findall(part)) if wide else len(part.split())
+        if n > CUT:
+            starts = [m.start() for m in _UNIT.finditer(text, at, stop) if zlib.crc32(m[0].lower().encode("utf-8", "replace")) % EVERY == 0]
+            cuts = sorted({start, *starts, stop})
+            out += [(a, b, len(cuts) > 2) for a, b in zip(cuts, cuts[1:]) if text[a:b].strip()]
+        elif n and (stop - at > SHORT or after == len(text) or zlib.crc32(" ".join(part.lower().split()).encode("utf-8", "replace")) % SOME == 0):
+            out.append((start, stop, False))
+        elif n or start < at:  # short, or blank behind a short one: goes with the next
+            at = after
+            continue
+        at = start = after
+    if start < len(text) and text[start:].strip():
+        out.append((start, len(text), False))
+    return out
 
 
 def spans(text: str | None) -> list[tuple[int, int, int]]:
-    """Runs of consecutive sentences: (hash, first sentence, number of sentences).
+    """Runs of consecutive sentences: (128-bit hash, first sentence, number of sentences).
 
-    From every sentence: the run of three, or as many more as make LONG words (MOST sentences at most), and the run of two or one if it has
-    TWO or ONE words. Case and the width of white space don't count.
+    From every sentence: the run of three, or of as many more as make LONG words, and the run of two or one if it has TWO or
+    ONE words; with a piece of a long sentence in it, a run of any number that makes TWO words. Case and the width of white space don't count.
     """
     import xxhash
 
-    texts = [(text or "")[a:b].lower().split() for a, b in sentences(text)]
-    hashes = [xxhash.xxh64_intdigest(" ".join(x)) for x in texts]
-    counts = list(map(len, texts))
+    text = text or ""
+    wide = not text.isascii() and _WIDE.search(text) is not None
+    places = sentences(text)
+    words = [text[a:b].lower().split() for a, b, _ in places]
+    hashes = [xxhash.xxh3_128_intdigest(" ".join(x)) for x in words]
+    counts = [len(_UNIT.findall(text[a:b])) for a, b, _ in places] if wide else list(map(len, words))
+    piece = [p for _, _, p in places]
     made = []
-    for i in range(len(texts)):
-        h, n = 0, 0
-        for k in range(1, min(MOST, len(texts) - i) + 1):
-            h = ((h ^ hashes[i + k - 1]) * 0x9E3779B97F4A7C15 + k) & 0xFFFFFFFFFFFFFFFF
-            n += counts[i + k - 1]
-            if (k == 1 and n >= ONE) or (k == 2 and n >= TWO) or (k >= 3 and n >= LONG):
-                made.append(((h ^ h >> 31) & _MASK, i, k))
-            if k >= 3 and n >= LONG:
-                break
+    for i in range(len(places)):
+        h, n, cut, k = 0, 0, False, 0
+        while i + k < len(places):
+            h = ((h ^ hashes[i + k]) * 0x9E3779B97F4A7C15F39CC0605CEDC835 + k) & _MASK
+            n, cut, k = n + counts[i + k], cut or piece[i + k], k + 1
+            enough = n >= TWO if cut else n >= (ONE if k == 1 else TWO if k == 2 else LONG)
+            if enough:
+                made.append((h ^ h >> 67, i, k))
+                if k >= 3 or cut:
+                    break
     return made
 
 
 def without(text: str, hits: list[int]) -> tuple[str, int, int]:
-    """The text without the sentences of the spans in hits (first * 16 + number), its sentences, and how many went."""
+    """The text without the sentences of the spans in hits (first * RUN + number), its sentences, and how many went."""
     places = sentences(text)
-    gone = {s for x in hits for s in range(x // 16, x // 16 + x % 16)}
+    gone = {s for x in hits for s in range(x // RUN, x // RUN + x % RUN)}
     if not gone:
         return text, len(places), 0
     parts, at = [], 0
-    for s, (a, b) in enumerate(places):
+    for s, (a, _, _) in enumerate(places):
         stop = places[s + 1][0] if s + 1 < len(places) else len(text)  # a sentence goes with the space after it
         if s not in gone:
             parts.append(text[at if not s else a : stop])
@@ -67,28 +104,38 @@ def without(text: str, hits: list[int]) -> tuple[str, int, int]:
 
 
 def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns of df with the cleaned text, n_sentences and n_removed.
+    """Columns of df with the cleaned text, n_sentences and n_removed (pieces of long sentences count as sentences).
 
-    All spans of all texts are hashed and joined by hash. The first occurrence of a span, by key (null last) and
-    place, stays; every sentence that another occurrence covers is removed, in the same text as well. Counts meet
+    All spans of all texts are hashed and joined by two 63-bit hashes. The first occurrence of a span, by key (null last) and
+    place, stays; every sentence that another occurrence covers is removed, in the same text as well. A text gives
+    each of its spans once to the join, with the first place; its own repeats are known beforehand. So the join holds a row for each
+    text that a repeated span is in, and a passage that one text repeats all over adds none. Counts meet
     after map-side aggregation and the join back splits hot hashes. Null texts stay null; rows equal in key and
     text are one document to each other; an empty table gives no rows; columns with the added names are replaced.
     """
     row = F.xxhash64(F.lit(6), F.col(key), F.col(text))
+    number = F.coalesce(F.col(key).cast("long"), F.lit(_HALF))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
         for batch in batches:
             for rows in in_slices(batch):
-                made = [(h, k, r, i * 16 + n) for k, r, t in zip(rows["k"], rows["row"], rows["t"]) for h, i, n in spans(t)]
-                yield pd.DataFrame(made, columns=["h", "k", "row", "at"], dtype="int64")
+                made = []
+                for k, r, t in zip(rows["k"], rows["row"], rows["t"]):
+                    seen: set[int] = set()
+                    for h, i, n in spans(t):
+                        made.append((h & _HALF, h >> 64 & _HALF, k, r, i * RUN + n, h in seen))
+                        seen.add(h)
+                columns = list(zip(*made)) or [()] * 6
+                yield pd.DataFrame({c: np.array(x, bool if c == "again" else np.int64) for c, x in zip(("h", "g", "k", "row", "at", "again"), columns)})
         give_back()
 
-    all_spans = materialize(df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, k long, row long, at long"), "spans")
-    place = F.struct("k", "row", F.col("at"))
-    first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    every = materialize(df.select(number.alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, g long, k long, row long, at long, again boolean"), "spans")
+    spread, place = every.where("not again").select("h", "g", "k", "row", "at"), F.struct("k", "row")
+    first = spread.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     first = materialize(first, "spans")  # as a table of its own, both sides of the join are plain shuffles, which Spark splits where they are skewed
-    hits = all_spans.join(first, "h").where(place != F.col("first")).groupBy("row").agg(F.collect_set("at").alias("hits"))
+    later = spread.join(first, ["h", "g"]).where(place != F.col("first")).select("k", "row", "at")
+    hits = later.unionAll(every.where("again").select("k", "row", "at")).groupBy("k", "row").agg(F.collect_set("at").alias("hits"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
@@ -103,6 +150,6 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     from pyspark.sql.types import StructType
 
     kept = others(df, "n_sentences", "n_removed")
-    joined = df.select(*kept, row.alias("_row")).join(hits.select(F.col("row").alias("_row"), F.col("hits").alias("_hits")), "_row", "left").drop("_row")
+    joined = df.select(*kept, number.alias("_k"), row.alias("_row")).join(hits.select(F.col("k").alias("_k"), F.col("row").alias("_row"), F.col("hits").alias("_hits")), ["_k", "_row"], "left").drop("_k", "_row")
     schema = StructType([df.schema[c] for c in kept]).add("n_sentences", "integer").add("n_removed", "integer")
     return joined.mapInPandas(clean, schema)
