@@ -14,12 +14,18 @@ f AS (
          coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM f),
-h AS (SELECT source AS host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(x) / sum(n) AS m, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) * (sum(x) / sum(n)) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM p),
-j AS (SELECT host, round((x + k * m) / (n + k), 6) AS host_rate FROM h, q)
+h AS (SELECT source AS host, count(*)::DOUBLE AS n, unnest([1, 2, 3]) AS rule,
+             unnest([sum(base_failed::INT), sum((n_symbols * 100 > n_words * 10)::INT), sum((n_dup_lines > 2)::INT)])::DOUBLE AS x
+      FROM b WHERE source IS NOT NULL GROUP BY source),
+a AS (SELECT rule, sum(n) AS n, sum(x) AS x, sum(x * x / n) AS xx FROM h GROUP BY rule),
+p AS (SELECT h.*, a.x / a.n AS am, a.xx / a.n - (a.x / a.n) * (a.x / a.n) AS av, a.n - h.n AS o, a.x - h.x AS ox, a.xx - h.x * h.x / h.n AS oxx FROM h JOIN a USING (rule)),
+q AS (SELECT *, CASE WHEN av > 1e-12 THEN least(1e6, greatest(1.0, am * (1 - am) / av - 1)) ELSE 1e6 END AS k, CASE WHEN o > 0 THEN ox / o END AS m FROM p),
+z AS (SELECT *, round((x + k * am) / (n + k), 6) AS rate, CASE WHEN o > 0 THEN greatest(0.0, oxx / o - m * m) END AS v FROM q),
+j AS (SELECT host, max(CASE WHEN rule = 1 THEN rate END) AS host_rate,
+             bool_or(rate > 0.5 OR coalesce(rate > 2 * m AND rate > m + greatest(0.1, 3 * sqrt(v + m * (1 - m) / n)), false)) AS rejected
+      FROM z GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND NOT coalesce(host_rate > 0.5, false)) AS kept, host_rate
+       (NOT base_failed AND NOT coalesce(rejected, false)) AS kept, host_rate, coalesce(rejected, false) AS host_rejected
 FROM b LEFT JOIN j ON source = host
 """
 

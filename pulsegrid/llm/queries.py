@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = host_rules.host_quality(docs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
 
 
 def op2_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    out = sharding.shuffle_into_shards(docs)
+    out = sharding.sharded_files(docs)
     return out.select("doc_id", (utf8_bytes(F.col("text")) + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,15 +62,44 @@ def test_host_rules(spark, docs, none):
     assert {h.host: h.host_rejected for h in hosts} == {"bad": True, "good": False}
 
 
-def test_shards(docs, none):
-    out = sharding.shuffle_into_shards(docs, n_shards=7, bucket_bytes=2000).collect()
-    assert len(out) == docs.count() and Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in docs.collect())
-    sizes = Counter(r["shard"] for r in out)
+def test_host_verdict_on_documents(spark, small):
+    """On the given table no host differs from the others beyond chance; one that does is rejected, with its clean documents, and only it."""
+    docs = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "source", "text")
+    assert {r.host_rejected for r in host_rules.host_quality(docs).select("host_rejected").distinct().collect()} == {False}
+    hit = (F.col("source") == "src3") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 100 < 60)
+    for change in ("repeat('a b c d e ', 9)", "concat(text, repeat('\n# $ | % & *', 500))", "concat(text, '\n', repeat('same line\n', 5))"):
+        worse = docs.withColumn("text", F.when(hit, F.expr(change)).otherwise(F.col("text")))
+        out = host_rules.host_quality(worse)
+        assert {r.source for r in out.where("host_rejected").select("source").distinct().collect()} == {"src3"}
+        assert out.where("host_rejected and not base_failed and kept").count() == 0 and out.where("not host_rejected and not base_failed and not kept").count() == 0
+
+
+def test_shards(spark, docs, none, tmp_path):
+    def made(**options):
+        return [(r.doc_id, r.text, r["shard"], r.slot) for r in sharding.shuffle_into_shards(docs, n_shards=7, bucket_bytes=2000, **options).collect()]
+
+    out = made()
+    assert Counter(x[:2] for x in out) == Counter((r.doc_id, r.text) for r in docs.collect())
+    sizes = Counter(x[2] for x in out)
     assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
-    assert all(sorted(r.slot for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
-    again = sharding.shuffle_into_shards(docs, n_shards=7, bucket_bytes=2000).collect()
-    assert [(r.doc_id, r["shard"], r.slot) for r in again] == [(r.doc_id, r["shard"], r.slot) for r in out]
-    assert sharding.shuffle_into_shards(none).count() == 0
+    assert [x[2:] for x in out] == [(s, i) for s in range(7) for i in range(sizes[s])]  # partitions in order hold all shards in slot order
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert made() == out
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made(seed=18) != out
+    path = f"{tmp_path}/shards"
+    sharding.write_shards(sharding.shuffle_into_shards(docs, n_shards=7, bucket_bytes=2000), path)
+    for s, n in sizes.items():  # files in order of their names hold a shard in slot order
+        files = sorted(p for p in (tmp_path / "shards" / f"shard={s}").iterdir() if p.suffix == ".parquet")
+        assert [slot for p in files for slot in pq.read_table(p, partitioning=None)["slot"].to_pylist()] == list(range(n))
+    back = sharding.sharded_files(docs, n_shards=7, bucket_bytes=2000)
+    assert Counter((r.doc_id, r.text, r["shard"], r.slot) for r in back.collect()) == Counter(out) and sharding.sharded_files(none).count() == 0
+    with_map = docs.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert sharding.shuffle_into_shards(with_map, n_shards=7).count() == len(out)
 
 
 def test_token_files(docs, none):
@@ -289,3 +319,44 @@ def test_pipeline(spark, small):
     assert docs.agg(F.max("doc_id")).first()[0] <= before.agg(F.max("doc_id")).first()[0]
     packed = corpus_pipeline.packed(spark, docs, small)
     assert packed.where("offset + length > 2048").count() == 0 and packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_spans_against_brute_force(spark):
+    """Every occurrence but the first of every span goes, counted over all texts in plain Python."""
+    rng = random.Random(16)
+    shared = [" ".join(words(rng, n)).capitalize() + "." for n in (9, 9, 9, 30, 30, 60, 44)]
+    wide = "".join(rng.choice("的一是不了人我在有他这中大来上国") for _ in range(60)) + "。"
+    menu = "\n".join(f"item{i}" for i in range(60))
+    texts = []
+    for i in range(40):
+        parts = [" ".join(words(rng, rng.randrange(3, 14), 10**6)) + "." for _ in range(6)]
+        for passage in rng.sample([" ".join(shared[:3]), " ".join(shared[3:5]), shared[5], shared[6], wide, menu, "Tiny one.\n \nNext."], 3):
+            parts.insert(rng.randrange(len(parts)), passage if rng.random() < 0.6 else f"glued {i} {passage}")
+        texts.append("\n".join(parts))
+    texts += ["a\n" * 90, None, "", "a\n" * 90, texts[0], " \n "]
+    rows = [(i if i % 11 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, hits = {}, {}
+    order = sorted({(1 << 63 if k is None else k, t) for k, t in rows if t is not None}, key=lambda r: (r[0], r[1]))
+    for k, t in order:  # rows that share no id but null are told apart by a hash: only their number is compared
+        for h, i, n in substrings.spans(t):
+            if h in seen:
+                hits.setdefault((k, t), []).append(i * substrings.RUN + n)
+            seen.setdefault(h, (k, t))
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in substrings.remove_repeated_spans(df).collect())
+    want = Counter()
+    for k, t in rows:
+        x, _, n = substrings.without(t, hits.get((k, t), [])) if k is not None and t is not None else (t, 0, 0)
+        want[(k, x, n)] += 1
+    named = {x: n for x, n in got.items() if x[0] is not None}
+    assert named == {x: n for x, n in want.items() if x[0] is not None}
+    assert sum(got.values()) == len(rows)
+    out = " ".join(x[1] or "" for x in got.elements())
+    assert out.count(menu) == 1 and out.count(wide) == 1 and out.count(shared[6]) <= 2  # the first, and one that is glued to other words
+
+
+def test_sentences_cover_the_text():
+    for t in ("Tiny.\n \nOne more. And so on\n\n", "a. b! c?\nd", "", "x" * 5000, "word " * 900, "一二三。四五！六", " lead\n"):
+        places = substrings.sentences(t)
+        assert all(a < b for a, b, _ in places) and [p[0] for p in places] == sorted(p[0] for p in places)
+        assert "".join(t[a:b] for a, b, _ in places).split() == t.split() or not places or "".join("".join(t[a:b] for a, b, _ in places).split()) == "".join(t.split())
