@@ -77,11 +77,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset and all tasks run on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -95,7 +97,17 @@ def materialize(df: DataFrame, kind: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later jobs restart from there, not from the source."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -121,7 +133,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates two contractions until a forest of stars is left. The first ("large star") moves every larger neighbour of a node
     to the smallest node it knows, the second ("small star") does so with the smaller ones; both keep the components. Each round
-    is written to the shared folder. No links reach the driver, which only learns whether a star is still broken.
+    is written to the shared folder, in place of the one before. No links reach the driver, which only learns whether a star is still broken.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     live = materialize(pairs, "edges")
@@ -130,9 +142,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "edges")
+        discard(live)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         moved = large.join(low.where("n > 1").drop("n"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         live = materialize(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large)
         twice = live.groupBy("u").count().where("count > 1")
         chained = live.select(F.col("v").alias("u")).distinct().join(live.select("u"), "u", "left_semi")
         if twice.isEmpty() and chained.isEmpty():

@@ -76,8 +76,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
        once more on rare shingles, without regions (crowded_links).
     2. The forests' connected components hold every candidate link; each gets its full sets once. A component of
        at most `block` classes is compared exactly in one place. A larger one is cut into blocks that all meet a few pivots;
-       then every class outside its largest linked part meets all blocks, so that no link between parts is lost. Exact
-       links too leave as spanning forests.
+       then every class outside its largest linked part meets all others, two blocks at a time, so that no link between parts is lost
+       and no place holds more than two blocks. Exact links too leave as spanning forests.
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows equal in key and text
     count as one; a null key is never named: it takes its class's smallest key and isn't kept unless it stands alone. An
@@ -296,6 +296,8 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
 
 def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     """Sizes of the intersections of each of the first n_left sets with all sets: a product of presence rows."""
+    if not n_left:
+        return np.zeros((0, len(sets)), np.float32)
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     lengths = list(map(len, sets))
     owner = np.repeat(np.arange(len(sets)), lengths)
@@ -310,54 +312,46 @@ def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
 
 
 def exact_links(full: DataFrame, percent: int, block: int) -> DataFrame:
-    """Spanning forests (a, b) of the exact links inside each candidate group (component, n, node, set)."""
+    """Spanning forests (a, b) of the exact links inside each candidate group (component, n, node, set).
+
+    Groups of more than `block` classes are cut into blocks. First each block is compared in itself and with two pivots of its group,
+    which ties the blocks of near copies together. Then only classes outside a group's largest linked part (guests) are still to be
+    compared with the other blocks: every two blocks of which one has guests meet, so a place holds two blocks at most.
+    """
     full = full.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     full = materialize(full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "sets")
 
     def compare(_: int, rows: pd.DataFrame) -> pd.DataFrame | None:
-        guests = rows["guest"].to_numpy(bool)
+        asks = np.nonzero(rows["asks"].to_numpy(bool))[0]
         rep = rows["node"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in rows["set"]]
         length = np.array(list(map(len, sets)), float)
-        a, b = [], []
-
-        def link(left: np.ndarray, right: np.ndarray) -> None:
-            both = np.concatenate([left, right])
-            shared = shared_counts([sets[i] for i in both], len(left)).astype(float)
-            union = length[left][:, None] + length[both][None, :] - shared
-            i, j = np.nonzero(100 * shared >= percent * union)
-            ok = rep[left[i]] != rep[both[j]]
-            a.append(left[i][ok])
-            b.append(both[j][ok])
-
-        own = np.nonzero(~guests)[0]
-        seen = np.nonzero(guests)[0]
-        if not guests.any() or rows["inside"].any():
-            link(own, np.zeros(0, int))
-        for lo in range(0, len(seen), block):  # guests come in slices
-            link(seen[lo : lo + block], own)
-        ids, at = np.unique(rep, return_inverse=True)
-        root = local_roots(len(ids), at[np.concatenate(a)], at[np.concatenate(b)])
+        order = np.concatenate([asks, np.setdiff1d(np.arange(len(rep)), asks)])
+        shared = shared_counts([sets[i] for i in order], len(asks)).astype(float)
+        union = length[asks][:, None] + length[order][None, :] - shared
+        i, j = np.nonzero(100 * shared >= percent * union)
+        a, b = rep[asks[i]], rep[order[j]]
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(ids), at[: len(a)], at[len(a) :])
         moved = np.nonzero(root != np.arange(len(ids)))[0]
         return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]}) if len(moved) else None
 
-    key = F.xxhash64("component", "block").alias("key")
     large = full.where("blocks > 1")
     rank = F.xxhash64(F.lit(11), "node")
-    own = full.select(key, "node", "set", F.lit(False).alias("guest"), F.lit(True).alias("inside"))
-    pivots = large.groupBy("component", "blocks").agg(F.min(F.struct(rank, "node")).alias("x"), F.max(F.struct(rank, "node")).alias("y"))
-    pivots = pivots.select("blocks", "component", F.explode(F.array("x.node", "y.node")).alias("node")).join(full.select("node", "set"), "node")
-    visits = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    guests = visits(pivots).select(key, "node", "set", F.lit(True).alias("guest"), F.lit(True).alias("inside"))
-    links = materialize(by_key(own.unionAll(guests), "key", ["guest", "node"], compare, "a long, b long"), "links")
+    ends = large.groupBy("component", "blocks").agg(F.min(F.struct(rank, "node")).alias("x"), F.max(F.struct(rank, "node")).alias("y"))
+    pivots = ends.select("blocks", "component", F.explode(F.array("x.node", "y.node")).alias("node")).join(full.select("node", "set"), "node")
+    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    first = full.unionByName(pivots, allowMissingColumns=True).select(F.xxhash64("component", "block").alias("key"), "node", "set", F.lit(True).alias("asks"))
+    links = materialize(by_key(first, "key", ["node"], compare, "a long, b long"), "links")
     if large.isEmpty():
         return links
-    # what isn't in the largest linked part of its group meets every block of the group
     inside = materialize(components(links), "parts")
     parts = large.join(inside, large["node"] == inside["node"], "left").select(large["*"], F.coalesce(inside["component"], large["node"]).alias("part"))
     parts = materialize(parts, "parts")
     tops = parts.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("top"))
-    rest = parts.join(tops, "component").where("part <> top")
-    guests = visits(rest).select(key, "node", "set", F.lit(True).alias("guest"), F.lit(False).alias("inside"))
-    own = large.select(key, "node", "set", F.lit(False).alias("guest"), F.lit(False).alias("inside"))
-    return links.unionAll(materialize(by_key(own.unionAll(guests), "key", ["guest", "node"], compare, "a long, b long"), "links"))
+    asked = parts.join(tops, "component").withColumn("asks", F.col("part") != F.col("top"))
+    open_blocks = asked.where("asks").groupBy("component").agg(F.collect_set("block").alias("open"))
+    met = F.when(F.array_contains("open", F.col("block")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.col("open"))
+    pairs = asked.join(open_blocks, "component").withColumn("other", F.explode(met)).where("other <> block")
+    pairs = pairs.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "set", "asks")
+    return links.unionAll(materialize(by_key(pairs, "key", ["node"], compare, "a long, b long"), "links"))
