@@ -54,7 +54,7 @@ class Model:
 
 
 def fit_kernel_ridge(rows: np.ndarray, labels: list[str], landmarks: int = 192, ridge: float = 1e-2) -> Model:
-    """One-versus-rest kernel ridge regression in the Nyström space of landmarks dealt in turn from each class.
+    """One-versus-rest kernel ridge regression in the Nyström space of landmarks dealt in turn from each class, one of each at least.
 
     K(x, y) counts the n-grams in both texts, over the root of both texts' counts. With landmarks L and
     K(L, L) = U diag(s) U', texts map to K(x, L) U s^-1/2, where ridge regression to +1 and -1 is solved. As kernels are
@@ -63,7 +63,7 @@ def fit_kernel_ridge(rows: np.ndarray, labels: list[str], landmarks: int = 192,
     classes = sorted(set(labels))
     at = {c: [i for i, x in enumerate(labels) if x == c] for c in classes}
     turns = max(map(len, at.values()))
-    chosen = [at[c][k] for k in range(turns) for c in classes if k < len(at[c])][:landmarks]
+    chosen = [at[c][k] for k in range(turns) for c in classes if k < len(at[c])][: max(landmarks, len(classes))]
     L = rows[chosen].astype(np.float64)
     s, u = np.linalg.eigh(L @ L.T)
     whiten = u[:, s > 1e-8] / np.sqrt(s[s > 1e-8])
@@ -75,17 +75,21 @@ def fit_kernel_ridge(rows: np.ndarray, labels: list[str], landmarks: int = 192,
     return Model(classes, (L.T @ whiten @ W).astype(np.float32))
 
 
-def training_rows(df: DataFrame, key: str, text: str, lang: str, per_class: int, max_classes: int, seed: int) -> tuple[np.ndarray, list[str]]:
-    """Presence rows of about per_class labelled rows of each language, drawn by a hash of id and text; held-out rows are left out."""
+def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, per_class: int, max_classes: int, seed: int) -> tuple[np.ndarray, list[str]]:
+    """Presence rows of labelled rows drawn by a hash of id and text; held-out rows are left out, repeated rows count once.
+
+    The sample of about `sample` rows is dealt evenly to the languages, at most per_class and at least one to each. Of more than
+    max_classes languages the most frequent are learned.
+    """
     train = df.where(~is_held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("c"))
-    counts = train.groupBy("c").count().limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} languages")
-    if not counts:
+    counts = train.groupBy("c").count().orderBy(F.desc("count"), "c").limit(max_classes)
+    n_classes = counts.count()
+    if not n_classes:
         return np.zeros((0, 1 << BITS), np.float32), []
-    scale = 1 << 30
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["c"]), F.lit(min(scale, -(-scale * per_class // r["count"]))))])
-    drawn = train.where(F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale)) < F.element_at(rate, F.col("c")))
+    scale, each = 1 << 30, max(1, min(per_class, sample // n_classes))
+    limits = counts.select("c", F.least(F.lit(scale), F.ceil(F.lit(float(scale) * each) / F.col("count"))).alias("limit"))
+    drawn = train.join(F.broadcast(limits), "c").where(F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale)) < F.col("limit"))  # max_classes rows at most
+    drawn = drawn.select("k", "t", "c").dropDuplicates()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
@@ -107,15 +111,15 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_class: int,
     return rows, [r["c"] for r in got]
 
 
-def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 500, max_classes: int = 400, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
+def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, per_class: int = 500, max_classes: int = 2000, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
     """Adds lang_pred and score (0 to 1: the softmax of the class scores) to df; the text stays.
 
-    Learns from `labelled` (default: df itself): text and non-null lang of rows whose id isn't held out, at most about
-    per_class of each language. Every whole text of df is scored in batches by one matrix product each. A null text or one
+    Learns from `labelled` (default: df itself): text and non-null lang of about `sample` rows whose id isn't held out, dealt evenly
+    to the languages (training_rows). Every whole text of df is scored in batches by one matrix product each. A null text or one
     without a letter is `und` with score 0, as is every text if nothing can be learned. Columns of df with these
     names are replaced; repeated rows get equal answers; an empty table gives no rows.
     """
-    rows, names = training_rows(df if labelled is None else labelled, key, text, lang, per_class, max_classes, seed)
+    rows, names = training_rows(df if labelled is None else labelled, key, text, lang, sample, per_class, max_classes, seed)
     model = fit_kernel_ridge(rows, names, landmarks) if names else None
     del rows
     shared = df.sparkSession.sparkContext.broadcast(model)  # classes x 2^14 numbers, bounded by max_classes
