@@ -20,7 +20,7 @@ _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[a-zß-öø-ÿ]+|[0-9]+|[^\W\d_]+")
 
 def shape_of(word: str) -> str:
     """A word with its runs of capitals, small letters, digits and other letters each cut to one sign: Thre*** is Aa***."""
-    return _RUNS.sub(lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "0" if m[0].isdigit() else "x", word)[:12]
+    return _RUNS.sub(lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "0" if m[0].isdigit() else "x", word)
 
 
 class _Words(dict):
@@ -110,7 +110,7 @@ def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, smo
 def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 3000, seed: int = 3) -> Model:
     """Fits on about per_class labelled rows of each class, drawn by a hash of their id; held-out ids are left out.
 
-    Labels that are null or of null ids don't count; of an id's several labels the lowest counts.
+    Labels that are null or of null ids don't count; of an id's several labels the lowest counts, of its several texts the first in code point order (null is empty).
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~is_held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.where("y in (0, 1)").groupBy("y").count().collect()}
@@ -124,7 +124,8 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for rows in batches:
             yield pd.DataFrame({"k": rows["k"], "y": rows["y"], "found": [indicators(t).astype("<u4").tobytes() for t in rows["t"]]})
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k")  # about 2 * per_class rows
+    texts = df.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(drawn), "k")  # about 2 * per_class rows
+    rows = texts.groupBy("k", "y").agg(F.min("t").alias("t"))
     got = sorted(rows.mapInPandas(features, "k long, y int, found binary").collect())
     return fit_nbsvm([np.frombuffer(r["found"], "<u4") for r in got], np.array([r["y"] for r in got]), seed=seed)
 
