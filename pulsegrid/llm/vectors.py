@@ -16,6 +16,12 @@ from .links import local_roots
 CELL = "cell string, member boolean, rep long, copies long, home int, list int, vec array<double>, code binary, err double"
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; divided by their greatest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
@@ -30,8 +36,8 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return squares(x, centres).argmin(axis=1)
+def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 1024) -> np.ndarray:
+    return np.concatenate([squares(x[lo : lo + rows], centres).argmin(axis=1) for lo in range(0, max(1, len(x)), rows)])
 
 
 @dataclass
@@ -83,11 +89,11 @@ def fit_index(sample: np.ndarray, lists: int, subspaces: int = 8, codes: int = 6
     return Index(centres, [k_means(rest[:, a:b], codes, 8, rng) for a, b in zip(cuts, cuts[1:])], cuts)
 
 
-def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, sample_rows: int = 16_000, list_rows: int = 384, max_lists: int = 1024, cell: int = 512, queries: int = 2048, seed: int = 8) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, sample_rows: int = 16_000, list_rows: int = 384, max_lists: int = 4096, max_lengths: int = 8, cell: int = 512, queries: int = 2048, seed: int = 8) -> DataFrame:
     """Columns of df without the vector, and n_links, component_id, kept: links of cosine >= threshold between rows of equal label.
 
-    Equal vectors of a label are one class and aren't compared. Class vectors are coded by an index that is fitted to a
-    sample of at most about sample_rows of them: coarse inverted lists, and codes of the residual in subspaces. Each
+    Equal vectors of a label are one class and aren't compared. Class vectors are coded by an index of their length, fitted to a
+    sample of them (about sample_rows over all lengths; the max_lengths most frequent lengths of which a label has more than list_rows have one, others are one list): coarse inverted lists, and codes of the residual in subspaces. Each
     class probes every list that can hold a link (Index.probes), so no link is lost; in a list, distances come from
     table lookups on the codes, pairs beyond the reach and the code's own error are dropped, the rest get their exact
     cosine in double precision. Lists are cut into cells of `cell` members by `queries` probes, so a hot list spreads over tasks, and a
@@ -105,36 +111,34 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
     h1, h2 = (F.when(usable, F.xxhash64(F.lit(s), F.col(label), F.col(vec))) for s in (1, 2))
     rows = df.select(*kept, h1.alias("_h1"), h2.alias("_h2"))
     classes = materialize(df.where(usable).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec"), h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.min("k").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")), "vectors")
-    sizes = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
-    top = sizes.agg(F.max("n"), F.max_by("dim", "n"), F.sum("n")).first()
-    most, dim, n_all = (top[0] or 0), (top[1] or 0), (top[2] or 0)
-    index = None
-    if n_all:
-        share = min(1.0, sample_rows / n_all)
-        drawn = classes.where((F.size("vec") == dim) & (F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("rep", "vec").collect()
-        sample = np.array([r["vec"] for r in sorted(drawn)], float).reshape(-1, dim)
+    sizes = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    lengths = sizes.where(F.col("most") > list_rows).orderBy(F.desc("n"), "dim").limit(max_lengths).collect()
+    indexes: dict[int, Index] = {}
+    for r in lengths:  # shorter tables are one list
+        share = min(1.0, sample_rows / len(lengths) / r["n"])
+        drawn = classes.where((F.size("vec") == r["dim"]) & (F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("rep", "vec").collect()
+        sample = np.array([x["vec"] for x in sorted(drawn)], float).reshape(-1, r["dim"])
         if len(sample):
-            sample /= np.sqrt((sample**2).sum(1, keepdims=True))
-            index = fit_index(sample, max(1, min(max_lists, math.ceil(most / list_rows))), seed=seed)
-    shared = spark.sparkContext.broadcast(index)  # max_lists x dim numbers at most
+            indexes[r["dim"]] = fit_index(unit(sample), min(max_lists, math.ceil(r["most"] / list_rows), max(1, len(sample) // 4)), seed=seed)
+    shared = spark.sparkContext.broadcast(indexes)  # max_lists x dim numbers for each of max_lengths lengths at most
     reach = math.sqrt(2 - 2 * threshold)
 
     def assign(batches):
-        ix: Index | None = shared.value
         for rows in batches:
-            out = rows.assign(home=0, probes=[[0]] * len(rows), code=b"", err=float("inf"))
-            fits = np.nonzero((rows["vec"].map(len) == dim).to_numpy())[0] if ix is not None else []
-            if len(fits):
-                x = np.stack(rows["vec"].iloc[fits].to_numpy())
-                x = x / np.sqrt((x**2).sum(1, keepdims=True))
-                home, codes, err = ix.encode(x)
-                column = {c: out[c].to_numpy(object) for c in ("home", "probes", "code", "err")}
-                for i, at in enumerate(fits):
-                    column["home"][at], column["code"][at], column["err"][at] = int(home[i]), codes[i].tobytes(), float(err[i])
-                for at, p in zip(fits, ix.probes(x, home, reach)):
-                    column["probes"][at] = p
-                out = out.assign(home=column["home"].astype("int32"), probes=column["probes"], code=column["code"], err=column["err"].astype(float))
-            yield out[["rep", "copies", "part", "vec", "home", "probes", "code", "err"]]
+            n = rows["vec"].map(len).to_numpy()
+            home, err = np.zeros(len(rows), "int32"), np.full(len(rows), np.inf)
+            code, probes = np.full(len(rows), b"", object), np.full(len(rows), None, object)
+            for at in range(len(rows)):
+                probes[at] = [0]
+            for dim, ix in shared.value.items():
+                fits = np.nonzero(n == dim)[0]
+                if len(fits):
+                    x = unit(np.stack(rows["vec"].iloc[fits].to_numpy()))
+                    home[fits], codes, err[fits] = ix.encode(x)
+                    code[fits] = [c.tobytes() for c in codes]
+                    for at, p in zip(fits, ix.probes(x, home[fits], reach)):
+                        probes[at] = p
+            yield rows.assign(home=home, probes=probes, code=code, err=err)[["rep", "copies", "part", "vec", "home", "probes", "code", "err"]]
 
     part = F.concat_ws(":", F.col("label"), F.size("vec").cast("string"))
     coded = materialize(classes.select("rep", "copies", part.alias("part"), "vec").mapInPandas(assign, "rep long, copies long, part string, vec array<double>, home int, probes array<int>, code binary, err double"), "codes")
@@ -152,13 +156,12 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
         m, q = rows[rows["member"]], rows[~rows["member"]]
         if not len(m) or not len(q):
             return None
-        x, y = np.stack(m["vec"].to_numpy()), np.stack(q["vec"].to_numpy())
-        x, y = x / np.sqrt((x**2).sum(1, keepdims=True)), y / np.sqrt((y**2).sum(1, keepdims=True))
+        x, y = unit(np.stack(m["vec"].to_numpy())), unit(np.stack(q["vec"].to_numpy()))
         xr, yr = m["rep"].to_numpy(), q["rep"].to_numpy()
         err = m["err"].to_numpy()
         if np.isfinite(err).all():
             codes = np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1)
-            near = shared.value.lookup(y, int(m["list"].iat[0]), codes) <= (reach + err[None, :] + 1e-4) ** 2
+            near = shared.value[x.shape[1]].lookup(y, int(m["list"].iat[0]), codes) <= (reach + err[None, :] + 1e-4) ** 2
         else:
             near = np.ones((len(y), len(x)), bool)
         near &= (q["home"].to_numpy() > m["home"].iat[0])[:, None] | (xr[None, :] < yr[:, None])

@@ -360,3 +360,38 @@ def test_sentences_cover_the_text():
         places = substrings.sentences(t)
         assert all(a < b for a, b, _ in places) and [p[0] for p in places] == sorted(p[0] for p in places)
         assert "".join(t[a:b] for a, b, _ in places).split() == t.split() or not places or "".join("".join(t[a:b] for a, b, _ in places).split()) == "".join(t.split())
+
+
+def test_vectors_of_extreme_size_and_several_lengths(spark):
+    rng = np.random.default_rng(18)
+    near = [[1e-200, 2e-200], [2e-200, 4.1e-200], [1.0, 2.0], [1e200, 2e200]]
+    rows = [(i, v, 0) for i, v in enumerate(near)]
+    centre = {8: rng.normal(size=(9, 8)), 12: rng.normal(size=(9, 12))}
+    rows += [(10 + i, (centre[d][i % 9] + 0.2 * rng.normal(size=d)).tolist(), i % 2) for i in range(160) for d in [8 if i % 3 else 12]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicate_vectors(df, list_rows=10, cell=16).collect()}
+    unit = {i: vectors.unit(np.array([v]))[0] for i, v, _ in rows}
+    label = {i: x for i, _, x in rows}
+    pairs = [(a, b) for a in unit for b in unit if a != b and label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    n, root = Counter(a for a, _ in pairs), joined(pairs, unit)
+    assert got == {k: (n[k], root[k], root[k] == k) for k in unit} and [got[i][0] for i in range(4)] == [3] * 4
+
+
+def test_many_languages(spark):
+    """More languages than the sample has rows to spare: each is still learned; a repeated row counts once."""
+    rng = random.Random(19)
+    names = [f"l{i:03d}" for i in range(500)]
+    rows = [(i * 3 + k, f"{name * 2} " * 3 + "".join(rng.choice("aeiou") for _ in range(4)), name) for i, name in enumerate(names) for k in range(3)]
+    rows += [(1, rows[1][1], rows[1][2])] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample, labels = langid.training_rows(df, "doc_id", "text", "lang", 1000, 500, 2000, 10)
+    assert len(sample) == len(labels) <= 1500 and len(set(labels)) > 400
+    out = langid.identify(df, sample=400)
+    assert out.count() == len(rows) and out.where("score < 0 or score > 1").count() == 0
+
+
+def test_one_repeated_row_is_sampled_once(spark):
+    df = spark.createDataFrame([(1, "good words here")] * 400 + [(2, "b*** w***")] * 3 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality.learn(df, labels)
+    assert model.score(quality.indicators("good words here")) > model.score(quality.indicators("b*** w***"))
