@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ def epoch(ts: Column) -> Column:
     return F.floor(ts.cast("timestamp").cast("double")).cast("long")
 
 
+def between(ts: str, start: int, stop: int) -> Column:
+    """start <= whole seconds of ts <= stop, as a test on the column itself, which reaches the scan."""
+    lo = datetime(1970, 1, 1) + timedelta(seconds=start)
+    return (F.col(ts) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(ts) < F.lit(lo + timedelta(seconds=stop - start + 1)).cast("timestamp_ntz"))
+
+
+def since(ts: str, start: int) -> Column:
+    """start <= ts, as a test that reaches the scan."""
+    return F.col(ts) >= F.lit(datetime(1970, 1, 1) + timedelta(seconds=start)).cast("timestamp_ntz")
+
+
 def bucket(ts: Column, seconds: int) -> Column:
     """Start of the time bucket, in seconds since 1970."""
     return (F.floor(epoch(ts) / seconds) * seconds).cast("long")

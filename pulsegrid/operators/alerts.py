@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, rank
+from ..functions.folds import scan
 
 #: Rules as id, object, metric, enter, exit, cycles, severity, important ports only.
 RULES = [
@@ -57,39 +55,68 @@ def clearing_keys(events: DataFrame) -> DataFrame:
 
 
 class Alert:
-    """One condition's alerts: an open one takes repeats; one resolved less than `again` seconds ago re-opens; else a new one begins."""
-
-    def __init__(self, again: float = 1800) -> None:
-        self.again, self.rows = again, []
-
-    def raise_(self, t: float, severity: int) -> None:
-        last = self.rows[-1] if self.rows else None
-        if last and last["resolved"] is None:
-            last.update(occurrences=last["occurrences"] + 1, updated=t, severity=max(last["severity"], severity))
-        elif last and t - last["resolved"] < self.again:
-            last.update(occurrences=last["occurrences"] + 1, updated=t, resolved=None, reopened=last["reopened"] + 1)
-        else:
-            self.rows.append({"opened": t, "updated": t, "resolved": None, "occurrences": 1, "severity": severity, "reopened": 0})
+    """One condition's alerts: an open one takes repeats; one resolved less than `again` seconds ago re-opens; else a new one begins.
 
-    def resolve(self, t: float) -> None:
-        if self.rows and self.rows[-1]["resolved"] is None:
-            self.rows[-1].update(resolved=t, updated=t)
+    A repeat raises the severity, or, if it names another root cause, is folded under that and takes its severity. Evidence
+    (source and time of day) is kept for the first MOST_EVIDENCE steps; a re-opening is always noted, and isn't announced yet.
+    """
 
+    MOST_EVIDENCE = 20
 
-UPSERTED = "dedup_key string, n int, opened double, updated double, resolved double, occurrences int, severity int, reopened int"
+    def __init__(self, again: float = 1800) -> None:
+        self.again, self.n, self.evidence = again, 0, []
+        self.opened = self.updated = self.resolved = self.root = None
+        self.occurrences = self.severity = self.reopened = 0
+        self.notified = False
+
+    def step(self, t: float, action: str, severity: int, source: str, root: str | None) -> tuple:
+        """The current alert after an action: raise, resolve or notified (announced)."""
+        mark = f"{source} {int(t) // 3600 % 24:02d}:{int(t) // 60 % 60:02d}:{int(t) % 60:02d}"
+        if action == "raise":
+            if self.n and self.resolved is None:
+                self._repeat(severity, root)
+                self._note(mark)
+            elif self.n and t - self.resolved < self.again:
+                self.resolved, self.notified = None, False
+                self.reopened += 1
+                self.occurrences += 1
+                self.evidence.append(mark + " (re-opened)")
+            else:
+                self.n += 1
+                self.opened, self.resolved, self.root, self.notified = t, None, root, False
+                self.occurrences, self.severity, self.reopened, self.evidence = 1, severity, 0, [mark]
+            self.updated = t
+        elif action == "resolve" and self.n and self.resolved is None:
+            self.resolved = self.updated = t
+            self._note("resolved: " + mark)
+        elif action == "notified" and self.n:
+            self.notified = True
+        return self.n, self.opened, self.updated, self.resolved, self.occurrences, self.severity, self.reopened, self.root, self.notified, ", ".join(self.evidence)
+
+    def _repeat(self, severity: int, root: str | None) -> None:
+        self.occurrences += 1
+        self.severity = max(self.severity, severity)
+        if root is not None and root != self.root:
+            self.root, self.severity = root, severity
+
+    def _note(self, mark: str) -> None:
+        if len(self.evidence) < self.MOST_EVIDENCE:
+            self.evidence.append(mark)
+
+
+UPSERTED = "_k int, opened double, updated double, resolved double, occurrences int, severity int, reopened int, root_cause string, notified boolean, evidence string"
 
 
 def upsert_alerts(actions: DataFrame, again: float = 1800) -> DataFrame:
-    """Alerts of each dedup key after its actions (dedup_key, t seconds, n for ties, action raise / resolve, severity rank), folded in order."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, alert = pd.concat(batches, ignore_index=True).sort_values(["t", "n"], kind="stable"), Alert(again)
-        for t, action, severity in zip(rows["t"], rows["action"], rows["severity"]):
-            alert.raise_(t, int(severity)) if action == "raise" else alert.resolve(t)
-        made = pd.DataFrame(alert.rows, columns=["opened", "updated", "resolved", "occurrences", "severity", "reopened"])
-        yield made.astype({"resolved": "float"}).assign(dedup_key=key[0], n=range(1, len(made) + 1))[["dedup_key", "n", "opened", "updated", "resolved", "occurrences", "severity", "reopened"]]
+    """Alerts of each dedup key (n: its number) after its actions: dedup_key, t seconds, n for ties, action, severity rank, source, root_cause.
 
-    return actions.groupBy("dedup_key").applyInPandas(fold, UPSERTED)
+    The fold gives the alert's state at each action; the last one of each alert counts.
+    """
+    rows = actions.select("dedup_key", F.col("t").cast("double").alias("t"), F.col("n").alias("_n"), "action", F.col("severity").alias("_severity"), "source", F.col("root_cause").alias("_root"))
+    states = scan(rows, ["dedup_key"], ["t", "_n"], ["t", "action", "_severity", "source", "_root"], lambda: Alert(again).step, UPSERTED).where("_k > 0")
+    value = [f.split()[0] for f in UPSERTED.split(", ")[1:]]
+    last = states.groupBy("dedup_key", F.col("_k").alias("n")).agg(F.max_by(F.struct(*value), F.struct("t", "_n")).alias("x"))
+    return last.select("dedup_key", "n", "x.*")
 
 
 def severity_by_role(df: DataFrame) -> DataFrame:
@@ -104,10 +131,15 @@ def fold_children(alerts: DataFrame) -> DataFrame:
     return alerts.where("root_cause is null").join(children, "id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
 
 
-def auto_resolved(alerts: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """Open alerts of event rules with a time limit (cycles, in minutes) that has passed."""
-    limits = F.broadcast(rules.where("object = 'event' and cycles > 0").select(F.col("id").alias("rule"), "cycles"))
-    return alerts.where("state <> 'resolved'").join(limits, "rule").where(epoch(F.col("opened_at")) + F.col("cycles") * 60 <= now)
+def auto_resolved(alerts: DataFrame, rules: DataFrame, devices: DataFrame, now: int) -> DataFrame:
+    """Open alerts that end by themselves, with the reason: `timed`, not updated for longer than their event rule's limit (cycles, in
+    minutes); `root`, folded under an alert that is resolved or gone while their own device is up."""
+    limits = F.broadcast(rules.where("object = 'event' and cycles > 0").select(F.col("id").alias("rule"), "cycles"))  # the rule table is a product's own
+    live = alerts.where("state <> 'resolved'")
+    timed = live.join(limits, "rule").where(F.lit(now) - epoch(F.col("updated_at")) > F.col("cycles") * 60).select("id", "rule", F.lit("timed").alias("reason"))
+    held = alerts.where("state <> 'resolved'").select(F.col("id").alias("root_cause"))
+    freed = live.where("root_cause is not null").join(held, "root_cause", "left_anti").join(devices.where("status = 'up'").select("device_id"), "device_id", "left_semi")
+    return timed.unionByName(freed.join(timed.select("id"), "id", "left_anti").select("id", "rule", F.lit("root").alias("reason")))
 
 
 def archive_split(alerts: DataFrame, now: int, age: int = 86400) -> tuple[DataFrame, DataFrame]:
@@ -148,14 +180,33 @@ def acted_on(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     return alerts.join(last, "id", "left").withColumn("state", made).drop("action")
 
 
-def to_notify(alerts: DataFrame, minute: int, least: str = "minor", resolved_too: bool = True, quiet: tuple[int, int] | None = None, critical_always: bool = True) -> DataFrame:
-    """Alerts of a batch that go out at a minute of the day: severe enough (resolved ones only if announced before), outside quiet hours."""
+def to_notify(alerts: DataFrame, now: int, least: str = "minor", resolved_too: bool = True, quiet: tuple[int, int] | None = None, critical_always: bool = True, group: int = 60) -> DataFrame:
+    """Alerts of a batch that go out at a time (seconds): severe enough (resolved ones only if announced before), outside quiet hours (minutes of the day).
+
+    Nothing goes out until the batch's oldest update is `group` seconds old, unless a critical alert waits in it that isn't resolved.
+    """
     levels = {"critical": 4, "major": 3, "minor": 2, "info": 1}
     ended = F.col("state") == "resolved"
+    waiting = alerts.agg(F.min(epoch(F.col("updated_at"))).alias("oldest"), F.coalesce(F.max((F.col("severity") == "critical") & ~ended), F.lit(False)).alias("urgent"))
+    ready = waiting.where(F.col("urgent") | (F.lit(now) - F.col("oldest") >= group)).select(F.lit(True).alias("_ready"))
     ok = F.when(ended, F.lit(resolved_too) & F.col("notified")).otherwise(rank(F.col("severity")) >= levels[least])
+    minute = now // 60 % 1440
     inside = quiet is not None and (quiet[0] <= minute < quiet[1] if quiet[0] <= quiet[1] else minute >= quiet[0] or minute < quiet[1])
     rows = alerts.where(ok)
-    return rows.where((F.col("severity") == "critical") & F.lit(critical_always)) if inside else rows
+    rows = rows.where((F.col("severity") == "critical") & F.lit(critical_always)) if inside else rows
+    return rows.withColumn("_ready", F.lit(True)).join(F.broadcast(ready), "_ready", "left_semi").drop("_ready")  # one row or none
+
+
+def named_peers(interfaces: DataFrame, links: DataFrame, devices: DataFrame) -> DataFrame:
+    """peer of each interface (device_id, name): device and port at the other end of a link that isn't stale, the smallest of several;
+    an external end by its name. Port names match without case; null without a link."""
+    names = devices.select(F.col("device_id").alias("_far"), F.col("name").alias("_name"))
+    live = links.where("not stale")
+    end = lambda near, far, label: live.select(F.col(f"{near}_device").alias("device_id"), F.lower(f"{near}_if").alias("_if"), F.col(f"{far}_device").alias("_far"), F.col(f"{far}_if").alias("_far_if"), label.alias("_label"))
+    ends = end("a", "b", F.when(F.col("external"), F.col("external_name"))).unionByName(end("b", "a", F.lit(None).cast("string")))
+    peer = F.concat_ws(" ", F.coalesce("_label", "_name"), "_far_if")
+    known = ends.join(names, "_far", "left").where("_label is not null or _name is not null").groupBy("device_id", "_if").agg(F.min(peer).alias("peer"))
+    return interfaces.withColumn("_if", F.lower("name")).join(known, ["device_id", "_if"], "left").drop("_if")
 
 
 def link_status(links: DataFrame, interfaces: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch
+from ..functions.columns import between, epoch
+from ..functions.folds import Gap, scan
 
 #: The wire formats of log lines.
 PRI = r"^<(\d{1,3})>"
@@ -136,47 +134,37 @@ def classify_traps(df: DataFrame, interfaces: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).drop("_port")
 
 
-def suppress_storms(df: DataFrame, keys: list[str], gap: float = 2.0) -> DataFrame:
+def suppress_storms(df: DataFrame, keys: list[str], order: list[str], gap: float = 2.0) -> DataFrame:
     """Rows (t in seconds) of each key at least `gap` seconds after the last one let through, folded in time order."""
+    return scan(df, keys, ["t", *order], ["t"], lambda: Gap(gap).step, "_keep boolean").where("_keep").drop("_keep")
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches, ignore_index=True).sort_values("t", kind="stable")
-        keep, last = [], None
-        for t in rows["t"]:
-            ok = last is None or t - last >= gap
-            keep.append(ok)
-            last = t if ok else last
-        yield rows[keep]
-
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
 
+class Bucket:
+    """Tokens come back at a rate, up to `most`; a flood lasts until the bucket is full again."""
 
-def limit_rate(df: DataFrame, key: str, rate: float, burst: float | None = None) -> DataFrame:
-    """A token bucket for each source: `passed`, and `flood` on the first refused line of an episode (the bucket refills to the full before the next)."""
-    most = burst or 2 * rate
+    def __init__(self, rate: float, most: float) -> None:
+        self.rate, self.most, self.tokens, self.last, self.flooding = rate, most, most, None, False
 
-    def fold(_: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches, ignore_index=True).sort_values(["t", "n"], kind="stable")
-        tokens, last, flooding, passed, flood = most, None, False, [], []
-        for t in rows["t"]:
-            tokens = most if last is None else min(most, tokens + (t - last) * rate)
-            last = t
-            flooding = flooding and tokens < most
-            ok = tokens >= 1
-            tokens -= ok
-            flood.append(not ok and not flooding)
-            flooding = flooding or not ok
-            passed.append(ok)
-        yield rows.assign(passed=passed, flood=flood)
+    def step(self, t: float) -> tuple[bool, bool]:
+        if self.last is not None:
+            self.tokens = min(self.most, self.tokens + (t - self.last) * self.rate)
+        self.last = t
+        self.flooding = self.flooding and self.tokens < self.most
+        ok = self.tokens >= 1
+        self.tokens -= ok
+        begins = not ok and not self.flooding
+        self.flooding = self.flooding or not ok
+        return ok, begins
 
-    from pyspark.sql.types import StructType
 
-    return df.groupBy(key).applyInPandas(fold, StructType(list(df.schema.fields)).add("passed", "boolean").add("flood", "boolean"))
+def limit_rate(df: DataFrame, key: str, rate: float, burst: float | None = None) -> DataFrame:
+    """A token bucket for each source (t in seconds, n for ties): `passed`, and `flood` on the first refused line of an episode (the bucket refills to the full before the next)."""
+    return scan(df, [key], ["t", "n"], ["t"], lambda: Bucket(rate, burst or 2 * rate).step, "passed boolean, flood boolean")
 
 
 def search(df: DataFrame, start: int, stop: int, device: int | None = None, severity: int | None = None, source: str | None = None, text: str | None = None, limit: int = 500) -> DataFrame:
     """Newest matching lines; time and severity filters reach the scan."""
-    rows = df.where((epoch(F.col("recv")) >= start) & (epoch(F.col("recv")) <= stop))
+    rows = df.where(between("recv", start, stop))
     for value, test in ((device, F.col("device_id") == device), (severity, F.col("severity") <= severity), (source, F.col("source") == source)):
         rows = rows if value is None else rows.where(test)
     if text:
@@ -186,16 +174,12 @@ def search(df: DataFrame, start: int, stop: int, device: int | None = None, seve
 
 def histogram(df: DataFrame, start: int, stop: int, buckets: int = 48, newest: int = 100_000) -> DataFrame:
     """Counts of the newest matches in equal buckets of the span, empty buckets too."""
-    rows = search_all(df, start, stop).orderBy(F.desc("recv"), F.desc("log_id")).limit(newest)
+    rows = df.where(between("recv", start, stop)).orderBy(F.desc("recv"), F.desc("log_id")).limit(newest)
     at = F.floor((F.col("recv").cast("timestamp").cast("double") - start) / (stop - start) * buckets)
     counts = rows.groupBy(F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("long").alias("bucket")).agg(F.count("*").alias("lines"))
     return df.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
-def search_all(df: DataFrame, start: int, stop: int) -> DataFrame:
-    return df.where((epoch(F.col("recv")) >= start) & (epoch(F.col("recv")) <= stop))
-
-
 def recent_events(df: DataFrame, per_device: int = 20) -> DataFrame:
     """The newest events of each device."""
     w = Window.partitionBy("device_id").orderBy(F.desc("recv"), F.desc("log_id"))

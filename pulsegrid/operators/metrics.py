@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, epoch
+from ..functions.folds import Gap, scan
 
 
-def accept_samples(df: DataFrame, series: list[str], chunk: int = 50_000) -> DataFrame:
+def accept_samples(df: DataFrame, series: list[str], chunk: int = 50_000, fan: int = 1000) -> DataFrame:
     """Rows (series, t seconds, arrival, v) that an append-only store keeps.
 
     NaN and infinite values go; so does a row older than the hour of the newest earlier arrival of any series, and one older
     than its series' newest; of equal times the last arrival stays. The running maximum over all arrivals is
-    taken in two levels: inside chunks of arrivals, and over the chunks' maxima.
+    taken in three levels: inside chunks of arrivals, over the chunks of a block of `fan`, and over the blocks. Chunks and
+    blocks join as equals; Spark broadcasts their maxima while these are small.
     """
-    rows = df.where(~F.isnan("v") & (F.abs("v") != float("inf"))).withColumn("_chunk", F.floor(F.col("arrival") / chunk))
+    rows = df.where(~F.isnan("v") & (F.abs("v") != float("inf"))).withColumn("_chunk", F.floor(F.col("arrival") / chunk)).withColumn("_block", F.floor(F.col("_chunk") / fan))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("_chunk").agg(F.max("t").alias("_top")).withColumn("_earlier", F.max("_top").over(before(Window.orderBy("_chunk")))).drop("_top")
-    rows = rows.join(F.broadcast(tops), "_chunk", "left")
+    tops = rows.groupBy("_block", "_chunk").agg(F.max("t").alias("_top"))
+    blocks = tops.groupBy("_block").agg(F.max("_top").alias("_b")).withColumn("_before", F.max("_b").over(before(Window.orderBy("_block")))).drop("_b")
+    tops = tops.withColumn("_inside", F.max("_top").over(before(Window.partitionBy("_block").orderBy("_chunk")))).join(blocks, "_block").select("_chunk", F.greatest("_inside", "_before").alias("_earlier"))
+    rows = rows.drop("_block").join(tops, "_chunk")
     newest = F.greatest(F.col("_earlier"), F.max("t").over(before(Window.partitionBy("_chunk").orderBy("arrival"))))
     rows = rows.withColumn("_head", F.floor(newest / 3600) * 3600).where(F.col("_head").isNull() | (F.col("t") >= F.col("_head")))
     own = F.max("t").over(before(Window.partitionBy(*series).orderBy("arrival")))
@@ -72,23 +73,24 @@ def utilisation(bps: Column, speed_mbps: Column) -> Column:
     return F.when(speed_mbps > 0, bps / (speed_mbps * 1_000_000) * 100).otherwise(0.0)
 
 
-def thin_history(df: DataFrame, keys: list[str], gap: int = 300) -> DataFrame:
+def thin_history(df: DataFrame, keys: list[str], order: list[str], gap: int = 300) -> DataFrame:
     """Important ports keep every row, others one at least `gap` seconds after the last one kept.
 
-    The choice depends on the last kept row, so each port's rows are folded in time order, in Arrow batches.
+    The choice depends on the last kept row, so each port's rows (t in seconds, important) are folded in order.
     """
-    schema = df.schema
+    rows = scan(df, keys, ["t", *order], ["t", "important"], lambda: Gap(gap).step, "_keep boolean")
+    return rows.where("_keep").drop("_keep")
+
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches, ignore_index=True).sort_values("t", kind="stable")
-        keep, last = [], None
-        for t, important in zip(rows["t"], rows["important"]):
-            ok = bool(important) or last is None or t - last >= gap
-            keep.append(ok)
-            last = t if ok else last
-        yield rows[keep]
+def kept_series(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Series of thinned interface rows (important, and rates in_bps, out_bps, in_err, out_err, in_drop, out_drop, in_pps, out_pps): keys, t, series, v.
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    Bit rates are always kept; errors and drops, both directions, only where one of the two is above zero; packet rates only of important ports.
+    """
+    pair = lambda name, when: [F.when(when, F.struct(F.lit(f"if_{d}_{name}").alias("series"), F.col(f"{d}_{name}").cast("double").alias("v"))) for d in ("in", "out")]
+    some = lambda name: (F.col(f"in_{name}") > 0) | (F.col(f"out_{name}") > 0)
+    made = F.array(*pair("bps", F.lit(True)), *pair("err", some("err")), *pair("drop", some("drop")), *pair("pps", F.col("important")))
+    return df.select(*keys, "t", F.inline(F.array_compact(made)))
 
 
 def reboots(df: DataFrame) -> DataFrame:
@@ -118,12 +120,15 @@ def load_percent(df: DataFrame) -> DataFrame:
     return df.groupBy("device_id").agg(F.round(cpu, 6).alias("cpu_pct"), F.round(mem, 6).alias("mem_pct"))
 
 
-def echo_statistics(df: DataFrame, sent: int) -> DataFrame:
-    """Loss, min, avg, max and jitter (mean step between successive replies) of an array `rtts` in order."""
-    n = F.size("rtts")
-    steps = F.zip_with(F.slice("rtts", 2, F.greatest(n, F.lit(1))), F.slice("rtts", 1, F.greatest(n - 1, F.lit(1))), lambda a, b: F.abs(a - b))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    return df.withColumns({"loss_pct": F.round((F.lit(sent) - n) / sent * 100.0, 6), "min_ms": F.array_min("rtts"), "max_ms": F.array_max("rtts"), "avg_ms": F.when(n > 0, F.round(total(F.col("rtts")) / n, 6)), "jitter_ms": F.when(n > 1, F.round(total(steps) / (n - 1), 6)).otherwise(0.0)}).drop("rtts")
+def echo_statistics(df: DataFrame, run: list[str], order: list[str]) -> DataFrame:
+    """Loss, min, avg, max and jitter (mean step between successive replies) of each echo run, from one row for each request (reachable, rtt_ms)."""
+    w = Window.partitionBy(*run).orderBy(*order)
+    replies = df.where("reachable").withColumn("_step", F.abs(F.col("rtt_ms") - F.lag("rtt_ms").over(w)))
+    sent = df.groupBy(*run).agg(F.count("*").alias("sent"))
+    got = replies.groupBy(*run).agg(F.count("*").alias("got"), F.min("rtt_ms").alias("min_ms"), F.max("rtt_ms").alias("max_ms"), F.round(F.avg("rtt_ms"), 6).alias("avg_ms"), F.round(F.avg("_step"), 6).alias("jitter_ms"))
+    rows = sent.join(got, run, "left")
+    loss = F.round((F.col("sent") - F.coalesce("got", F.lit(0))) / F.col("sent") * 100.0, 6)
+    return rows.select(*run, loss.alias("loss_pct"), "min_ms", "max_ms", "avg_ms", F.coalesce("jitter_ms", F.lit(0.0)).alias("jitter_ms"))
 
 
 def samples_to_series(df: DataFrame, metrics: list[str], key: str) -> DataFrame:

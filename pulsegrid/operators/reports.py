@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch
+from ..functions.columns import between, epoch, since
 
 
 def availability(devices: DataFrame, outages: DataFrame, start: int, stop: int) -> DataFrame:
@@ -28,8 +28,7 @@ def alert_causes(alerts: DataFrame, start: int, stop: int) -> DataFrame:
     The upper median of n sorted values is number floor(n / 2) + 1. It comes from running counts of the distinct values, so
     a rule with many alerts isn't sorted in one place.
     """
-    t = epoch(F.col("opened_at"))
-    rows = alerts.where((t >= start) & (t < stop)).withColumn("ttr", epoch(F.col("resolved_at")) - t)
+    rows = alerts.where(between("opened_at", start, stop - 1)).withColumn("ttr", epoch(F.col("resolved_at")) - epoch(F.col("opened_at")))
     by = rows.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("ttr"), 6).alias("mean_s"), F.count("ttr").alias("known"))
     values = rows.where("ttr is not null").groupBy("rule", "ttr").agg(F.count("*").alias("c"))
     upto = values.withColumn("upto", F.sum("c").over(Window.partitionBy("rule").orderBy("ttr")))
@@ -60,10 +59,9 @@ def inventory(devices: DataFrame) -> DataFrame:
     return devices.groupBy("vendor", "role").agg(F.count("*").alias("devices"), F.count_if("monitored").alias("monitored"))
 
 
-def changes(events: DataFrame, start: int, stop: int, n: int = 200) -> DataFrame:
-    """The newest configuration changes and reboots of a window."""
-    t = epoch(F.col("ts"))
-    return events.where(F.col("kind").isin("config_changed", "device_rebooted") & (t >= start) & (t < stop)).orderBy(F.desc("ts"), F.desc("id")).limit(n)
+def changes(events: DataFrame, start: int, stop: int, n: int = 200, kinds: tuple[str, ...] = ("config_changed", "device_rebooted", "neighbor_changed")) -> DataFrame:
+    """The newest configuration changes, reboots and changes of neighbours of a window."""
+    return events.where(F.col("kind").isin(*kinds) & between("ts", start, stop - 1)).orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
 def endpoint_report(rows: DataFrame, start: int, n: int = 20) -> DataFrame:

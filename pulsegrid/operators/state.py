@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch
+from ..functions.folds import scan
 from ..sources.storage import with_checkpoints
 
 
@@ -45,52 +44,43 @@ class Threshold:
 
 @dataclass
 class Status:
-    """maintenance, then down after `down_after` silent polls, up again after two good ones, degraded, up."""
+    """Status after each poll, unknown before the first answer.
+
+    maintenance; else down after `down_after` silent polls, or unreachable if the upstream device is down itself; a silence not yet
+    confirmed keeps the status (unknown stays, maintenance becomes up); down and unreachable end with the second good
+    poll; degraded; up.
+    """
 
     down_after: int = 3
-    status: str = "up"
+    status: str = "unknown"
     fails: int = 0
     oks: int = 0
 
-    def step(self, reachable: bool, degraded: bool, maintenance: bool) -> str:
+    def step(self, reachable: bool, degraded: bool, maintenance: bool, upstream_down: bool = False) -> str:
         self.fails, self.oks = (0, self.oks + 1) if reachable else (self.fails + 1, 0)
         if maintenance:
             self.status = "maintenance"
         elif self.fails >= self.down_after:
-            self.status = "down"
-        elif self.status == "down" and self.oks < 2:
-            pass  # holds until confirmed
-        elif reachable or self.status in ("maintenance", "down"):
+            self.status = "unreachable" if upstream_down else "down"
+        elif not reachable:
+            self.status = "up" if self.status == "maintenance" else self.status
+        elif self.oks >= 2 or self.status not in ("down", "unreachable"):
             self.status = "degraded" if degraded else "up"
         return self.status
 
 
-def in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(batches, ignore_index=True).sort_values(order, kind="stable")
-
-
 def thresholds(df: DataFrame, key: str, value: str, order: list[str], enter: float, leave: float, cycles: int) -> DataFrame:
-    """`on` for each row of a key in order: a fold, as whether a value counts depends on the state before it."""
-
-    def fold(_: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, state = in_order(batches, order), Threshold(enter, leave, cycles)
-        yield rows.assign(on=[state.step(v) for v in rows[value]])
-
-    from pyspark.sql.types import StructType
-
-    return df.groupBy(key).applyInPandas(fold, StructType(list(df.schema.fields)).add("on", "boolean"))
+    """`on` for each row of a key in order: at least `cycles` values at or above enter since the last one at or below leave."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.when(~F.isnan(value), F.col(value))
+    rows = df.withColumn("_leaves", F.sum(F.coalesce((v <= leave) & (v < enter), F.lit(False)).cast("int")).over(w)).withColumn("_enters", F.coalesce(v >= enter, F.lit(False)).cast("int"))
+    since = Window.partitionBy(key, "_leaves").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("on", F.sum("_enters").over(since) >= cycles).drop("_leaves", "_enters")
 
 
 def device_status(df: DataFrame, key: str, order: list[str], down_after: int = 3) -> DataFrame:
-    """`status` after each poll (reachable, degraded, maintenance) of a device."""
-
-    def fold(_: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, state = in_order(batches, order), Status(down_after)
-        yield rows.assign(status=[state.step(bool(r), bool(g), bool(m)) for r, g, m in zip(rows["reachable"], rows["degraded"], rows["maintenance"])])
-
-    from pyspark.sql.types import StructType
-
-    return df.groupBy(key).applyInPandas(fold, StructType(list(df.schema.fields)).add("status", "string"))
+    """`status` after each poll (reachable, degraded, maintenance, upstream_down) of a device."""
+    return scan(df, [key], order, ["reachable", "degraded", "maintenance", "upstream_down"], lambda: Status(down_after).step, "status string")
 
 
 def silent_agents(df: DataFrame, cycles: int = 3) -> DataFrame:

@@ -22,20 +22,24 @@ def p11(d: Data):
     return O.clearing_keys(d.sql(KINDS)).groupBy("dedup_key").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
 
 
-ACTIONS = "select concat('k', cast(user_id % 60 as varchar(9))) as dedup_key, event_id as n, cast(event_id * 337 as double) as t, case when event_id % 3 = 0 then 'resolve' else 'raise' end as action, cast(event_id % 4 + 1 as int) as severity from events"
+ACTIONS = """select concat('k', cast(user_id % 60 as varchar(9))) as dedup_key, event_id as n, cast(event_id * 337 as double) as t,
+ case when event_id % 3 = 0 then 'resolve' when event_id % 11 = 1 then 'notified' else 'raise' end as action, cast(event_id % 4 + 1 as int) as severity, event_type as source,
+ case when event_id % 7 = 5 then concat('r', cast(event_id % 4 as varchar(9))) end as root_cause from events"""
+_HMS = "lpad((t::BIGINT // 3600 % 24)::VARCHAR, 2, '0') || ':' || lpad((t::BIGINT // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t::BIGINT % 60)::VARCHAR, 2, '0')"
 FOLDED = f"""
-with recursive s as (select *, row_number() over (partition by dedup_key order by t, n) as i from ({ACTIONS})),
-f as (select dedup_key, i, case when action = 'raise' then 1 else 0 end as k, case when action = 'raise' then t end as opened, case when action = 'raise' then t end as updated, null::DOUBLE as resolved, case when action = 'raise' then 1 else 0 end as occ, case when action = 'raise' then severity else 0 end as sev, 0 as re from s where i = 1 union all
- select s.dedup_key, s.i,
-  case when action = 'raise' and (k = 0 or (resolved is not null and t - resolved >= 30000)) then k + 1 else k end,
-  case when action = 'raise' and (k = 0 or (resolved is not null and t - resolved >= 30000)) then t else opened end,
-  case when action = 'raise' or (k > 0 and resolved is null) then t else updated end,
-  case when action = 'raise' then null when k > 0 and resolved is null then t else resolved end,
-  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then 1 else occ + 1 end else occ end,
-  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then severity when resolved is null then greatest(sev, severity) else sev end else sev end,
-  case when action = 'raise' then case when k = 0 or (resolved is not null and t - resolved >= 30000) then 0 when resolved is not null then re + 1 else re end else re end
- from f join s on s.dedup_key = f.dedup_key and s.i = f.i + 1)
-select dedup_key, k::INT as n, opened, updated, resolved, occ::INT as occurrences, sev::INT as severity, re::INT as reopened from (select *, row_number() over (partition by dedup_key, k order by i desc) as last from f where k > 0) where last = 1"""
+with recursive s as (select *, source || ' ' || {_HMS} as mark, row_number() over (partition by dedup_key order by t, n) as i from ({ACTIONS})),
+f as (select dedup_key, i, (action = 'raise')::INT as k, case when action = 'raise' then t end as opened, case when action = 'raise' then t end as updated, null::DOUBLE as resolved, (action = 'raise')::INT as occ,
+  case when action = 'raise' then severity else 0 end as sev, 0 as re, case when action = 'raise' then root_cause end as root, false as told, case when action = 'raise' then [mark] else []::VARCHAR[] end as ev from s where i = 1 union all
+ select dedup_key, i, k + fresh::INT, case when fresh then t else opened end, case when fresh or again or more or ends then t else updated end,
+  case when fresh or again then null when ends then t else resolved end, case when fresh then 1 when again or more then occ + 1 else occ end,
+  case when fresh or (more and folds) then severity when more then greatest(sev, severity) else sev end, case when fresh then 0 when again then re + 1 else re end,
+  case when fresh or (more and folds) then root_cause else root end, case when fresh or again then false when action = 'notified' and k > 0 then true else told end,
+  case when fresh then [mark] when again then list_append(ev, mark || ' (re-opened)') when more and len(ev) < 20 then list_append(ev, mark) when ends and len(ev) < 20 then list_append(ev, 'resolved: ' || mark) else ev end
+ from (select *, action = 'raise' and (k = 0 or (resolved is not null and t - resolved >= 30000)) as fresh, action = 'raise' and k > 0 and resolved is not null and t - resolved < 30000 as again,
+   action = 'raise' and k > 0 and resolved is null as more, action = 'resolve' and k > 0 and resolved is null as ends, root_cause is not null and root_cause is distinct from root as folds
+   from (select s.*, f.k, f.opened, f.updated, f.resolved, f.occ, f.sev, f.re, f.root, f.told, f.ev from f join s on s.dedup_key = f.dedup_key and s.i = f.i + 1)))
+select dedup_key, k::INT as n, opened, updated, resolved, occ::INT as occurrences, sev::INT as severity, re::INT as reopened, root as root_cause, told as notified, array_to_string(ev, ', ') as evidence
+from (select *, row_number() over (partition by dedup_key, k order by i desc) as last from f where k > 0) where last = 1"""
 
 
 @query("P12_upserted_alerts", FOLDED)
@@ -61,10 +65,16 @@ def p15(d: Data):
     return O.fold_children(d("v_alerts")).select("id", "children")
 
 
-@query("P17_auto_resolved", f"select id, rule from (select case id % 4 when 0 then 'config_changed' when 1 then 'environment_fault' else rule end as rule, id, state, opened_at from v_alerts) a join {EVENT_RULES} on r.kind = a.rule where state <> 'resolved' and cycles > 0 and floor(epoch(opened_at)) + cycles * 60 <= {NOW}")
+_ENDING = "select case id % 4 when 0 then 'config_changed' when 1 then 'environment_fault' else rule end as rule, id, state, device_id, root_cause, opened_at + interval '1' minute * cast(occurrences as int) as updated_at from v_alerts"
+
+
+@query("P17_auto_resolved", f"""
+with a as ({_ENDING}), t as (select id, a.rule from a join {EVENT_RULES} on r.kind = a.rule where state <> 'resolved' and cycles > 0 and {NOW} - floor(epoch(updated_at)) > cycles * 60)
+select id, rule, 'timed' as reason from t union all
+select a.id, a.rule, 'root' from a join v_devices d on d.device_id = a.device_id and d.status = 'up' where state <> 'resolved' and root_cause is not null
+ and not exists (select 1 from a b where b.id = a.root_cause and b.state <> 'resolved') and a.id not in (select id from t)""")
 def p17(d: Data):
-    rule = F.when(F.col("id") % 4 == 0, "config_changed").when(F.col("id") % 4 == 1, "environment_fault").otherwise(F.col("rule"))
-    return O.auto_resolved(d("v_alerts").withColumn("rule", rule), O.rule_table(d.spark), NOW).select("id", "rule")
+    return O.auto_resolved(d.sql(_ENDING), O.rule_table(d.spark), d("v_devices"), NOW)
 
 
 @query("P19_archived_alerts", f"select id, state = 'resolved' and {NOW} - floor(epoch(resolved_at)) > 86400 as archived from v_alerts where state <> 'x'")
@@ -90,12 +100,20 @@ def p23(d: Data):
     return O.acted_on(d("v_alerts"), actions).select("id", "state")
 
 
-@query("P24_notifications", """
-select id, 'day' as part from v_alerts where case when state = 'resolved' then notified else severity <> 'info' end union all
-select id, 'night' from v_alerts where (case when state = 'resolved' then notified else severity <> 'info' end) and severity = 'critical'""")
+_NOTIFY = "case when state = 'resolved' then notified else severity <> 'info' end"
+
+
+@query("P24_notifications", f"""
+with h as (select max(floor(epoch(opened_at)))::BIGINT as hi, min(floor(epoch(opened_at)))::BIGINT as lo from v_alerts)
+select id, 'day' as part from v_alerts where {_NOTIFY} union all select id, 'night' from v_alerts where ({_NOTIFY}) and severity = 'critical' union all
+select id, 'grouped' from v_alerts where ({_NOTIFY}) and severity <> 'critical' union all select id, 'waiting' from v_alerts where false""")
 def p24(d: Data):
-    day = O.to_notify(d("v_alerts"), 720, quiet=(1320, 360)).select("id", F.lit("day").alias("part"))
-    return day.unionByName(O.to_notify(d("v_alerts"), 60, quiet=(1320, 360)).select("id", F.lit("night").alias("part")))
+    rows = d("v_alerts").withColumn("updated_at", F.col("opened_at"))
+    calm = rows.where("severity <> 'critical'")
+    part = lambda df, name, now, **how: O.to_notify(df, now, quiet=(1320, 360), **how).select("id", F.lit(name).alias("part"))
+    day, night = 4102444800 + 720 * 60, 4102444800 + 60 * 60  # noon and one o'clock, long after the last update
+    out = part(rows, "day", day).unionByName(part(rows, "night", night)).unionByName(part(calm, "grouped", day))
+    return out.unionByName(part(calm, "waiting", 0 + 720 * 60))  # before the oldest update: the group window is open
 
 
 @query("P25_rules", "select rule as id, case when rule in ('icmp_loss', 'probe_failed') then 'critical' when rule = 'device_down' then 'major' when rule = 'interface_down' then 'major' else 'major' end as severity, count(*) as alerts from v_alerts group by 1, 2")
@@ -113,3 +131,15 @@ select a_device, b_device, case when a.oper_up = false or b.oper_up = false then
 from ({LINKS}) l left join v_interfaces a on a.device_id = a_device and lower(a.name) = lower(a_if) left join v_interfaces b on b.device_id = b_device and lower(b.name) = lower(b_if)""")
 def p26(d: Data):
     return O.link_status(d.sql(LINKS), d("v_interfaces")).select("a_device", "b_device", "status")
+
+
+PEERED = "select a_device, b_device, concat('GIGABITETHERNET1/', cast(1 + a_device % 7 as varchar(9))) as a_if, concat('Vlan', cast(1 + b_device % 7 as varchar(9))) as b_if, a_device % 6 = 1 as stale, b_device % 9 = 2 as external, concat('isp', cast(b_device as varchar(9))) as external_name from v_links"
+
+
+@query("P26_named_peers", f"""
+with e as (select a_device as device_id, lower(a_if) as k, case when external then external_name end as label, b_device as far, b_if as far_if from ({PEERED}) where not stale union all
+ select b_device, lower(b_if), null, a_device, a_if from ({PEERED}) where not stale),
+p as (select e.device_id, k, min(coalesce(label, name) || ' ' || far_if) as peer from e left join v_devices d on d.device_id = far where label is not null or name is not null group by 1, 2)
+select i.device_id, i.if_index, peer from v_interfaces i left join p on p.device_id = i.device_id and p.k = lower(i.name)""")
+def p26_peers(d: Data):
+    return O.named_peers(d("v_interfaces"), d.sql(PEERED), d("v_devices")).select("device_id", "if_index", "peer")

@@ -102,15 +102,29 @@ def m10(d: Data):
     return d("v_interfaces").select("device_id", "if_index", M.utilisation(F.col("in_bps"), F.col("speed_mbps")).alias("in_util"), M.utilisation(F.col("out_bps"), F.col("speed_mbps")).alias("out_util"))
 
 
-@query("M11_thinned_history", f"""
-with recursive s as (select metric, device_id, {_T} as t, arrival, device_id % 10 = 0 as important, row_number() over (partition by metric, device_id order by {_T}, arrival) as n from v_metric_samples),
-f as (select metric, device_id, t, arrival, n, true as kept, t as last from s where n = 1 union all
-  select s.metric, s.device_id, s.t, s.arrival, s.n, s.important or s.t - f.last >= 21600, case when s.important or s.t - f.last >= 21600 then s.t else f.last end
-  from f join s on s.metric = f.metric and s.device_id = f.device_id and s.n = f.n + 1)
-select metric, device_id, t, arrival from f where kept""")
+THINNED = f"""
+with recursive s as (select metric, device_id, {_T} as t, arrival, v, device_id % 10 = 0 as important, row_number() over (partition by metric, device_id order by {_T}, arrival) as n from v_metric_samples),
+f as (select metric, device_id, t, arrival, v, important, n, true as kept, t as last from s where n = 1 union all
+  select s.metric, s.device_id, s.t, s.arrival, s.v, s.important, s.n, s.important or s.t - f.last >= 21600, case when s.important or s.t - f.last >= 21600 then s.t else f.last end
+  from f join s on s.metric = f.metric and s.device_id = f.device_id and s.n = f.n + 1)"""
+RATES = {"in_bps": "v", "out_bps": "v * 2", "in_err": "arrival % 3", "out_err": "arrival % 2", "in_drop": "arrival % 5 - 2", "out_drop": "0", "in_pps": "v / 8", "out_pps": "v / 4"}
+
+
+def _thinned(d: Data):
+    rows = d("v_metric_samples").select("metric", "device_id", epoch(F.col("ts")).alias("t"), "arrival", "v", (F.col("device_id") % 10 == 0).alias("important"))
+    return M.thin_history(rows, ["metric", "device_id"], ["arrival"], 21600)
+
+
+@query("M11_thinned_history", THINNED + " select metric, device_id, t, arrival from f where kept")
 def m11(d: Data):
-    rows = d("v_metric_samples").select("metric", "device_id", epoch(F.col("ts")).alias("t"), "arrival", (F.col("device_id") % 10 == 0).alias("important"))
-    return M.thin_history(rows.orderBy("arrival"), ["metric", "device_id"], 21600).drop("important")
+    return _thinned(d).select("metric", "device_id", "t", "arrival")
+
+
+@query("M11_kept_series", THINNED + """, k as (select metric, device_id, t, important, """ + ", ".join(f"cast({e} as double) as {n}" for n, e in RATES.items()) + """ from f where kept)
+select metric, device_id, t, series, v from (""" + " union all ".join(f"select metric, device_id, t, 'if_{n}' as series, {n} as v from k where {w}" for n, w in (
+    ("in_bps", "true"), ("out_bps", "true"), ("in_err", "in_err > 0 or out_err > 0"), ("out_err", "in_err > 0 or out_err > 0"), ("in_drop", "in_drop > 0 or out_drop > 0"), ("out_drop", "in_drop > 0 or out_drop > 0"), ("in_pps", "important"), ("out_pps", "important"))) + ")")
+def m11_series(d: Data):
+    return M.kept_series(_thinned(d).selectExpr("*", *[f"cast({e} as double) as {n}" for n, e in RATES.items()]), ["metric", "device_id"])
 
 
 @query("M12_reboots", f"""
@@ -152,13 +166,14 @@ def m15(d: Data):
 
 
 @query("M16_echo_statistics", """
-with s as (select device_id, rtt_ms, lag(rtt_ms) over (partition by device_id order by ts, sample_id) as p from v_device_samples where reachable and sample_id % 25 = 0),
-n as (select device_id, count(*) as n from v_device_samples where sample_id % 25 = 0 group by device_id)
-select device_id, round((20 - count(*)) / 20 * 100.0, 6) as loss_pct, min(rtt_ms) as min_ms, max(rtt_ms) as max_ms, round(avg(rtt_ms), 6) as avg_ms, case when count(*) > 1 then round(sum(abs(rtt_ms - p)) / (count(*) - 1), 6) else 0.0 end as jitter_ms
-from s group by device_id""")
+with a as (select device_id, strftime(ts, '%Y-%m-%d') as day, ts, sample_id, reachable, rtt_ms from v_device_samples),
+s as (select device_id, day, rtt_ms, lag(rtt_ms) over (partition by device_id, day order by ts, sample_id) as p from a where reachable),
+n as (select device_id, day, count(*) as sent from a group by 1, 2),
+g as (select device_id, day, count(*) as got, min(rtt_ms) as min_ms, max(rtt_ms) as max_ms, avg(rtt_ms) as avg_ms, avg(abs(rtt_ms - p)) as jitter from s group by 1, 2)
+select device_id, day, round((sent - coalesce(got, 0)) / sent * 100.0, 6) as loss_pct, min_ms, max_ms, round(avg_ms, 6) as avg_ms, coalesce(round(jitter, 6), 0.0) as jitter_ms from n left join g using (device_id, day)""")
 def m16(d: Data):
-    rows = d("v_device_samples").where("reachable and sample_id % 25 = 0").groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "sample_id", "rtt_ms"))), lambda x: x["rtt_ms"]).alias("rtts"))
-    return M.echo_statistics(rows, 20)
+    rows = d("v_device_samples").withColumn("day", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"))
+    return M.echo_statistics(rows, ["device_id", "day"], ["ts", "sample_id"])
 
 
 @query("M17_samples_to_series", """

@@ -35,15 +35,18 @@ def p3(d: Data):
 
 
 STATUS = """
-with recursive s as (select sample_id, device_id, ts, reachable as r, cpu_pct >= 50 as g, device_id % 9 = 0 and sample_id % 20 < 5 as m, row_number() over (partition by device_id order by ts, sample_id) as n from v_device_samples),
-f as (select device_id, sample_id, ts, n, case when r then 0 else 1 end as fails, case when r then 1 else 0 end as oks, case when m then 'maintenance' when not r then 'up' when g then 'degraded' else 'up' end as status from s where n = 1 union all
+with recursive s as (select sample_id, device_id, ts, reachable as r, cpu_pct >= 50 as g, device_id % 9 = 0 and sample_id % 20 < 5 as m, device_id % 4 = 1 and sample_id % 2 = 0 as u,
+ row_number() over (partition by device_id order by ts, sample_id) as n from v_device_samples),
+f as (select device_id, sample_id, ts, n, case when r then 0 else 1 end as fails, case when r then 1 else 0 end as oks, case when m then 'maintenance' when not r then 'unknown' when g then 'degraded' else 'up' end as status from s where n = 1 union all
  select s.device_id, s.sample_id, s.ts, s.n, case when r then 0 else fails + 1 end, case when r then oks + 1 else 0 end,
- case when m then 'maintenance' when not r and fails + 1 >= 2 then 'down' when status = 'down' and (case when r then oks + 1 else 0 end) < 2 then status when r or status in ('maintenance', 'down') then case when g then 'degraded' else 'up' end else status end
+ case when m then 'maintenance' when not r and fails + 1 >= 2 then case when u then 'unreachable' else 'down' end when not r then case when status = 'maintenance' then 'up' else status end
+  when status in ('down', 'unreachable') and oks + 1 < 2 then status when g then 'degraded' else 'up' end
  from f join s on s.device_id = f.device_id and s.n = f.n + 1)"""
 
 
 def _status(d: Data):
-    rows = d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), ((F.col("device_id") % 9 == 0) & (F.col("sample_id") % 20 < 5)).alias("maintenance"))
+    hit = lambda k, x, n: (F.col("device_id") % k == x) & (F.col("sample_id") % n[0] < n[1])
+    rows = d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), hit(9, 0, (20, 5)).alias("maintenance"), hit(4, 1, (2, 1)).alias("upstream_down"))
     return O.device_status(rows, "device_id", ["ts", "sample_id"], 2)
 
 
@@ -66,7 +69,7 @@ def p5(d: Data):
     return O.suppressed(status, parents)
 
 
-MOVES = "select device_id, sample_id, ts, epoch_us(ts) as us, status, previous from (select *, lag(status) over (partition by device_id order by ts, sample_id) as previous from f) where previous <> status"
+MOVES = "select device_id, sample_id, ts, epoch_us(ts) as us, status, previous from (select *, lag(status) over (partition by device_id order by ts, sample_id) as previous from f where status <> 'unknown') where previous <> status"
 
 
 @query("P6_flaps", STATUS + f", m as ({MOVES}) select device_id, sample_id, previous, status, count(*) over w as changes, (count(*) over w) > 3 as flapping from m window w as (partition by device_id order by us range between 863999999999 preceding and current row)")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.columns import epoch
+from ..functions.columns import since
 
 
-def write_journal(df: DataFrame, path: str, ts: str) -> None:
-    """Rows as JSON lines in one folder for each UTC day, compressed."""
+def write_journal(df: DataFrame, path: str, ts: str, tasks_per_day: int = 8) -> None:
+    """Rows as JSON lines in one folder for each UTC day, compressed; up to tasks_per_day tasks write a day's files."""
     day = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")
-    df.withColumn("day", day).repartition("day").write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_day))
+    df.withColumn("day", day).repartition("day", salt).write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
 
 
 def read_journal(spark: SparkSession, path: str, schema: StructType, first: str, last: str) -> DataFrame:
@@ -22,28 +23,27 @@ def read_journal(spark: SparkSession, path: str, schema: StructType, first: str,
 
 
 def export_estate(sites: DataFrame, devices: DataFrame, interfaces: DataFrame, path: str) -> None:
-    """The estate as JSON objects, one for each site, with its devices and their ports: no object grows with the whole estate."""
+    """The estate as JSON objects, one for each device with its ports, and one for each site that has none: no object grows with a site."""
     ports = interfaces.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("if_index", "name"))).alias("interfaces"))
-    own = devices.join(ports, "device_id", "left").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("device_id", "name", "interfaces"))).alias("devices"))
+    own = devices.join(ports, "device_id", "left").select("site_id", F.struct("device_id", "name", "interfaces").alias("device"))
     rows = sites.join(own, "site_id", "left")
-    rows.select(F.to_json(F.struct("site_id", "name", "devices")).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct("site_id", "name", "device")).alias("value")).write.text(path)
 
 
-ESTATE = "site_id long, name string, devices array<struct<device_id: long, name: string, interfaces: array<struct<if_index: long, name: string>>>>"
+ESTATE = "site_id long, name string, device struct<device_id: long, name: string, interfaces: array<struct<if_index: long, name: string>>>"
 
 
 def read_estate(spark: SparkSession, path: str) -> DataFrame:
     """One row for each port of an export: site, device, if_index, name."""
     rows = spark.read.schema(ESTATE).json(path)
-    rows = rows.select(F.col("name").alias("site"), F.explode_outer("devices").alias("d"))
-    return rows.select("site", F.col("d.device_id").alias("device_id"), F.explode_outer("d.interfaces").alias("i")).select("site", "device_id", "i.if_index", "i.name")
+    return rows.select(F.col("name").alias("site"), F.col("device.device_id").alias("device_id"), F.explode_outer("device.interfaces").alias("i")).select("site", "device_id", "i.if_index", "i.name")
 
 
-def write_tiers(raw: DataFrame, rolled: DataFrame, path: str) -> None:
-    """Metric history by tier and day, sorted by series in each file, so that row groups hold few series."""
+def write_tiers(raw: DataFrame, rolled: DataFrame, path: str, tasks_per_day: int = 8) -> None:
+    """Metric history by tier and day, sorted by series in each file, so that row groups hold few series; series share out a day's files."""
     rows = raw.withColumns({"tier": F.lit("raw"), "min": F.col("v"), "max": F.col("v")}).unionByName(rolled.withColumn("tier", F.lit("rollup")))
     day = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd")
-    rows.withColumn("day", day).repartition("tier", "day").sortWithinPartitions("tier", "day", "series", "t").write.partitionBy("tier", "day").parquet(path)
+    rows.withColumn("day", day).repartition("tier", "day", F.pmod(F.xxhash64("series"), F.lit(tasks_per_day))).sortWithinPartitions("tier", "day", "series", "t").write.partitionBy("tier", "day").parquet(path)
 
 
 def read_tiers(spark: SparkSession, path: str, tier: str, first: str, last: str) -> DataFrame:
@@ -57,7 +57,7 @@ RETENTION = {"events": 365, "logs": 30, "flows": 90, "raw": 14, "rollup": 400, "
 def retained(df: DataFrame, ts: str, dataset: str, now: int, days: dict[str, int] = RETENTION) -> DataFrame:
     """Rows of a dataset not older than its days, counted from the start of the oldest kept day."""
     start = (now // 86400 - days[dataset]) * 86400
-    return df.where(epoch(F.col(ts)) >= start)
+    return df.where(since(ts, start))
 
 
 def write_findings(df: DataFrame, path: str) -> None:
@@ -72,7 +72,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def pivot_walk(walk: DataFrame, base: str, columns: dict[int, str]) -> DataFrame:
     """One row for each device and table index of a walk (device, oid, value): oid is base.column.index."""
-    rest = F.substring(F.col("oid"), len(base) + 2, 500)
+    rest = F.expr(f"substring(oid, {len(base) + 2})")
     rows = walk.where(F.col("oid").startswith(base + ".")).select("device", F.substring_index(rest, ".", 1).try_cast("int").alias("c"), F.regexp_replace(rest, r"^\d+\.", "").alias("idx"), "value")
     wide = rows.where(F.col("c").isin(*columns)).groupBy("device", "idx").pivot("c", list(columns)).agg(F.first("value"))
     return wide.select("device", "idx", *[F.col(str(k)).alias(v) for k, v in columns.items()])

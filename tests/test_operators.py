@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import canonical_mac, readable_bytes, readable_duration, short_host, short_port, top_bits
 from pulsegrid.operators import alerts, endpoints, flow, inventory, logs, metrics, reports, snapshots, state, topology
+from pulsegrid.sources import files
 
 T0 = datetime(2024, 1, 1, 12, 0, 0)
 
@@ -39,10 +40,52 @@ def test_quantiser_and_units(spark):
 
 
 def test_echo_statistics(spark):
-    made = metrics.echo_statistics(spark.createDataFrame([([1.0, 3.0, 2.0],), ([],)], "rtts array<double>"), 4).collect()
+    polls = [("a", 1, True, 1.0), ("a", 2, True, 3.0), ("a", 3, False, None), ("a", 4, True, 2.0), ("b", 1, False, None)]
+    made = metrics.echo_statistics(spark.createDataFrame(polls, "id string, n int, reachable boolean, rtt_ms double"), ["id"], ["n"]).orderBy("id").collect()
     assert (made[0].loss_pct, made[0].avg_ms, made[0].jitter_ms) == (25.0, 2.0, 1.5) and made[1].loss_pct == 100.0 and made[1].avg_ms is None
 
 
+def test_kept_series(spark):
+    df = spark.createDataFrame([("p", 0, True, 1.0, 0.0, 3.0), ("q", 0, False, 1.0, 0.0, 0.0)], "port string, t int, important boolean, bps double, err double, drop double")
+    df = df.withColumns({f"{d}_{n}": F.col(n) if d == "in" else F.lit(0.0) for d in ("in", "out") for n in ("bps", "err", "drop")}).withColumns({"in_pps": F.lit(5.0), "out_pps": F.lit(6.0)})
+    made = {(r.port, r.series): r.v for r in metrics.kept_series(df, ["port"]).collect()}
+    assert made == {("p", "if_in_bps"): 1.0, ("p", "if_out_bps"): 0.0, ("p", "if_in_drop"): 3.0, ("p", "if_out_drop"): 0.0, ("p", "if_in_pps"): 5.0, ("p", "if_out_pps"): 6.0, ("q", "if_in_bps"): 1.0, ("q", "if_out_bps"): 0.0}
+
+
+def test_fold_carries_one_state_over_batches(spark):
+    """A key with far more rows than a batch, and null keys, folded in order."""
+    from pulsegrid.functions.folds import scan
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 2 == 0, F.col("id").cast("string"))).alias("k"), "id").repartition(5)
+
+        def count():
+            n = [0]
+
+            def step(_):
+                n[0] += 1
+                return n[0]
+
+            return step
+
+        made = scan(df, ["k"], ["id"], ["id"], count, "n int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    place = {}
+    for r in sorted(made, key=lambda r: r.id):
+        place[r.k] = place.get(r.k, 0) + 1
+        assert r.n == place[r.k]
+    assert len(made) == 2000
+
+
+def test_time_tests_reach_the_scan(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").select(F.col("event_id").alias("log_id"), F.col("ts").alias("recv"), F.col("ts").alias("opened_at"), F.col("ts").alias("resolved_at"), F.col("event_type").alias("rule"), F.col("event_type").alias("severity"), F.lit("config_changed").alias("kind"), F.col("event_id").alias("id"))
+    for df in (logs.search(events, 1704499200, 1705363200), logs.histogram(events, 1704499200, 1705363200), files.retained(events, "recv", "raw", 1706572800), reports.alert_causes(events, 1704672000, 1705881600), reports.changes(events.withColumnRenamed("recv", "ts"), 1704672000, 1705881600)):
+        plan = df._jdf.queryExecution().toString()
+        assert any("PushedFilters: [" in line and "GreaterThanOrEqual(ts" in line for line in plan.splitlines())
+
+
 def test_flow_ports_and_tops(spark):
     df = spark.createDataFrame([(6, 443, 51234), (17, 40000, 40001), (1, 5, 6), (47, 0, 0)], "proto int, src_port int, dst_port int")
     made = flow.with_port(df).select("port", flow.app_name(F.col("proto"), F.col("port")))
@@ -64,7 +107,7 @@ def test_log_lines(spark):
 
 def test_storms_and_rate_limit(spark):
     df = spark.createDataFrame([("k", t) for t in (0.0, 1.0, 1.9, 2.0, 3.0, 4.1)], "k string, t double")
-    assert sorted(r.t for r in logs.suppress_storms(df, ["k"]).collect()) == [0.0, 2.0, 4.1]
+    assert sorted(r.t for r in logs.suppress_storms(df, ["k"], []).collect()) == [0.0, 2.0, 4.1]
     burst = spark.createDataFrame([("h", i, 0.0) for i in range(5)], "host string, n int, t double")
     made = logs.limit_rate(burst, "host", 1).orderBy("n").collect()
     assert [r.passed for r in made] == [True, True, False, False, False] and [r.flood for r in made] == [False, False, True, False, False]
@@ -72,8 +115,13 @@ def test_storms_and_rate_limit(spark):
 
 def test_status_machine(spark):
     polls = [(1, i, ok) for i, ok in enumerate([True, False, False, False, True, True])]
-    df = spark.createDataFrame(polls, "device_id int, n int, reachable boolean").withColumns({"degraded": F.lit(False), "maintenance": F.lit(False)})
-    assert [r.status for r in state.device_status(df, "device_id", ["n"]).orderBy("n").collect()] == ["up", "up", "up", "down", "down", "up"]
+    df = spark.createDataFrame(polls, "device_id int, n int, reachable boolean").withColumns({"degraded": F.lit(False), "maintenance": F.lit(False), "upstream_down": F.lit(False)})
+    run = lambda df: [r.status for r in state.device_status(df, "device_id", ["n"]).orderBy("n").collect()]
+    assert run(df) == ["up", "up", "up", "down", "down", "up"]
+    assert run(df.withColumn("upstream_down", F.lit(True))) == ["up", "up", "up", "unreachable", "unreachable", "up"]
+    silent = df.withColumns({"reachable": F.col("n") == 5, "maintenance": F.col("n") == 2, "degraded": F.lit(True)})
+    assert run(silent) == ["unknown", "unknown", "maintenance", "down", "down", "down"]
+    assert run(silent.withColumn("maintenance", F.col("n") == 0)) == ["maintenance", "up", "down", "down", "down", "down"]  # an unconfirmed silence after maintenance
 
 
 def test_threshold_holds_between_levels():
@@ -106,9 +154,10 @@ def test_tree_of_seventy_hops(spark):
 
 
 def test_alert_life(spark):
-    acts = [("k", 0.0, 1, "raise", 2), ("k", 10.0, 2, "raise", 4), ("k", 20.0, 3, "resolve", 0), ("k", 100.0, 4, "raise", 1), ("k", 200.0, 5, "resolve", 0), ("k", 9000.0, 6, "raise", 1)]
-    made = alerts.upsert_alerts(spark.createDataFrame(acts, "dedup_key string, t double, n int, action string, severity int")).orderBy("n").collect()
-    assert [(r.opened, r.resolved, r.occurrences, r.severity, r.reopened) for r in made] == [(0.0, 200.0, 3, 4, 1), (9000.0, None, 1, 1, 0)]
+    acts = [("k", 0.0, 1, "raise", 2, None), ("k", 10.0, 2, "raise", 4, None), ("k", 15.0, 3, "notified", 0, None), ("k", 20.0, 4, "resolve", 0, None), ("k", 100.0, 5, "raise", 1, None), ("k", 200.0, 6, "resolve", 0, None), ("k", 9000.0, 7, "raise", 3, None), ("k", 9001.0, 8, "raise", 2, "root")]
+    made = alerts.upsert_alerts(spark.createDataFrame(acts, "dedup_key string, t double, n int, action string, severity int, root_cause string").withColumn("source", F.lit("snmp"))).orderBy("n").collect()
+    assert [(r.opened, r.resolved, r.occurrences, r.severity, r.reopened, r.root_cause, r.notified) for r in made] == [(0.0, 200.0, 3, 4, 1, None, False), (9000.0, None, 2, 2, 0, "root", False)]
+    assert made[0].evidence == "snmp 00:00:00, snmp 00:00:10, resolved: snmp 00:00:20, snmp 00:01:40 (re-opened), resolved: snmp 00:03:20"
 
 
 def test_links_and_parents(spark):
