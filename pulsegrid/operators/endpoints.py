@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_multicast
+from ..functions.columns import epoch, is_multicast
 
 
 def uplink_ports(fdb: DataFrame, link_ends: DataFrame, neighbours: DataFrame, chassis: DataFrame) -> DataFrame:
@@ -30,12 +30,12 @@ def place(fdb: DataFrame, uplinks: DataFrame) -> DataFrame:
     return one.withColumn("_n", F.row_number().over(final)).where("_n = 1").select("mac", "device_id", "if_index", "ts", "load")
 
 
-def moves(now: DataFrame, before: DataFrame, still: DataFrame) -> DataFrame:
-    """MACs on another port than before, where the old one no longer sees them and saw them within a day."""
-    old = before.select("mac", F.col("device_id").alias("from_device"), F.col("if_index").alias("from_if"), F.col("ts").alias("from_ts"))
+def moves(now: DataFrame, before: DataFrame, still: DataFrame, within: int = 86400) -> DataFrame:
+    """MACs on another port than before, where the old one no longer sees them and the MAC had been seen less than `within` seconds ago."""
+    old = before.select("mac", F.col("device_id").alias("from_device"), F.col("if_index").alias("from_if"), epoch(F.col("ts")).alias("_seen"))
     rows = now.join(old, "mac").where((F.col("device_id") != F.col("from_device")) | (F.col("if_index") != F.col("from_if")))
     gone = still.select("mac", F.col("device_id").alias("from_device"), F.col("if_index").alias("from_if")).distinct()
-    return rows.join(gone, ["mac", "from_device", "from_if"], "left_anti")
+    return rows.where(epoch(F.col("ts")) - F.col("_seen") < within).drop("_seen").join(gone, ["mac", "from_device", "from_if"], "left_anti")
 
 
 def arp_merge(arp: DataFrame, most: int = 4) -> DataFrame:
@@ -58,13 +58,23 @@ def vendor_of(macs: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.select(*macs.columns, F.coalesce("_v9", "_v7", "_v6", local, F.lit("")).alias("vendor"))
 
 
-def search(rows: DataFrame, text: str, limit: int = 200) -> DataFrame:
-    """Endpoints by whole MAC, a part of at least four hex digits, an address prefix, or vendor text; newest first."""
-    plain = "".join(c for c in text.lower() if c not in ":.-")
-    hexes = len(plain) >= 4 and all(c in "0123456789abcdef" for c in plain)
-    by_mac: Column = F.col("mac") == plain if len(plain) == 12 else F.col("mac").contains(plain)
-    test = F.exists(F.split("ips", ","), lambda x: x.startswith(text)) | F.lower("vendor").contains(text.lower())
-    return rows.where(test | by_mac if hexes else test).orderBy(F.desc("seen"), "mac").limit(limit)
+def search(rows: DataFrame, text: str = "", device: int | None = None, port: int | None = None, limit: int = 200) -> DataFrame:
+    """Endpoints (mac, ips, vendor, device_id, arp_device, if_index, if_name, seen), newest first: by whole MAC, a part of at least
+    four hex digits, an address prefix, or text in the vendor or port name; on one device (placed there or in its ARP
+    table), and on one port of it."""
+    text = text.strip().lower()
+    plain = "".join(c for c in text if c not in ":.-")
+    if device is not None:
+        rows = rows.where((F.col("device_id") == device) | (F.col("arp_device") == device))
+    if port:
+        rows = rows.where((F.col("device_id") == device) & (F.col("if_index") == port))
+    if text:
+        has = lambda c: F.coalesce(F.lower(c).contains(text), F.lit(False))
+        test = F.coalesce(F.exists(F.split("ips", ","), lambda x: x.startswith(text)), F.lit(False)) | has("vendor") | has("if_name")
+        if len(plain) >= 4 and all(c in "0123456789abcdef" for c in plain):
+            test = test | F.replace("mac", F.lit(":"), F.lit("")).contains(plain)
+        rows = rows.where(test)
+    return rows.orderBy(F.desc("seen"), "mac").limit(limit)
 
 
 def per_port(placed: DataFrame) -> DataFrame:

@@ -77,9 +77,9 @@ def expand_addresses(specs: DataFrame, limit: int = 4096) -> DataFrame:
 def register(found: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     """New devices by address, in order of first sight; those beyond the cap aren't monitored. Known addresses don't register again."""
     new = found.groupBy("ip").agg(F.min("seen").alias("seen")).join(known.select("ip"), "ip", "left_anti")
-    have = known.count()
-    place = F.row_number().over(Window.orderBy("seen", "ip"))  # new devices of one scan
-    return new.withColumn("monitored", place + have <= cap)
+    free = max(0, cap - known.count())
+    edge = new.select("seen", "ip").orderBy("seen", "ip").limit(free).agg(F.max(F.struct("seen", "ip")).alias("edge"))  # one row
+    return new.join(F.broadcast(edge), F.lit(True)).select("ip", "seen", F.coalesce(F.struct("seen", "ip") <= F.col("edge"), F.lit(False)).alias("monitored"))
 
 
 def capacity(devices: DataFrame, cap: int) -> DataFrame:

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.columns import between, epoch
 from ..functions.folds import Gap, scan
 
-#: The wire formats of log lines.
-PRI = r"^<(\d{1,3})>"
-RFC5424 = r"^1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|\[.*?\]) ?(.*)$"
-BSD_TIME = r"^(?:\d+: )?[*.]?([A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2})(?:\.\d+)?(?: [A-Z]{2,5})?:? ?"
-MNEMONIC = r"%([A-Z0-9_]+-\d-[A-Z0-9_]+):"
-PAIR = r'(\w+)=("[^"]*"|\S+)'
+#: Levels of key=value lines.
 LEVELS = {"emergency": 0, "alert": 1, "critical": 2, "error": 3, "warning": 4, "notice": 5, "information": 6}
+_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+#: The old line head: a counter, a clock mark, month, day and time, then a fraction, a zone and a colon, as far as they are there.
+_CLOCK = r"\d\d(?::\d\d){2}"
+_OLD_HEAD = rf"^(?:\d+:\s)?[*.]?((?:{'|'.join(_MONTHS)})\s{{1,2}}\d\d?\s{_CLOCK})(?:\.\d+)?(?:\s[A-Z]{{2,5}}(?=[:\s]|$))?:?\s?"
 
 
-def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null without one."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+def word_after(text: Column, phrase: str, allowed: str = r"\S") -> Column:
+    """The word behind the first place of a phrase, in any case, without punctuation at its ends; null without one or if it has other than the allowed characters."""
+    at = F.instr(F.lower(text), phrase.lower())
+    word = F.btrim(F.substring_index(F.ltrim(F.substring(text, at + len(phrase), F.length(text))), " ", 1), F.lit("'\",;:=.()[]"))
+    return F.when((at > 0) & word.rlike(f"^(?:{allowed})+$"), word)
 
 
 def pairs(text: Column) -> Column:
     """key=value pairs as a map, quotes dropped, of equal keys the last."""
-    keys, values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
-    entries = F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.regexp_replace(v, '^"+|"+$', "")).alias("v"))
+    pair = F.lit(r'(\w+)=(?:"([^"]*)"|([^\s"]\S*))')
+    keys, quoted, bare = (F.regexp_extract_all(text, pair, F.lit(i)) for i in (1, 2, 3))
+    entries = F.arrays_zip(keys.alias("k"), F.zip_with(quoted, bare, lambda q, w: F.concat(q, w)).alias("v"))
     last = lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), F.get(keys, i))
     return F.map_from_entries(F.filter(entries, last))
 
@@ -36,28 +38,45 @@ def computed(df: DataFrame) -> DataFrame:
 
 
 def parse_lines(df: DataFrame) -> DataFrame:
-    """raw, host, recv -> facility, severity, mnemonic, message, kv, ts. Never fails: what doesn't parse is an info-level message."""
+    """raw, host, recv -> facility, severity, mnemonic, message, kv, ts. Never fails: what doesn't parse is an info-level message.
+
+    A line begins with its priority in angle brackets. Then either version 1, time, host, application, process, message id and structured
+    data (a dash or brackets) come, parted by single spaces, or the old head with month, day and time, or neither.
+    """
     raw = F.regexp_replace("raw", r"[\r\n\x00]+$", "")
-    rows = df.withColumn("_raw", raw).withColumn("_pri", found(F.col("_raw"), PRI).cast("int"))
-    rows = rows.withColumn("_rest", F.when(F.col("_pri").isNotNull(), F.regexp_replace("_raw", PRI, "")).otherwise(F.col("_raw")))
-    is_new = F.col("_rest").rlike(RFC5424)
-    app = found(F.col("_rest"), RFC5424, 3)
-    rows = rows.withColumn("_new", is_new).withColumn("_time", F.when(~is_new, found(F.col("_rest"), BSD_TIME)))
-    rows = rows.withColumn("message", F.trim(F.when(is_new, found(F.col("_rest"), RFC5424, 6)).otherwise(F.regexp_replace("_rest", BSD_TIME, ""))))
-    rows = computed(rows).withColumn("_code", found(F.col("message"), MNEMONIC))
+    mark = F.substring_index(F.substring("_raw", 2, 5), ">", 1)
+    rows = df.withColumn("_raw", raw).withColumn("_pri", F.when(F.col("_raw").startswith("<") & mark.rlike(r"^\d{1,3}$") & (F.instr("_raw", ">") == F.length(mark) + 2), mark).cast("int"))
+    rows = rows.withColumn("_rest", F.when(F.col("_pri").isNotNull(), F.expr("substring(_raw, instr(_raw, '>') + 1)")).otherwise(F.col("_raw")))
+    rows = rows.withColumn("_f", F.when(F.col("_rest").startswith("1 "), F.split("_rest", " ", 7)))
+    whole = (F.size("_f") == 7) & ~F.array_contains(F.slice("_f", 1, 6), "")
+    data = F.get("_f", F.lit(6))
+    tail = F.when(data.startswith("-"), F.substring(data, 2, F.length(data))).when(data.startswith("[") & (F.instr(data, "]") > 0), F.substring(data, F.instr(data, "]") + 1, F.length(data)))
+    rows = rows.withColumn("_new", F.coalesce(whole & tail.isNotNull(), F.lit(False)))
+    rows = rows.withColumn("_time", F.when(~F.col("_new"), F.nullif(F.regexp_extract("_rest", _OLD_HEAD, 1), F.lit(""))))
+    rows = computed(rows)
+    rows = rows.withColumn("message", F.trim(F.when(F.col("_new"), tail).when(F.col("_time").isNotNull(), F.regexp_replace("_rest", _OLD_HEAD, "")).otherwise(F.col("_rest"))))
+    rows = computed(rows).withColumn("_code", vendor_code(F.col("message")))
     rows = rows.withColumn("kv", F.when(F.col("_code").isNull() & F.col("message").contains("logid="), pairs(F.col("message"))))
     rows = computed(rows)
     kv = lambda k: F.coalesce(F.col("kv")[k], F.lit(""))
+    app = F.get("_f", F.lit(3))
     vendor = F.concat(F.lit("FGT-"), kv("type"), F.lit("-"), kv("subtype"), F.when(kv("logdesc") != "", F.concat(F.lit("-"), F.replace(F.upper(kv("logdesc")), F.lit(" "), F.lit("_")))).otherwise(""))
     level = F.create_map(*[F.lit(x) for kv_ in LEVELS.items() for x in kv_])[kv("level")]
     rows = rows.withColumn("mnemonic", F.coalesce("_code", F.when(kv("logid") != "", vendor), F.when(F.col("_new") & (app != "-"), app), F.lit("")))
-    code_level = F.regexp_extract("_code", r"-(\d)-", 1).try_cast("int")
-    rows = rows.withColumn("severity", F.coalesce(F.when(F.size(F.split("_code", "-")) == 3, code_level), level, F.col("_pri") % 8, F.lit(6)).cast("int"))
+    rows = rows.withColumn("severity", F.coalesce(F.split_part("_code", F.lit("-"), F.lit(2)).try_cast("int"), level, F.col("_pri") % 8, F.lit(6)).cast("int"))
     rows = rows.withColumn("facility", F.coalesce(F.floor(F.col("_pri") / 8), F.lit(1)).cast("int"))
-    rows = rows.withColumn("ts", repaired_time(F.when(F.col("_new"), F.try_to_timestamp(found(F.col("_rest"), RFC5424, 1)).cast("timestamp_ntz")), F.col("_time"), F.col("recv")))
+    rows = rows.withColumn("ts", repaired_time(F.when(F.col("_new"), F.try_to_timestamp(F.get("_f", F.lit(1))).cast("timestamp_ntz")), F.col("_time"), F.col("recv")))
     return computed(rows.select(*[c for c in df.columns if c != "raw"], "facility", "severity", "mnemonic", "message", "kv", "ts"))
 
 
+def vendor_code(message: Column) -> Column:
+    """FACILITY-level-NAME of the first %FACILITY-level-NAME: in a message, in capitals; null without one."""
+    parts = F.split(message, "%")
+    codes = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.when(x.contains(":"), F.substring_index(x, ":", 1)))
+    fits = lambda x: x.isNotNull() & (F.size(F.split(x, "-")) == 3) & (F.length(F.split_part(x, F.lit("-"), F.lit(2))) == 1) & x.rlike("^[A-Z0-9_-]+$") & F.split_part(x, F.lit("-"), F.lit(2)).between("0", "9") & ~x.startswith("-") & ~x.endswith("-")
+    return F.get(F.filter(codes, fits), F.lit(0))
+
+
 def repaired_time(stamped: Column, bsd: Column, recv: Column) -> Column:
     """The sender's time, or the receive time where there is none or it is over 5 minutes ahead or a day behind.
 
@@ -80,17 +99,10 @@ def unknown_sources(df: DataFrame, devices: DataFrame) -> DataFrame:
     return df.join(devices.select(F.col("device_id").alias("host")), "host", "left_anti").groupBy("host").agg(F.count("*").alias("lines"))
 
 
-IF_NAME = r"(?i)interface ([A-Za-z\-]+[\d/\.:]+)"
-PEER = r"neighbor ([\d\.:a-fA-F]+)"
-USER = r"(?i)user[:= ]+'?([A-Za-z0-9_\-.@]+)'?"
-FROM = r"(?i)(?:from|by) ([\d\.]+)"
-CHANGED_BY = r"(?i)configured from \S+ by (\S+)"
-
-
 def classify(df: DataFrame) -> DataFrame:
     """At most one event for each line (mnemonic, message, severity, device_id): kind, event_severity, subject, dedup_key. The first family that fits counts."""
     up, msg = F.upper("mnemonic"), F.col("message")
-    low = F.lower(msg)
+    low, port = F.lower(msg), word_after(msg, "interface ", "[A-Za-z0-9./:-]")
     has = lambda text, *parts: F.greatest(*[F.instr(text, p) for p in parts], F.lit(0)) > 0
     link = (up.startswith("LINK-") | up.startswith("LINEPROTO-")) & has(up, "UPDOWN")
     config = has(up, "CONFIG_I", "CFGLOG_LOGGEDCMD", "CONFIG-CHANGE") | has(low, "configuration changed", "config changed")
@@ -109,7 +121,7 @@ def classify(df: DataFrame) -> DataFrame:
     kind = pick((fam == "link", F.when(down["link"], "link_down").otherwise("link_up")), (fam == "config", "config_changed"), (fam == "bgp", F.when(down["bgp"], "bgp_neighbor_down").otherwise("bgp_neighbor_up")), (fam == "ospf", F.when(down["ospf"], "ospf_adjacency_down").otherwise("ospf_adjacency_up")), (fam == "auth", "auth_failure"), (fam == "ha", "ha_state_change"), (fam == "env", "environment_fault"), (fam == "vpn", "vpn_tunnel_change"), (fam == "critical", "critical_log"))
     major = F.col("kind").isin("link_down", "bgp_neighbor_down", "ospf_adjacency_down", "ha_state_change", "critical_log") | ((F.col("kind") == "environment_fault") & (F.col("severity") < 5))
     severity = F.when(major, "major").when(F.col("kind").isin("config_changed", "vpn_tunnel_change"), "minor").otherwise("info")
-    subject = pick((fam == "link", found(msg, IF_NAME)), (fam == "config", F.coalesce(found(msg, CHANGED_BY), found(msg, USER))), (fam == "bgp", found(msg, PEER)), (fam == "auth", found(msg, FROM)))
+    subject = pick((fam == "link", F.when(port.rlike("^[A-Za-z]") & port.rlike("[0-9]"), port)), (fam == "config", F.coalesce(F.when(low.contains("configured from "), word_after(msg, " by ")), *[word_after(msg, f"user{x}", "[A-Za-z0-9_@.-]") for x in (" ", ":", "=")])), (fam == "bgp", word_after(msg, "neighbor ", "[0-9A-Fa-f.:]")), (fam == "auth", F.coalesce(word_after(msg, "from ", "[0-9.]"), word_after(msg, "by ", "[0-9.]"))))
     rows = computed(rows.withColumn("kind", kind).withColumn("subject", subject)).withColumn("event_severity", severity).where((fam != "link") | F.col("subject").isNotNull())
     dev = F.col("device_id").cast("string")
     key = pick((fam == "link", F.concat_ws(":", "kind", dev, "subject")), (fam == "config", F.concat_ws(":", F.lit("config_changed"), dev, F.date_format("recv", "yyyyMMddHHmm"))), (fam == "bgp", F.concat_ws(":", F.lit("bgp"), dev, F.coalesce("subject", F.lit("")))), (fam == "auth", F.concat_ws(":", F.lit("auth_failure"), dev)), (fam == "critical", F.concat_ws(":", F.lit("critical_log"), dev, "mnemonic")), (F.lit(True), F.concat_ws(":", fam, dev)))

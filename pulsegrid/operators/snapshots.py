@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +63,14 @@ def merge_inventory(found: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("_s", F.lit("down")).alias("status"), F.col("_k").isNull().alias("is_new"), F.col("_s").isNull().alias("missing"))
 
 
+def member_samples(found: DataFrame, known: DataFrame, controller: str, now: int) -> DataFrame:
+    """One poll sample for each monitored member of a controller (id, up / id, monitored): a found one by its state, a missing one as down; new ones count as monitored."""
+    rows = found.select("id", "up").join(known.select("id", "monitored"), "id", "full_outer").where(F.coalesce("monitored", F.lit(True)))
+    up = F.coalesce("up", F.lit(False))
+    error = F.when(F.col("up").isNull(), f"no longer listed by controller {controller}").when(~up, f"controller {controller} reports the access point down")
+    return rows.select(F.col("id").alias("device_id"), F.lit(now).alias("ts"), up.alias("reachable"), up.alias("snmp_ok"), error.alias("error"))
+
+
 def clients(stations: DataFrame, points: DataFrame) -> DataFrame:
     """Clients of each access point and SSID, with the point's total: the sum of its radios' counts, or of its SSIDs where that is 0."""
     each = stations.join(points.select("mac", "ap", "radio_clients"), "mac").groupBy("ap", "ssid", "radio_clients").agg(F.count("*").alias("clients"))
@@ -154,21 +162,35 @@ def route_changes(df: DataFrame) -> DataFrame:
 
 #: Lines that change by themselves, by platform.
 VOLATILE = {
-    "cisco-ios": r"^! (Last configuration change|NVRAM config last updated|No configuration change since)|^! Time:|^ntp clock-period|^Building configuration|^Current configuration",
-    "fortinet-fortigate": r"^#conf_file_ver=|^#buildno=|^#global_vdom=|^#config-version=",
-    "juniper": r"^## Last commit:|^## Last changed:|^# \d{4}-\d\d-\d\d",
-    "generic": r"^!.*(change|updated|Time)",
+    "cisco-ios": [r"^! (Last configuration change|NVRAM config last updated|No configuration change since)", r"^! Time:", r"^ntp clock-period", r"^Building configuration", r"^Current configuration"],
+    "cisco-nxos": [r"^!Command:", r"^!Running configuration last done at", r"^!Time:", r"^!No entry for"],
+    "cisco-asa": [r"^: (Written by|Saved|Serial Number|Hardware|Call-home)", r"^ASA Version", r"^Cryptochecksum", r"^\s*$"],
+    "fortinet-fortigate": [r"^#conf_file_ver=", r"^#buildno=", r"^#global_vdom=", r"^#config-version="],
+    "paloalto": [r"^Entering configuration mode", r"^\[edit\]"],
+    "juniper": [r"^## Last commit:", r"^## Last changed:", r"^# \d{4}-\d\d-\d\d"],
+    "aruba-aos-s": [r"^; .* Configuration Editor; Created on release", r"^; Ver "],
+    "aruba-aos-cx": [r"^Current configuration:", r"^!Version", r"^!export-password"],
+    "mikrotik": [r"^# \w{3}/\d\d/\d{4} \d\d:\d\d:\d\d by RouterOS", r"^# [0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]+ by RouterOS", r"^# software id =", r"^# model =", r"^# serial number ="],
+    "huawei": [r"^!Software Version", r"^!Last configuration was"],
+    "ubiquiti": [r"^set system .*(login|time-zone)"],
+    "net-snmp": [r"^\s*valid_lft"],
+    "generic": [r"^!.*(change|updated|Time)"],
 }
 
 
-def normalised(config: Column, platform: str = "generic") -> Column:
-    """A configuration without its volatile lines and trailing blanks, ended by one line feed."""
-    lines = F.filter(F.split(config, "\n", -1), lambda x: ~x.rlike(VOLATILE[platform]))
-    body = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "[ \t]+$", "")), "\n")
+def normalised(config: Column, platform: Column | str = "generic") -> Column:
+    """A configuration without the volatile lines of its platform (another name counts as generic) and trailing blanks, ended by one line feed."""
+    lines = F.split(config, "\n", -1)
+    keep = lambda name: F.filter(lines, lambda x: ~x.rlike("|".join(f"(?:{p})" for p in VOLATILE[name])))
+    kept = keep(platform) if isinstance(platform, str) else keep("generic")
+    if not isinstance(platform, str):
+        for name in VOLATILE:
+            kept = F.when(platform == name, keep(name)).otherwise(kept)
+    body = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "[ \t]+$", "")), "\n")
     return F.concat(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
-def versions(df: DataFrame, platform: str = "generic") -> DataFrame:
+def versions(df: DataFrame, platform: Column | str = "generic") -> DataFrame:
     """Versions that differ from the one before by the hash of their normalised text, and how often each was seen again."""
     w = Window.partitionBy("device_id").orderBy("seq")
     rows = df.withColumn("hash", F.sha2(normalised(F.col("config"), platform), 256))
@@ -176,31 +198,50 @@ def versions(df: DataFrame, platform: str = "generic") -> DataFrame:
     return rows.groupBy("device_id", "version").agg(F.min("seq").alias("seq"), F.min_by("hash", "seq").alias("hash"), (F.count("*") - 1).alias("unchanged"), F.min_by("config", "seq").alias("config"))
 
 
+def common_lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of x and each head of y (0 to all of its lines), a bit for each line of y."""
+    places: dict[str, int] = {}
+    for j, line in enumerate(y):
+        places[line] = places.get(line, 0) | 1 << j
+    every = (1 << len(y)) - 1
+    row = every
+    for line in x:
+        hit = row & places.get(line, 0)
+        if hit:
+            row = (row + hit | row - hit) & every
+    steps = 1 - np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+
+
+def matched(x: list[str], y: list[str], at: int = 0, to: int = 0) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of x and y (in texts where they begin at `at` and `to`).
+
+    x is halved and y cut where both halves together have most in common, and so on: memory grows with the lines, whatever the texts.
+    """
+    if not x or not y:
+        return []
+    if len(x) == 1:
+        return [(at, to + y.index(x[0]))] if x[0] in y else []
+    mid = len(x) // 2
+    head, tail = common_lengths(x[:mid], y), common_lengths(x[mid:][::-1], y[::-1])[::-1]
+    cut = int((head + tail).argmax())
+    return matched(x[:mid], y[:cut], at, to) + matched(x[mid:], y[cut:], at + mid, to + cut)
+
+
 def line_ops(old: str, new: str) -> list[tuple[str, str]]:
-    """Lines as equal, removed or added: the least number of removed and added lines, by longest common subsequence."""
+    """Lines as equal, removed or added, with the least number of removed and added ones at every size; removed ones come before added ones."""
     a, b = old.split("\n"), new.split("\n")
     head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     tail = next((i for i, (x, y) in enumerate(zip(reversed(a[head:]), reversed(b[head:]))) if x != y), min(len(a), len(b)) - head)
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) * len(y) > 4_000_000:  # too long for the exact table: matching blocks
-        mid = [op for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for op in ([("=", s) for s in x[i:j]] if tag == "equal" else [("-", s) for s in x[i:j]] + [("+", s) for s in y[k:m]])]
-    else:
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if x[i] == y[j] else max(table[i + 1][j], table[i][j + 1])
-        mid, i, j = [], 0, 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i] == y[j]:
-                mid.append(("=", x[i]))
-                i, j = i + 1, j + 1
-            elif j == len(y) or (i < len(x) and table[i + 1][j] >= table[i][j + 1]):
-                mid.append(("-", x[i]))
-                i += 1
-            else:
-                mid.append(("+", y[j]))
-                j += 1
-    return [("=", s) for s in a[:head]] + mid + [("=", s) for s in a[len(a) - tail :]]
+    same = matched(a[head : len(a) - tail], b[head : len(b) - tail], head, head)
+    out: list[tuple[str, str]] = [("=", s) for s in a[:head]]
+    i = j = head
+    for k, m in [*same, (len(a) - tail, len(b) - tail)]:
+        out += [("-", s) for s in a[i:k]] + [("+", s) for s in b[j:m]]
+        if k < len(a) - tail:
+            out.append(("=", a[k]))
+        i, j = k + 1, m + 1
+    return out + [("=", s) for s in a[len(a) - tail :]]
 
 
 def hunks(ops: list[tuple[str, str]], context: int = 3) -> list[str]:
@@ -239,6 +280,12 @@ def consecutive(versions_: DataFrame) -> DataFrame:
     return versions_.select("device_id", "seq", F.lag("config").over(w).alias("old"), F.col("config").alias("new")).where("old is not null")
 
 
+def chosen(versions_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Any two versions' texts side by side: wanted names device_id, old_seq, new_seq."""
+    text = lambda seq, name: versions_.select("device_id", F.col("seq").alias(seq), F.col("config").alias(name))
+    return wanted.join(text("old_seq", "old"), ["device_id", "old_seq"]).join(text("new_seq", "new"), ["device_id", "new_seq"])
+
+
 def keep_newest(df: DataFrame, key: str, order: str, most: int = 50) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

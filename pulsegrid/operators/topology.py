@@ -108,8 +108,8 @@ def neighbours(links: DataFrame) -> DataFrame:
 
 def infer_roles(devices: DataFrame, links: DataFrame) -> DataFrame:
     """Roles of switches by site: the two best connected (within one of the top, preferably at the edge) are core, those between
-    the core and another switch distribution, others access. Other devices and locked roles stay."""
-    peers = neighbours(links)
+    the core and another switch distribution, others access. Other devices and locked roles stay; external and stale links don't count."""
+    peers = neighbours(links.where("not external and not stale"))
     role = devices.select(F.col("device_id").alias("peer"), F.col("role").alias("peer_role"))
     facts = peers.join(role, "peer", "left").groupBy("device_id").agg(F.count("*").alias("degree"), F.max(F.coalesce(F.col("peer_role").isin("router", "firewall"), F.lit(False))).alias("edge"))
     switch = devices.where(F.col("role").isin(*SWITCHES)).join(facts, "device_id", "left").select("device_id", "site_id", "name", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("edge", F.lit(False)).alias("edge"))
@@ -126,7 +126,7 @@ def infer_roles(devices: DataFrame, links: DataFrame) -> DataFrame:
 def parents(devices: DataFrame, links: DataFrame) -> DataFrame:
     """Upstream device of each device: breadth first from every site's root (router before core before distribution before others, then most links, then the smallest id).
 
-    Of equally near parents the smallest id counts. Each hop joins the frontier to the links and is checkpointed, until none is new:
+    Of equally near parents the smallest id counts; a device that no path reaches has neither parent nor hop. Each hop joins the frontier to the links and is checkpointed, until none is new:
     a device beside the last hop is in it, in the hop before or new.
     """
     order = F.when(F.col("role").isin("router", "firewall"), 0).when(F.col("role") == "core", 1).when(F.col("role") == "distribution", 2).otherwise(3)
@@ -144,11 +144,13 @@ def parents(devices: DataFrame, links: DataFrame) -> DataFrame:
         step = step.join(near, "device_id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         done = done.unionByName(step)
         before, last = last, step
-    return done
+    rest = devices.select("device_id").join(done, "device_id", "left_anti")
+    return done.unionByName(rest.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("hop")))
 
 
 def impact(tree: DataFrame) -> DataFrame:
     """Number of devices below each one in the parent tree."""
+    with_checkpoints(tree.sparkSession)
     level = tree.where("parent is not null").select("device_id", F.col("parent").alias("above"))
     up = level.select(F.col("device_id").alias("above"), F.col("above").alias("next"))
     total = level.select("above")
@@ -161,14 +163,19 @@ def impact(tree: DataFrame) -> DataFrame:
     return tree.select("device_id").join(counts, "device_id", "left").select("device_id", F.coalesce("below", F.lit(0)).alias("below"))
 
 
-def view(links: DataFrame, devices: DataFrame, alerts: DataFrame, site: int, least: float = 0.5) -> DataFrame:
-    """Links of a site's devices that are sure enough, with the open alerts of both ends."""
-    own = devices.where(F.col("site_id") == site).select("device_id")
-    n = alerts.where("state <> 'resolved'").groupBy("device_id").agg(F.count("*").alias("n"))
-    rows = links.where(F.col("confidence") >= least).join(own.withColumnRenamed("device_id", "a_device"), "a_device", "left_semi")
+def view(links: DataFrame, devices: DataFrame, alerts: DataFrame, site: int | None = None, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Links and nodes of a site (or of all): links that are sure enough or manual and have an end in it; its devices with their open
+    alerts, and a node of status unknown for the external end of each link shown, one for each name."""
+    own = devices if site is None else devices.where(F.col("site_id") == site)
+    n = alerts.where("state <> 'resolved'").groupBy("device_id").agg(F.count("*").alias("alerts"))
+    rows = links.where((F.col("confidence") >= least) | F.col("manual"))
     for s in ("a", "b"):
-        rows = rows.join(n.select(F.col("device_id").alias(f"{s}_device"), F.col("n").alias(f"{s}_alerts")), f"{s}_device", "left")
-    return rows.withColumns({f"{s}_alerts": F.coalesce(f"{s}_alerts", F.lit(0)) for s in ("a", "b")})
+        rows = rows.join(own.select(F.col("device_id").alias(f"{s}_device"), F.lit(True).alias(f"_{s}")), f"{s}_device", "left")
+        rows = rows.join(n.select(F.col("device_id").alias(f"{s}_device"), F.col("alerts").alias(f"{s}_alerts")), f"{s}_device", "left")
+    rows = rows.where("_a or _b").drop("_a", "_b").withColumns({f"{s}_alerts": F.coalesce(f"{s}_alerts", F.lit(0)) for s in ("a", "b")})
+    inside = own.join(n, "device_id", "left").select(F.col("device_id").cast("string").alias("node"), "name", "role", "status", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.lit(False).alias("external"))
+    outside = rows.where("external").groupBy(F.concat(F.lit("ext:"), F.lower("external_name")).alias("node")).agg(F.min("external_name").alias("name"))
+    return rows, inside.unionByName(outside.select("node", "name", F.lit("other").alias("role"), F.lit("unknown").alias("status"), F.lit(0).alias("alerts"), F.lit(True).alias("external")))
 
 
 def hold_over(snapshots: DataFrame, now: int, age: int = 7200) -> DataFrame:

@@ -22,15 +22,15 @@ def e2(d: Data):
     return d("v_fdb").where(is_multicast(F.col("mac")) | (is_multicast(turned) & F.substring("mac", 12, 1).isin("1", "3"))).groupBy("mac").agg(F.count("*").alias("n"))
 
 
-CHASSIS = "select device_id, lower(lpad(hex(device_id * 3), 12, '0')) as mac from v_devices"
+CHASSIS = "select device_id, lower(lpad(hex(device_id * 20), 12, '0')) as mac from v_devices"
 UPLINKS = f"""select device_id, if_index from v_interfaces where if_index = 1 union select a_device, 2 from v_links union
- select f.device_id, f.if_index from v_fdb f join ({CHASSIS}) c using (mac) where c.device_id <> f.device_id and f.if_index >= 6"""
+ select f.device_id, f.if_index from v_fdb f join ({CHASSIS}) c using (mac) where c.device_id <> f.device_id"""
 
 
 def _uplinks(d: Data):
     ends = d("v_interfaces").where("if_index = 1").select("device_id", "if_index")
     peers = d("v_links").select(F.col("a_device").alias("device_id"), F.lit(2).cast("long").alias("if_index"))
-    return O.uplink_ports(d("v_fdb").where("if_index >= 6"), ends, peers, d.sql(CHASSIS))
+    return O.uplink_ports(d("v_fdb"), ends, peers, d.sql(CHASSIS))
 
 
 @query("E3_uplinks", f"select device_id, if_index::BIGINT as if_index from ({UPLINKS})")
@@ -59,11 +59,14 @@ def e5(d: Data):
     return _placed(d)
 
 
-@query("E6_moves", PLACED + """, o as (select mac, device_id as from_device, case when load % 2 = 0 then 9 else if_index end as from_if, ts as from_ts from placed)
-select p.mac, device_id, if_index, from_device, from_if from placed p join o using (mac) where if_index <> from_if""")
+_BEFORE = "select mac, device_id, case when load % 2 = 0 then 9 else if_index end as if_index, ts - interval '1' hour * cast(load % 40 as int) as ts from placed"
+
+
+@query("E6_moves", PLACED + f""", o as ({_BEFORE})
+select p.mac, p.device_id, p.if_index, o.device_id as from_device, o.if_index as from_if from placed p join o on o.mac = p.mac where p.if_index <> o.if_index and p.load % 40 < 24""")
 def e6(d: Data):
     now = _placed(d)
-    before = now.withColumn("if_index", F.when(F.col("load") % 2 == 0, 9).otherwise(F.col("if_index")))
+    before = d.spark.sql(_BEFORE.replace("placed", "{placed}"), placed=now)
     return O.moves(now, before, now).select("mac", "device_id", "if_index", "from_device", "from_if")
 
 
@@ -84,9 +87,21 @@ def e8(d: Data):
     return O.vendor_of(d.sql(MACS), d.spark.createDataFrame(VENDORS, "prefix string, vendor string"))
 
 
-@query("E9_search", f"select mac, seen from ({ARP}) where exists (select 1 from (select unnest(string_split(ips, ',')) as i) where starts_with(i, '10.2.1.')) order by seen desc, mac limit 200")
+_KNOWN = f"""select mac, ips, seen, device_id, if_index, arp_device, 'Vendor' || right(mac, 1) as vendor, 'Gi0/' || cast(if_index as varchar(9)) as if_name from ({{placed}}) p full join ({{arp}}) a using (mac)
+ left join (select mac, max(device_id) as arp_device from v_arp group by mac) x using (mac)"""
+_SCOPES = [("ip", "starts_with(i, '10.2.1.')", "10.2.1.", None, None), ("mac", "contains(mac, '00009')", "00:00:9", None, None), ("port", "contains(lower(if_name), 'gi0/4')", "GI0/4", None, None), ("vendor", "lower(vendor) = 'vendora'", "vendorA", None, None), ("device", "device_id = 5 or arp_device = 5", "", 5, None), ("on_port", "device_id = 5 and if_index = 3", "", 5, 3)]
+
+
+@query("E9_search", PLACED + f", k as ({_KNOWN.format(placed='select * from placed', arp=ARP)}) " + " union all ".join(
+    f"(select '{n}' as part, mac, seen from k where {'exists (select 1 from (select unnest(string_split(ips, chr(44))) as i) where ' + w + ')' if n == 'ip' else w} order by seen desc nulls last, mac limit 200)" for n, w, *_ in _SCOPES))
 def e9(d: Data):
-    return O.search(O.arp_merge(d("v_arp")).withColumn("vendor", F.lit("")), "10.2.1.").select("mac", "seen")
+    seen_by = d("v_arp").groupBy("mac").agg(F.max("device_id").alias("arp_device"))
+    rows = _placed(d).select("mac", "device_id", "if_index").join(O.arp_merge(d("v_arp")), "mac", "full_outer").join(seen_by, "mac", "left")
+    rows = rows.withColumns({"vendor": F.concat(F.lit("Vendor"), F.right("mac", F.lit(1))), "if_name": F.concat(F.lit("Gi0/"), F.col("if_index").cast("string"))})
+    out = [O.search(rows, text, device, port).select(F.lit(n).alias("part"), "mac", "seen") for n, _, text, device, port in _SCOPES]
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("E10_per_port", PLACED + " select device_id, if_index, count(*) as endpoints from placed group by 1, 2")

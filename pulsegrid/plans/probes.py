@@ -51,13 +51,17 @@ def q5(d: Data):
     return O.route_changes(rows)
 
 
-CONFIGS = "select device_id, floor(seq / 3) as grp, seq, concat('! Time: ', cast(seq as varchar(9)), chr(10), '!last change ', cast(seq as varchar(9)), chr(10), substr(first_value(config) over (partition by device_id, floor(seq / 3) order by seq), 1, 200), chr(9)) as config from v_config_versions"
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(config, '(^|\n)(!.*(change|updated|Time).*(\n|$))+', '\1', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') || chr(10)"
+#: Each version's whole text is seen twice, each time behind another volatile line of the device's platform and with trailing blanks.
+HEADS = {"cisco-ios": "! Time: %", "cisco-nxos": "!Command: %", "cisco-asa": "ASA Version %", "fortinet-fortigate": "#buildno=%", "paloalto": "[edit] %", "juniper": "## Last commit: %", "aruba-aos-s": "; Ver %", "aruba-aos-cx": "!Version %", "mikrotik": "# software id = %", "huawei": "!Software Version %", "ubiquiti": "set system x login %", "net-snmp": "  valid_lft %", "generic": "! last change %", "other": "! updated %"}
+_PLATFORM = "case device_id % 14 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(HEADS)) + " end"
+_HEAD = "case device_id % 14 " + " ".join(f"when {i} then '{h}'" for i, h in enumerate(HEADS.values())) + " end"
+CONFIGS = f"select device_id, seq * 2 + k as seq, {_PLATFORM} as platform, source, concat(replace({_HEAD}, '%', cast(seq * 2 + k as varchar(9))), chr(10), '  ', config, chr(9), ' ', chr(10), chr(10)) as config from v_config_versions, (select 0 as k union all select 1) two"
+NORMAL = "trim(array_to_string(list_transform(list_filter(string_split(config, chr(10))[2:], lambda x: device_id % 14 <> 2 or trim(x) <> ''), lambda x: rtrim(x, ' ' || chr(9))), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) || chr(10)"
 
 
 @query("C1_normalised", f"select device_id, seq, md5({NORMAL}) as hash from ({CONFIGS})")
 def c1(d: Data):
-    return d.sql(CONFIGS).select("device_id", "seq", F.md5(O.normalised(F.col("config")).cast("binary")).alias("hash"))
+    return d.sql(CONFIGS).select("device_id", "seq", F.md5(O.normalised(F.col("config"), F.col("platform")).cast("binary")).alias("hash"))
 
 
 @query("C2_versions", f"""
@@ -65,17 +69,34 @@ with h as (select device_id, seq, sha256({NORMAL}) as hash from ({CONFIGS})), n
 v as (select *, sum(new) over (partition by device_id order by seq) as version from n)
 select device_id, version::BIGINT as version, min(seq) as seq, count(*) - 1 as unchanged from v group by 1, 2""")
 def c2(d: Data):
-    return O.versions(d.sql(CONFIGS)).select("device_id", "version", "seq", "unchanged")
+    return O.versions(d.sql(CONFIGS), F.col("platform")).select("device_id", "version", "seq", "unchanged")
 
 
 LINES = "select device_id, seq, replace(replace(config, '. ', concat('.', chr(10))), ', ', chr(10)) as config from v_config_versions"
 
 
-@query("C3_line_diffs")
+#: Lengths of longest common subsequences: a row of the table for each line of the old text, each a running maximum over the row before.
+_LCS = """l as (select *, string_split(old, chr(10)) as x, string_split(new, chr(10)) as y from p),
+f as (select id, 0 as i, list_transform(range(0, len(y) + 1), lambda k: 0) as row from l union all
+ select id, i + 1, list_prepend(0, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j]))) from (
+  select l.id, f.i, list_transform(range(1, len(y) + 1), lambda j: greatest(f.row[j + 1], case when y[j] = x[f.i + 1] then f.row[j] + 1 else 0 end)) as c from f join l on l.id = f.id and f.i < len(x))),
+d as (select l.*, (len(y) - f.row[-1])::INT as added, (len(x) - f.row[-1])::INT as removed from l join f on f.id = l.id and f.i = len(x))"""
+_STEPS = f"select device_id, seq, device_id * 1000 + seq as id, lag(config) over (partition by device_id order by seq) as old, config as new from ({LINES})"
+
+
+@query("C3_line_diffs", f"with recursive p as (select * from ({_STEPS}) where old is not null), {_LCS} select device_id, seq, added, removed from d")
 def c3(d: Data):
     return O.diffs(O.consecutive(d.sql(LINES))).select("device_id", "seq", "added", "removed")
 
 
+_ENDS = f"select device_id, min(seq) as old_seq, max(seq) as new_seq from ({LINES}) x group by device_id"
+
+
+@query("C3_any_two", f"with recursive e as ({_ENDS}), p as (select e.*, e.device_id as id, o.config as old, n.config as new from e join ({LINES}) o on o.device_id = e.device_id and o.seq = old_seq join ({LINES}) n on n.device_id = e.device_id and n.seq = new_seq), {_LCS} select device_id, old_seq, new_seq, added, removed from d")
+def c3_any_two(d: Data):
+    return O.diffs(O.chosen(d.sql(LINES), d.sql(_ENDS))).select("device_id", "old_seq", "new_seq", "added", "removed")
+
+
 @query("C4_hunks")
 def c4(d: Data):
     return O.diffs(O.consecutive(d.sql(LINES))).select("device_id", "seq", "n_hunks", "diff")

@@ -7,24 +7,37 @@ from pyspark.sql import functions as F
 from ..functions.columns import readable_bytes, readable_duration, readable_speed
 from ..operators import metrics as M
 from ..operators import reports as O
-from .registry import Data, query
+from .probes import _LCS, _STEPS, LINES
+from .registry import ORACLES, Data, query
 
 START, STOP = 1704672000, 1705881600
 _IN = f"floor(epoch(opened_at)) >= {START} and floor(epoch(opened_at)) < {STOP}"
 
 
-@query("R1_availability", f"""
+AVAILABLE = f"""
 with o as (select device_id, greatest(least(coalesce(floor(epoch(resolved_at)), {STOP}), {STOP}) - greatest(floor(epoch(opened_at)), {START}), 0)::BIGINT as s from v_alerts where rule = 'device_down' and floor(epoch(opened_at)) < {STOP} and coalesce(floor(epoch(resolved_at)), {STOP}) > {START}),
 g as (select device_id, sum(s)::BIGINT as down_s, count(*) as incidents, max(s) as longest_s from o group by 1),
 d as (select device_id, {START} + device_id * 40000 as created, {STOP} - greatest({START} + device_id * 40000, {START}) as span from v_devices where monitored)
-select device_id, coalesce(down_s, 0) as down_s, coalesce(incidents, 0) as incidents, coalesce(longest_s, 0) as longest_s, case when span > 0 then round(greatest(0.0, (span - coalesce(down_s, 0)) / span * 100), 4) else 100.0 end as availability from d left join g using (device_id)""")
-def r1(d: Data):
+select device_id, coalesce(down_s, 0) as down_s, coalesce(incidents, 0) as incidents, coalesce(longest_s, 0) as longest_s, case when span > 0 then round(greatest(0.0, (span - coalesce(down_s, 0)) / span * 100), 4) else 100.0 end as availability from d left join g using (device_id)"""
+
+
+def _availability(d: Data):
     t = lambda c: F.floor(F.col(c).cast("timestamp").cast("double")).cast("long")
     outages = d("v_alerts").where("rule = 'device_down'").select("device_id", t("opened_at").alias("opened"), t("resolved_at").alias("resolved"))
     devices = d("v_devices").where("monitored").select("device_id", (F.lit(START) + F.col("device_id") * 40000).alias("created"))
     return O.availability(devices, outages, START, STOP)
 
 
+@query("R1_availability", AVAILABLE)
+def r1(d: Data):
+    return _availability(d)
+
+
+@query("R1_figures", f"select round(avg(availability), 4) as average, count_if(availability < 99.9)::BIGINT as below, count(*) as devices from ({AVAILABLE})")
+def r1_figures(d: Data):
+    return O.availability_figures(_availability(d))
+
+
 @query("R2_alert_causes", f"""
 with r as (select rule, (floor(epoch(resolved_at)) - floor(epoch(opened_at)))::BIGINT as ttr from v_alerts where {_IN}),
 m as (select rule, ttr from (select *, row_number() over (partition by rule order by ttr) as k, count(*) over (partition by rule) as c from r where ttr is not null) where k = c // 2 + 1)
@@ -33,15 +46,27 @@ def r2(d: Data):
     return O.alert_causes(d("v_alerts"), START, STOP)
 
 
+@query("R2_severities", f"select severity, count(*) as n from v_alerts where {_IN} group by 1")
+def r2_severities(d: Data):
+    return O.alert_severities(d("v_alerts"), START, STOP)
+
+
 @query("R3_noisiest", "select device_id, count(*) as alerts, sum(occurrences)::BIGINT as occurrences from v_alerts group by 1 order by 2 desc, 3 desc, 1 limit 15")
 def r3(d: Data):
     return O.noisiest(d("v_alerts"))
 
 
-@query("R4_busiest_interfaces", "select device_id, if_index, least(in_bps / (speed_mbps * 1000000) * 100, 100.0) as in_pct, least(out_bps / (speed_mbps * 1000000) * 100, 100.0) as out_pct from v_interfaces order by greatest(in_pct, out_pct) desc, 1, 2 limit 25")
+RATED = ORACLES["M9_counter_rates"]
+
+
+@query("R4_busiest_interfaces", f"""
+with q as ({RATED}), v as (select device_id, if_index, 'in' as dir, bps64 as v from q where bps64 is not null union all select device_id, if_index, 'out', bps32 from q where bps32 is not null),
+t as (select device_id, if_index, dir, round(avg(v), 6) as mean, max(v) as peak from v group by 1, 2, 3)
+select t.device_id, t.if_index, dir, round(mean * 100 / (speed_mbps * 1000000), 6) as avg_pct, round(least(peak * 100 / (speed_mbps * 1000000), 100.0), 6) as peak_pct
+from t join v_interfaces i on i.device_id = t.device_id and i.if_index = t.if_index where speed_mbps > 0 order by peak * 100 / (speed_mbps * 1000000) desc, 1, 2, 3 limit 25""")
 def r4(d: Data):
-    rows = d("v_interfaces")
-    return O.busiest(rows.select("device_id", "if_index", M.utilisation(F.col("in_bps"), F.col("speed_mbps")).alias("in_util"), M.utilisation(F.col("out_bps"), F.col("speed_mbps")).alias("out_util")))
+    rates = M.counters_to_rates(d("v_if_counters")).select("device_id", "if_index", F.inline(F.array(*[F.struct(F.lit(n).alias("dir"), F.col(c).alias("v")) for n, c in (("in", "bps64"), ("out", "bps32"))])))
+    return O.busiest(rates.where("v is not null").withColumn("max", F.col("v")), d("v_interfaces"))
 
 
 @query("R5_device_load", """
@@ -63,12 +88,31 @@ def r7(d: Data):
     return O.changes(d("events").select(F.col("event_id").alias("id"), "ts", kind.alias("kind")), START, STOP)
 
 
+_STORED = "select device_id, seq as version, timestamp '2024-01-08 00:00:00' + interval '1' hour * cast(seq * 5 - device_id % 3 as int) as ts, source from v_config_versions"
+
+
+@query("R7_stored_versions", f"with recursive p as (select * from ({_STEPS}) where old is not null), {_LCS}, a as ({_STORED}) select a.device_id, name as device, version, ts, source, added, removed from a join d on d.device_id = a.device_id and d.seq = version join v_devices v on v.device_id = a.device_id where epoch(ts) >= {START} + 7200 and added + removed > 0")
+def r7_versions(d: Data):
+    from ..operators import snapshots as S
+
+    changed = S.diffs(S.consecutive(d.sql(LINES))).select("device_id", F.col("seq").alias("version"), "added", "removed")
+    rows = d.sql(_STORED).join(changed, ["device_id", "version"])
+    return O.stored_versions(rows, d("v_devices"), START + 7200).select("device_id", "device", "version", "ts", "source", "added", "removed")
+
+
 @query("R8_endpoint_vendors", "select 'v' || (('0x' || mac)::BIGINT % 30)::VARCHAR as vendor, count(*) as endpoints, sum((first >= 915148800)::INT)::BIGINT as new from (select mac, min(floor(epoch(ts)))::BIGINT as first from v_fdb group by 1) group by 1 order by 2 desc, 1 limit 20")
 def r8(d: Data):
     rows = d("v_fdb").groupBy("mac").agg(F.min(F.floor(F.col("ts").cast("timestamp").cast("double"))).cast("long").alias("first"))
     return O.endpoint_report(rows.withColumn("vendor", F.concat(F.lit("v"), (F.conv("mac", 16, 10).cast("long") % 30).cast("string"))), 915148800)
 
 
+@query("R8_endpoints_per_switch", "select device_id, count(*) as endpoints from (" + ORACLES["E5_placed"] + ") group by 1")
+def r8_switches(d: Data):
+    from .endpoints import _placed
+
+    return O.endpoints_per_switch(_placed(d))
+
+
 @query("R9_probe_table", "select probe_id, 'probe ' || probe_id::VARCHAR as name, count(*) as runs, round(avg(ok::INT) * 100, 6) as ok_pct from (select *, row_number() over (partition by probe_id order by ts desc, run_id desc) as n from v_probe_results) where n <= 120 group by 1")
 def r9(d: Data):
     from ..operators.snapshots import probe_summary
@@ -95,15 +139,23 @@ def r11(d: Data):
     return rows.select("l_orderkey", "l_linenumber", readable_duration(F.col("s")).alias("duration"), readable_speed(F.col("m")).alias("speed"), F.split_part(readable_bytes(F.col("b")), F.lit(" "), F.lit(2)).alias("unit"))
 
 
-@query("X1_findings", """
-select a.id, rule || ':' || a.device_id::VARCHAR as fingerprint, 'check.' || rule as "check", coalesce(case when d.name <> ip then d.name || ' (' || ip || ')' end, d.name, ip, a.device_id::VARCHAR) as target,
- case severity when 'critical' then 'critical' when 'major' then 'high' when 'minor' then 'medium' else 'info' end as severity, case when state = 'acked' then 'acknowledged' else state end as status, coalesce(s.name, a.site_id::VARCHAR) as "group", 3 + case when d.device_id is not null then 2 else 0 end + case when s.site_id is not null then 1 else 0 end as n_evidence
-from v_alerts a left join v_devices d on d.device_id = a.device_id left join v_sites s on s.site_id = a.site_id""")
-def x1(d: Data):
-    alerts = d("v_alerts").withColumn("dedup_key", F.concat_ws(":", "rule", F.col("device_id").cast("string")))
-    return O.findings(alerts, d("v_devices"), d("v_sites")).withColumn("n_evidence", F.size("evidence")).drop("evidence")
+_ALERTED = """select id, case when id % 6 = 2 then null else device_id end as device_id, site_id, rule, severity, state, occurrences, concat(rule, ':', cast(device_id as varchar(20))) as dedup_key,
+ case id % 6 when 1 then concat(cast(device_id as varchar(20)), '/', cast(1 + id % 9 as varchar(9))) when 2 then concat('p', cast(id % 80 as varchar(9))) when 3 then concat('p', cast(id % 80 as varchar(9))) when 4 then 'thing' end as object from v_alerts"""
+_PORTS = "select concat(cast(device_id as varchar(20)), '/', cast(if_index as varchar(9))) as object, name, case when if_index % 2 = 0 then alias else '' end as alias from v_interfaces"
+_PROBES = "select distinct concat('p', cast(probe_id as varchar(20))) as object, concat('probe ', cast(probe_id as varchar(20))) as name, concat('https://t', cast(probe_id as varchar(20))) as target, 'http' as type from v_probe_results"
 
 
+@query("X1_findings", f"""
+with a as ({_ALERTED}), i as ({_PORTS}), p as ({_PROBES})
+select a.id, dedup_key as fingerprint, 'check.' || rule as "check",
+ coalesce(nullif(concat_ws(' ', coalesce(d.name || ' (' || d.ip || ')', case when p.name is null then a.device_id::VARCHAR end, p.target), case when p.name is null then i.name end), ''), a.object) as target,
+ case severity when 'critical' then 'critical' when 'major' then 'high' when 'minor' then 'medium' else 'info' end as severity, case when state = 'acked' then 'acknowledged' else state end as status, coalesce(s.name, a.site_id::VARCHAR) as "group",
+ 2 + (a.object is not null)::INT + 2 * (d.device_id is not null)::INT + (s.site_id is not null)::INT + 3 * (p.name is not null)::INT + (i.name is not null)::INT + coalesce(i.alias <> '', false)::INT as n_evidence
+from a left join v_devices d on d.device_id = a.device_id left join v_sites s on s.site_id = a.site_id left join i on i.object = a.object left join p on p.object = a.object""")
+def x1(d: Data):
+    made = O.findings(d.sql(_ALERTED), d("v_devices"), d("v_sites"), d.sql(_PORTS), d.sql(_PROBES))
+    return made.withColumn("n_evidence", F.size("evidence")).drop("evidence")
+
 
 @query("X2_sanitised_evidence", """select event_id as id, '{"deep": {"a": {"b": "[omitted: nested too deep]"}}, "k": ' || event_id::VARCHAR || ', "list": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], "note": "' || event_type || '"}' as evidence from events""")
 def x2(d: Data):

@@ -63,6 +63,14 @@ def n6(d: Data):
     return O.merge_inventory(devices.where("device_id % 3 <> 0").select(F.col("device_id").alias("id"), "status"), devices.where("device_id % 4 <> 1").select(F.col("device_id").alias("id")))
 
 
+@query("N6_member_samples", """
+select coalesce(f.id, k.id) as device_id, 99 as ts, coalesce(up, false) as reachable, coalesce(up, false) as snmp_ok, case when f.id is null then 'no longer listed by controller wlc' when not up then 'controller wlc reports the access point down' end as error
+from (select device_id as id, status <> 'down' as up from v_devices where device_id % 3 <> 0) f full join (select device_id as id, monitored from v_devices where device_id % 4 <> 1) k on f.id = k.id where coalesce(monitored, true)""")
+def n6_samples(d: Data):
+    devices = d("v_devices").withColumnRenamed("device_id", "id").withColumn("up", F.col("status") != "down")
+    return O.member_samples(devices.where("id % 3 <> 0"), devices.where("id % 4 <> 1"), "wlc", 99)
+
+
 @query("N7_wireless_overview", "select site_id, count(*) as points, sum(n)::BIGINT as clients from v_devices d join (select device_id, count(distinct mac) as n from v_fdb group by 1) f using (device_id) where role in ('ap', 'access') group by 1")
 def n7(d: Data):
     points = d("v_devices").where("role in ('ap', 'access')").join(d("v_fdb").groupBy("device_id").agg(F.countDistinct("mac").alias("n")), "device_id")

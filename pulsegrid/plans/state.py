@@ -44,10 +44,14 @@ f as (select device_id, sample_id, ts, n, case when r then 0 else 1 end as fails
  from f join s on s.device_id = f.device_id and s.n = f.n + 1)"""
 
 
-def _status(d: Data):
+def polls(d: Data):
+    """The polls with what their status depends on."""
     hit = lambda k, x, n: (F.col("device_id") % k == x) & (F.col("sample_id") % n[0] < n[1])
-    rows = d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), hit(9, 0, (20, 5)).alias("maintenance"), hit(4, 1, (2, 1)).alias("upstream_down"))
-    return O.device_status(rows, "device_id", ["ts", "sample_id"], 2)
+    return d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), hit(9, 0, (20, 5)).alias("maintenance"), hit(4, 1, (2, 1)).alias("upstream_down"))
+
+
+def _status(d: Data):
+    return O.device_status(polls(d), "device_id", ["ts", "sample_id"], 2)
 
 
 @query("P4_device_status", STATUS + " select device_id, sample_id, status from f")

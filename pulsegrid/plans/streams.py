@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import fresh_path
 from ..streaming import jobs as J
+from .alerts import ACTIONS
 from .metrics import ROLLUP
 from .registry import ORACLES, Data, query
+from .state import polls
+
+
+def _slices(d: Data, rows: DataFrame, number: str, form: str = "parquet", slices: int = 3) -> DataFrame:
+    """Rows as a stream of several micro-batches: they land in a folder slice by slice, in order of a number."""
+    path = fresh_path(d.spark, "landing")
+    last = rows.agg(F.max(number)).first()[0] or 0
+    for k in range(slices):
+        rows.where(F.floor(F.col(number) * slices / (last + 1)) == k).coalesce(1).write.mode("append").format(form).save(path)
+    return J.intake(d.spark, path, rows.schema, 1, form)
 
 
 def _events(d: Data, slices: int = 3) -> DataFrame:
@@ -50,3 +61,18 @@ def l7_stream(d: Data):
     return d.spark.read.parquet(_through(d, J.suppress(rows, 43200)))
 
 
+@query("S9_json_intake", "select event_id, user_id as device_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, event_type as kind from events")
+def s9_json(d: Data):
+    rows = d("events").select("event_id", F.col("user_id").alias("device_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("event_type").alias("kind"))
+    return d.spark.read.parquet(_through(d, _slices(d, rows, "event_id", "json")))
+
+
+@query("P4_stream_status", ORACLES.get("P4_device_status"))
+def p4_stream(d: Data):
+    return d.spark.read.parquet(_through(d, J.statuses(_slices(d, polls(d), "sample_id"), 2)))
+
+
+@query("P12_stream_alerts", ORACLES.get("P12_upserted_alerts"))
+def p12_stream(d: Data):
+    rows = d.sql(ACTIONS)
+    return J.latest(d.spark, _through(d, J.alerts(_slices(d, rows, "n"), 30000), "update"), ["dedup_key", "n"])

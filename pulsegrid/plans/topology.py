@@ -122,7 +122,8 @@ def t13(d: Data):
 
 
 @query("T14_roles", """
-with p as (select distinct device_id, peer from (select a_device as device_id, b_device as peer from v_links union all select b_device, a_device from v_links)),
+with v as (select * from v_links where b_device % 17 <> 3 and b_device % 13 <> 4),
+p as (select distinct device_id, peer from (select a_device as device_id, b_device as peer from v union all select b_device, a_device from v)),
 f as (select p.device_id, count(*) as degree, bool_or(coalesce(r.role = 'router', false)) as edge from p left join v_devices r on r.device_id = p.peer group by 1),
 s as (select d.device_id, site_id, name, coalesce(degree, 0) as degree, coalesce(edge, false) as edge from v_devices d left join f using (device_id) where role in ('core', 'distribution', 'access')),
 c as (select *, max(degree) over (partition by site_id) as top from s), c2 as (select *, bool_or(edge) over (partition by site_id) as any_edge from c where top >= 2 and degree >= 2 and degree >= top - 1),
@@ -131,7 +132,8 @@ a as (select p.device_id, bool_or(k.device_id is not null) as touches, sum((k.de
 select d.device_id, site_id, case when role not in ('core', 'distribution', 'access') or d.device_id % 10 = 3 then role when k.device_id is not null then 'core' when touches and below > 0 then 'distribution' else 'access' end as role
 from v_devices d left join core k using (device_id) left join a using (device_id)""")
 def t14(d: Data):
-    return O.infer_roles(d("v_devices").withColumn("locked", F.col("device_id") % 10 == 3), d("v_links"))
+    links = d("v_links").withColumns({"external": F.col("b_device") % 17 == 3, "stale": F.col("b_device") % 13 == 4})
+    return O.infer_roles(d("v_devices").withColumn("locked", F.col("device_id") % 10 == 3), links)
 
 
 TREE = """
@@ -147,21 +149,36 @@ def _tree(d: Data):
     return O.parents(d("v_devices"), d("v_links"))
 
 
-@query("T15_parents", TREE + " select device_id, parent, hop from tree")
+@query("T15_parents", TREE + " select d.device_id, parent, hop from v_devices d left join tree using (device_id)")
 def t15(d: Data):
     return _tree(d)
 
 
-@query("T16_impact", TREE + ", c as (select device_id, parent as above from tree where parent is not null union all select c.device_id, t.parent from c join tree t on t.device_id = c.above where t.parent is not null) select t.device_id, count(c.above) as below from tree t left join c on c.above = t.device_id group by 1")
+@query("T16_impact", TREE + ", c as (select device_id, parent as above from tree where parent is not null union all select c.device_id, t.parent from c join tree t on t.device_id = c.above where t.parent is not null) select t.device_id, count(c.above) as below from v_devices t left join c on c.above = t.device_id group by 1")
 def t16(d: Data):
     return O.impact(_tree(d))
 
 
-@query("T17_topology_view", f"""
-with n as (select device_id, count(*) as n from v_alerts where state <> 'resolved' group by 1)
-select id, a_device, b_device, coalesce(x.n, 0) as a_alerts, coalesce(y.n, 0) as b_alerts from ({LINKS}) l join v_devices v on v.device_id = a_device and site_id = 2 left join n x on x.device_id = a_device left join n y on y.device_id = b_device where confidence >= 0.9""")
+_MARKED = "select *, a_device % 11 = 2 as manual, b_device % 12 = 5 as external, concat('ISP', cast(b_device % 4 as varchar(9))) as external_name from"
+VIEW = f"""
+with n as (select device_id, count(*) as n from v_alerts where state <> 'resolved' group by 1), s as (select device_id from v_devices where site_id = 2),
+l as (select * from ({_MARKED} ({LINKS}) x) y where (confidence >= 0.9 or manual) and (a_device in (select device_id from s) or b_device in (select device_id from s)))"""
+
+
+def _view(d: Data):
+    marked = d.spark.sql(_MARKED.replace(" from", " from {links}"), links=_links(d).drop("external"))
+    return O.view(marked, d("v_devices"), d("v_alerts"), 2, 0.9)
+
+
+@query("T17_topology_view", VIEW + " select id, a_device, b_device, coalesce(x.n, 0) as a_alerts, coalesce(y.n, 0) as b_alerts from l left join n x on x.device_id = a_device left join n y on y.device_id = b_device")
 def t17(d: Data):
-    return O.view(_links(d), d("v_devices"), d("v_alerts"), 2, 0.9).select("id", "a_device", "b_device", "a_alerts", "b_alerts")
+    return _view(d)[0].select("id", "a_device", "b_device", "a_alerts", "b_alerts")
+
+
+@query("T17_topology_nodes", VIEW + """ select v.device_id::VARCHAR as node, name, role, status, coalesce(n, 0) as alerts, false as external from v_devices v left join n using (device_id) where site_id = 2 union all
+ select distinct 'ext:' || lower(external_name), external_name, 'other', 'unknown', 0, true from l where external""")
+def t17_nodes(d: Data):
+    return _view(d)[1]
 
 
 @query("T18_held_neighbours", "select user_id as device_id, max(event_id) as at, max_by(event_id % 4, event_id) as n from events where event_id % 4 > 0 group by 1 having 10000 - max(event_id) <= 9990")

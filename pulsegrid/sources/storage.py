@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder (spark.checkpoint.dir); only where that is unset, as in tests, a local one."""
+    """Uses the cluster's shared folder (spark.checkpoint.dir); where that is unset a local one, if all tasks run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}")
 
 

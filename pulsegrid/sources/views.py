@@ -96,7 +96,7 @@ from v_neighbor_obs where device_id <> remote_id group by least(device_id, remot
     "v_arp": """
 select l_suppkey as device_id, lower(lpad(hex(l_partkey), 12, '0')) as mac, concat('10.2.', cast(l_partkey % 200 as varchar(9)), '.', cast(l_orderkey % 250 as varchar(9))) as ip,
        l_shipdate as ts, l_linenumber as if_index
-from lineitem where l_linenumber <= 3""",
+from lineitem""",
     "v_maintenance": """
 select event_id as id, ts as from_ts, ts + interval '1' minute * cast(60 + event_id % 120 as int) as to_ts, case when event_id % 3 = 0 then user_id end as device_id,
        case when event_id % 3 = 1 then user_id % 5 end as site_id

@@ -1,4 +1,4 @@
-"""Streams of samples, events and flows: intake, rollups and keyed state (S9 and the streaming side of M3, F4, P2, L7)."""
+"""Streams of samples, events and flows: intake, rollups, keyed state and timers (S9 and the streaming side of M3, F4, P2, P4, P12, P18, L7)."""
 
 from __future__ import annotations
 
@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.state import Threshold
+from ..operators.alerts import UPSERTED, Alert
+from ..operators.state import Status, Threshold
 
 
-def intake(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
-    """A stream over files that collectors land in a folder; a message bus only changes the format."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def intake(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
+    """A stream over files (Parquet, or JSON lines, of which those that don't parse are skipped) that collectors land in a folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("mode", "DROPMALFORMED").json(path) if form == "json" else reader.format(form).load(path)
+
+
+def from_bus(spark: SparkSession, servers: str, topic: str, schema: StructType) -> DataFrame:
+    """A stream of JSON messages of a Kafka topic; the connector has to be on the cluster."""
+    return messages(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load(), schema)
+
+
+def messages(rows: DataFrame, schema: StructType) -> DataFrame:
+    """Fields of the JSON objects in `value`; messages that aren't objects are skipped."""
+    made = rows.select(F.from_json(F.col("value").cast("string"), schema).alias("x")).where("x is not null")
+    return made.select("x.*")
 
 
 def run(stream: DataFrame, checkpoint: str, sink: str, mode: str = "append") -> None:
@@ -49,16 +62,73 @@ def totals(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return made.select("exporter", F.unix_seconds("window.start").alias("t"), "bytes", "packets", "flows")
 
 
-def keyed(stream: DataFrame, key: str, order: list[str], out: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple]]) -> DataFrame:
-    """A fold per key whose state outlives the micro-batch: step(state or None, rows in order) -> rows, new state."""
+def keyed(stream: DataFrame, key: str, order: list[str], out: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple]], mode: str = "append", idle_ms: int | None = None) -> DataFrame:
+    """A fold per key whose state outlives the micro-batch: step(state or None, rows in order) -> rows, new state. With idle_ms a key's
+    state goes once it has been without rows for so long."""
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(batches, ignore_index=True).sort_values(order, kind="stable")
         made, new = step(held.get if held.exists else None, rows)
         held.update(new)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield made
 
-    return stream.groupBy(key).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(fold, out, state, mode, timeout)
+
+
+def statuses(stream: DataFrame, down_after: int = 3) -> DataFrame:
+    """device_id, sample_id, status: device_status over a stream of polls."""
+
+    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        state = Status(down_after, *(held or ()))
+        made = [state.step(*x) for x in rows[["reachable", "degraded", "maintenance", "upstream_down"]].itertuples(index=False)]
+        return pd.DataFrame({"device_id": rows["device_id"], "sample_id": rows["sample_id"], "status": made}), (state.status, state.fails, state.oks)
+
+    return keyed(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, status string", "status string, fails int, oks int", step)
+
+
+def alerts(stream: DataFrame, again: float = 1800) -> DataFrame:
+    """Alerts (dedup_key, n and their state) that a micro-batch of actions has changed: upsert_alerts over a stream, the newest row of each counts."""
+    state = [f.strip().split() for f in UPSERTED.split(",")]
+    names = [n for n, _ in state]
+    schema = ", ".join(f"{n} {t}" for n, t in state)
+
+    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        alert = Alert(again)
+        if held is not None:
+            alert.n, alert.opened, alert.updated, alert.resolved, alert.occurrences, alert.severity, alert.reopened, alert.root, alert.notified, marks = held
+            alert.evidence = marks.split(", ") if marks else []
+        made = {}
+        for x in rows[["t", "action", "severity", "source", "root_cause"]].itertuples(index=False):
+            last = alert.step(*x)
+            made[last[0]] = last
+        made.pop(0, None)
+        out = pd.DataFrame(list(made.values()), columns=names).rename(columns={"_k": "n"}).astype({"opened": "float", "updated": "float", "resolved": "float"})
+        return out.assign(dedup_key=rows["dedup_key"].iat[0])[["dedup_key", "n", *names[1:]]], last
+
+    return keyed(stream, "dedup_key", ["t", "n"], "dedup_key string, n int, " + schema.split(", ", 1)[1], schema, step, "update")
+
+
+def stale(stream: DataFrame, interval: int, cycles: int = 5, late: str = "0 seconds") -> DataFrame:
+    """device_id, last_poll, status unknown: devices without a poll for more than `cycles` intervals, found by an event-time timer."""
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            last = held.get[0]
+            held.remove()
+            yield pd.DataFrame({"device_id": [k[0]], "last_poll": [last], "status": ["unknown"]})
+            return
+        last = max([int(rows["t"].max()) for rows in batches if len(rows)] + ([held.get[0]] if held.exists else []))
+        held.update((last,))
+        held.setTimeoutTimestamp(max((last + cycles * interval) * 1000 + 1, held.getCurrentWatermarkMs() + 1))
+
+    rows = stream.select("device_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("t", F.unix_seconds("ts"))
+    return rows.groupBy("device_id").applyInPandasWithState(fold, "device_id long, last_poll long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def thresholds(stream: DataFrame, enter: float, leave: float, cycles: int) -> DataFrame:

@@ -215,3 +215,65 @@ def test_addresses(spark):
     df = spark.createDataFrame([("10.0.0.0/30",), ("10.0.0.9-10.0.0.11",), ("10.1.1.1",), ("10.0.0.4/31",)], "spec string")
     made = sorted(rows(inventory.expand_addresses(df)))
     assert [r[1] for r in made] == ["10.0.0.1", "10.0.0.2", "10.0.0.4", "10.0.0.5", "10.0.0.10", "10.0.0.11", "10.0.0.9", "10.1.1.1"]
+
+
+def test_diff_is_minimal_at_every_size():
+    import random
+
+    rng = random.Random(4)
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    for n, base in [(0, 3), (1, 3), (7, 3), (40, 6), (120, 20)] * 6:
+        x, y = ([str(rng.randrange(base)) for _ in range(rng.randrange(n + 1))] for _ in range(2))
+        ops = snapshots.line_ops("\n".join(x), "\n".join(y))
+        x, y = x or [""], y or [""]
+        assert [s for o, s in ops if o != "+"] == x and [s for o, s in ops if o != "-"] == y
+        assert sum(o == "=" for o, _ in ops) == table(x, y)
+    x = [str(rng.randrange(900)) for _ in range(5000)]
+    y = [str(rng.randrange(900)) for _ in range(5000)]
+    ops = snapshots.line_ops("\n".join(x), "\n".join(y))
+    assert [s for o, s in ops if o != "+"] == x and [s for o, s in ops if o != "-"] == y
+    assert sum(o == "=" for o, _ in ops) == int(snapshots.common_lengths(x, y)[-1])  # not halved
+
+
+def test_unreached_devices_and_external_nodes(spark):
+    devices = spark.createDataFrame([(1, 1, "router", "r", "up"), (2, 1, "access", "s", "down"), (3, 1, "access", "t", "up"), (4, 2, "core", "u", "up")], "device_id long, site_id int, role string, name string, status string")
+    links = spark.createDataFrame([(1, "a", 2, "b", 1.0, False, False, None), (4, "c", 1, "d", 0.3, True, False, None), (1, "e", 9, "f", 0.6, False, True, "ISP")], "a_device long, a_if string, b_device long, b_if string, confidence double, manual boolean, external boolean, external_name string")
+    tree = sorted(rows(topology.parents(devices, links.where("confidence = 1"))))
+    assert tree == [(1, None, 0), (2, 1, 1), (3, None, None), (4, None, 0)]
+    alerts_ = spark.createDataFrame([(2, "open"), (2, "resolved")], "device_id long, state string")
+    shown, nodes = topology.view(links, devices, alerts_, 1)
+    assert sorted((r.a_device, r.b_device, r.b_alerts) for r in shown.collect()) == [(1, 2, 1), (1, 9, 0), (4, 1, 0)]
+    assert sorted(r.node for r in nodes.collect()) == ["1", "2", "3", "ext:isp"]
+
+
+def test_moves_within_a_day_and_search(spark):
+    now = spark.createDataFrame([("aa", 1, 7, T0), ("bb", 1, 8, T0)], "mac string, device_id int, if_index int, ts timestamp_ntz")
+    old = spark.createDataFrame([("aa", 2, 7, T0 - timedelta(hours=23)), ("bb", 2, 8, T0 - timedelta(hours=24))], "mac string, device_id int, if_index int, ts timestamp_ntz")
+    assert [r.mac for r in endpoints.moves(now, old, now).collect()] == ["aa"]
+    known = spark.createDataFrame([("001a2b3c4d5e", "10.0.0.1,10.0.0.2", "Acme", 1, 9, 3, "Gi0/3", 5), ("ffeeddccbbaa", None, "", None, 1, None, None, 6)], "mac string, ips string, vendor string, device_id int, arp_device int, if_index int, if_name string, seen int")
+    found = lambda *a: [r.mac[:2] for r in endpoints.search(known, *a).collect()]
+    assert found("10.0.0.2") == found("ACME") == found("gi0/3") == found("2b:3c") == found("00:1a:2b:3c:4d:5e") == found("", 1, 3) == ["00"]
+    assert found("") == found("", 1) == ["ff", "00"] and found("", 9) == ["00"] and found("zz") == []
+
+
+def test_stale_by_timer(spark, tmp_path):
+    from pulsegrid.streaming import jobs
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "device_id long, ts timestamp"
+    for polls in ([(1, at(0)), (2, at(0))], [(2, at(400))], [(2, at(800))]):
+        spark.createDataFrame(polls, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.intake(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1)
+    jobs.run(jobs.stale(stream, 60), f"{tmp_path}/checkpoint", f"{tmp_path}/out")
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == [(1, 1704067200, "unknown")]
+    made = jobs.messages(spark.createDataFrame([('{"device_id": 4}',), ("nonsense",)], "value string"), spark.createDataFrame([], "device_id long").schema).collect()
+    assert [r.device_id for r in made if r.device_id] == [4]
