@@ -57,6 +57,13 @@ def s5(d: Data):
     return made[0].unionByName(made[1])
 
 
+@query("S5_pruned_journal", f"select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where epoch(ts) >= {(NOW // 86400 - 14) * 86400} group by 1")
+def s5_pruned(d: Data):
+    path, schema = _journal(d)
+    S.prune_days(d.spark, path, "raw", NOW)
+    return S.read_journal(d.spark, path, schema, "0000-01-01", "9999-12-31").groupBy("day").agg(F.count("*").alias("n"))
+
+
 @query("S6_finding_sink", "select id, severity, root_cause is not null as has_root from v_alerts where state = 'open'")
 def s6(d: Data):
     path = fresh_path(d.spark, "findings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,7 +14,7 @@ from ..functions.columns import since
 def write_journal(df: DataFrame, path: str, ts: str, tasks_per_day: int = 8) -> None:
     """Rows as JSON lines in one folder for each UTC day, compressed; up to tasks_per_day tasks write a day's files."""
     day = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_day))
+    salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.lit(tasks_per_day))
     df.withColumn("day", day).repartition("day", salt).write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
 
 
@@ -60,6 +62,17 @@ def retained(df: DataFrame, ts: str, dataset: str, now: int, days: dict[str, int
     return df.where(since(ts, start))
 
 
+def prune_days(spark: SparkSession, path: str, dataset: str, now: int, days: dict[str, int] = RETENTION) -> int:
+    """Deletes the day folders of a journal or tier that are older than its dataset's days; returns their number. Other days aren't read or written."""
+    first = datetime.fromtimestamp((now // 86400 - days[dataset]) * 86400, UTC).strftime("%Y-%m-%d")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in store.listStatus(root) if f.getPath().getName().startswith("day=") and f.getPath().getName()[4:] < first]
+    for folder in old:
+        store.delete(folder, True)
+    return len(old)
+
+
 def write_findings(df: DataFrame, path: str) -> None:
     """One JSON object for each row and line; keys without value are left out."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["M9_counter_rates", "M3_stream_rollup", "F5_top_talkers", "F12_window_totals", "L1_parsed_lines", "L5_log_events", "P4_device_status", "P12_upserted_alerts", "P20_maintenance", "T14_roles", "T15_parents", "E5_placed", "N1_peer_changes", "Q2_probe_events", "C2_versions", "D9_device_health", "R2_alert_causes", "X1_findings", "S4_tiered_files"]
+NAMES = ["M9_counter_rates", "M3_stream_rollup", "F5_top_talkers", "F12_window_totals", "L1_parsed_lines", "L5_log_events", "P4_device_status", "P12_upserted_alerts", "P20_maintenance", "T14_roles", "T15_parents", "E5_placed", "N1_peer_changes", "Q2_probe_events", "C2_versions", "D9_device_health", "R2_alert_causes", "X1_findings", "S4_tiered_files", "M11_kept_series", "L8_rate_limit", "P17_auto_resolved", "P12_stream_alerts", "T17_topology_nodes", "E9_search", "C1_normalised", "C3_line_diffs", "R4_busiest_interfaces"]
 
 
 def plain(v):
