@@ -14,10 +14,20 @@ from pulsegrid.llm.base import materialize
 LEAST_SCORE = 0.4
 
 
+#: Columns that the stages read; others pass through.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def passing(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator makes of docs, with the columns of docs: those that no stage reads have other names meanwhile, so that none clashes with a name that the operator adds."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+    made = operator(docs.withColumnsRenamed(names))
+    return made.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; learns from the documents table itself, as op10 does."""
-    scored = langid.identify(docs)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return passing(docs, lambda df: langid.identify(df).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,22 +35,26 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows are numbered, so that rows without an id or with a shared one are judged each by its own text.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = minhash.near_duplicates(rows.select("_row", "text"), key="_row", width=5).select("_row", "component_id")
-    names = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("name"))
-    first = names.join(groups, "_row").groupBy("component_id").agg(F.min("name").alias("name")).select("name._row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+
+    def operator(df: DataFrame) -> DataFrame:
+        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        groups = minhash.near_duplicates(rows.select("_row", "text"), key="_row", width=5).select("_row", "component_id")
+        names = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("name"))
+        first = names.join(groups, "_row").groupBy("component_id").agg(F.min("name").alias("name")).select("name._row")
+        return rows.join(first, "_row", "left_semi")
+
+    return passing(docs, operator)
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated spans; a document of which nothing is left goes."""
-    out = substrings.remove_repeated_spans(docs).where(F.col("text").rlike(r"\S"))
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Texts without repeated spans; a document of which nothing is left goes. n_chars, if there, is that of the new text."""
+    out = passing(docs, lambda df: substrings.remove_repeated_spans(df).where(F.col("text").rlike(r"\S")))
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents whole, once, twice or not at all."""
-    return mixing.mixed_documents(docs)
+    return passing(docs, mixing.mixed_documents)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
