@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from .base import give_back, in_slices, keep_only, materialize, others
 
-#: A sentence ends after its mark and white space (marks of scripts written without spaces need none), or at a line's end.
-_END = re.compile(r"(?<=[.!?…؟۔।॥])[ \t]+|(?<=[。！？｡])[ \t]*|\n+")
+#: A sentence ends after its mark and white space, or at a line's end; marks of scripts written without spaces need no white space.
+_END = re.compile(r"(?<=[.!?…؟۔।॥])[ \t]+|\n+")
+_WIDE_END = re.compile(r"(?<=[.!?…؟۔।॥])[ \t]+|(?<=[。！？｡])[ \t]*|\n+")
 #: A word; a character of a script written without spaces counts as one.
 _WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _UNIT = re.compile(rf"{_WIDE.pattern}|[^\s{_WIDE.pattern[1:-1]}]+")
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space other than blanks and line feeds.
+_ODD_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Runs of one or two sentences count from so many words, longer ones from LONG. A sentence of more than CUT words is
 #: taken in pieces, which begin at every word whose hash is a multiple of EVERY; runs with pieces count from TWO words.
-#: A sentence of at most SHORT characters is taken with the next one, unless its own hash is a multiple of SOME. All
-#: these cuts follow from the words beside them, so the same passage is cut alike in every text.
-ONE, TWO, LONG, CUT, EVERY, SHORT, SOME = 50, 30, 12, 40, 8, 24, 4
+#: The cuts follow from the words beside them, so a passage is cut alike in every text.
+ONE, TWO, LONG, CUT, EVERY = 50, 30, 12, 40, 8
 _MASK = (1 << 128) - 1
 _HALF = (1 << 63) - 1
 #: More than the sentences of any run: each has a word, and a run ends with its TWO words at most.
@@ -36,26 +37,24 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     if not text:
         return out
     wide = not text.isascii() and _WIDE.search(text) is not None
-    plain = not wide and _ODD_SPACE.search(text) is None
-    at = start = 0
-    for stop, after in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+    plain = not wide and not any(map(text.__contains__, _ODD_SPACES))
+    at, ends = 0, [m.span() for m in (_WIDE_END if wide else _END).finditer(text)]
+    ends.append((len(text), len(text)))
+    for stop, after in ends:
+        if plain and (stop - at < 2 * CUT or text.count(" ", at, stop) < CUT):  # not more than CUT words
+            if stop > at and (not text[at].isspace() or not text[at:stop].isspace()):
+                out.append((at, stop, False))
+            at = after
+            continue
         part = text[at:stop]
-        if plain and part.count(" ") < CUT:
-            n = 0 if not part or part.isspace() else 1  # not more than CUT
-        else:
-            n = len(_UNIT.findall(part)) if wide else len(part.split())
+        n = len(_UNIT.findall(part)) if wide else len(part.split())
         if n > CUT:
             starts = [m.start() for m in _UNIT.finditer(text, at, stop) if zlib.crc32(m[0].lower().encode("utf-8", "replace")) % EVERY == 0]
-            cuts = sorted({start, *starts, stop})
+            cuts = sorted({at, *starts, stop})
             out += [(a, b, len(cuts) > 2) for a, b in zip(cuts, cuts[1:]) if text[a:b].strip()]
-        elif n and (stop - at > SHORT or after == len(text) or zlib.crc32(" ".join(part.lower().split()).encode("utf-8", "replace")) % SOME == 0):
-            out.append((start, stop, False))
-        elif n or start < at:  # short, or blank behind a short one: goes with the next
-            at = after
-            continue
-        at = start = after
-    if start < len(text) and text[start:].strip():
-        out.append((start, len(text), False))
+        elif n:
+            out.append((at, stop, False))
+        at = after
     return out
 
 
@@ -109,8 +108,8 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     All spans of all texts are hashed and joined by two 63-bit hashes. The first occurrence of a span, by key (null last) and
     place, stays; every sentence that another occurrence covers is removed, in the same text as well. A text gives
     each of its spans once to the join, with the first place; its own repeats are known beforehand. So the join holds a row for each
-    text that a repeated span is in, and a passage that one text repeats all over adds none. Counts meet
-    after map-side aggregation and the join back splits hot hashes. Null texts stay null; rows equal in key and
+    text that a repeated span is in, and a passage that one text repeats all over adds none. Hashes are counted with
+    map-side aggregation, and only the spans whose hash is repeated go on; the join back splits hot hashes. Null texts stay null; rows equal in key and
     text are one document to each other; an empty table gives no rows; columns with the added names are replaced.
     """
     row = F.xxhash64(F.lit(6), F.col(key), F.col(text))
@@ -127,14 +126,17 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
                         made.append((h & _HALF, h >> 64 & _HALF, k, r, i * RUN + n, h in seen))
                         seen.add(h)
                 columns = list(zip(*made)) or [()] * 6
-                yield pd.DataFrame({c: np.array(x, bool if c == "again" else np.int64) for c, x in zip(("h", "g", "k", "row", "at", "again"), columns)})
+                yield pd.DataFrame({c: np.array(x, bool if c == "again" else np.int64) for c, x in zip(("h", "g", "k", "row", "at", "again"), columns)}).astype({"at": "int32"})
         give_back()
 
-    every = materialize(df.select(number.alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, g long, k long, row long, at long, again boolean"), "spans")
+    every = materialize(df.select(number.alias("k"), row.alias("row"), F.col(text).alias("t")).mapInPandas(cut, "h long, g long, k long, row long, at int, again boolean"), "spans")
     spread, place = every.where("not again").select("h", "g", "k", "row", "at"), F.struct("k", "row")
-    first = spread.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    first = materialize(first, "spans")  # as a table of its own, both sides of the join are plain shuffles, which Spark splits where they are skewed
-    later = spread.join(first, ["h", "g"]).where(place != F.col("first")).select("k", "row", "at")
+    repeated = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = materialize(repeated, "spans")  # as a table of its own, both sides of the join are plain shuffles, which Spark splits where they are skewed
+    found = materialize(spread.join(repeated, "h", "left_semi"), "spans")
+    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    first = materialize(first, "spans")
+    later = found.join(first, ["h", "g"]).where(place != F.col("first")).select("k", "row", "at")
     hits = later.unionAll(every.where("again").select("k", "row", "at")).groupBy("k", "row").agg(F.collect_set("at").alias("hits"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
