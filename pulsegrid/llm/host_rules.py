@@ -110,4 +110,5 @@ def host_quality(df: DataFrame, text: str = "text", host: str = "source", max_ra
     Null or empty texts fail for want of words; repeated rows each count; an empty table gives no rows.
     """
     rows = materialize(base_rules(df, text).drop(text), "rules")
-    return apply_verdicts(rows, host_verdicts(rows, host, max_rate, spread), host)
+    hosts = materialize(host_verdicts(rows, host, max_rate, spread), "hosts")  # its size is known then: while it is small it is sent to the rows, not the rows to it
+    return apply_verdicts(rows, hosts, host)
