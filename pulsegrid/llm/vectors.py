@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from .base import by_key, components, materialize, others
 from .links import local_roots
 
-CELL = "cell string, member boolean, rep long, copies long, home int, list int, vec array<double>, code binary, err double"
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length 1; divided by their greatest component first, so that no square overflows or vanishes."""
+    x = np.asarray(x, float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -110,7 +108,8 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
     usable = F.coalesce(usable, F.lit(False))
     h1, h2 = (F.when(usable, F.xxhash64(F.lit(s), F.col(label), F.col(vec))) for s in (1, 2))
     rows = df.select(*kept, h1.alias("_h1"), h2.alias("_h2"))
-    classes = materialize(df.where(usable).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec"), h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.min("k").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")), "vectors")
+    kind = "array<float>" if df.schema[vec].dataType.simpleString() == "array<float>" else "array<double>"  # as they came: floats are half as long on their way
+    classes = materialize(df.where(usable).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(vec).cast(kind).alias("vec"), h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.min("k").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")), "vectors")
     sizes = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     lengths = sizes.where(F.col("most") > list_rows).orderBy(F.desc("n"), "dim").limit(max_lengths).collect()
     indexes: dict[int, Index] = {}
@@ -141,7 +140,7 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
             yield rows.assign(home=home, probes=probes, code=code, err=err)[["rep", "copies", "part", "vec", "home", "probes", "code", "err"]]
 
     part = F.concat_ws(":", F.col("label"), F.size("vec").cast("string"))
-    coded = materialize(classes.select("rep", "copies", part.alias("part"), "vec").mapInPandas(assign, "rep long, copies long, part string, vec array<double>, home int, probes array<int>, code binary, err double"), "codes")
+    coded = materialize(classes.select("rep", "copies", part.alias("part"), "vec").mapInPandas(assign, f"rep long, copies long, part string, vec {kind}, home int, probes array<int>, code binary, err double"), "codes")
     probed = coded.select("part", F.explode("probes").alias("list"))
     shape = coded.groupBy("part", F.col("home").alias("list")).agg(F.count("*").alias("n")).join(probed.groupBy("part", "list").agg(F.count("*").alias("q")), ["part", "list"])
     shape = shape.select("part", "list", F.ceil(F.col("n") / cell).cast("int").alias("nb"), F.ceil(F.col("q") / queries).cast("int").alias("nq"))
