@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import CACHES, by_key, components, keep_only, materialize, others, words_of
+from .base import CACHES, by_key, components, discard, keep_only, materialize, others, words_of
 from .links import local_roots
 
+#: Rows of two longs that are sent to every task: 16 MB at most.
+BROADCAST_ROWS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,8 +78,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
        once more on rare shingles, without regions (crowded_links).
     2. The forests' connected components hold every candidate link; each gets its full sets once. A component of
        at most `block` classes is compared exactly in one place. A larger one is cut into blocks that all meet a few pivots;
-       then every class outside its largest linked part meets all others, two blocks at a time, so that no link between parts is lost
-       and no place holds more than two blocks. Exact links too leave as spanning forests.
+       then every class outside its largest linked part meets all others, a block of these and a block of those at a time, so that no link
+       between parts is lost and no place holds more than that. Exact links too leave as spanning forests.
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows equal in key and text
     count as one; a null key is never named: it takes its class's smallest key and isn't kept unless it stands alone. An
@@ -157,9 +159,11 @@ def crowded_links(df: DataFrame, key: str, text: str, classes: DataFrame, crowd:
     min-hash: a linked pair differs in a share of (100 - percent) / 200 of them, and the limit lies six deviations above.
     """
     made = classes.join(crowd, "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    made = made.select("rep", "_h1", "sig", F.coalesce("component", "rep").alias("part"))
+    made = materialize(made.select("rep", "_h1", "sig", F.coalesce("component", "rep").alias("part")), "crowd")
+    n, keys = made.count(), made.select("rep", "_h1")
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
-    every = max(1, crowd.count() // sample)
+    texts = materialize(texts.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "rep"), "crowd")  # the crowd's own texts: no other is shuffled
+    every = max(1, n // sample)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
         import xxhash
@@ -177,8 +181,8 @@ def crowded_links(df: DataFrame, key: str, text: str, classes: DataFrame, crowd:
             if found:
                 yield pd.DataFrame({"s": np.concatenate(found).view(np.int64)})
 
-    few = made.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(every)) == 0)
-    counts = texts.join(few.select("rep", "_h1"), "rep").mapInPandas(counted, "s long").groupBy("s").count().where("count > 2")
+    few = texts.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(every)) == 0)
+    counts = few.mapInPandas(counted, "s long").groupBy("s").count().where("count > 2")
     top = counts.orderBy(F.desc("count"), "s").limit(common).toPandas().sort_values("s")
     often, times = top["s"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
@@ -201,7 +205,7 @@ def crowded_links(df: DataFrame, key: str, text: str, classes: DataFrame, crowd:
             n = list(map(len, heads))
             yield pd.DataFrame({"s": np.concatenate(heads), "part": np.repeat(rows["part"].to_numpy(np.int64), n), "size": np.repeat(list(map(len, found)), n), "m1": np.repeat(bits[:, 0], n), "m2": np.repeat(bits[:, 1], n)})
 
-    heads = texts.join(made, "rep").mapInPandas(first, "s long, part long, size int, m1 long, m2 long")
+    heads = texts.join(made.drop("_h1"), "rep").mapInPandas(first, "s long, part long, size int, m1 long, m2 long")
     own = Window.partitionBy("s")
     met = heads.withColumns({"low": F.min("part").over(own), "high": F.max("part").over(own)}).where("low <> high")
     met = materialize(met.select("s", "part", "size", "m1", "m2", "low"), "heads")
@@ -251,12 +255,14 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
     schema = "rep long, " + ", ".join(f"{p} long" for p in names) + ", tail long"
     crowd = materialize(left.select("rep").distinct(), "crowd")
     left = materialize(left.join(sigs, "rep").select("rep", "tree", "sig").mapInPandas(deeper, schema), "forest")
+    done = [start, left]
     for p in names:
         if left.isEmpty():
             break
         placed, left = split(left, p)
         regions = regions.unionAll(placed)
         left = materialize(left, "forest")
+        done.append(left)
     else:  # regions that no depth cuts: runs of neighbours by the rest of the order, led by the region's first class
         p = names[-1]
         sizes = left.groupBy(p).agg(F.count("*").alias("n"), F.min(F.struct("tail", "rep")).alias("lead")).withColumn("runs", F.ceil(F.col("n") / region).cast("long"))
@@ -291,7 +297,9 @@ def candidate_links(sigs: DataFrame, orders: list[np.ndarray], hashes: int, dept
             yield pd.DataFrame({"rep": rows["rep"], "low": [x[::2] for x in rows["sig"]]})
 
     full = regions.join(sigs.mapInPandas(low_bytes, "rep long, low binary"), "rep").select("region", "rep", "low")
-    return materialize(by_key(full, "region", ["rep"], candidates, "a long, b long").distinct(), "candidates"), crowd
+    made = materialize(by_key(full, "region", ["rep"], candidates, "a long, b long").distinct(), "candidates")
+    discard(*done)
+    return made, crowd
 
 
 def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
@@ -316,7 +324,7 @@ def exact_links(full: DataFrame, percent: int, block: int) -> DataFrame:
 
     Groups of more than `block` classes are cut into blocks. First each block is compared in itself and with two pivots of its group,
     which ties the blocks of near copies together. Then only classes outside a group's largest linked part (guests) are still to be
-    compared with the other blocks: every two blocks of which one has guests meet, so a place holds two blocks at most.
+    compared: they are cut into blocks of their own, and each of these meets every block of the group, so a place holds about two blocks.
     """
     full = full.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     full = materialize(full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "sets")
@@ -344,14 +352,19 @@ def exact_links(full: DataFrame, percent: int, block: int) -> DataFrame:
     first = full.unionByName(pivots, allowMissingColumns=True).select(F.xxhash64("component", "block").alias("key"), "node", "set", F.lit(True).alias("asks"))
     links = materialize(by_key(first, "key", ["node"], compare, "a long, b long"), "links")
     if large.isEmpty():
+        discard(full)
         return links
     inside = materialize(components(links), "parts")
     parts = large.join(inside, large["node"] == inside["node"], "left").select(large["*"], F.coalesce(inside["component"], large["node"]).alias("part"))
     parts = materialize(parts, "parts")
     tops = parts.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("top"))
     asked = parts.join(tops, "component").withColumn("asks", F.col("part") != F.col("top"))
-    open_blocks = asked.where("asks").groupBy("component").agg(F.collect_set("block").alias("open"))
-    met = F.when(F.array_contains("open", F.col("block")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.col("open"))
-    pairs = asked.join(open_blocks, "component").withColumn("other", F.explode(met)).where("other <> block")
-    pairs = pairs.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "set", "asks")
-    return links.unionAll(materialize(by_key(pairs, "key", ["node"], compare, "a long, b long"), "links"))
+    rest = asked.where("asks").groupBy("component").agg(F.ceil(F.count("*") / block).cast("long").alias("guests"))
+    met = asked.join(rest, "component")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    hosts = met.withColumn("table", every("guests")).withColumn("asks", F.lit(False))
+    guests = met.where("asks").withColumn("table", F.pmod(F.xxhash64(F.lit(12), "node"), F.col("guests"))).withColumn("block", every("blocks"))
+    pairs = hosts.unionByName(guests).select(F.xxhash64("component", "block", "table").alias("key"), "node", "set", "asks")
+    more = materialize(by_key(pairs, "key", ["node"], compare, "a long, b long"), "links")
+    discard(full, inside, parts)
+    return links.unionAll(more)
