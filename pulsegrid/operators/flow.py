@@ -17,6 +17,7 @@ PORT_NAMES = {
     5060: "sip", 5061: "sips", 5222: "xmpp", 5432: "postgres", 5900: "vnc", 5938: "teamviewer", 6343: "sflow", 6379: "redis", 8080: "http-alt", 8443: "https-alt",
     8883: "mqtts", 1883: "mqtt", 9100: "printer", 9200: "elastic", 27017: "mongodb", 51820: "wireguard", 3000: "http-3000", 5000: "http-5000",
 }
+#: Names of protocols, and sizes of the top lists.
 PROTO_NAMES = {1: "icmp", 2: "igmp", 6: "tcp", 17: "udp", 47: "gre", 50: "esp", 51: "ah", 58: "icmpv6", 89: "ospf", 132: "sctp"}
 TOPS = {"talkers": (["src"], 100), "targets": (["dst"], 100), "conversations": (["src", "dst", "proto", "port"], 200), "apps": (["proto", "port"], 50)}
 
