@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, langid, minhash, mixing, packing, quality, sharding, substrings, token_files, vectors
+from . import extraction, host_rules, langid, minhash, mixing, negatives, packing, quality, ranking, sharding, substrings, token_files, vectors
 from .base import is_held_out, utf8_bytes
 
 
@@ -64,5 +64,19 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_host_quality, op2_shuffled_shards, op3_quality_scores, op4_token_files, op5_near_duplicates, op6_repeated_spans, op7_packed_sequences, op8_near_duplicate_vectors, op9_mixed_sources, op10_languages)
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+_ALL = (op1_host_quality, op2_shuffled_shards, op3_quality_scores, op4_token_files, op5_near_duplicates, op6_repeated_spans, op7_packed_sequences, op8_near_duplicate_vectors, op9_mixed_sources, op10_languages, op11_main_text, op12_ranked_documents, op13_hard_negatives)
 QUERIES = {f.__name__: f for f in _ALL}
