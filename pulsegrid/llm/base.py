@@ -17,6 +17,9 @@ WORD_RE = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+#: Folders that materialize() has written and discard() has not deleted yet.
+STORED: set[str] = set()
+
 #: What this worker keeps between tasks, by operator.
 CACHES: list[dict] = []
 
@@ -71,6 +74,32 @@ def others(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+#: Rows of two or three longs that may be sent to every task: some 30 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short rows: marked to be sent to the tasks if it has at most so many, else joined as Spark likes."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def shielded(df: DataFrame, used: list[str], *added: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df for an operator that reads the columns `used` and adds others, and what gives its result the names and order of df back.
+
+    Columns that the operator doesn't read bear names meanwhile that no operator uses, so none clashes with an inner one;
+    those named like an added one go.
+    """
+    kept = others(df, *added)
+    names = {c: f"in{i}_" for i, c in enumerate(kept) if c not in used}
+
+    def back(made: DataFrame) -> DataFrame:
+        known = [c for c in kept if names.get(c, c) in made.columns]
+        new = [c for c in made.columns if c not in {names.get(c, c) for c in known}]
+        return made.select(*[F.col(names.get(c, c)).alias(c) for c in known], *new)
+
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in kept]), back
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4 is 2; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
@@ -99,15 +128,21 @@ def materialize(df: DataFrame, kind: str = "step") -> DataFrame:
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.stored_at = path
+    STORED.add(path)
     return made
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that no later step reads."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for at in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        STORED.discard(at)
 
 
 def partitions(spark: SparkSession) -> int:

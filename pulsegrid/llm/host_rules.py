@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD_RE, materialize, others
+from .base import WORD_RE, materialize, others, shielded
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -52,13 +52,16 @@ def features(texts: pd.Series) -> pd.DataFrame:
 RULES = ("base_failed", "symbols_failed", "lines_failed")
 
 
+FEATURE_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_rules(df: DataFrame, text: str = "text", min_words: int = 10, max_repeat_percent: int = 20, max_symbol_percent: int = 10, max_dup_lines: int = 2) -> DataFrame:
     """Adds the five text features and the three RULES; columns of df with these names are replaced. Null text is empty.
 
     base_failed: too few words, or too many of them in repeated windows. symbols_failed: too many symbols to a hundred words.
     lines_failed: too many lines that repeat an earlier one.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    added = list(FEATURE_NAMES)
     rows = df.withColumn("_f", F.pandas_udf(features, FEATURES)(F.col(text)))
     rows = rows.select(*others(df, *added, *RULES), *[F.col("_f")[c].alias(c) for c in added])
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
@@ -107,8 +110,10 @@ def apply_verdicts(rows: DataFrame, hosts: DataFrame, host: str = "source") -> D
 def host_quality(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5, spread: float = 3.0) -> DataFrame:
     """Base rules on each text, host verdicts from all of them, joined back to each row of df without its text.
 
-    Null or empty texts fail for want of words; repeated rows each count; an empty table gives no rows.
+    Null or empty texts fail for want of words; repeated rows each count; an empty table gives no rows. Columns of df with
+    the added names are replaced, all others come back under their own.
     """
+    df, back = shielded(df, [text, host], *FEATURE_NAMES, *RULES, "host_rate", "host_rejected", "kept")
     rows = materialize(base_rules(df, text).drop(text), "rules")
     hosts = materialize(host_verdicts(rows, host, max_rate, spread), "hosts")  # its size is known then: while it is small it is sent to the rows, not the rows to it
-    return apply_verdicts(rows, hosts, host)
+    return back(apply_verdicts(rows, hosts, host))

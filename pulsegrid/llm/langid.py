@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import give_back, is_held_out, keep_only, others
+from .base import give_back, is_held_out, keep_only, materialize, others, small
 
 BITS = 14
 ORDERS = 4
@@ -75,21 +75,24 @@ def fit_kernel_ridge(rows: np.ndarray, labels: list[str], landmarks: int = 192,
     return Model(classes, (L.T @ whiten @ W).astype(np.float32))
 
 
-def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, per_class: int, max_classes: int, seed: int) -> tuple[np.ndarray, list[str]]:
+def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, per_class: int, seed: int) -> tuple[np.ndarray, list[str]]:
     """Presence rows of labelled rows drawn by a hash of id and text; held-out rows are left out, repeated rows count once.
 
-    The sample of about `sample` rows is dealt evenly to the languages, at most per_class and at least one to each. Of more than
-    max_classes languages the most frequent are learned.
+    The sample of about `sample` rows is dealt evenly to the languages, at most per_class and at least one to each: the first rows of a language in
+    the order of their hashes. Every language is learned, so beyond `sample` languages the sample is as large as their number.
     """
     train = df.where(~is_held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("c"))
-    counts = train.groupBy("c").count().orderBy(F.desc("count"), "c").limit(max_classes)
+    counts = materialize(train.groupBy("c").count(), "languages")
     n_classes = counts.count()
     if not n_classes:
         return np.zeros((0, 1 << BITS), np.float32), []
     scale, each = 1 << 30, max(1, min(per_class, sample // n_classes))
-    limits = counts.select("c", F.least(F.lit(scale), F.ceil(F.lit(float(scale) * each) / F.col("count"))).alias("limit"))
-    drawn = train.join(F.broadcast(limits), "c").where(F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale)) < F.col("limit"))  # max_classes rows at most
-    drawn = drawn.select("k", "t", "c").dropDuplicates()
+    # a hash test first, with so much to spare that a language of many rows has `each` left in all but one of e^20 draws, and one of few rows all its rows
+    spare = each + 7 * each**0.5 + 24
+    limits = small(counts.select("c", F.least(F.lit(scale), F.ceil(F.lit(float(scale) * spare) / F.col("count"))).alias("limit")))
+    hashed = train.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale))).join(limits, "c").where(F.col("h") < F.col("limit"))
+    drawn = hashed.select("k", "t", "c", "h").dropDuplicates(["k", "c", "h"])
+    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("c").orderBy("h", "k"))).where(F.col("at") <= each).select("k", "t", "c")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
@@ -111,7 +114,7 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, pe
     return rows, [r["c"] for r in got]
 
 
-def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, per_class: int = 500, max_classes: int = 2000, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
+def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, per_class: int = 500, landmarks: int = 192, seed: int = 10, batch: int = 64) -> DataFrame:
     """Adds lang_pred and score (0 to 1: the softmax of the class scores) to df; the text stays.
 
     Learns from `labelled` (default: df itself): text and non-null lang of about `sample` rows whose id isn't held out, dealt evenly
@@ -119,10 +122,10 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, key: str = "doc_i
     without a letter is `und` with score 0, as is every text if nothing can be learned. Columns of df with these
     names are replaced; repeated rows get equal answers; an empty table gives no rows.
     """
-    rows, names = training_rows(df if labelled is None else labelled, key, text, lang, sample, per_class, max_classes, seed)
+    rows, names = training_rows(df if labelled is None else labelled, key, text, lang, sample, per_class, seed)
     model = fit_kernel_ridge(rows, names, landmarks) if names else None
     del rows
-    shared = df.sparkSession.sparkContext.broadcast(model)  # classes x 2^14 numbers, bounded by max_classes
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 2^14 numbers a language
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()

@@ -9,11 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import CACHES, by_key, components, discard, keep_only, materialize, others, words_of
+from .base import BROADCAST_ROWS, CACHES, by_key, components, discard, keep_only, materialize, others, shielded, small, words_of
 from .links import local_roots
 
-#: Rows of two longs that are sent to every task: 16 MB at most.
-BROADCAST_ROWS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,8 +81,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows equal in key and text
     count as one; a null key is never named: it takes its class's smallest key and isn't kept unless it stands alone. An
-    empty table gives no rows.
+    empty table gives no rows. Columns of df with the added names are replaced, all others come back under their own.
     """
+    df, back = shielded(df, [key, text], "n_shingles", "component_id", "kept")
     rng = np.random.default_rng(seed)
     seeds = (rng.integers(1, 1 << 32, hashes, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
     orders = [rng.permutation(hashes) for _ in range(trees)]
@@ -118,15 +117,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     if not crowd.isEmpty():
         more = crowded_links(df, key, text, classes, crowd, groups, width, percent)
         if not more.isEmpty():
-            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "groups")
+            joined, before = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "groups"), groups
+            groups = joined
+            discard(before, more)
     linked = exact_links(shingle_sets(df, key, text, classes, groups, width), percent, block)
     found = components(linked).select(F.col("node").alias("rep"), "component")
     done = classes.join(found, "rep", "left").select("_h1", "_h2", F.coalesce("component", "rep").alias("component_id"))
+    done = materialize(done, "done")
+    discard(classes, groups, edges, crowd)
     joined = members.join(done, ["_h1", "_h2"], "left")
     own = F.coalesce("component_id", F.col(key)).cast("long")
     out = joined.select(*kept, "n_shingles", own.alias("component_id"))
     alone = F.col(key).isNull() & F.col("component_id").isNull()
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), alone))
+    return back(out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), alone)))
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
@@ -144,7 +147,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, classes: DataFrame, groups:
                 yield some.drop(columns=["t", "_h1"]).assign(set=raw)[same]  # another text under the same key isn't the class
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "_h1"), "node")
+    wanted = small(materialize(groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "_h1"), "node"), "wanted"))  # while it is small the texts stay where they are
     texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))
     made = texts.join(wanted, "node").select("component", "n", "node", "t", "_h1").mapInPandas(cut, "component long, n long, node long, set binary")
     return made.groupBy("component", "n", "node").agg(F.first("set").alias("set"))

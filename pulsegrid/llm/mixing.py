@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import exclusive_offsets, materialize, n_words, others
+from .base import exclusive_offsets, materialize, n_words, shielded, small
 
 WEIGHTS = (5, 2, 1)
 
@@ -33,6 +33,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.select("source", "source_size", "weight", F.least(limit, F.col("weight") * F.col("_level")).alias("target"))
 
 
+def draw_of(key: Column, text: Column, seed: int) -> Column:
+    """A random 60-bit number from a hash of a row's id and text."""
+    digest = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))), "UTF-8"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 9, rows_per_bucket: int = 4096, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """For each row of df: _key, _source, size, source_size, target, and taken, the words that the mix takes of it.
 
@@ -44,8 +50,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     Null text has size 0 and gives nothing; a null source is a source; rows equal in id and text are interchangeable
     and each counts; an empty table gives no rows.
     """
-    digest = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))), "UTF-8"))
-    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    draw = draw_of(F.col(key), F.col(text), seed)
     slim = materialize(df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"), draw.alias("_draw")), "mix")
     bits = min(40, max(4, math.ceil(math.log2(max(1, slim.count() / rows_per_bucket)))))
     tag = F.when(F.col("_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_source")))
@@ -68,18 +73,19 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sour
     """The mix itself: rows of df, each as often as the mix takes it, with the columns of df.
 
     Documents stay whole: the one on a source's cut is taken if at least half of its words are, so that a source ends
-    within half a document of its target. Rows without words give nothing.
+    within half a document of its target. Rows without words give nothing. Rows equal in id, source and text are interchangeable: they are
+    numbered, and the first of them give one copy more than the others where their copies don't divide evenly.
     """
-    digest = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    taken = mix_sources(df, key, text, source, **options).where("size > 0")
-    copies = taken.withColumn("_copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("_copies > 0")
-    # rows equal in id, source and draw (a hash of id and text) are interchangeable: their copies add up over one of them
-    seed = str(options.get("seed", 9))
-    draw = F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), digest), "UTF-8")), 1, 15), 16, 10).cast("long")
-    copies = copies.groupBy("_key", "_source", "_draw").agg(F.sum("_copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    kept = others(df, "_draw", "_key", "_source", "_copies", "_rows")
-    held = df.select(*kept, F.col(key).alias("_k"), F.col(source).alias("_s"), draw.alias("_d"))
-    on = F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_d") == F.col("_draw"))
-    joined = held.join(copies, on)
-    turn = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.ceil(F.col("_copies") / F.col("_rows")))
-    return joined.select(*kept, F.explode(F.sequence(F.lit(1), turn.cast("int"))).alias("_turn")).drop("_turn")
+    df, back = shielded(df, [key, text, source])
+    taken = mix_sources(df, key, text, source, **options)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    sums = taken.groupBy("_key", "_source", "_draw").agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows"))
+    sums = small(materialize(sums.where("_copies > 0"), "copies"))
+    on = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_d") == F.col("_draw"))
+    joined = df.withColumn("_d", draw_of(F.col(key), F.col(text), options.get("seed", 9))).join(sums, on)
+    alone = joined.where("_rows = 1").withColumn("_turns", F.col("_copies"))
+    at = F.row_number().over(Window.partitionBy("_key", "_source", "_draw").orderBy("_draw"))
+    equal = joined.where("_rows > 1").withColumn("_at", at)  # rows with equals only
+    equal = equal.withColumn("_turns", F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).drop("_at")
+    both = alone.unionByName(equal).where("_turns > 0")
+    return back(both.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_turns").cast("int"))).alias("_turn")).drop("_turn"))

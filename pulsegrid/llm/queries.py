@@ -51,7 +51,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=8)
 
 
 def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

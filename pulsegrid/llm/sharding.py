@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import exclusive_offsets, fresh_path, materialize, others, utf8_bytes
+from .base import exclusive_offsets, fresh_path, materialize, others, shielded, utf8_bytes
 
 
 def _in_hash_order(items: Column, schema: str) -> Column:
@@ -31,6 +31,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     are replaced. Null keys and texts are scattered as values of their own; equal texts under different keys spread
     evenly; an empty table gives no rows. Rows equal in both key and text share a bucket (and may swap places if a column holds a map).
     """
+    df, back = shielded(df, [key, text], "shard", "slot")
     size = utf8_bytes(F.col(text)) + 16
     n_rows, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     n_buckets = max(min_buckets, math.ceil(n_bytes / bucket_bytes))
@@ -50,7 +51,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     shard = F.expr(f"cast((base + _at) * {n_shards}L div {total}L as int)")
     placed = mixed.select(*[F.col("_item.row")[c].alias(c) for c in kept], shard.alias("shard"), (F.col("base") + F.col("_at")).alias("_place"))
     first = F.expr(f"(cast(shard as bigint) * {total}L + {n_shards - 1}L) div {n_shards}L")
-    return placed.withColumn("slot", F.col("_place") - first).drop("_place")
+    return back(placed.withColumn("slot", F.col("_place") - first).drop("_place"))
 
 
 def write_shards(shards: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import give_back, in_slices, keep_only, materialize, others
+from .base import BROADCAST_ROWS, discard, give_back, in_slices, keep_only, materialize, others, shielded
 
 #: A sentence ends after its mark and white space, or at a line's end; marks of scripts written without spaces need no white space.
 _END = re.compile(r"(?<=[.!?…؟۔।॥])[ \t]+|\n+")
@@ -21,13 +21,13 @@ _WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400
 _UNIT = re.compile(rf"{_WIDE.pattern}|[^\s{_WIDE.pattern[1:-1]}]+")
 #: White space other than blanks and line feeds.
 _ODD_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-#: Runs of one or two sentences count from so many words, longer ones from LONG. A sentence of more than CUT words is
+#: Runs of one or two sentences count too from so many words. A sentence of more than CUT words is
 #: taken in pieces, which begin at every word whose hash is a multiple of EVERY; runs with pieces count from TWO words.
 #: The cuts follow from the words beside them, so a passage is cut alike in every text.
-ONE, TWO, LONG, CUT, EVERY = 50, 30, 12, 40, 8
+ONE, TWO, CUT, EVERY = 50, 30, 40, 8
 _MASK = (1 << 128) - 1
 _HALF = (1 << 63) - 1
-#: More than the sentences of any run: each has a word, and a run ends with its TWO words at most.
+#: More than the sentences of any run: each has a word, and a run ends with `run` sentences or least_words words, or TWO words if it holds pieces.
 RUN = 64
 
 
@@ -58,11 +58,11 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     return out
 
 
-def spans(text: str | None) -> list[tuple[int, int, int]]:
+def spans(text: str | None, run: int = 3, least_words: int = 0) -> list[tuple[int, int, int]]:
     """Runs of consecutive sentences: (128-bit hash, first sentence, number of sentences).
 
-    From every sentence: the run of three, or of as many more as make LONG words, and the run of two or one if it has TWO or
-    ONE words; with a piece of a long sentence in it, a run of any number that makes TWO words. Case and the width of white space don't count.
+    From every sentence: the run of `run` of them whatever its words (or of as many more as make least_words), and shorter runs if they have TWO
+    words, one sentence ONE; with a piece of a long sentence in it, a run of any number that makes TWO words. Case and the width of white space don't count.
     """
     import xxhash
 
@@ -79,10 +79,10 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         while i + k < len(places):
             h = ((h ^ hashes[i + k]) * 0x9E3779B97F4A7C15F39CC0605CEDC835 + k) & _MASK
             n, cut, k = n + counts[i + k], cut or piece[i + k], k + 1
-            enough = n >= TWO if cut else n >= (ONE if k == 1 else TWO if k == 2 else LONG)
-            if enough:
+            whole = k >= run and n >= least_words
+            if n >= TWO if cut else whole or n >= (ONE if k == 1 else TWO):
                 made.append((h ^ h >> 67, i, k))
-                if k >= 3 or cut:
+                if whole or cut:
                     break
     return made
 
@@ -102,16 +102,21 @@ def without(text: str, hits: list[int]) -> tuple[str, int, int]:
     return "".join(parts).strip(), len(places), len(gone)
 
 
-def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3, least_words: int = 0) -> DataFrame:
     """Columns of df with the cleaned text, n_sentences and n_removed (pieces of long sentences count as sentences).
 
+    Every run of `run` sentences is a span. With least_words, a run with fewer words goes on until it has them: runs of a few one-word sentences, which
+    unrelated texts share by chance, then count with what follows them only. Both are below RUN.
     All spans of all texts are hashed and joined by two 63-bit hashes. The first occurrence of a span, by key (null last) and
     place, stays; every sentence that another occurrence covers is removed, in the same text as well. A text gives
     each of its spans once to the join, with the first place; its own repeats are known beforehand. So the join holds a row for each
     text that a repeated span is in, and a passage that one text repeats all over adds none. Hashes are counted with
     map-side aggregation, and only the spans whose hash is repeated go on; the join back splits hot hashes. Null texts stay null; rows equal in key and
-    text are one document to each other; an empty table gives no rows; columns with the added names are replaced.
+    text are one document to each other; an empty table gives no rows; columns with the added names are replaced, all others come back under their own.
+    The texts are joined to their hits where they lie while these are few (small()), else both are shuffled.
     """
+    assert 1 <= run < RUN and 0 <= least_words < RUN
+    df, back = shielded(df, [key, text], "n_sentences", "n_removed")
     row = F.xxhash64(F.lit(6), F.col(key), F.col(text))
     number = F.coalesce(F.col(key).cast("long"), F.lit(_HALF))
 
@@ -122,7 +127,7 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
                 made = []
                 for k, r, t in zip(rows["k"], rows["row"], rows["t"]):
                     seen: set[int] = set()
-                    for h, i, n in spans(t):
+                    for h, i, n in spans(t, run, least_words):
                         made.append((h & _HALF, h >> 64 & _HALF, k, r, i * RUN + n, h in seen))
                         seen.add(h)
                 columns = list(zip(*made)) or [()] * 6
@@ -138,6 +143,10 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     first = materialize(first, "spans")
     later = found.join(first, ["h", "g"]).where(place != F.col("first")).select("k", "row", "at")
     hits = later.unionAll(every.where("again").select("k", "row", "at")).groupBy("k", "row").agg(F.collect_set("at").alias("hits"))
+    hits = materialize(hits, "hits")
+    discard(every, repeated, found, first)
+    if hits.agg(F.coalesce(F.sum(F.size("hits") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only()
@@ -154,4 +163,4 @@ def remove_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text"
     kept = others(df, "n_sentences", "n_removed")
     joined = df.select(*kept, number.alias("_k"), row.alias("_row")).join(hits.select(F.col("k").alias("_k"), F.col("row").alias("_row"), F.col("hits").alias("_hits")), ["_k", "_row"], "left").drop("_k", "_row")
     schema = StructType([df.schema[c] for c in kept]).add("n_sentences", "integer").add("n_removed", "integer")
-    return joined.mapInPandas(clean, schema)
+    return back(joined.mapInPandas(clean, schema))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import by_key, components, materialize, others
+from .base import by_key, components, discard, materialize, others, shielded
 from .links import local_roots
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -99,8 +99,9 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
 
     A row whose label is null, or whose vector is null, zero, of another length than its partners, or holds null or
     non-finite components, links with nothing. A null key can't name a component: it links with nothing and isn't kept.
-    An empty table gives no rows.
+    An empty table gives no rows. Columns of df with the added names are replaced, all others come back under their own.
     """
+    df, back = shielded(df, [key, vec, label], "n_links", "component_id", "kept")
     spark = df.sparkSession
     kept = [c for c in others(df, "n_links", "component_id", "kept") if c != vec]
     bad = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -179,10 +180,11 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embed
         return pd.DataFrame({"a": ids, "b": ids[local_roots(len(ids), a_at, b_at)], "links": links.astype("int64")})
 
     found = materialize(by_key(cells, "cell", [], compare, "a long, b long, links long"), "links")
+    discard(coded)
     groups = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     done = classes.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
     done = done.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_component"))
     joined = rows.join(done, ["_h1", "_h2"], "left")
     out = joined.select(*kept, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_component", F.col(key)).cast("long").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    return back(out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))))
