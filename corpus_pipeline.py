@@ -3,66 +3,92 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import langid, minhash, mixing, packing, substrings
-from pulsegrid.llm.base import materialize
+from pulsegrid.llm.base import STORED, delete, discard, materialize, shielded, small
 
 #: Language ID rejects a text without letters, and one whose best language is less likely than this.
 LEAST_SCORE = 0.4
 
 
-#: Columns that the stages read; others pass through.
-OWN = ("doc_id", "text", "lang", "source", "n_chars")
+#: Runs of three sentences with fewer words go on: unrelated texts share runs of one-word sentences by chance.
+LEAST_WORDS = 8
+#: Folders that the last stage's result reads.
+_LEFT: set[str] = set()
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def passing(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What an operator makes of docs, with the columns of docs: those that no stage reads have other names meanwhile, so that none clashes with a name that the operator adds."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in OWN}
-    made = operator(docs.withColumnsRenamed(names))
-    return made.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
+def stage(work: Stage) -> Stage:
+    """A stage that first deletes what the one before kept for its result: that is written by now. Folders that docs itself reads stay."""
 
+    @wraps(work)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {part for file in docs.inputFiles() for part in file.split("/")}
+        for path in [p for p in _LEFT if p.rpartition("/")[2] not in read]:
+            delete(spark, path)
+            _LEFT.discard(path)
+        before = set(STORED)
+        made = work(spark, docs, sf_dir)
+        _LEFT.update(STORED - before)
+        return made
+
+    return staged
+
+
+@stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; learns from the documents table itself, as op10 does."""
-    return passing(docs, lambda df: langid.identify(df).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    df, back = shielded(docs, ["doc_id", "text", "lang"])
+    return back(langid.identify(df).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score"))
 
 
+@stage
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id (null last), of each group of near duplicates on five-word shingles.
 
-    Rows are numbered, so that rows without an id or with a shared one are judged each by its own text.
+    A row is named by a 64-bit hash of its id and text, so that rows without an id or with a shared one are judged each by its own text;
+    of rows equal in both one stays. Texts stay where they are while the rows kept are few (small()).
     """
-
-    def operator(df: DataFrame) -> DataFrame:
-        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        groups = minhash.near_duplicates(rows.select("_row", "text"), key="_row", width=5).select("_row", "component_id")
-        names = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("name"))
-        first = names.join(groups, "_row").groupBy("component_id").agg(F.min("name").alias("name")).select("name._row")
-        return rows.join(first, "_row", "left_semi")
-
-    return passing(docs, operator)
-
-
+    df, back = shielded(docs, ["doc_id", "text"])
+    df = df.withColumn("_row", F.xxhash64(F.lit(7), "doc_id", "text"))
+    groups = minhash.near_duplicates(df.select("doc_id", "_row", "text"), key="_row", width=5)
+    groups = materialize(groups.select("doc_id", "_row", "component_id"), "named")
+    name = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.groupBy("component_id").agg(F.min(name).alias("name")).select("name._row")
+    copies = groups.groupBy("_row").agg(F.count("*").alias("_n"))
+    first = materialize(first.join(copies, "_row"), "first")
+    discard(groups)
+    held = df.join(small(first), "_row")
+    equal = held.where("_n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_at = 1").drop("_at")
+    return back(held.where("_n = 1").unionByName(equal).drop("_n", "_row"))
+
+
+@stage
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated spans; a document of which nothing is left goes. n_chars, if there, is that of the new text."""
-    out = passing(docs, lambda df: substrings.remove_repeated_spans(df).where(F.col("text").rlike(r"\S")))
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    df, back = shielded(docs, ["doc_id", "text"])
+    made = back(substrings.remove_repeated_spans(df, least_words=LEAST_WORDS).where(F.col("text").rlike(r"\S")).drop("n_sentences", "n_removed"))
+    return made.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents whole, once, twice or not at all."""
-    return passing(docs, mixing.mixed_documents)
+    return mixing.mixed_documents(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their token ids."""
     return packing.pack_documents(docs.select("doc_id", "source", "text"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language ID", identified),
     ("MinHash near-dedup", deduplicated),
     ("substring dedup", cleaned),
@@ -77,8 +103,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    written = None
+    for at, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs = materialize(docs, "stage")
+            if written:
+                discard(written)
+            written = docs
     return docs
