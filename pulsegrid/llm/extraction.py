@@ -38,6 +38,8 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup"
     " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager login search copyright disclaimer".split()
 )
+#: Those of elements that may hold article elements which aren't the page's.
+READER = frozenset("comment comments disqus replies respond related recommended ad ads advert promo sponsored".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What an element's start closes, unless one of the others stands between.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
@@ -74,7 +76,7 @@ class Page:
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
-    """How an element counts: silent (no text of the page), around, hinted (around unless it holds the article), head (a header), or nothing."""
+    """How an element counts: silent (no text of the page), around, hinted (around unless it holds the article), reader (around unless it holds the main heading), head (a header), or nothing."""
     if tag in SILENT:
         return "silent"
     if tag in AROUND:
@@ -88,9 +90,9 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
         if in_article:
             words.discard("header")
         if tag == "article":
-            return "around" if words & {"comment", "comments", "related", "ad", "ads", "promo", "sponsored"} else ""
+            return "around" if words & READER else ""
         if tag not in ("html", "body", "main") and (words or named.get("role", "").lower() in ROLES):
-            return "hinted"
+            return "reader" if words & READER else "hinted"
     if tag == "form":
         return "hinted"
     return "head" if tag == "header" else ""
@@ -132,9 +134,6 @@ def parse(html: str) -> Page:
         while at and len(stack) > at:
             pop()
 
-    def guard() -> None:
-        page.guarded.update(stack)
-
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -181,9 +180,11 @@ def parse(html: str) -> Page:
             kind = _kind(tag, attributes, articles > 0)
             if tag == "article" and articles:
                 kind = "around"  # inside an article these are its comments, or other articles
-            if tag in ("h1", "main") or tag == "article" and not kind and not found_article:
-                guard()
-            found_article |= tag == "article" and not kind
+            if tag in ("h1", "main"):
+                page.guarded.update(stack)
+            elif tag == "article" and not kind and not found_article:
+                found_article = all(page.kinds[e] != "reader" for e in stack)
+                page.guarded.update(stack if found_article else ())
             page.parents.append(stack[-1])
             page.tags.append(tag)
             page.kinds.append(kind)
@@ -217,7 +218,7 @@ class BlockRules:
             parent, kind = page.parents[e], page.kinds[e]
             core[e] = core[parent] or page.tags[e] in ("article", "main")
             head[e] = head[parent] or kind == "head"
-            out[e] = out[parent] or kind in ("silent", "around") or kind == "hinted" and e not in page.guarded or kind == "head" and e not in page.guarded and not core[e]
+            out[e] = out[parent] or kind in ("silent", "around") or kind in ("hinted", "reader") and e not in page.guarded or kind == "head" and e not in page.guarded and not core[e]
         left = [b for b in page.blocks if not out[b.parent] and (b.heading or not head[b.parent])]
         inside = [b for b in left if core[b.parent]]
         if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in left):

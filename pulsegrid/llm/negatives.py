@@ -15,6 +15,8 @@ from .base import by_key, materialize
 from .vectors import squares
 
 LONG = (1 << 63) - 1
+#: Rows with a greater component lie in the leaf FAR, which every query opens: squares of others stay far from a double's limits.
+MOST, FAR = 2.0**40, -1
 
 
 def scaled(vectors: pd.Series, scale: float) -> np.ndarray:
@@ -24,7 +26,7 @@ def scaled(vectors: pd.Series, scale: float) -> np.ndarray:
 
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of whole vectors, exact: in doubles where no sum can pass 2^53, else in Python's integers, held to 64 bits."""
-    if not len(x) or not len(y):
+    if not x.size or not y.size:
         return np.zeros((len(x), len(y)), np.int64)
     if np.abs(x).max() * np.abs(y).max() * x.shape[1] < 2.0**53:
         return (x @ y.T).astype(np.int64)
@@ -76,8 +78,8 @@ class Tree:
 
     def route(self, x: np.ndarray, seen: Callable[[Node, np.ndarray, np.ndarray], None] | None = None) -> np.ndarray:
         """Each row's leaf. seen(node, squared distances to its points, choice) is told of each node that rows pass."""
-        leaf = np.zeros(len(x), np.int32)
-        waiting = [(self.root, np.arange(len(x)))]
+        leaf = np.where(np.abs(x).max(1) > MOST, FAR, 0).astype(np.int32)
+        waiting = [(self.root, np.nonzero(leaf != FAR)[0])]
         while waiting:
             node, rows = waiting.pop()
             if not len(rows):
@@ -93,13 +95,15 @@ class Tree:
         return leaf
 
     def reach(self, x: np.ndarray, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[list[int]]:
-        """The leaves that each query x must open.
+        """The leaves that each query x must open, FAR among them.
 
         A sibling subtree lies, by a split point's range to it, within an annulus around the query; the plane between its own
         split point and the query's nearest one bounds it from below too. fits(rows, least, greatest distance) says which can hold a row in their windows.
         """
-        out: list[list[int]] = [[] for _ in range(len(x))]
-        waiting = [(self.root, np.arange(len(x)), np.zeros(len(x)), np.full(len(x), np.inf))]
+        far = np.abs(x).max(1) > MOST
+        out: list[list[int]] = [[FAR, *range(self.leaves)] if f else [FAR] for f in far]
+        near = np.nonzero(~far)[0]
+        waiting = [(self.root, near, np.zeros(len(near)), np.full(len(near), np.inf))]
         while waiting:
             node, rows, low, high = waiting.pop()
             if not len(rows):
@@ -154,6 +158,7 @@ def hard_negatives(df: DataFrame, anchor: Column, key: str = "vec_id", vec: str
         share = min(1.0, sample_rows / len(lengths) / r.n)
         drawn = rows.where((F.size("vec") == r.dim) & (F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("row", "vec").limit(4 * sample_rows).toPandas()
         sample = scaled(drawn.sort_values("row")["vec"], scale) if len(drawn) else np.zeros((0, r.dim))
+        sample = sample[(np.abs(sample) <= MOST).all(1)]
         if len(sample):
             trees[r.dim] = Tree.fit(sample, leaf_rows * len(sample) / r.n, degree, seed)
     bare = spark.sparkContext.broadcast(trees)  # split points: sample_rows vectors at most
@@ -192,7 +197,7 @@ def hard_negatives(df: DataFrame, anchor: Column, key: str = "vec_id", vec: str
                             add((dim, node.number, i, int(j)), values)
 
                 leaf, size = tree.route(x, seen), (x * x).sum(1)
-                for j in np.unique(leaf):
+                for j in np.unique(leaf[leaf != FAR]):
                     add((dim, -1, 0, int(j)), size[leaf == j])
         yield pd.DataFrame([(*at, *r) for at, r in found.items()], columns=["dim", "node", "i", "j", "lo", "hi"])
 
