@@ -255,6 +255,7 @@ def search(index: DataFrame, items: DataFrame, n_docs: int, key: str = "item_id"
     spark = items.sparkSession
     named = materialize(items.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")), "items")
     slices = max(1, math.ceil(named.count() / items_at_once))
+    index = index.repartition(max(1, math.ceil(index.count() / blocks_a_task)))  # a block is much work in few bytes
     out = None
     for s in range(slices):
         asked = named.where(F.pmod(F.xxhash64("_row"), F.lit(slices)) == s).collect()
