@@ -83,6 +83,64 @@ def device_status(df: DataFrame, key: str, order: list[str], down_after: int = 3
     return scan(df, [key], order, ["reachable", "degraded", "maintenance", "upstream_down"], lambda: Status(down_after).step, "status string")
 
 
+def status_over_time(polls: DataFrame, parents: DataFrame, down_after: int = 3) -> DataFrame:
+    """`status` and `cause` after each poll (device_id, ts, sample_id, reachable, degraded, maintenance), the upstream device's own status at that time taken from its polls.
+
+    A failed device is unreachable, with its parent (device_id, parent) as cause, if the parent has failed by its last poll before; else it is down.
+    Whether a device has failed depends on its own polls alone (down and unreachable end alike), so one fold gives it for all
+    devices, and each device's polls then meet the moments at which its parent failed or recovered in one sorted pass, however deep the tree.
+    Polls stand in order of ts and sample_id.
+    """
+    order = ["ts", "sample_id"]
+    own = device_status(polls.withColumn("upstream_down", F.lit(False)), "device_id", order, down_after).drop("upstream_down")
+    flips = own.withColumn("_failed", F.col("status") == "down").withColumn("_was", F.lag("_failed", 1, False).over(Window.partitionBy("device_id").orderBy(*order)))
+    flips = flips.where("_failed <> _was").select(F.col("device_id").alias("parent"), "ts", "sample_id", "_failed")
+    seen = parents.where("parent is not null").select("device_id", "parent").join(flips, "parent").select("device_id", "ts", "sample_id", F.lit(0).alias("_kind"), "parent", "_failed")
+    rows = own.withColumn("_kind", F.lit(1)).unionByName(seen, allowMissingColumns=True)
+    now = F.last(F.when(F.col("_kind") == 0, F.struct("_failed", "parent")), ignorenulls=True).over(Window.partitionBy("device_id").orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_now", now).where("_kind = 1")
+    under = (F.col("status") == "down") & F.coalesce(F.col("_now._failed"), F.lit(False))
+    return rows.select(*own.drop("status").columns, F.when(under, "unreachable").otherwise(F.col("status")).alias("status"), F.when(under, F.col("_now.parent")).alias("cause"))
+
+
+def folded_over_time(statuses: DataFrame, parents: DataFrame) -> DataFrame:
+    """device_id, ts, sample_id, cause: devices that are down when their parent goes down (its poll sample_id at ts), and so turn unreachable before their own next poll."""
+    w = Window.partitionBy("device_id").orderBy("ts", "sample_id")
+    rows = statuses.select("device_id", "ts", "sample_id", "status", F.lag("status", 1, "unknown").over(w).alias("_was"))
+    fell = rows.where("status = 'down' and _was <> 'down'").select(F.col("device_id").alias("parent"), "ts", "sample_id")
+    fell = parents.where("parent is not null").select("device_id", "parent").join(fell, "parent")
+    both = rows.select("device_id", "ts", "sample_id", "status", F.lit(None).cast("long").alias("parent")).unionByName(fell.select("device_id", "ts", "sample_id", F.lit(None).cast("string").alias("status"), "parent"))
+    before = Window.partitionBy("device_id").orderBy("ts", "sample_id", F.col("parent").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_s", F.last("status", ignorenulls=True).over(before)).where("parent is not null and _s = 'down'").select("device_id", "ts", "sample_id", F.col("parent").alias("cause"))
+
+
+def interface_timeline(samples: DataFrame, events: DataFrame, devices: DataFrame, util: tuple[float, float, int] = (85.0, 70.0, 5), errors: tuple[float, float, int] = (1.0, 0.1, 3)) -> DataFrame:
+    """device_id, if_index, ts, seq, kind (sample or event), status: an interface's status after each of its samples and link events.
+
+    samples: ts, seq, admin_up, oper_up, util and err_rate (null without rates), important; events: ts, seq, up; devices: ts, seq, status of the whole device from then on.
+    A link event moves the interface at once. A sample gives unknown if the device is down or unreachable by then, maintenance if it is in
+    maintenance, unknown if the port is administratively down, else down or up; an important port that is up is degraded while its utilisation
+    or errors are over their thresholds (enter, leave, cycles; counted on samples that show it up with rates). At the same
+    ts the device comes first, then the sample, then the event; then seq counts.
+    """
+    rows = samples.select("device_id", "if_index", "ts", "seq", F.lit(1).alias("_kind"), "admin_up", "oper_up", "util", "err_rate", "important")
+    rows = rows.unionByName(events.select("device_id", "if_index", "ts", "seq", F.lit(2).alias("_kind"), F.col("up").alias("oper_up")), allowMissingColumns=True)
+    rows = rows.unionByName(devices.select("device_id", "ts", "seq", F.lit(0).alias("_kind"), F.col("status").alias("_device")), allowMissingColumns=True)
+    order = ["ts", "_kind", "seq"]
+    rows = rows.withColumn("_device", F.last("_device", ignorenulls=True).over(Window.partitionBy("device_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where("_kind > 0")
+    plain = F.when(F.col("oper_up"), "up").otherwise("down")
+    sampled = F.when(F.col("_device").isin("down", "unreachable"), "unknown").when(F.col("_device") == "maintenance", "maintenance").when(~F.col("admin_up"), "unknown").otherwise(plain)
+    rows = rows.withColumn("status", F.when(F.col("_kind") == 2, plain).otherwise(sampled))
+    counted = (F.col("_kind") == 1) & (F.col("status") == "up") & F.col("important")
+    rows = rows.withColumn("_key", F.struct("device_id", "if_index"))
+    over = F.lit(False)
+    for name, (enter, leave, cycles) in (("util", util), ("err_rate", errors)):
+        rows = thresholds(rows.withColumn("_v", F.when(counted, F.col(name))), "_key", "_v", order, enter, leave, cycles).withColumnRenamed("on", f"_{name}").drop("_v")
+        over = over | (F.col(f"_{name}") & F.col(name).isNotNull())
+    status = F.when(counted & over, "degraded").otherwise(F.col("status"))
+    return rows.select("device_id", "if_index", "ts", "seq", F.when(F.col("_kind") == 1, "sample").otherwise("event").alias("kind"), status.alias("status"))
+
+
 def silent_agents(df: DataFrame, cycles: int = 3) -> DataFrame:
     """Polls at which ping has worked and the agent been silent for `cycles` in a row."""
     rows = df.withColumn("quiet", F.col("reachable") & ~F.col("snmp_ok"))
@@ -116,9 +174,12 @@ def transitions(df: DataFrame, key: str, order: list[str], span: int = 600, most
 
 
 def interface_status(df: DataFrame, devices: DataFrame) -> DataFrame:
-    """disabled by the administrator, unknown or unreachable with its device, else up or down."""
+    """unknown where the device is down or unreachable, maintenance where it is in maintenance, unknown if the port is administratively down, else down or up.
+
+    The device's state wins over the port's own; a device without a state decides nothing.
+    """
     rows = df.join(devices.select("device_id", F.col("status").alias("device_status")), "device_id", "left")
-    made = F.when(~F.col("admin_up"), "disabled").when(F.col("device_status").isin("down", "unreachable"), "unreachable").when(F.col("device_status").isNull(), "unknown").when(F.col("oper_up"), "up").otherwise("down")
+    made = F.when(F.col("device_status").isin("down", "unreachable"), "unknown").when(F.col("device_status") == "maintenance", "maintenance").when(~F.col("admin_up"), "unknown").when(F.col("oper_up"), "up").otherwise("down")
     return rows.withColumn("status", made).drop("device_status")
 
 
@@ -142,9 +203,10 @@ def sites_down(devices: DataFrame, least: int = 3, percent: float = 80) -> DataF
     return rows.where((F.col("devices") >= least) & (F.col("bad") * 100 >= F.col("devices") * percent))
 
 
-def stale_devices(polls: DataFrame, now: int, interval: int, cycles: int = 5) -> DataFrame:
-    """Devices without a poll for `cycles` intervals."""
+def stale_devices(polls: DataFrame, devices: DataFrame, now: int, interval: int, cycles: int = 5) -> DataFrame:
+    """Monitored devices (device_id, monitored, status) not yet unknown without a poll for `cycles` intervals; one that was never polled isn't stale."""
     last = polls.groupBy("device_id").agg(F.max(epoch(F.col("ts"))).alias("last_poll"))
+    last = last.join(devices.where("monitored and status <> 'unknown'").select("device_id"), "device_id", "left_semi")
     return last.where(F.lit(now) - F.col("last_poll") > cycles * interval).withColumn("status", F.lit("unknown"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import short_host, short_port
-from ..sources.storage import with_checkpoints
+from . import graphs
 
 INFRA = ("core", "distribution", "access", "router", "firewall")
 SWITCHES = ("core", "distribution", "access")
@@ -123,44 +123,37 @@ def infer_roles(devices: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("device_id", "site_id", made.alias("role"))
 
 
-def parents(devices: DataFrame, links: DataFrame) -> DataFrame:
-    """Upstream device of each device: breadth first from every site's root (router before core before distribution before others, then most links, then the smallest id).
+#: Which role a site's root has first.
+ROOT_RANK = {"core": 4, "router": 3, "firewall": 3, "distribution": 2, "access": 1}
 
-    Of equally near parents the smallest id counts; a device that no path reaches has neither parent nor hop. Each hop joins the frontier to the links and is checkpointed, until none is new:
-    a device beside the last hop is in it, in the hop before or new.
+
+def parents(devices: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Upstream device of each device, and its hops from the nearest root.
+
+    A site's root is its core, else a router or firewall, else a distribution, an access switch, another device; of several the one with the most
+    links (parallel ones count), then the smallest id. A site of which that device has no link has no root. `roots` (device_id) are roots
+    besides. Links that are external or stale (columns that may be missing) count nowhere. Of equally near parents the smallest id
+    counts; a device that no path reaches has neither parent nor hop.
     """
-    order = F.when(F.col("role").isin("router", "firewall"), 0).when(F.col("role") == "core", 1).when(F.col("role") == "distribution", 2).otherwise(3)
-    ends = links.select(F.col("a_device").alias("device_id")).unionAll(links.select(F.col("b_device").alias("device_id"))).groupBy("device_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("site_id").orderBy("_o", F.desc("_n"), "device_id")
-    roots = devices.join(ends, "device_id", "left").withColumns({"_o": order, "_n": F.coalesce("n", F.lit(0))}).withColumn("_p", F.row_number().over(w)).where("_p = 1")
-    with_checkpoints(devices.sparkSession)
-    pairs = neighbours(links).checkpoint()
-    done = roots.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")).checkpoint()
-    before, last, hop = done, done, 0
-    while not last.isEmpty():
-        hop += 1
-        step = pairs.select(F.col("device_id").alias("from"), F.col("peer").alias("device_id")).join(last.select(F.col("device_id").alias("from")), "from").groupBy("device_id").agg(F.min("from").cast("long").alias("parent"))
-        near = before.select("device_id").unionAll(last.select("device_id"))
-        step = step.join(near, "device_id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
-        done = done.unionByName(step)
-        before, last = last, step
-    rest = devices.select("device_id").join(done, "device_id", "left_anti")
-    return done.unionByName(rest.select("device_id", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("hop")))
+    for c in ("external", "stale"):
+        links = links.where(~F.coalesce(F.col(c), F.lit(False))) if c in links.columns else links
+    order = F.create_map(*[F.lit(x) for kv in ROOT_RANK.items() for x in kv])[F.col("role")]
+    ends = links.select(F.col("a_device").alias("device_id")).unionAll(links.select(F.col("b_device").alias("device_id"))).groupBy("device_id").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("site_id").orderBy(F.desc("_o"), F.desc("_n"), "device_id")
+    ranked = devices.join(ends, "device_id", "left").withColumns({"_o": F.coalesce(order, F.lit(0)), "_n": F.coalesce("_n", F.lit(0))}).withColumn("_p", F.row_number().over(w))
+    top = ranked.where("_p = 1 and _n > 0").select(F.col("device_id").cast("long").alias("node"))
+    top = top if roots is None else top.unionAll(roots.select(F.col("device_id").cast("long")))
+    edges = links.select(F.col("a_device").cast("long").alias("a"), F.col("b_device").cast("long").alias("b"), F.lit(1).cast("long").alias("w")).where("a <> b").distinct()
+    dist = graphs.distances(edges, top)
+    up = graphs.nearest_parents(edges, dist)
+    rows = devices.select("device_id").join(dist.select(F.col("node").alias("device_id"), F.col("dist").cast("int").alias("hop")), "device_id", "left")
+    return rows.join(up.select(F.col("node").alias("device_id"), "parent"), "device_id", "left").select("device_id", "parent", "hop")
 
 
 def impact(tree: DataFrame) -> DataFrame:
-    """Number of devices below each one in the parent tree."""
-    with_checkpoints(tree.sparkSession)
-    level = tree.where("parent is not null").select("device_id", F.col("parent").alias("above"))
-    up = level.select(F.col("device_id").alias("above"), F.col("above").alias("next"))
-    total = level.select("above")
-    for _ in range(tree.count()):  # no path is longer
-        level = level.join(up, "above").select("device_id", F.col("next").alias("above")).checkpoint()
-        if level.isEmpty():
-            break
-        total = total.unionAll(level.select("above"))
-    counts = total.groupBy(F.col("above").alias("device_id")).agg(F.count("*").alias("below"))
-    return tree.select("device_id").join(counts, "device_id", "left").select("device_id", F.coalesce("below", F.lit(0)).alias("below"))
+    """Number of devices below each one in the parent tree (device_id, parent)."""
+    found = graphs.below(tree.select(F.col("device_id").alias("node"), "parent"))
+    return tree.select("device_id").join(found.select(F.col("node").alias("device_id"), F.col("n").alias("below")), "device_id", "left").select("device_id", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def view(links: DataFrame, devices: DataFrame, alerts: DataFrame, site: int | None = None, least: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as O
+from ..sources.storage import materialize
 from .registry import Data, query
+from .topology import TREE, parent_tree
 
 RUNS = """select sample_id, device_id, ts, ok, row_number() over (partition by device_id, run order by ts, sample_id) as n from (
  select *, sum(flip) over (partition by device_id order by ts, sample_id) as run from (
@@ -50,13 +52,29 @@ def polls(d: Data):
     return d("v_device_samples").select("sample_id", "device_id", "ts", "reachable", (F.col("cpu_pct") >= 50).alias("degraded"), hit(9, 0, (20, 5)).alias("maintenance"), hit(4, 1, (2, 1)).alias("upstream_down"))
 
 
+#: Status by a device's own polls (g: failed is down), then by what its parent was at its last poll before.
+OVER_TIME = TREE + STATUS.replace("with recursive s as", ", s as").replace("device_id % 4 = 1 and sample_id % 2 = 0 as u", "false as u").replace(", f as", ", g as").replace("\nf as (", "\ng as (").replace("from f join s on s.device_id = f.device_id and s.n = f.n + 1", "from g join s on s.device_id = g.device_id and s.n = g.n + 1").rstrip() + """,
+f0 as (select g.device_id, g.sample_id, g.ts, g.status, t.parent, (select max_by(u.status, (u.ts, u.sample_id)) from g u where u.device_id = t.parent and (u.ts, u.sample_id) <= (g.ts, g.sample_id)) as upper from g left join tree t on t.device_id = g.device_id),
+f as (select device_id, sample_id, ts, case when status = 'down' and upper = 'down' then 'unreachable' else status end as status, case when status = 'down' and upper = 'down' then parent end as cause from f0)"""
+
+
 def _status(d: Data):
-    return O.device_status(polls(d), "device_id", ["ts", "sample_id"], 2)
+    return O.status_over_time(polls(d).drop("upstream_down"), parent_tree(d).select("device_id", "parent"), 2)
 
 
-@query("P4_device_status", STATUS + " select device_id, sample_id, status from f")
+@query("P4_device_status", OVER_TIME + " select device_id, sample_id, status, cause from f")
 def p4(d: Data):
-    return _status(d).select("device_id", "sample_id", "status")
+    return _status(d).select("device_id", "sample_id", "status", "cause")
+
+
+@query("P5_folded_over_time", OVER_TIME + """,
+w as (select *, lag(status, 1, 'unknown') over (partition by device_id order by ts, sample_id) as was from f),
+x as (select t.device_id, w.ts, w.sample_id, w.device_id as cause from w join tree t on t.parent = w.device_id where w.status = 'down' and w.was <> 'down')
+select device_id, sample_id, cause from (select x.*, (select max_by(u.status, (u.ts, u.sample_id)) from f u where u.device_id = x.device_id and (u.ts, u.sample_id) <= (x.ts, x.sample_id)) as own from x) where own = 'down'""")
+def p5_folded(d: Data):
+    tree = parent_tree(d).select("device_id", "parent")
+    status = materialize(O.status_over_time(polls(d).drop("upstream_down"), tree, 2).select("device_id", "ts", "sample_id", "status"))
+    return O.folded_over_time(status, tree).select("device_id", "sample_id", "cause")
 
 
 @query("P5_suppressed", """
@@ -76,16 +94,45 @@ def p5(d: Data):
 MOVES = "select device_id, sample_id, ts, epoch_us(ts) as us, status, previous from (select *, lag(status) over (partition by device_id order by ts, sample_id) as previous from f where status <> 'unknown') where previous <> status"
 
 
-@query("P6_flaps", STATUS + f", m as ({MOVES}) select device_id, sample_id, previous, status, count(*) over w as changes, (count(*) over w) > 3 as flapping from m window w as (partition by device_id order by us range between 863999999999 preceding and current row)")
+@query("P6_flaps", OVER_TIME + f", m as ({MOVES}) select device_id, sample_id, previous, status, count(*) over w as changes, (count(*) over w) > 3 as flapping from m window w as (partition by device_id order by us range between 863999999999 preceding and current row)")
 def p6(d: Data):
     return O.transitions(_status(d), "device_id", ["ts", "sample_id"], 864000, 3).select("device_id", "sample_id", "previous", "status", "changes", "flapping")
 
 
 @query("P7_interface_status", """
-select i.device_id, if_index, case when not admin_up then 'disabled' when d.status in ('down', 'unreachable') then 'unreachable' when d.status is null then 'unknown' when oper_up then 'up' else 'down' end as status
-from v_interfaces i left join v_devices d on d.device_id = i.device_id and d.monitored""")
+select i.device_id, if_index, case when d.s in ('down', 'unreachable') or d.s is distinct from 'maintenance' and not admin_up then 'unknown' when d.s = 'maintenance' then 'maintenance' when oper_up then 'up' else 'down' end as status
+from v_interfaces i left join (select device_id, case when device_id % 9 = 4 then 'maintenance' else status end as s from v_devices where monitored) d using (device_id)""")
 def p7(d: Data):
-    return O.interface_status(d("v_interfaces"), d("v_devices").where("monitored")).select("device_id", "if_index", "status")
+    devices = d("v_devices").where("monitored").withColumn("status", F.when(F.col("device_id") % 9 == 4, "maintenance").otherwise(F.col("status")))
+    return O.interface_status(d("v_interfaces"), devices).select("device_id", "if_index", "status")
+
+
+#: Samples of four ports a device, link events, and the device's own status, for the merge of all three.
+MERGED = """
+with d as (select user_id as device_id, ts, event_id as seq, case event_id % 9 when 0 then 'down' when 1 then 'unreachable' when 2 then 'maintenance' else 'up' end as status from events where event_id % 5 = 2),
+i as (select user_id as device_id, event_id % 3 as if_index, ts, event_id as seq, 1 as kind, event_id % 11 <> 0 as admin_up, event_id % 7 <> 1 as up, case when event_id % 4 > 0 then value % 100 end as util, case when event_id % 4 > 0 then event_id % 13 * 0.2 end as err, event_id % 3 < 2 as important from events
+ union all select user_id, event_id % 3, ts, event_id, 2, null, event_id % 2 = 0, null, null, null from events where event_type in ('error', 'signup')),
+m as (select i.*, (select max_by(status, (d.ts, d.seq)) from d where d.device_id = i.device_id and d.ts <= i.ts) as device from i),
+b as (select *, case when kind = 2 then case when up then 'up' else 'down' end when device in ('down', 'unreachable') then 'unknown' when device = 'maintenance' then 'maintenance' when not admin_up then 'unknown' when up then 'up' else 'down' end as base,
+ row_number() over (partition by device_id, if_index order by ts, kind, seq) as n from m),
+v as (select *, case when kind = 1 and base = 'up' and important then util end as u, case when kind = 1 and base = 'up' and important then err end as e from b),
+f as (select device_id, if_index, 0::BIGINT as n, 0 as ru, false as ou, 0 as re, false as oe from (select distinct device_id, if_index from v) union all
+ select v.device_id, v.if_index, v.n, case when u >= 60 then ru + 1 when u <= 30 then 0 else ru end, case when u >= 60 then ou or ru + 1 >= 2 when u <= 30 then false else ou end,
+  case when e >= 1 then re + 1 when e <= 0.3 then 0 else re end, case when e >= 1 then oe or re + 1 >= 2 when e <= 0.3 then false else oe end
+ from f join v on v.device_id = f.device_id and v.if_index = f.if_index and v.n = f.n + 1)
+select v.device_id, v.if_index, v.seq, case kind when 1 then 'sample' else 'event' end as kind, case when (u is not null and ou) or (e is not null and oe) then 'degraded' else base end as status from v join f on v.device_id = f.device_id and v.if_index = f.if_index and v.n = f.n"""
+
+
+@query("P8_interface_timeline", MERGED.replace("\nwith d as", "\nwith recursive d as"))
+def p8_timeline(d: Data):
+    e = d("events").withColumns({"device_id": F.col("user_id"), "seq": F.col("event_id"), "if_index": F.col("event_id") % 3})
+    n = F.col("event_id")
+    rates = n % 4 > 0
+    samples = e.select("device_id", "if_index", "ts", "seq", (n % 11 != 0).alias("admin_up"), (n % 7 != 1).alias("oper_up"), F.when(rates, F.col("value") % 100).alias("util"), F.when(rates, n % 13 * 0.2).alias("err_rate"), (n % 3 < 2).alias("important"))
+    links = e.where("event_type in ('error', 'signup')").select("device_id", "if_index", "ts", "seq", (n % 2 == 0).alias("up"))
+    devices = e.where(n % 5 == 2).select("device_id", "ts", "seq", F.when(n % 9 == 0, "down").when(n % 9 == 1, "unreachable").when(n % 9 == 2, "maintenance").otherwise("up").alias("status"))
+    made = O.interface_timeline(samples, links, devices, (60, 30, 2), (1.0, 0.3, 2))
+    return made.select("device_id", "if_index", "seq", "kind", "status")
 
 
 @query("P8_hard_evidence", """
@@ -111,9 +158,10 @@ def p16(d: Data):
 NOW = 1706659200
 
 
-@query("P18_stale_devices", f"select device_id, max(floor(epoch(ts)))::BIGINT as last_poll, 'unknown' as status from v_device_samples group by 1 having {NOW} - last_poll > 5 * 7200")
+@query("P18_stale_devices", f"select device_id, max(floor(epoch(ts)))::BIGINT as last_poll, 'unknown' as status from v_device_samples where device_id in (select device_id from v_devices where monitored and not (device_id % 10 = 5)) group by 1 having {NOW} - last_poll > 5 * 7200")
 def p18(d: Data):
-    return O.stale_devices(d("v_device_samples"), NOW, 7200)
+    devices = d("v_devices").withColumn("status", F.when(F.col("device_id") % 10 == 5, "unknown").otherwise(F.col("status")))
+    return O.stale_devices(d("v_device_samples"), devices, NOW, 7200)
 
 
 @query("P20_maintenance", """
@@ -124,7 +172,7 @@ def p20(d: Data):
     return O.under_maintenance(rows, d("v_maintenance")).select("sample_id", "device_id")
 
 
-@query("P27_status_events", STATUS + f", m as ({MOVES}) select device_id, sample_id, previous, status, case status when 'down' then 'major' when 'degraded' then 'minor' else 'info' end as severity from m")
+@query("P27_status_events", OVER_TIME + f", m as ({MOVES}) select device_id, sample_id, previous, status, case status when 'down' then 'major' when 'degraded' then 'minor' else 'info' end as severity from m")
 def p27(d: Data):
     severity = F.when(F.col("status") == "down", "major").when(F.col("status") == "degraded", "minor").otherwise("info")
     return O.transitions(_status(d), "device_id", ["ts", "sample_id"]).select("device_id", "sample_id", "previous", "status", severity.alias("severity"))

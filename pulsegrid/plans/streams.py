@@ -10,7 +10,7 @@ from ..streaming import jobs as J
 from .alerts import ACTIONS
 from .metrics import ROLLUP
 from .registry import ORACLES, Data, query
-from .state import polls
+from .state import STATUS, polls
 
 
 def _slices(d: Data, rows: DataFrame, number: str, form: str = "parquet", slices: int = 3) -> DataFrame:
@@ -67,7 +67,7 @@ def s9_json(d: Data):
     return d.spark.read.parquet(_through(d, _slices(d, rows, "event_id", "json")))
 
 
-@query("P4_stream_status", ORACLES.get("P4_device_status"))
+@query("P4_stream_status", STATUS + " select device_id, sample_id, status from f")
 def p4_stream(d: Data):
     return d.spark.read.parquet(_through(d, J.statuses(_slices(d, polls(d), "sample_id"), 2)))
 

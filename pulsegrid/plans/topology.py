@@ -136,27 +136,31 @@ def t14(d: Data):
     return O.infer_roles(d("v_devices").withColumn("locked", F.col("device_id") % 10 == 3), links)
 
 
+#: The links of the tree: some external, some stale; and one configured root.
 TREE = """
-with recursive p as (select distinct device_id, peer from (select a_device as device_id, b_device as peer from v_links union all select b_device, a_device from v_links)),
-e as (select device_id, count(*) as n from (select a_device as device_id from v_links union all select b_device from v_links) group by 1),
-r as (select device_id from (select d.device_id, row_number() over (partition by site_id order by case role when 'router' then 0 when 'core' then 1 when 'distribution' then 2 else 3 end, coalesce(n, 0) desc, d.device_id) as k from v_devices d left join e using (device_id)) where k = 1),
+with recursive k as (select * from v_links where not (b_device % 17 = 3) and not (b_device % 13 = 4)),
+p as (select distinct device_id, peer from (select a_device as device_id, b_device as peer from k union all select b_device, a_device from k)),
+e as (select device_id, count(*) as n from (select a_device as device_id from k union all select b_device from k) group by 1),
+r as (select device_id from (select d.device_id, coalesce(n, 0) as n, row_number() over (partition by site_id order by case when role = 'core' then 4 when role in ('router', 'firewall') then 3 when role = 'distribution' then 2 when role = 'access' then 1 else 0 end desc, coalesce(n, 0) desc, d.device_id) as k from v_devices d left join e using (device_id)) where k = 1 and n > 0
+ union select 40),
 b as (select device_id, 0 as hop from r union select p.peer, hop + 1 from b join p on p.device_id = b.device_id where hop < 12),
 h as (select device_id, min(hop) as hop from b group by 1),
 tree as (select h.device_id, case when h.hop = 0 then null else (select min(p.device_id) from p join h u on u.device_id = p.device_id and u.hop = h.hop - 1 where p.peer = h.device_id) end as parent, h.hop from h)"""
 
 
-def _tree(d: Data):
-    return O.parents(d("v_devices"), d("v_links"))
+def parent_tree(d: Data):
+    links = d("v_links").withColumns({"external": F.col("b_device") % 17 == 3, "stale": F.col("b_device") % 13 == 4})
+    return O.parents(d("v_devices"), links, d.spark.createDataFrame([(40,)], "device_id long"))
 
 
 @query("T15_parents", TREE + " select d.device_id, parent, hop from v_devices d left join tree using (device_id)")
 def t15(d: Data):
-    return _tree(d)
+    return parent_tree(d)
 
 
 @query("T16_impact", TREE + ", c as (select device_id, parent as above from tree where parent is not null union all select c.device_id, t.parent from c join tree t on t.device_id = c.above where t.parent is not null) select t.device_id, count(c.above) as below from v_devices t left join c on c.above = t.device_id group by 1")
 def t16(d: Data):
-    return O.impact(_tree(d))
+    return O.impact(parent_tree(d))
 
 
 _MARKED = "select *, a_device % 11 = 2 as manual, b_device % 12 = 5 as external, concat('ISP', cast(b_device % 4 as varchar(9))) as external_name from"

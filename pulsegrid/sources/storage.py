@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -25,3 +25,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
     with_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, kind: str = "step") -> DataFrame:
+    """Writes df to the shared store and reads it back: what follows is computed from there, however often."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
