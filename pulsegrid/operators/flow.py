@@ -27,10 +27,12 @@ def literal_map(values: dict) -> Column:
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Counters scaled by the sampling rate, OUT counters where IN is 0; rows without both addresses go."""
-    one = lambda a, b: F.when(F.coalesce(a, F.lit(0)) == 0, F.coalesce(b, F.lit(0))).otherwise(a) * F.greatest(F.coalesce("sampling", F.lit(1)), F.lit(1))
+    """Counters scaled by the sampling rate; both are the OUT counters where IN bytes are 0 and OUT bytes aren't; rows without both addresses go."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    egress = (number("in_bytes") == 0) & (number("out_bytes") > 0)
+    one = lambda a, b: F.when(egress, number(b)).otherwise(number(a)) * F.greatest(F.coalesce("sampling", F.lit(1)), F.lit(1))
     rows = df.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return rows.withColumns({"bytes": one(F.col("in_bytes"), F.col("out_bytes")).cast("long"), "packets": one(F.col("in_packets"), F.col("out_packets")).cast("long")}).drop("in_bytes", "out_bytes", "in_packets", "out_packets", "sampling")
+    return rows.withColumns({"bytes": one("in_bytes", "out_bytes").cast("long"), "packets": one("in_packets", "out_packets").cast("long")}).drop("in_bytes", "out_bytes", "in_packets", "out_packets", "sampling")
 
 
 def service_port(proto: Column, src: Column, dst: Column) -> Column:

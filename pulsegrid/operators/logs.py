@@ -16,11 +16,10 @@ _CLOCK = r"\d\d(?::\d\d){2}"
 _OLD_HEAD = rf"^(?:\d+:\s)?[*.]?((?:{'|'.join(_MONTHS)})\s{{1,2}}\d\d?\s{_CLOCK})(?:\.\d+)?(?:\s[A-Z]{{2,5}}(?=[:\s]|$))?:?\s?"
 
 
-def word_after(text: Column, phrase: str, allowed: str = r"\S") -> Column:
-    """The word behind the first place of a phrase, in any case, without punctuation at its ends; null without one or if it has other than the allowed characters."""
-    at = F.instr(F.lower(text), phrase.lower())
-    word = F.btrim(F.substring_index(F.ltrim(F.substring(text, at + len(phrase), F.length(text))), " ", 1), F.lit("'\",;:=.()[]"))
-    return F.when((at > 0) & word.rlike(f"^(?:{allowed})+$"), word)
+def word_after(text: Column, phrase: str, shape: str = r"\S+", between: str = " ", case: bool = False) -> Column:
+    """What fits `shape` behind a phrase and the signs `between`, at the first place where something does, cut where it ends to fit; null without one."""
+    found = F.regexp_extract(text, f"{'' if case else '(?i)'}{phrase}{between}({shape})", 1)
+    return F.when(found != "", found)
 
 
 def pairs(text: Column) -> Column:
@@ -102,7 +101,7 @@ def unknown_sources(df: DataFrame, devices: DataFrame) -> DataFrame:
 def classify(df: DataFrame) -> DataFrame:
     """At most one event for each line (mnemonic, message, severity, device_id): kind, event_severity, subject, dedup_key. The first family that fits counts."""
     up, msg = F.upper("mnemonic"), F.col("message")
-    low, port = F.lower(msg), word_after(msg, "interface ", "[A-Za-z0-9./:-]")
+    low, port = F.lower(msg), word_after(msg, "interface", "[a-z-]+[0-9/.:]+")
     has = lambda text, *parts: F.greatest(*[F.instr(text, p) for p in parts], F.lit(0)) > 0
     link = (up.startswith("LINK-") | up.startswith("LINEPROTO-")) & has(up, "UPDOWN")
     config = has(up, "CONFIG_I", "CFGLOG_LOGGEDCMD", "CONFIG-CHANGE") | has(low, "configuration changed", "config changed")
@@ -121,7 +120,8 @@ def classify(df: DataFrame) -> DataFrame:
     kind = pick((fam == "link", F.when(down["link"], "link_down").otherwise("link_up")), (fam == "config", "config_changed"), (fam == "bgp", F.when(down["bgp"], "bgp_neighbor_down").otherwise("bgp_neighbor_up")), (fam == "ospf", F.when(down["ospf"], "ospf_adjacency_down").otherwise("ospf_adjacency_up")), (fam == "auth", "auth_failure"), (fam == "ha", "ha_state_change"), (fam == "env", "environment_fault"), (fam == "vpn", "vpn_tunnel_change"), (fam == "critical", "critical_log"))
     major = F.col("kind").isin("link_down", "bgp_neighbor_down", "ospf_adjacency_down", "ha_state_change", "critical_log") | ((F.col("kind") == "environment_fault") & (F.col("severity") < 5))
     severity = F.when(major, "major").when(F.col("kind").isin("config_changed", "vpn_tunnel_change"), "minor").otherwise("info")
-    subject = pick((fam == "link", F.when(port.rlike("^[A-Za-z]") & port.rlike("[0-9]"), port)), (fam == "config", F.coalesce(F.when(low.contains("configured from "), word_after(msg, " by ")), *[word_after(msg, f"user{x}", "[A-Za-z0-9_@.-]") for x in (" ", ":", "=")])), (fam == "bgp", word_after(msg, "neighbor ", "[0-9A-Fa-f.:]")), (fam == "auth", F.coalesce(word_after(msg, "from ", "[0-9.]"), word_after(msg, "by ", "[0-9.]"))))
+    who = F.coalesce(word_after(msg, r"configured from \S+ by"), word_after(msg, "user", r"[\w.@-]+", "[:= ]+'?"))
+    subject = pick((fam == "link", port), (fam == "config", who), (fam == "bgp", word_after(msg, "neighbor", "[0-9A-Fa-f.:]+", case=True)), (fam == "auth", word_after(msg, "(?:from|by)", "[0-9.]+")))
     rows = computed(rows.withColumn("kind", kind).withColumn("subject", subject)).withColumn("event_severity", severity).where((fam != "link") | F.col("subject").isNotNull())
     dev = F.col("device_id").cast("string")
     key = pick((fam == "link", F.concat_ws(":", "kind", dev, "subject")), (fam == "config", F.concat_ws(":", F.lit("config_changed"), dev, F.date_format("recv", "yyyyMMddHHmm"))), (fam == "bgp", F.concat_ws(":", F.lit("bgp"), dev, F.coalesce("subject", F.lit("")))), (fam == "auth", F.concat_ws(":", F.lit("auth_failure"), dev)), (fam == "critical", F.concat_ws(":", F.lit("critical_log"), dev, "mnemonic")), (F.lit(True), F.concat_ws(":", fam, dev)))
@@ -152,26 +152,30 @@ def suppress_storms(df: DataFrame, keys: list[str], order: list[str], gap: float
 
 
 class Bucket:
-    """Tokens come back at a rate, up to `most`; a flood lasts until the bucket is full again."""
+    """Tokens: one second's rate at first, coming back at the rate up to `most`; a flood ends with a line that leaves more than one second's rate."""
 
-    def __init__(self, rate: float, most: float) -> None:
-        self.rate, self.most, self.tokens, self.last, self.flooding = rate, most, most, None, False
+    def __init__(self, rate: float, most: float, start: float | None = None) -> None:
+        self.start = rate if start is None else start
+        self.rate, self.most, self.tokens, self.last, self.flooding = rate, most, self.start, None, False
 
     def step(self, t: float) -> tuple[bool, bool]:
         if self.last is not None:
             self.tokens = min(self.most, self.tokens + (t - self.last) * self.rate)
         self.last = t
-        self.flooding = self.flooding and self.tokens < self.most
-        ok = self.tokens >= 1
-        self.tokens -= ok
-        begins = not ok and not self.flooding
-        self.flooding = self.flooding or not ok
-        return ok, begins
+        if self.tokens < 1:
+            begins, self.flooding = not self.flooding, True
+            return False, begins
+        self.tokens -= 1
+        self.flooding = self.flooding and self.tokens <= self.start
+        return True, False
 
 
-def limit_rate(df: DataFrame, key: str, rate: float, burst: float | None = None) -> DataFrame:
-    """A token bucket for each source (t in seconds, n for ties): `passed`, and `flood` on the first refused line of an episode (the bucket refills to the full before the next)."""
-    return scan(df, [key], ["t", "n"], ["t"], lambda: Bucket(rate, burst or 2 * rate).step, "passed boolean, flood boolean")
+def limit_rate(df: DataFrame, key: str, rate: float, burst: float | None = None, second: float | None = None) -> DataFrame:
+    """A token bucket for each source (t in seconds, n for ties): `passed`, and `flood` on the first refused line of an episode (Bucket).
+
+    second: what the bucket starts with and an episode's end is measured by, the rate of one second if not given (for rates below one a second).
+    """
+    return scan(df, [key], ["t", "n"], ["t"], lambda: Bucket(rate, burst or 2 * rate, second).step, "passed boolean, flood boolean")
 
 
 def search(df: DataFrame, start: int, stop: int, device: int | None = None, severity: int | None = None, source: str | None = None, text: str | None = None, limit: int = 500) -> DataFrame:

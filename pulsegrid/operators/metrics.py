@@ -12,12 +12,12 @@ from ..functions.folds import Gap, scan
 def accept_samples(df: DataFrame, series: list[str], chunk: int = 50_000, fan: int = 1000) -> DataFrame:
     """Rows (series, t seconds, arrival, v) that an append-only store keeps.
 
-    NaN and infinite values go; so does a row older than the hour of the newest earlier arrival of any series, and one older
+    NaN and infinite values go, but their times count as arrivals; a row older than the hour of the newest earlier arrival of any series goes, and one older
     than its series' newest; of equal times the last arrival stays. The running maximum over all arrivals is
     taken in three levels: inside chunks of arrivals, over the chunks of a block of `fan`, and over the blocks. Chunks and
     blocks join as equals; Spark broadcasts their maxima while these are small.
     """
-    rows = df.where(~F.isnan("v") & (F.abs("v") != float("inf"))).withColumn("_chunk", F.floor(F.col("arrival") / chunk)).withColumn("_block", F.floor(F.col("_chunk") / fan))
+    rows = df.withColumn("_chunk", F.floor(F.col("arrival") / chunk)).withColumn("_block", F.floor(F.col("_chunk") / fan))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("_block", "_chunk").agg(F.max("t").alias("_top"))
     blocks = tops.groupBy("_block").agg(F.max("_top").alias("_b")).withColumn("_before", F.max("_b").over(before(Window.orderBy("_block")))).drop("_b")
@@ -25,6 +25,7 @@ def accept_samples(df: DataFrame, series: list[str], chunk: int = 50_000, fan: i
     rows = rows.drop("_block").join(tops, "_chunk")
     newest = F.greatest(F.col("_earlier"), F.max("t").over(before(Window.partitionBy("_chunk").orderBy("arrival"))))
     rows = rows.withColumn("_head", F.floor(newest / 3600) * 3600).where(F.col("_head").isNull() | (F.col("t") >= F.col("_head")))
+    rows = rows.where(~F.isnan("v") & (F.abs("v") != float("inf")))
     own = F.max("t").over(before(Window.partitionBy(*series).orderBy("arrival")))
     rows = rows.withColumn("_own", own).where(F.col("_own").isNull() | (F.col("t") >= F.col("_own")))
     return rows.groupBy(*series, "t").agg(F.max_by("v", "arrival").alias("v"))
@@ -55,11 +56,12 @@ def fetch_series(df: DataFrame, names: list[str], start: int | None, now: int, r
 
 
 def counter_rate(value: Column, order: Window, bits: int, scale: int = 1) -> Column:
-    """Per-second rate of a counter from the row before: null on a first row or under one second; a 32-bit decrease is a wrap, a 64-bit one 0."""
+    """Per-second rate of a counter from the row before: null on a first row, under one second, or if the device's uptime fell since; a 32-bit decrease is a wrap, a 64-bit one 0."""
     prev, dt = F.lag(value).over(order), epoch(F.col("ts")) - F.lag(epoch(F.col("ts"))).over(order)
     wrapped = F.lit(4294967295) - prev + value + 1 if bits == 32 else F.lit(0)
     delta = F.when(value >= prev, value - prev).otherwise(wrapped)
-    return F.when(prev.isNotNull() & (dt >= 1), F.round(delta * scale / dt, 6))
+    rebooted = F.coalesce(F.col("uptime") < F.lag("uptime").over(order), F.lit(False))
+    return F.when(prev.isNotNull() & (dt >= 1) & ~rebooted, F.round(delta * scale / dt, 6))
 
 
 def counters_to_rates(df: DataFrame) -> DataFrame:

@@ -12,23 +12,35 @@ from pyspark.sql import functions as F
 # ---- routing and switching
 
 
-def peer_changes(df: DataFrame) -> DataFrame:
-    """Changes of BGP peers between a device's snapshot and the one before: lost, regained, vanished, and prefixes below a quarter."""
-    snaps = df.select("device_id", "snapshot").distinct()
-    before = snaps.withColumn("previous", F.lag("snapshot").over(Window.partitionBy("device_id").orderBy("snapshot"))).where("previous is not null")
-    new = df.join(before, ["device_id", "snapshot"]).select("device_id", "snapshot", "peer", "up", "prefixes")
-    old = df.withColumnRenamed("snapshot", "previous").join(before, ["device_id", "previous"]).select("device_id", "snapshot", "peer", F.col("up").alias("was_up"), F.col("prefixes").alias("had"))
-    both = new.join(old, ["device_id", "snapshot", "peer"], "full_outer")
-    kind = F.when(F.col("up").isNull() & F.col("was_up"), "vanished").when(F.col("was_up") & ~F.col("up"), "lost").when(~F.col("was_up") & F.col("up"), "regained").when(F.col("was_up") & F.col("up") & (F.col("prefixes") * 4 < F.col("had")), "prefixes_dropped")
+def previous_walks(df: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """device_id, snapshot, previous: each walk of a device with the one before. walks: the ledger of all of them, those that found nothing too; else those with rows."""
+    snaps = (df if walks is None else walks).select("device_id", "snapshot").distinct()
+    return snaps.withColumn("previous", F.lag("snapshot").over(Window.partitionBy("device_id").orderBy("snapshot"))).where("previous is not null")
+
+
+def walked_pairs(df: DataFrame, walks: DataFrame | None, key: str, values: list[str]) -> DataFrame:
+    """device_id, snapshot, key, values and was_<value>: what a walk and the one before it have of each key; nulls where one has none."""
+    before = previous_walks(df, walks)
+    new = df.join(before, ["device_id", "snapshot"]).select("device_id", "snapshot", key, *values)
+    old = df.withColumnRenamed("snapshot", "previous").join(before, ["device_id", "previous"]).select("device_id", "snapshot", key, *[F.col(v).alias(f"was_{v}") for v in values])
+    return new.join(old, ["device_id", "snapshot", key], "full_outer")
+
+
+def peer_changes(df: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Changes of BGP peers between a device's walk and the one before: lost, regained, vanished, and prefixes below a quarter."""
+    both = walked_pairs(df, walks, "peer", ["up", "prefixes"])
+    kind = F.when(F.col("up").isNull() & F.col("was_up"), "vanished").when(F.col("was_up") & ~F.col("up"), "lost").when(~F.col("was_up") & F.col("up"), "regained").when(F.col("was_up") & F.col("up") & (F.col("prefixes") * 4 < F.col("was_prefixes")), "prefixes_dropped")
     return both.withColumn("kind", kind).where("kind is not null").select("device_id", "snapshot", "peer", "kind")
 
 
-def adjacency_changes(df: DataFrame) -> DataFrame:
-    """OSPF neighbours that left full or vanished, and a device's recovery: all full again after one wasn't."""
-    lost = peer_changes(df.withColumn("prefixes", F.lit(0))).where("kind in ('lost', 'vanished')").select("device_id", "snapshot", F.col("peer").cast("long").alias("peer"), "kind")
-    whole = df.groupBy("device_id", "snapshot").agg(F.bool_and("up").alias("full"))
-    was = F.lag("full").over(Window.partitionBy("device_id").orderBy("snapshot"))
-    back = whole.withColumn("_was", was).where("full and not _was").select("device_id", "snapshot", F.lit(None).cast("long").alias("peer"), F.lit("recovered").alias("kind"))
+def adjacency_changes(df: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """OSPF neighbours that left full or vanished, and a device's recovery: one is full again, none was lost in the same walk, and all it has are full."""
+    both = walked_pairs(df, walks, "peer", ["up"])
+    kind = F.when(F.col("was_up") & F.col("up").isNull(), "vanished").when(F.col("was_up") & ~F.col("up"), "lost")
+    rows = both.withColumn("kind", kind)
+    lost = rows.where("kind is not null").select("device_id", "snapshot", F.col("peer").cast("long").alias("peer"), "kind")
+    whole = rows.groupBy("device_id", "snapshot").agg(F.count("kind").alias("lost"), F.count_if(~F.col("was_up") & F.col("up")).alias("back"), F.bool_and("up").alias("full"))
+    back = whole.where("lost = 0 and back > 0 and full").select("device_id", "snapshot", F.lit(None).cast("long").alias("peer"), F.lit("recovered").alias("kind"))
     return lost.unionByName(back)
 
 
@@ -40,11 +52,10 @@ def spanning_tree_changes(df: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).where("kind is not null").select("device_id", "snapshot", "kind", F.when(F.col("kind") == "topology_change", F.col("changes") - F.col("_n")).alias("delta"))
 
 
-def bundle_changes(df: DataFrame) -> DataFrame:
-    """Bundles (up, members) that lost members since the snapshot before, or have all of them again."""
-    was = F.lag("up").over(Window.partitionBy("device_id", "bundle").orderBy("snapshot"))
-    rows = df.withColumn("_was", was)
-    kind = F.when(F.col("up") < F.col("_was"), "member_down").when((F.col("up") > F.col("_was")) & (F.col("up") == F.col("members")), "complete")
+def bundle_changes(df: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Bundles (up, members) that lost members since the walk before, or have all of them again; one that wasn't in that walk says nothing."""
+    rows = walked_pairs(df, walks, "bundle", ["up", "members"])
+    kind = F.when(F.col("up") < F.col("was_up"), "member_down").when((F.col("up") > F.col("was_up")) & (F.col("up") == F.col("members")), "complete")
     return rows.withColumn("kind", kind).where("kind is not null").select("device_id", "bundle", "snapshot", "kind")
 
 
@@ -142,10 +153,10 @@ def status_matches(code: Column, wanted: Column) -> Column:
 
 
 def certificate_events(df: DataFrame, warn: int = 14) -> DataFrame:
-    """Days left; `expiring` when they first fall to the limit, `renewed` when they rise above it, `expired` below 0."""
-    left = F.datediff("expires", "ts")
+    """Days left, with their fraction; `expiring` when they first fall below the limit, `renewed` when they are no longer, `expired` below 0."""
+    left = F.round((F.col("expires").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400, 6)
     w = Window.partitionBy("probe_id").orderBy("ts", "run_id")
-    rows = df.withColumn("days", left).withColumn("_warn", F.col("days") <= warn)
+    rows = df.withColumn("days", left).withColumn("_warn", F.col("days") < warn)
     was = F.coalesce(F.lag("_warn").over(w), F.lit(False))
     kind = F.when(F.col("days") < 0, "expired").when(F.col("_warn") & ~F.col("_was"), "expiring").when(~F.col("_warn") & F.col("_was"), "renewed")
     return rows.withColumn("_was", was).withColumn("kind", kind).where("kind is not null").select("probe_id", "run_id", "days", "kind")

@@ -24,11 +24,18 @@ def resolve_neighbours(obs: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def resolve_ports(refs: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """Interface name of (device_id, ref): by index, by short name, else the reference as given."""
+    """Interface name of (device_id, ref): by index (ifindex:n or n), by short name, by the port's MAC (a column that may be missing), else the reference as given."""
     by_index = interfaces.select("device_id", F.col("if_index").cast("string").alias("ref"), F.col("name").alias("_a"))
     by_name = interfaces.groupBy("device_id", short_port(F.col("name")).alias("_short")).agg(F.min("name").alias("_b"))
+    refs = refs.withColumns({"_ref": F.col("ref"), "ref": F.regexp_replace(F.trim("ref"), "^ifindex:", "")})
+    if "mac" in interfaces.columns:
+        by_mac = interfaces.where("mac is not null").groupBy("device_id", F.lower("mac").alias("_mac")).agg(F.min("name").alias("_c"))
+        shaped = F.when(F.col("ref").rlike("^[0-9A-Fa-f]{2}([:-][0-9A-Fa-f]{2}){5}$|^[0-9A-Fa-f]{4}([.][0-9A-Fa-f]{4}){2}$"), F.lower("ref"))
+        refs = refs.withColumn("_mac", shaped).join(by_mac, ["device_id", "_mac"], "left").drop("_mac")
+    else:
+        refs = refs.withColumn("_c", F.lit(None).cast("string"))
     rows = refs.join(by_index, ["device_id", "ref"], "left").withColumn("_short", short_port(F.col("ref"))).join(by_name, ["device_id", "_short"], "left")
-    return rows.withColumn("port", F.coalesce("_a", "_b", "ref")).drop("_a", "_b", "_short")
+    return rows.withColumn("port", F.coalesce("_a", "_b", "_c", F.trim("_ref"))).withColumn("ref", F.col("_ref")).drop("_a", "_b", "_c", "_short", "_ref")
 
 
 def link_id(*ends: Column) -> Column:

@@ -28,7 +28,7 @@ def _top(which: str, n: int, seconds: int = DAY) -> str:
 
 
 @query("F1_normalised_flows", """
-select o_custkey as src, l_partkey as dst, (case when i = 0 then o else i end * s)::BIGINT as bytes, (case when ip = 0 then op else ip end * s)::BIGINT as packets from (
+select o_custkey as src, l_partkey as dst, (case when i = 0 then o else i end * s)::BIGINT as bytes, (case when i = 0 then op else ip end * s)::BIGINT as packets from (
 select case when l_partkey % 50 = 0 then null else o_custkey end as o_custkey, l_partkey, case when l_linenumber = 3 then 0 else floor(l_extendedprice) end as i, floor(l_extendedprice) * 2 as o,
  case when l_linenumber = 4 then 0 else l_quantity end as ip, l_quantity * 2 as op, greatest(l_orderkey % 4, 1) as s from lineitem join orders on l_orderkey = o_orderkey) where o_custkey is not null""")
 def f1(d: Data):

@@ -14,10 +14,10 @@ def d1(d: Data):
 
 
 SYS = "select s_suppkey as device_id, concat('.1.3.6.1.4.1.', cast(9 + s_suppkey % 4 as varchar(9)), '.1.', cast(s_suppkey % 5 as varchar(9))) as oid, case when s_suppkey % 6 = 0 then 'Acme OS, Version 15.2(4)E7, RELEASE' when s_suppkey % 6 = 1 then concat('Box v', cast(s_suppkey as varchar(9)), '.0.1 build') when s_suppkey % 6 = 2 then 'Linux version 5.10 x' else 'none' end as descr from supplier"
-PROFILES = [("cisco", 10, "1.3.6.1.4.1.9", None), ("cisco-sub", 10, "1.3.6.1.4.1.9.1", None), ("ten", 10, "1.3.6.1.4.1.10", None), ("linux", 10, "9.9", "^Linux"), ("eleven-first", 20, "1.3.6.1.4.1.11.1", None)]
+PROFILES = [("cisco", 10, "1.3.6.1.4.1.9", None), ("cisco-sub", 10, "1.3.6.1.4.1.9.1", None), ("ten", 10, "1.3.6.1.4.1.10", None), ("linux", 10, "9.9", "^Linux"), ("eleven-first", 20, "1.3.6.1.4.1.11.1", None), ("short-ones", 10, "1.3.6.1.4", None), ("short-ones", 10, "1.3.6.1.4.1", None), ("short-ones", 10, "1.3.6", None)]
 
 
-@query("D2_profiles", f"select device_id, case when device_id % 4 = 2 then 'eleven-first' when device_id % 6 = 2 then 'linux' when device_id % 4 = 0 then 'cisco-sub' when device_id % 4 = 1 then 'ten' else 'generic' end as profile from ({SYS})")
+@query("D2_profiles", f"select device_id, case when device_id % 4 = 2 then 'eleven-first' when device_id % 6 = 2 then 'linux' when device_id % 4 = 0 then 'cisco-sub' when device_id % 4 = 1 then 'ten' else 'short-ones' end as profile from ({SYS})")
 def d2(d: Data):
     return O.match_profile(d.sql(SYS), d.spark.createDataFrame(PROFILES, "profile string, priority int, prefix string, pattern string"))
 
@@ -35,13 +35,20 @@ def d4(d: Data):
     return d.sql(TYPES).select("id", O.interface_kind(F.col("if_type"), F.col("name")).alias("kind"))
 
 
-@query("D5_addresses", """
-with s as (select n_nationkey as k, '10.0.' || n_nationkey::VARCHAR || '.8/30' as spec from nation union all select n_nationkey, '10.1.' || n_nationkey::VARCHAR || '.1-10.1.' || n_nationkey::VARCHAR || '.3' from nation union all select n_nationkey, '10.2.0.' || n_nationkey::VARCHAR from nation)
-select spec, case when contains(spec, '/') then '10.0.' || k::VARCHAR || '.' || (8 + i)::VARCHAR when contains(spec, '-') then '10.1.' || k::VARCHAR || '.' || i::VARCHAR else spec end as ip from s, (select unnest([1, 2, 3]) as i) where (contains(spec, '/') and i <= 2) or contains(spec, '-') or (not contains(spec, '/') and i = 1)""")
+SPECS = """select concat('10.0.', cast(n_nationkey as varchar(9)), '.8/30') as spec from nation union all select concat('10.1.', cast(n_nationkey as varchar(9)), '.1-10.1.', cast(n_nationkey as varchar(9)), '.3') from nation
+ union all select concat('10.2.0.', cast(n_nationkey as varchar(9))) from nation union all select concat(' 10.3.', cast(n_nationkey as varchar(9)), '.5-9') from nation union all select concat('10.', cast(n_nationkey as varchar(9)), '.0.0/16') from nation
+ union all select concat('host', cast(n_nationkey as varchar(9))) from nation union all select concat('10.4.0.7-x', cast(n_nationkey as varchar(9))) from nation union all select concat('10.5.', cast(n_nationkey as varchar(9)), '.0/31') from nation"""
+
+
+@query("D5_addresses", f"""
+with s as (select spec, trim(spec) as t, string_split(string_split(trim(spec), '-')[1], '.') as p from ({SPECS})),
+i as (select unnest(range(0, 10)) as i)
+select spec, array_to_string(p[1:3], '.') || '.' || i::VARCHAR as ip, null as error from s, i where
+ (ends_with(t, '/30') and i in (9)) or (contains(t, '-10.') and i between 1 and 3) or (ends_with(t, '.5-9') and i between 5 and 9) or (ends_with(t, '.0/31') and i <= 1)
+ union all select spec, array_to_string(p[1:3], '.') || '.10', null from s where ends_with(t, '/30') union all select spec, t, null from s where starts_with(t, '10.2.0.') and not contains(t, '/')
+ union all select spec, null, case when ends_with(t, '/16') then 'network too large' when starts_with(t, 'host') then 'not an address' else 'bad range end' end from s where ends_with(t, '/16') or starts_with(t, 'host') or contains(t, '-x')""")
 def d5(d: Data):
-    k = F.col("n_nationkey").cast("string")
-    specs = F.explode(F.array(F.concat(F.lit("10.0."), k, F.lit(".8/30")), F.concat(F.lit("10.1."), k, F.lit(".1-10.1."), k, F.lit(".3")), F.concat(F.lit("10.2.0."), k)))
-    return O.expand_addresses(d("nation").select(specs.alias("spec")))
+    return O.expand_addresses(d.sql(SPECS))
 
 
 @query("D6_registered", """
@@ -67,20 +74,22 @@ def d8(d: Data):
     return O.overview(d("v_devices"), d("v_alerts"))
 
 
-UTIL = "select *, in_bps / (speed_mbps * 1000000.0e0) * 100 as util from v_interfaces"
+HEALTH = """select *, in_bps / (speed_mbps * 1000000.0e0) * 100 as in_util, out_bps / (speed_mbps * 1000000.0e0) * 100 + (if_index % 3) as out_util, in_bps / 800 as in_pps, out_bps / 900 as out_pps,
+ err_rate * 0.5e0 as in_err, err_rate * 0.25e0 as out_err, case when (device_id + if_index) % 4 = 0 then 1.5e0 else 0.0e0 end as in_drop, case when if_index = 7 then 2.0e0 else 0.0e0 end as out_drop from v_interfaces"""
+_SUMS = ", ".join(f"round(sum(case when port and oper_up then {c} else 0.0 end), 3) as {c}" for c in O.RATES)
 
 
 @query("D9_device_health", f"""
-with i as (select *, kind in ('phys', 'lag') as port, admin_up and not oper_up and kind in ('phys', 'lag') as is_down from ({UTIL})),
-b as (select device_id, string_agg(name, ',' order by k) as busiest from (select *, row_number() over (partition by device_id order by -floor(util), case when floor(util) = 0 then 0.0 else -util end, case when err_rate > 0 then 0 else 1 end, -(in_bps + out_bps), name) as k from i where port and oper_up and speed_mbps > 0 and util > 0) where k <= 3 group by 1),
+with i as (select *, kind in ('phys', 'lag') as port, admin_up and not oper_up and kind in ('phys', 'lag') as is_down, greatest(in_util, out_util) as util from ({HEALTH})),
+b as (select device_id, string_agg(name, ',' order by k) as busiest from (select *, row_number() over (partition by device_id order by floor(util) desc, in_err + out_err + in_drop + out_drop > 0 desc, in_bps + out_bps desc, name) as k from i where port and oper_up and speed_mbps > 0 and util > 0) where k <= 3 group by 1),
 w as (select device_id, string_agg(name, ',' order by k) as down_ports from (select *, row_number() over (partition by device_id order by not important, name) as k from i where is_down) where k <= 6 group by 1),
 s as (select device_id, count(*) as total, sum((admin_up and oper_up)::INT)::BIGINT as up, sum(is_down::INT)::BIGINT as down, sum((not admin_up)::INT)::BIGINT as admin_down, sum(important::INT)::BIGINT as important, sum((is_down and important)::INT)::BIGINT as important_down,
- sum(case when port and oper_up then in_bps else 0.0 end) as in_bps from i group by 1),
+ {_SUMS}, bool_or(port and oper_up and (in_bps > 0 or out_bps > 0 or in_pps > 0 or out_pps > 0)) as have_rates from i group by 1),
 a as (select device_id, count(*) as alerts, max_by(severity, case severity when 'critical' then 4 when 'major' then 3 when 'minor' then 2 else 1 end) as worst from v_alerts where state <> 'resolved' group by 1)
-select d.device_id, total, up, down, admin_down, important, important_down, in_bps, case when total is not null then coalesce(busiest, '') end as busiest, case when total is not null then coalesce(down_ports, '') end as down_ports, case when total is not null then greatest(down - 6, 0) end as down_more, coalesce(alerts, 0) as alerts, worst
+select d.device_id, total, up, down, admin_down, important, important_down, {", ".join(O.RATES)}, have_rates, case when total is not null then coalesce(busiest, '') end as busiest, case when total is not null then coalesce(down_ports, '') end as down_ports, case when total is not null then greatest(down - 6, 0) end as down_more, coalesce(alerts, 0) as alerts, worst
 from v_devices d left join s using (device_id) left join b using (device_id) left join w using (device_id) left join a using (device_id)""")
 def d9(d: Data):
-    return O.device_health(d("v_devices"), d.sql(UTIL), d("v_alerts"))
+    return O.device_health(d("v_devices"), d.sql(HEALTH), d("v_alerts"))
 
 
 @query("D10_device_detail", """

@@ -97,14 +97,14 @@ def l7(d: Data):
 #: Tokens are counted in whole seconds times the rate: the interval of the values keeps them exact in both engines.
 @query("L8_rate_limit", """
 with recursive s as (select user_id, event_id as n, floor(epoch(ts)) as t, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i from events),
-f as (select user_id, n, t, i, 2.0e0 as tokens, true as passed, false as flood, false as flooding from s where i = 1 union all
-  select user_id, n, t, i, have, have >= 1, have < 1 and not still, still or have < 1 from (
-    select s.user_id, s.n, s.t, s.i, least(2.0e0, tokens - passed::INT + (s.t - f.t) * 0.0000152587890625) as have, flooding and least(2.0e0, tokens - passed::INT + (s.t - f.t) * 0.0000152587890625) < 2.0 as still
+f as (select user_id, n, t, i, 1.0e0 as tokens, true as passed, false as flood, false as flooding from s where i = 1 union all
+  select user_id, n, t, i, have, have >= 1, have < 1 and not flooding, have < 1 or (flooding and have - 1 <= 1) from (
+    select s.user_id, s.n, s.t, s.i, least(2.0e0, tokens - passed::INT + (s.t - f.t) * 0.0000152587890625) as have, flooding
     from f join s on s.user_id = f.user_id and s.i = f.i + 1))
 select user_id, n, passed, flood from f""")
 def l8(d: Data):
     rows = d("events").select("user_id", F.col("event_id").alias("n"), F.floor(F.col("ts").cast("timestamp").cast("double")).alias("t"))
-    return O.limit_rate(rows, "user_id", 1 / 65536, 2.0).drop("t")
+    return O.limit_rate(rows, "user_id", 1 / 65536, 2.0, 1.0).drop("t")
 
 
 @query("L9_log_search", f"""

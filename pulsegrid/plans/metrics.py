@@ -13,12 +13,13 @@ _T = "floor(epoch(ts))::BIGINT"
 
 
 @query("M1_append_rules", f"""
-with s as (select metric, device_id, {_T} as t, arrival + arrival * 7919 % 40 + arrival / 1e7 as arrival, v from v_metric_samples),
+with s as (select metric, device_id, {_T} + case when arrival % 97 = 0 then 7200 else 0 end as t, arrival + arrival * 7919 % 40 + arrival / 1e7 as arrival, case when arrival % 97 = 0 then 'NaN'::DOUBLE else v end as v from v_metric_samples),
 h as (select *, floor(max(t) over (order by arrival rows between unbounded preceding and 1 preceding) / 3600) * 3600 as head from s),
-o as (select *, max(t) over (partition by metric, device_id order by arrival rows between unbounded preceding and 1 preceding) as own from h where head is null or t >= head)
+o as (select *, max(t) over (partition by metric, device_id order by arrival rows between unbounded preceding and 1 preceding) as own from h where (head is null or t >= head) and not isnan(v))
 select metric, device_id, t, max_by(v, arrival) as v from o where own is null or t >= own group by metric, device_id, t""")
 def m1(d: Data):
-    rows = d("v_metric_samples").select("metric", "device_id", epoch(F.col("ts")).alias("t"), (F.col("arrival") + F.col("arrival") * 7919 % 40 + F.col("arrival") / 1e7).alias("arrival"), "v")
+    void = F.col("arrival") % 97 == 0  # a NaN of a later hour, now and then
+    rows = d("v_metric_samples").select("metric", "device_id", (epoch(F.col("ts")) + F.when(void, 7200).otherwise(0)).alias("t"), (F.col("arrival") + F.col("arrival") * 7919 % 40 + F.col("arrival") / 1e7).alias("arrival"), F.when(void, float("nan")).otherwise(F.col("v")).alias("v"))
     return M.accept_samples(rows, ["metric", "device_id"])
 
 
@@ -87,12 +88,12 @@ def m8(d: Data):
 
 
 @query("M9_counter_rates", """
-with p as (select device_id, if_index, ts, in_oct32, in_oct64, in_err, epoch(ts) - lag(epoch(ts)) over w as dt, lag(in_oct32) over w as p32, lag(in_oct64) over w as p64, lag(in_err) over w as pe
+with p as (select device_id, if_index, ts, in_oct32, in_oct64, in_err, epoch(ts) - lag(epoch(ts)) over w as dt, lag(in_oct32) over w as p32, lag(in_oct64) over w as p64, lag(in_err) over w as pe, uptime < lag(uptime) over w as rebooted
   from v_if_counters window w as (partition by device_id, if_index order by ts))
 select device_id, if_index, ts,
-  case when dt >= 1 then round((case when in_oct32 >= p32 then in_oct32 - p32 else 4294967295 - p32 + in_oct32 + 1 end) * 8 / dt, 6) end as bps32,
-  case when dt >= 1 then round((case when in_oct64 >= p64 then in_oct64 - p64 else 0 end) * 8 / dt, 6) end as bps64,
-  case when dt >= 1 then round((case when in_err >= pe then in_err - pe else 4294967295 - pe + in_err + 1 end) / dt, 6) end as err_rate from p""")
+  case when dt >= 1 and not rebooted then round((case when in_oct32 >= p32 then in_oct32 - p32 else 4294967295 - p32 + in_oct32 + 1 end) * 8 / dt, 6) end as bps32,
+  case when dt >= 1 and not rebooted then round((case when in_oct64 >= p64 then in_oct64 - p64 else 0 end) * 8 / dt, 6) end as bps64,
+  case when dt >= 1 and not rebooted then round((case when in_err >= pe then in_err - pe else 4294967295 - pe + in_err + 1 end) / dt, 6) end as err_rate from p""")
 def m9(d: Data):
     return M.counters_to_rates(d("v_if_counters"))
 

@@ -32,12 +32,12 @@ def q3(d: Data):
     return d.sql(CODES).select("id", O.status_matches(F.col("code"), F.col("wanted")).alias("ok"))
 
 
-CERTS = "select probe_id, run_id, ts, cast(timestamp '2024-01-14 00:00:00' + interval '1' day * cast(run_id % 5 * 9 as int) as date) as expires from v_probe_results"
+CERTS = "select probe_id, run_id, ts, timestamp '2024-01-14 00:00:00' + interval '1' hour * cast(run_id % 5 * 220 as int) as expires from v_probe_results"
 
 
 @query("Q4_certificates", f"""
-with a as (select *, date_diff('day', ts::DATE, expires) as days from ({CERTS})), b as (select *, coalesce(lag(days <= 14) over (partition by probe_id order by ts, run_id), false) as was from a)
-select probe_id, run_id, days::INT as days, case when days < 0 then 'expired' when days <= 14 and not was then 'expiring' else 'renewed' end as kind from b where days < 0 or (days <= 14 and not was) or (days > 14 and was)""")
+with a as (select *, round((epoch(expires) - epoch(ts)) / 86400, 6) as days from ({CERTS})), b as (select *, coalesce(lag(days < 14) over (partition by probe_id order by ts, run_id), false) as was from a)
+select probe_id, run_id, days, case when days < 0 then 'expired' when days < 14 and not was then 'expiring' else 'renewed' end as kind from b where days < 0 or (days < 14 and not was) or (days >= 14 and was)""")
 def q4(d: Data):
     return O.certificate_events(d.sql(CERTS))
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import snapshots as O
 from .registry import Data, query
 
-CHANGES = """
-with s as (select device_id, snapshot, lag(snapshot) over (partition by device_id order by snapshot) as previous from (select distinct device_id, snapshot from v_peer_snapshots)),
+#: All walks: those with rows, and for some devices a last one that found nothing.
+WALKS = "select distinct device_id, snapshot from v_peer_snapshots union select device_id, max(snapshot) + 1 from v_peer_snapshots where device_id % 3 = 0 group by device_id"
+CHANGES = f"""
+with s as (select device_id, snapshot, lag(snapshot) over (partition by device_id order by snapshot) as previous from ({WALKS})),
 n as (select v.* from v_peer_snapshots v join s using (device_id, snapshot) where s.previous is not null),
 o as (select s.device_id, s.snapshot, v.peer, v.up, v.prefixes from s join v_peer_snapshots v on v.device_id = s.device_id and v.snapshot = s.previous),
 c as (select coalesce(n.device_id, o.device_id) as device_id, coalesce(n.snapshot, o.snapshot) as snapshot, coalesce(n.peer, o.peer) as peer,
@@ -18,13 +20,15 @@ c as (select coalesce(n.device_id, o.device_id) as device_id, coalesce(n.snapsho
 
 @query("N1_peer_changes", CHANGES + " select device_id, snapshot, peer, kind from c where kind is not null")
 def n1(d: Data):
-    return O.peer_changes(d("v_peer_snapshots"))
+    return O.peer_changes(d("v_peer_snapshots"), d.sql(WALKS))
 
 
 @query("N2_adjacency_changes", CHANGES + """ select device_id, snapshot, peer, kind from c where kind in ('lost', 'vanished') union all
-select device_id, snapshot, null, 'recovered' from (select *, lag(f) over (partition by device_id order by snapshot) as w from (select device_id, snapshot, bool_and(up) as f from v_peer_snapshots group by 1, 2)) where f and not w""")
+select device_id, snapshot, null, 'recovered' from (
+ select coalesce(n.device_id, o.device_id) as device_id, coalesce(n.snapshot, o.snapshot) as snapshot, sum((o.up and (n.up is null or not n.up))::INT) as lost, sum((not o.up and n.up)::INT) as back, sum((not n.up)::INT) as bad
+ from n full join o on n.device_id = o.device_id and n.snapshot = o.snapshot and n.peer = o.peer group by 1, 2) where coalesce(lost, 0) = 0 and back > 0 and coalesce(bad, 0) = 0""")
 def n2(d: Data):
-    return O.adjacency_changes(d("v_peer_snapshots"))
+    return O.adjacency_changes(d("v_peer_snapshots"), d.sql(WALKS))
 
 
 STP = "select device_id, snapshot, max(peer) % 7 as root, sum(prefixes) as changes from v_peer_snapshots group by device_id, snapshot"
@@ -40,10 +44,12 @@ def n3(d: Data):
 BUNDLES = "select device_id, peer % 4 as bundle, snapshot, sum(case when up then 1 else 0 end) as up, count(*) as members from v_peer_snapshots group by device_id, peer % 4, snapshot"
 
 
-@query("N4_bundle_changes", f"""select device_id, bundle, snapshot, case when up < w then 'member_down' else 'complete' end as kind from (
- select *, lag(up) over (partition by device_id, bundle order by snapshot) as w from ({BUNDLES})) where up < w or (up > w and up = members)""")
+@query("N4_bundle_changes", f"""
+with s as (select device_id, snapshot, lag(snapshot) over (partition by device_id order by snapshot) as previous from ({WALKS})), b as ({BUNDLES})
+select device_id, bundle, snapshot, case when up < w then 'member_down' else 'complete' end as kind from (
+ select b.*, o.up as w from b join s using (device_id, snapshot) join b o on o.device_id = b.device_id and o.bundle = b.bundle and o.snapshot = s.previous) where up < w or (up > w and up = members)""")
 def n4(d: Data):
-    return O.bundle_changes(d.sql(BUNDLES))
+    return O.bundle_changes(d.sql(BUNDLES), d.sql(WALKS))
 
 
 PATHS = "select user_id as device_id, event_id % 3 as path, event_id as at, event_type <> 'error' as up, value % 10 as loss, value * 2 as latency from events"

@@ -39,12 +39,13 @@ def t3(d: Data):
     return _resolved(d).select("device_id", F.col("remote").cast("long").alias("remote"))
 
 
-REFS = "select device_id, if_index, case if_index % 3 when 0 then cast(if_index as varchar(9)) when 1 then replace(name, 'GigabitEthernet', 'gi') else 'odd' end as ref from v_interfaces"
+MAC_PORTS = "select *, concat('00:1B:00:00:', lpad(cast(device_id % 100 as varchar(9)), 2, '0'), ':', lpad(cast(if_index as varchar(9)), 2, '0')) as mac from v_interfaces"
+REFS = f"select device_id, if_index, case if_index % 4 when 0 then concat('ifindex:', cast(if_index as varchar(9))) when 1 then replace(name, 'GigabitEthernet', 'gi') when 2 then lower(mac) else 'odd' end as ref from ({MAC_PORTS})"
 
 
-@query("T4_resolved_ports", f"select r.device_id, r.if_index, case r.if_index % 3 when 2 then 'odd' else i.name end as port from ({REFS}) r join v_interfaces i using (device_id, if_index)")
+@query("T4_resolved_ports", f"select r.device_id, r.if_index, case r.if_index % 4 when 3 then 'odd' else i.name end as port from ({REFS}) r join v_interfaces i using (device_id, if_index)")
 def t4(d: Data):
-    return O.resolve_ports(d.sql(REFS).withColumnRenamed("if_index", "at"), d("v_interfaces")).select("device_id", F.col("at").alias("if_index"), "port")
+    return O.resolve_ports(d.sql(REFS).withColumnRenamed("if_index", "at"), d.sql(MAC_PORTS)).select("device_id", F.col("at").alias("if_index"), "port")
 
 
 LINKS = """select substr(sha1(concat(cast(a as varchar), '|', ai, '|', cast(b as varchar), '|', bi)), 1, 12) as id, a as a_device, ai as a_if, b as b_device, bi as b_if, sources, least(round(case when sides > 1 then 1.0 else 0.8 end + case when n > 1 then 0.05 else 0 end, 2), 1.0)::DOUBLE as confidence from (

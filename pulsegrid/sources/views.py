@@ -21,7 +21,8 @@ select l_suppkey as device_id, l_linenumber as if_index, (l_linenumber <= 2) as
        cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as bigint) % 4 as err_rate
 from lineitem group by l_suppkey, l_linenumber""",
     "v_if_counters": """
-select device_id, if_index, ts, sum(oct) over w % 4294967296 as in_oct32, sum(oct) over w as in_oct64, sum(errs) over w as in_err
+select device_id, if_index, ts, sum(oct) over w % 4294967296 as in_oct32, sum(oct) over w as in_oct64, sum(errs) over w as in_err,
+       cast((dayofyear(ts) + device_id) % 40 * 86400 as bigint) as uptime
 from (select l_suppkey as device_id, l_linenumber as if_index, l_shipdate as ts,
              cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) * 64 as oct,
              cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as bigint) as errs
