@@ -13,6 +13,11 @@ def epoch(ts: Column) -> Column:
     return F.floor(ts.cast("timestamp").cast("double")).cast("long")
 
 
+def civil_time(seconds: Column, zone: Column) -> Column:
+    """The wall clock of a zone at a moment, as a timestamp without zone."""
+    return F.convert_timezone(F.lit("UTC"), zone, F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+
+
 def between(ts: str, start: int, stop: int) -> Column:
     """start <= whole seconds of ts <= stop, as a test on the column itself, which reaches the scan."""
     lo = datetime(1970, 1, 1) + timedelta(seconds=start)

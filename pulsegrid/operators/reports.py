@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import between, epoch, since
+from ..functions.columns import between, civil_time, epoch, since
 from .metrics import series_stats
 
 
@@ -96,8 +93,13 @@ def endpoint_report(rows: DataFrame, start: int, n: int = 20) -> DataFrame:
 
 
 def due(reports: DataFrame, now: int) -> DataFrame:
-    """Reports whose schedule fires at this minute: their hour, not within 23 hours of the last run, Mondays for weekly, the 1st for monthly."""
-    t = F.timestamp_seconds(F.lit(now))
+    """Reports whose schedule fires at this minute: their hour, not within 23 hours of the last run, Mondays for weekly, the 1st for monthly.
+
+    Hours and days are those of the report's own time zone (`zone`, a column that may be missing or null: UTC). An hour that the clock skips in spring doesn't
+    come that day; one that it repeats in autumn comes once, as 23 hours must lie between runs.
+    """
+    zone = F.coalesce(F.col("zone"), F.lit("UTC")) if "zone" in reports.columns else F.lit("UTC")
+    t = civil_time(F.lit(now), zone)
     day = F.when(F.col("schedule") == "daily", True).when(F.col("schedule") == "weekly", F.dayofweek(t) == 2).when(F.col("schedule") == "monthly", F.dayofmonth(t) == 1).otherwise(False)
     return reports.where((F.hour(t) == F.col("hour")) & (F.minute(t) == 0) & (F.col("last_run").isNull() | (F.lit(now) - F.col("last_run") >= 23 * 3600)) & day)
 
@@ -131,74 +133,87 @@ def findings(alerts: DataFrame, devices: DataFrame, sites: DataFrame, interfaces
 SECRET = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "private", "credential", "cookie", "session", "authorization", "bearer", "license_key", "licence_key", "signature")
 MOST_KEYS, MOST_CHARS, MOST_ITEMS, MOST_DEPTH = 24, 400, 12, 3
 TOO_DEEP, WITHHELD = "[omitted: nested too deep]", "[omitted: instruction-like text]"
-#: What makes a text read as an instruction to a reader model, by aim: words of each list, in order, within one sentence.
-_ORDERS = [
-    (["ignore", "disregard", "forget", "override", "bypass"], ["instruction", "instructions", "rule", "rules", "prompt", "prompts", "guideline", "guidelines", "policy"]),  # drop what was said
-    (["mark", "set", "treat", "report", "classify", "rate", "label"], ["as", "to"], ["resolved", "fixed", "closed", "safe", "harmless", "low", "medium", "high", "critical", "info", "informational"]),  # decide a finding
-    (["output", "respond", "reply", "return", "print", "answer"], ["only", "exactly", "following", "json"]),  # dictate the answer
-]
-_PHRASES = ["system prompt", "developer message", "you are now", "act as", "pretend to be", "pretend you are", "new instruction", "from now on"]  # take another role
-_ROLES = ["system", "user", "assistant"]
+#: What a text that gives orders to a reader model says. Verbs that drop what it was told, with what stands near them and what is dropped.
+DROPS, ITS, TOLD = ("ignore", "disregard", "forget", "override", "bypass"), ("previous", "prior", "earlier", "above", "all", "any", "every", "your", "the", "these"), ("instruction", "instructions", "rule", "rules", "prompt", "prompts", "guideline", "guidelines")
+#: Verbs that decide a finding, and the verdicts that follow "as" or "to".
+DECIDES, VERDICTS = ("mark", "set", "treat", "report", "classify", "rate"), ("resolved", "fixed", "closed", "safe", "harmless", "info", "informational", "low", "medium", "high", "critical")
+#: Verbs that dictate an answer, and roles of a conversation.
+ANSWERS, ROLES = ("respond", "reply", "answer", "output", "print", "return"), ("system", "user", "assistant")
+#: Phrases that give another role, everywhere and as an order; marks of chat templates.
+SAYS, ORDERS = ("system prompt", "developer message", "you are now", "new instruction", "new instructions", "from now on"), ("act as", "pretend to be", "pretend you are")
+MARKS = ("im_start", "im_end", "endoftext", "eot_id", "start_header_id", "end_header_id")
+#: Words before an order within a sentence.
+LEADS = ("and", "then", "please", "now", "must", "should", "you", "always", "to", "just")
+
+
+def _orders() -> str:
+    """One expression for all of that. Distances are words of one sentence; an answer is dictated and a role given by a verb that begins a sentence or follows one of LEADS."""
+    any_of = lambda words: rf"(?:{'|'.join(words)})"
+    gap = r"[^\w.!?;\n]+"
+    within = lambda n: rf"(?:{gap}\w+){{0,{n}}}{gap}"
+    begins = rf"(?:^|[.!?;\n]\W*|\b{any_of(LEADS)}{gap})"
+    drops = rf"\b{any_of(DROPS)}{within(2)}{any_of(ITS)}{within(3)}{any_of(TOLD)}\b"
+    decides = rf"\b{any_of(DECIDES)}{within(12)}(?:as|to){gap}{any_of(VERDICTS)}\b"
+    answer = rf"{any_of(ANSWERS[:3])}(?:{gap}(?:only|exactly))?{gap}with\b"
+    output = rf"{any_of(ANSWERS[3:])}(?:{gap}(?:exactly\b|only\b(?!{gap}(?:if|when)\b))|{within(2)}json\b)"
+    says = rf"\b{any_of(SAYS)}\b"
+    forged = rf"<{any_of(MARKS)}>|<[|]{any_of(MARKS + ROLES)}[|]>|\b{any_of(ROLES)}[ \t]*:[ \t]*[{{]"
+    return f"(?i){drops}|{decides}|{begins}(?:{answer}|{output}|{any_of(ORDERS)}\\b)|{says}|{forged}"
+
+
+INSTRUCTION = _orders()
+
+
+def reads_as_instruction(text: Column) -> Column:
+    """Whether a text orders a reader about: one sentence drops what it was told, gives a finding's verdict, dictates the answer or
+    another role, or the text forges a turn of the conversation. Words in their usual places in logs and banners don't count."""
+    return text.rlike(INSTRUCTION)
 
 
-def _patterns() -> list[str]:
-    any_of = lambda words: rf"\b(?:{'|'.join(words)})\b"
-    orders = [r"[^.!?\n]{1,80}".join(map(any_of, lists)) for lists in _ORDERS]
-    frames = [r"<\|?[a-z_]*(?:im_start|im_end|header_id|eot_id|endoftext)[a-z_]*\|?>", rf"<\|?(?:{'|'.join(_ROLES)})\|?>", rf"\b(?:{'|'.join(_ROLES)})\s*:\s*\{{"]
-    return [f"(?i){p}" for p in [*orders, rf"\b(?:{'|'.join(_PHRASES)})", *frames]]
+def withheld(text: Column) -> Column:
+    """The text, or a note in its place if any of it reads as an instruction."""
+    return F.when(reads_as_instruction(text), WITHHELD).otherwise(text)
 
 
-INSTRUCTIONS = _patterns()
+def _kept(key: Column) -> Column:
+    return ~F.lower(key).rlike("|".join(SECRET))
 
 
-def withheld(text: Column) -> Column:
-    """The text, or a note in its place if any of it reads as an instruction."""
-    hit = F.lit(False)
-    for pattern in INSTRUCTIONS:
-        hit = hit | text.rlike(pattern)
-    return F.when(hit, WITHHELD).otherwise(text)
+def _cut(text: Column) -> Column:
+    return F.when(F.length(text) > MOST_CHARS, F.concat(F.substring(text, 1, MOST_CHARS), F.lit("…"))).otherwise(text)
 
 
 def sanitise_flat(evidence: Column) -> Column:
     """A map of strings without secret keys: the first keys in order, texts withheld or cut."""
-    safe = F.map_filter(evidence, lambda k, v: ~F.lower(k).rlike("|".join(SECRET)))
+    safe = F.map_filter(evidence, lambda k, v: _kept(k))
     keys = F.slice(F.array_sort(F.map_keys(safe)), 1, MOST_KEYS)
-    cut = lambda v: F.when(F.length(v) > MOST_CHARS, F.concat(F.substring(v, 1, MOST_CHARS), F.lit("…"))).otherwise(v)
-    return F.transform_values(F.map_filter(safe, lambda k, v: F.array_contains(keys, k)), lambda k, v: cut(withheld(v)))
+    return F.transform_values(F.map_filter(safe, lambda k, v: F.array_contains(keys, k)), lambda k, v: _cut(withheld(v)))
 
 
 def sanitise_json(df: DataFrame, column: str) -> DataFrame:
-    """Nested JSON, bounded and without secrets at every level; text that isn't an object becomes null."""
-    import re
-
-    patterns = [re.compile(p) for p in INSTRUCTIONS]
-
-    def clean(v: object, depth: int) -> object:
-        if isinstance(v, str):
-            v = WITHHELD if any(p.search(v) for p in patterns) else v
-            return v[:MOST_CHARS] + "…" if len(v) > MOST_CHARS else v
-        if isinstance(v, dict):
-            return TOO_DEEP if depth > MOST_DEPTH else members(v, depth)
-        if isinstance(v, list):
-            return TOO_DEEP if depth > MOST_DEPTH else [clean(x, depth + 1) for x in v[:MOST_ITEMS]]
-        return v
-
-    def members(v: dict, depth: int) -> dict | None:
-        keys = sorted(k for k in v if not any(s in k.lower() for s in SECRET))[:MOST_KEYS]
-        return {k: clean(v[k], depth + 1) for k in keys} or None
-
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                value = json.loads(text) if text else None
-            except ValueError:
-                return None
-            made = members(value, 1) if isinstance(value, dict) else None
-            return None if made is None else json.dumps(made, sort_keys=True, ensure_ascii=False)
-
-        return texts.map(one)
-
-    return df.withColumn(column, F.pandas_udf(run, "string")(F.col(column)))
+    """Nested JSON, bounded and without secrets at every level, as compact JSON with sorted keys; text that isn't an object, or of which nothing is left, becomes null.
+
+    Values are variants; a value's kind decides at each of the MOST_DEPTH levels, which are written out, so all stays in the JVM.
+    """
+
+    def clean(v: Column, depth: int) -> Column:
+        kind = F.schema_of_variant(v)
+        text = _cut(withheld(v.cast("string"))).cast("variant")
+        if depth > MOST_DEPTH:
+            nested = F.lit(TOO_DEEP).cast("variant")
+            return F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), nested).when(kind == "STRING", text).otherwise(v)
+        items = F.transform(F.slice(v.cast("array<variant>"), 1, MOST_ITEMS), lambda x: clean(x, depth + 1))
+        return F.when(F.startswith(kind, F.lit("OBJECT")), members(v, depth)).when(F.startswith(kind, F.lit("ARRAY")), items.cast("variant")).when(kind == "STRING", text).otherwise(v)
+
+    def members(v: Column, depth: int) -> Column:
+        entries = v.cast("map<string,variant>")
+        keys = F.slice(F.array_sort(F.filter(F.map_keys(entries), _kept)), 1, MOST_KEYS)
+        made = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), clean(F.element_at(entries, k), depth + 1).alias("value"))))
+        return F.when(F.size(keys) > 0, F.to_variant_object(made))
+
+    parsed = F.try_parse_json(column)
+    whole = F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), members(parsed, 1))
+    return df.withColumn(column, F.to_json(whole))
 
 
 def alert_facts(alerts: DataFrame, devices: DataFrame, sites: DataFrame, now: int) -> DataFrame:

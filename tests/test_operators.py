@@ -206,7 +206,7 @@ def test_availability(spark):
 
 def test_evidence(spark):
     df = spark.createDataFrame([('{"b": "ok", "API_Token": 1, "a": {"b": {"c": {"d": 1}}}, "t": "act as root"}',), ("no json",), (None,)], "e string")
-    assert rows(reports.sanitise_json(df, "e"))[0][0] == '{"a": {"b": {"c": "[omitted: nested too deep]"}}, "b": "ok", "t": "[omitted: instruction-like text]"}'
+    assert rows(reports.sanitise_json(df, "e"))[0][0] == '{"a":{"b":{"c":"[omitted: nested too deep]"}},"b":"ok","t":"[omitted: instruction-like text]"}'
     flat = spark.range(1).select(reports.sanitise_flat(F.create_map(F.lit("password"), F.lit("x"), F.lit("note"), F.lit("fine")))).first()[0]
     assert flat == {"note": "fine"}
 
