@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch, rank
+from ..functions.columns import civil_time, epoch, rank
 from ..functions.folds import scan
 
 #: Rules as id, object, metric, enter, exit, cycles, severity, important ports only.
@@ -57,68 +59,174 @@ def clearing_keys(events: DataFrame) -> DataFrame:
 class Alert:
     """One condition's alerts: an open one takes repeats; one resolved less than `again` seconds ago re-opens; else a new one begins.
 
-    A repeat raises the severity, or, if it names another root cause, is folded under that and takes its severity. Evidence
-    (source and time of day) is kept for the first MOST_EVIDENCE steps; a re-opening is always noted, and isn't announced yet.
+    A repeat raises the severity and replaces the impact if it has one, or, if it names another root cause, is folded under that and takes its severity, title and
+    detail. An operator acknowledges an open alert or ends any by hand. Evidence (source and time of day) is kept for the first
+    MOST_EVIDENCE steps; a re-opening and an end by hand are always noted. A re-opened alert isn't announced yet, and keeps its severity and title.
     """
 
     MOST_EVIDENCE = 20
 
     def __init__(self, again: float = 1800) -> None:
-        self.again, self.n, self.evidence = again, 0, []
+        self.again, self.n, self.evidence, self.state = again, 0, [], None
         self.opened = self.updated = self.resolved = self.root = None
         self.occurrences = self.severity = self.reopened = 0
         self.notified = False
+        self.title = self.detail = self.impact = None
 
-    def step(self, t: float, action: str, severity: int, source: str, root: str | None) -> tuple:
-        """The current alert after an action: raise, resolve or notified (announced)."""
-        mark = f"{source} {int(t) // 3600 % 24:02d}:{int(t) // 60 % 60:02d}:{int(t) % 60:02d}"
+    def step(self, t: float, action: str, severity: int, source: str, root: str | None, title: str | None = None, detail: str | None = None, impact: str | None = None) -> tuple:
+        """The current alert after an action: raise, resolve, notified (announced), or an operator's ack or manual (source: their name)."""
+        at = f"{int(t) // 3600 % 24:02d}:{int(t) // 60 % 60:02d}:{int(t) % 60:02d}"
+        mark = f"{source} {at}"
         if action == "raise":
             if self.n and self.resolved is None:
-                self._repeat(severity, root)
+                self._repeat(severity, root, title, detail, impact)
                 self._note(mark)
             elif self.n and t - self.resolved < self.again:
-                self.resolved, self.notified = None, False
+                self.resolved, self.notified, self.state = None, False, "open"
                 self.reopened += 1
                 self.occurrences += 1
                 self.evidence.append(mark + " (re-opened)")
             else:
                 self.n += 1
-                self.opened, self.resolved, self.root, self.notified = t, None, root, False
+                self.opened, self.resolved, self.root, self.notified, self.state = t, None, root, False, "open"
                 self.occurrences, self.severity, self.reopened, self.evidence = 1, severity, 0, [mark]
+                self.title, self.detail, self.impact = title, detail, impact
             self.updated = t
         elif action == "resolve" and self.n and self.resolved is None:
             self.resolved = self.updated = t
+            self.state = "resolved"
             self._note("resolved: " + mark)
         elif action == "notified" and self.n:
             self.notified = True
-        return self.n, self.opened, self.updated, self.resolved, self.occurrences, self.severity, self.reopened, self.root, self.notified, ", ".join(self.evidence)
+        elif action == "ack" and self.n:
+            self.state, self.updated = "acked" if self.state == "open" else self.state, t
+        elif action == "manual" and self.n:
+            self.resolved = self.updated = t
+            self.state = "resolved"
+            self.evidence.append(f"resolved manually by {mark}")
+        return self.held()
+
+    def held(self) -> tuple:
+        return self.n, self.state, self.opened, self.updated, self.resolved, self.occurrences, self.severity, self.reopened, self.root, self.notified, self.title, self.detail, self.impact, list(self.evidence)
+
+    def restore(self, held: tuple) -> None:
+        self.n, self.state, self.opened, self.updated, self.resolved, self.occurrences, self.severity, self.reopened, self.root, self.notified, self.title, self.detail, self.impact, evidence = held
+        self.evidence = list(evidence)
 
-    def _repeat(self, severity: int, root: str | None) -> None:
+    def _repeat(self, severity: int, root: str | None, title: str | None, detail: str | None, impact: str | None) -> None:
         self.occurrences += 1
         self.severity = max(self.severity, severity)
+        self.impact = impact or self.impact
         if root is not None and root != self.root:
-            self.root, self.severity = root, severity
+            self.root, self.severity, self.title, self.detail = root, severity, title, detail
 
     def _note(self, mark: str) -> None:
         if len(self.evidence) < self.MOST_EVIDENCE:
             self.evidence.append(mark)
 
 
-UPSERTED = "_k int, opened double, updated double, resolved double, occurrences int, severity int, reopened int, root_cause string, notified boolean, evidence string"
+UPSERTED = "_k int, state string, opened double, updated double, resolved double, occurrences int, severity int, reopened int, root_cause string, notified boolean, title string, detail string, impact string, evidence array<string>"
+ACTION = ("t", "n", "action", "severity", "source", "root_cause", "title", "detail", "impact")
+
+
+def with_texts(actions: DataFrame) -> DataFrame:
+    """Actions with title, detail and impact, null where they have none."""
+    return actions.select("dedup_key", *[F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c) for c in ACTION])
 
 
 def upsert_alerts(actions: DataFrame, again: float = 1800) -> DataFrame:
-    """Alerts of each dedup key (n: its number) after its actions: dedup_key, t seconds, n for ties, action, severity rank, source, root_cause.
+    """Alerts of each dedup key (n: its number) after its actions: dedup_key, t seconds, n for ties, action, severity rank, source, root_cause, and title, detail and impact if there.
 
-    The fold gives the alert's state at each action; the last one of each alert counts.
+    The fold gives the alert's state at each action; the last one of each alert counts. evidence is an array.
     """
-    rows = actions.select("dedup_key", F.col("t").cast("double").alias("t"), F.col("n").alias("_n"), "action", F.col("severity").alias("_severity"), "source", F.col("root_cause").alias("_root"))
-    states = scan(rows, ["dedup_key"], ["t", "_n"], ["t", "action", "_severity", "source", "_root"], lambda: Alert(again).step, UPSERTED).where("_k > 0")
+    rows = with_texts(actions).withColumn("t", F.col("t").cast("double")).withColumnsRenamed({c: f"_{c}" for c in ACTION if c != "t"})
+    states = scan(rows, ["dedup_key"], ["t", "_n"], ["t", *[f"_{c}" for c in ACTION[2:]]], lambda: Alert(again).step, UPSERTED).where("_k > 0")
     value = [f.split()[0] for f in UPSERTED.split(", ")[1:]]
     last = states.groupBy("dedup_key", F.col("_k").alias("n")).agg(F.max_by(F.struct(*value), F.struct("t", "_n")).alias("x"))
     return last.select("dedup_key", "n", "x.*")
 
 
+class Family:
+    """The alerts of a root cause and those folded under it, over time.
+
+    Rows: t, n, id, kind, limit (seconds, null without). raise opens an alert or updates it; one that hasn't been updated for longer than its limit ends by itself (timed) at
+    that moment. A child (id other than the root's) ends (root) as soon as its root's alert is resolved or unknown, and its own device is up (kinds up, down). A
+    raise less than `again` seconds after the end re-opens the alert, which keeps `opened`; older ones are forgotten, but for whether the device is up.
+    """
+
+    def __init__(self, root: int, again: float = 1800) -> None:
+        self.root, self.again, self.of = root, again, {}
+
+    def load(self, held: list[tuple]) -> None:
+        self.of = {k: list(v) for k, *v in held}  # opened, updated, resolved, limit, occurrences, up
+
+    def dump(self) -> list[tuple]:
+        return [(k, *v) for k, v in sorted(self.of.items())]
+
+    def _ends(self) -> list[tuple[float, int]]:
+        return sorted((v[1] + v[3], k) for k, v in self.of.items() if v[0] is not None and v[2] is None and v[3] is not None)
+
+    def due(self) -> float | None:
+        ends = self._ends()
+        return ends[0][0] + 0.001 if ends else None
+
+    def _resolve(self, k: int, t: float, reason: str) -> list[tuple]:
+        v = self.of[k]
+        v[2] = t
+        return [(k, v[0], t, reason, v[4])]
+
+    def _free(self, t: float) -> list[tuple]:
+        top = self.of.get(self.root)
+        if top and top[0] is not None and top[2] is None:
+            return []
+        return [x for k, v in sorted(self.of.items()) if k != self.root and v[0] is not None and v[2] is None and v[5] for x in self._resolve(k, t, "root")]
+
+    def advance(self, t: float) -> list[tuple]:
+        """What ends by itself before t."""
+        out: list[tuple] = []
+        while (ends := self._ends()) and ends[0][0] < t:
+            out += self._resolve(ends[0][1], ends[0][0], "timed") + self._free(ends[0][0])
+        for v in self.of.values():
+            if v[2] is not None and v[2] + self.again < t:
+                v[:5] = None, None, None, None, 0
+        return out
+
+    def step(self, t: float, n: int, k: int, kind: str, limit: float | None) -> list[tuple]:
+        v = self.of.setdefault(k, [None, None, None, None, 0, False])
+        if kind != "raise":
+            v[5] = kind == "up"
+        else:
+            fresh = v[0] is None or (v[2] is not None and t - v[2] >= self.again)
+            v[:5] = t if fresh else v[0], t, None, limit, 1 if fresh else v[4] + 1
+        return self._free(t)
+
+
+FAMILY_ROW, FAMILY_PART = "t double, n long, id long, kind string, lasts double", "id long, opened double, updated double, resolved double, lasts double, occurrences int, up boolean"
+ENDED = "id long, opened double, resolved double, reason string, occurrences int"
+
+
+def ended_alerts(rows: DataFrame, horizon: float, again: float = 1800) -> DataFrame:
+    """family, and ENDED: each end of an alert before `horizon` (seconds), by Family, over rows (family: the root's id, then FAMILY_ROW)."""
+    last = rows.select("family").distinct().select("family", F.lit(float(horizon)).alias("t"), F.lit((1 << 62)).alias("n"), F.lit(None).cast("long").alias("id"), F.lit("end").alias("kind"), F.lit(None).cast("double").alias("lasts"))
+    fields = [f.split()[0] for f in FAMILY_ROW.split(", ")]
+
+    def start() -> Callable:
+        family: list[Family] = []
+
+        def step(key: int, t: float, n: int, k: float | None, kind: str, limit: float | None) -> list:
+            if not family:
+                family.append(Family(int(key), again))
+            out = family[0].advance(t)
+            if kind != "end":
+                out += family[0].step(t, int(n), int(k), kind, None if limit is None or limit != limit else limit)
+            return [dict(zip(("id", "opened", "resolved", "reason", "occurrences"), x)) for x in out]
+
+        return step
+
+    made = scan(rows.select("family", *fields).unionByName(last), ["family"], ["t", "n"], ["family", *fields], start, f"_ends array<struct<{ENDED.replace(' ', ': ')}>>".replace(",:", ","))
+    return made.select("family", F.explode("_ends").alias("x")).select("family", "x.*")
+
+
 def severity_by_role(df: DataFrame) -> DataFrame:
     """device_down is critical on core, router and firewall; a value past the rule's second threshold is major."""
     made = F.when((F.col("rule") == "device_down") & F.col("role").isin("core", "router", "firewall"), "critical").when(F.col("value") >= F.col("escalate"), "major").otherwise(F.col("severity"))
@@ -180,21 +288,25 @@ def acted_on(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     return alerts.join(last, "id", "left").withColumn("state", made).drop("action")
 
 
-def to_notify(alerts: DataFrame, now: int, least: str = "minor", resolved_too: bool = True, quiet: tuple[int, int] | None = None, critical_always: bool = True, group: int = 60) -> DataFrame:
-    """Alerts of a batch that go out at a time (seconds): severe enough (resolved ones only if announced before), outside quiet hours (minutes of the day).
+def to_notify(alerts: DataFrame, now: int, least: str = "minor", resolved_too: bool = True, quiet: tuple[int, int] | None = None, critical_always: bool = True, group: int = 60, zone: str = "UTC") -> DataFrame:
+    """Alerts of a batch that go out at a time (seconds), in their order (`place`: the severest first, then the oldest opened, then by id): severe enough (resolved ones only if announced before), outside quiet hours.
 
-    Nothing goes out until the batch's oldest update is `group` seconds old, unless a critical alert waits in it that isn't resolved.
+    Quiet hours are minutes of the day on the clock of `zone`, and may pass midnight; a column `zone` of the alerts, where not null, goes before it. Nothing goes
+    out until the batch's oldest update is `group` seconds old, unless a critical alert waits in it that isn't resolved.
     """
     levels = {"critical": 4, "major": 3, "minor": 2, "info": 1}
     ended = F.col("state") == "resolved"
     waiting = alerts.agg(F.min(epoch(F.col("updated_at"))).alias("oldest"), F.coalesce(F.max((F.col("severity") == "critical") & ~ended), F.lit(False)).alias("urgent"))
     ready = waiting.where(F.col("urgent") | (F.lit(now) - F.col("oldest") >= group)).select(F.lit(True).alias("_ready"))
     ok = F.when(ended, F.lit(resolved_too) & F.col("notified")).otherwise(rank(F.col("severity")) >= levels[least])
-    minute = now // 60 % 1440
-    inside = quiet is not None and (quiet[0] <= minute < quiet[1] if quiet[0] <= quiet[1] else minute >= quiet[0] or minute < quiet[1])
     rows = alerts.where(ok)
-    rows = rows.where((F.col("severity") == "critical") & F.lit(critical_always)) if inside else rows
-    return rows.withColumn("_ready", F.lit(True)).join(F.broadcast(ready), "_ready", "left_semi").drop("_ready")  # one row or none
+    if quiet is not None:
+        local = civil_time(F.lit(now), F.coalesce(F.col("zone"), F.lit(zone)) if "zone" in alerts.columns else F.lit(zone))
+        minute = F.hour(local) * 60 + F.minute(local)
+        inside = (minute >= quiet[0]) & (minute < quiet[1]) if quiet[0] <= quiet[1] else (minute >= quiet[0]) | (minute < quiet[1])
+        rows = rows.where(~inside | ((F.col("severity") == "critical") & F.lit(critical_always)))
+    rows = rows.withColumn("_ready", F.lit(True)).join(F.broadcast(ready), "_ready", "left_semi").drop("_ready")  # one row or none
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(rank(F.col("severity"))), "opened_at", "id")))  # what goes out in one message
 
 
 def named_peers(interfaces: DataFrame, links: DataFrame, devices: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import fresh_path
 from ..streaming import jobs as J
-from .alerts import ACTIONS
+from .alerts import ACTIONS, BOTH, FAMILIES
 from .metrics import ROLLUP
 from .registry import ORACLES, Data, query
 from .state import STATUS, polls
@@ -75,4 +75,22 @@ def p4_stream(d: Data):
 @query("P12_stream_alerts", ORACLES.get("P12_upserted_alerts"))
 def p12_stream(d: Data):
     rows = d.sql(ACTIONS)
-    return J.latest(d.spark, _through(d, J.alerts(_slices(d, rows, "n"), 30000), "update"), ["dedup_key", "n"])
+    return J.latest(d.spark, _through(d, J.alerts(_slices(d, rows, "n"), 30000), "update"), ["dedup_key", "n"]).withColumn("evidence", F.array_join("evidence", ", "))
+
+
+@query("P17_stream_ends", ORACLES.get("P17_alert_ends"))
+def p17_stream(d: Data):
+    return d.spark.read.parquet(_through(d, J.ended(_slices(d, d.sql(FAMILIES), "n", slices=6), 90000)))
+
+
+@query("P23_stream_actions", ORACLES.get("P23_acted_alerts"))
+def p23_stream(d: Data):
+    rows = d.sql(BOTH)
+    hand = F.col("action").isin("ack", "manual")
+    ends = rows.agg(F.max_by("dedup_key", "t").alias("dedup_key"), F.max("n").alias("n"), F.max("t").alias("t"))  # both streams end at the same time
+    mark = ends.select("dedup_key", "n", "t", F.lit("none").alias("action"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("dedup_key", "n", "t", "action")])
+    made = J.acted_alerts(_slices(d, rows.where(~hand).unionByName(mark), "n", slices=5), _slices(d, rows.where(hand).unionByName(mark), "n", slices=5), 30000)
+    states = d.spark.read.parquet(_through(d, made)).withColumnRenamed("_k", "n")
+    value = [c for c in states.columns if c not in ("dedup_key", "n", "t", "seq")]
+    last = states.groupBy("dedup_key", "n").agg(F.max_by(F.struct(*value), F.struct("t", "seq")).alias("x")).select("dedup_key", "n", "x.*")
+    return last.withColumn("evidence", F.array_join("evidence", ", "))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.alerts import UPSERTED, Alert
+from ..operators.alerts import ACTION, ENDED, FAMILY_PART, FAMILY_ROW, UPSERTED, Alert, Family, with_texts
 from ..operators.state import Status, Threshold
+from .keyed import by_arrival, event_time, in_order, table
 
 
 def intake(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
@@ -31,14 +33,15 @@ def messages(rows: DataFrame, schema: StructType) -> DataFrame:
     return made.select("x.*")
 
 
-def run(stream: DataFrame, checkpoint: str, sink: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there. Append goes to a file sink; update and complete write each batch to a folder of its own."""
+def run(stream: DataFrame, checkpoint: str, sink: str, mode: str = "append") -> StreamingQuery:
+    """Runs a stream over all that is there, and gives the finished query. Append goes to a file sink; update and complete write each batch to a folder of its own."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", sink).start()
     else:
         query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{sink}/batch={batch}")).start()
     query.awaitTermination()
+    return query
 
 
 def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
@@ -62,25 +65,6 @@ def totals(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return made.select("exporter", F.unix_seconds("window.start").alias("t"), "bytes", "packets", "flows")
 
 
-def keyed(stream: DataFrame, key: str, order: list[str], out: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple]], mode: str = "append", idle_ms: int | None = None) -> DataFrame:
-    """A fold per key whose state outlives the micro-batch: step(state or None, rows in order) -> rows, new state. With idle_ms a key's
-    state goes once it has been without rows for so long."""
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        rows = pd.concat(batches, ignore_index=True).sort_values(order, kind="stable")
-        made, new = step(held.get if held.exists else None, rows)
-        held.update(new)
-        if idle_ms:
-            held.setTimeoutDuration(idle_ms)
-        yield made
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy(key).applyInPandasWithState(fold, out, state, mode, timeout)
-
-
 def statuses(stream: DataFrame, down_after: int = 3) -> DataFrame:
     """device_id, sample_id, status: device_status over a stream of polls."""
 
@@ -89,29 +73,69 @@ def statuses(stream: DataFrame, down_after: int = 3) -> DataFrame:
         made = [state.step(*x) for x in rows[["reachable", "degraded", "maintenance", "upstream_down"]].itertuples(index=False)]
         return pd.DataFrame({"device_id": rows["device_id"], "sample_id": rows["sample_id"], "status": made}), (state.status, state.fails, state.oks)
 
-    return keyed(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, status string", "status string, fails int, oks int", step)
+    return by_arrival(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, status string", "status string, fails int, oks int", step)
 
 
 def alerts(stream: DataFrame, again: float = 1800) -> DataFrame:
     """Alerts (dedup_key, n and their state) that a micro-batch of actions has changed: upsert_alerts over a stream, the newest row of each counts."""
-    state = [f.strip().split() for f in UPSERTED.split(",")]
-    names = [n for n, _ in state]
-    schema = ", ".join(f"{n} {t}" for n, t in state)
+    state = StructType.fromDDL(UPSERTED)
+    names = state.names
 
     def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
         alert = Alert(again)
         if held is not None:
-            alert.n, alert.opened, alert.updated, alert.resolved, alert.occurrences, alert.severity, alert.reopened, alert.root, alert.notified, marks = held
-            alert.evidence = marks.split(", ") if marks else []
+            alert.restore(held)
         made = {}
-        for x in rows[["t", "action", "severity", "source", "root_cause"]].itertuples(index=False):
-            last = alert.step(*x)
+        for x in rows[["t", *ACTION[2:]]].astype(object).itertuples(index=False):
+            last = alert.step(*[None if v is None or v != v else v for v in x])
             made[last[0]] = last
         made.pop(0, None)
-        out = pd.DataFrame(list(made.values()), columns=names).rename(columns={"_k": "n"}).astype({"opened": "float", "updated": "float", "resolved": "float"})
+        out = table(list(made.values()), state).rename(columns={"_k": "n"})
         return out.assign(dedup_key=rows["dedup_key"].iat[0])[["dedup_key", "n", *names[1:]]], last
 
-    return keyed(stream, "dedup_key", ["t", "n"], "dedup_key string, n int, " + schema.split(", ", 1)[1], schema, step, "update")
+    return by_arrival(with_texts(stream), "dedup_key", ["t", "n"], "dedup_key string, n int, " + UPSERTED.split(", ", 1)[1], UPSERTED, step, "update")
+
+
+class Ordered:
+    """An Alert that in_order() runs; its state is one part."""
+
+    def __init__(self, again: float) -> None:
+        self.alert = Alert(again)
+
+    def step(self, t: float, n: int, *action) -> list[tuple]:
+        held = self.alert.step(t, *action)
+        return [(t, n, *held)] if held[0] else []
+
+    def advance(self, t: float) -> list[tuple]:
+        return []
+
+    def due(self) -> float | None:
+        return None
+
+    def dump(self) -> list[tuple]:
+        return [(0, *self.alert.held())]
+
+    def load(self, held: list[tuple]) -> None:
+        if held:
+            self.alert.restore(held[0][1:])
+
+
+ACTION_ROW = "t double, n long, action string, severity int, source string, root_cause string, title string, detail string, impact string"
+
+
+def acted_alerts(events: DataFrame, operators: DataFrame, again: float = 1800, late: str = "0 seconds") -> DataFrame:
+    """dedup_key, t, seq and UPSERTED: the alert after each action, of two streams in one state: what monitors raise and resolve, and what operators acknowledge and end.
+
+    Each stream has its own watermark; actions go through the fold in the order of their time, once both streams have passed it. An action behind
+    the watermark is dropped and counted (late_rows).
+    """
+    both = event_time(with_texts(events), late=late).unionByName(event_time(with_texts(operators), late=late))
+    return in_order(both, "dedup_key", ACTION_ROW, "part int, " + UPSERTED, "dedup_key string, t double, seq long, " + UPSERTED, lambda key: Ordered(again))
+
+
+def ended(stream: DataFrame, again: float = 1800, late: str = "0 seconds") -> DataFrame:
+    """family and ENDED: ended_alerts over a stream; limits are event-time timers, as many as a family has alerts."""
+    return in_order(event_time(stream, late=late), "family", FAMILY_ROW, FAMILY_PART, "family long, " + ENDED, lambda key: Family(key, again))
 
 
 def stale(stream: DataFrame, interval: int, cycles: int = 5, late: str = "0 seconds") -> DataFrame:
@@ -139,7 +163,7 @@ def thresholds(stream: DataFrame, enter: float, leave: float, cycles: int) -> Da
         on = [state.step(v) for v in rows["v"]]
         return pd.DataFrame({"device_id": rows["device_id"], "sample_id": rows["sample_id"], "on": on}), (state.run, state.on)
 
-    return keyed(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, on boolean", "run int, on boolean", step)
+    return by_arrival(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, on boolean", "run int, on boolean", step)
 
 
 def suppress(stream: DataFrame, gap: float) -> DataFrame:
@@ -153,4 +177,4 @@ def suppress(stream: DataFrame, gap: float) -> DataFrame:
             last = t if ok else last
         return rows.loc[keep, ["key", "event_id"]], (last,)
 
-    return keyed(stream, "key", ["t", "event_id"], "key string, event_id long", "last double", step)
+    return by_arrival(stream, "key", ["t", "event_id"], "key string, event_id long", "last double", step)
