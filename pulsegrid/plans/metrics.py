@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, top_bits
 from ..operators import metrics as M
-from .registry import Data, query
+from ..sources import files
+from ..sources.storage import fresh_path
+from .registry import ORACLES, Data, query
 
 NOW = 1706572800  # 2024-01-30 00:00 UTC
 _T = "floor(epoch(ts))::BIGINT"
@@ -51,6 +53,16 @@ def m4(d: Data):
     return M.merge_rollup(M.rollup(rows.where("device_id % 3 = 0"), keys), stored, [*keys, "t"])
 
 
+@query("M4_stored_rollup", ORACLES["M4_merged_rollup"].replace("where device_id % 3 = 0", "where device_id % 3 = 0 and event_day(ts)").replace("event_day(ts)", "arrival % 5 < 2"))
+def m4_stored(d: Data):
+    """The merge in place: the stored table by day, then a job with fresh buckets, run twice."""
+    rows, keys, path = d("v_metric_samples"), ["metric", "device_id"], fresh_path(d.spark, "rollup")
+    files.replace_buckets(M.rollup(rows, keys).withColumn("v", F.col("v") + 1), path, keys, "first")
+    for _ in range(2):
+        files.replace_buckets(M.rollup(rows.where("device_id % 3 = 0 and arrival % 5 < 2"), keys), path, keys, "fresh")
+    return d.spark.read.parquet(path).drop("day")
+
+
 RAW = f"select metric, device_id, {_T} as t, v from v_metric_samples"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,66 @@ def read_tiers(spark: SparkSession, path: str, tier: str, first: str, last: str)
     return spark.read.parquet(path).where((F.col("tier") == tier) & F.col("day").between(first, last))
 
 
+class Store:
+    """Files of a folder, by the file system that Spark reads it with."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self.of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.files.exists(self.of(path))
+
+    def delete(self, path: str) -> None:
+        self.files.delete(self.of(path), True)
+
+    def mark(self, path: str) -> None:
+        self.files.create(self.of(path), True).close()
+
+    def folders(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.files.listStatus(self.of(path)) if f.isDirectory()) if self.exists(path) else []
+
+
+def _swap_in(spark: SparkSession, path: str, job: str) -> None:
+    """Puts a committed job's days in the place of the stored ones; may be done again."""
+    staged = f"{path}/_staging/{job}"
+    rows = spark.read.parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    store = Store(spark, path)
+    store.mark(f"{path}/_staging/{job}.done")
+    store.delete(staged)
+
+
+def replace_buckets(fresh: DataFrame, path: str, keys: list[str], job: str) -> bool:
+    """Fresh buckets (keys, t, values) into a table stored by day (of t): each takes the place of the stored one with its keys, the others stay. Whether the job did anything.
+
+    Only the days of fresh buckets are read and written. They are merged into a staging folder first; its _SUCCESS file is the commit record, after which the days are
+    swapped in. A job that was ended before its record begins again, one ended after it is carried on by the next job on the table
+    (or by recover()), and one that is done does nothing, so a job may be run any number of times. One writer at a time.
+    """
+    spark = fresh.sparkSession
+    store = Store(spark, path)
+    recover(spark, path)
+    if store.exists(f"{path}/_staging/{job}.done"):
+        return False
+    rows = fresh.withColumn("day", F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd"))
+    if [x for x in store.folders(path) if x.startswith("day=")]:
+        stored = spark.read.schema(rows.schema).parquet(path).join(rows.select("day").distinct(), "day", "left_semi")
+        rows = rows.unionByName(stored.join(rows.select(*keys, "t"), [*keys, "t"], "left_anti"))
+    rows.write.mode("overwrite").parquet(f"{path}/_staging/{job}")
+    _swap_in(spark, path, job)
+    return True
+
+
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Carries on the committed jobs that were ended before their days were in place; their names."""
+    store = Store(spark, path)
+    left = [j for j in store.folders(f"{path}/_staging") if store.exists(f"{path}/_staging/{j}/_SUCCESS")]
+    for job in left:
+        _swap_in(spark, path, job)
+    return left
+
+
 #: Days that each dataset keeps.
 RETENTION = {"events": 365, "logs": 30, "flows": 90, "raw": 14, "rollup": 400, "endpoints": 90}
 
@@ -78,6 +139,17 @@ def write_findings(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
 
 
+def deliver(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: each batch as JSON lines in a folder of its own. The folder's _SUCCESS file is the ledger: a batch that has one isn't written again."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        folder = f"{path}/batch={batch}"
+        if not Store(rows.sparkSession, path).exists(f"{folder}/_SUCCESS"):
+            rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(folder)
+
+    return write
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A report's table as CSV with a header."""
     df.write.option("header", True).csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.alerts import ACTION, ENDED, FAMILY_PART, FAMILY_ROW, UPSERTED, Alert, Family, with_texts
 from ..operators.state import Status, Threshold
-from .keyed import by_arrival, event_time, in_order, table
+from .keyed import Arrivals, by_arrival, event_time, in_order, on_disk, table
 
 
 def intake(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
@@ -33,10 +33,12 @@ def messages(rows: DataFrame, schema: StructType) -> DataFrame:
     return made.select("x.*")
 
 
-def run(stream: DataFrame, checkpoint: str, sink: str, mode: str = "append") -> StreamingQuery:
-    """Runs a stream over all that is there, and gives the finished query. Append goes to a file sink; update and complete write each batch to a folder of its own."""
+def run(stream: DataFrame, checkpoint: str, sink: str | Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """Runs a stream over all that is there, and gives the finished query. A function takes each batch; append goes to a file sink, update and complete write each batch to a folder of its own."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
+    if callable(sink):
+        query = writer.foreachBatch(sink).start()
+    elif mode == "append":
         query = writer.format("parquet").option("path", sink).start()
     else:
         query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{sink}/batch={batch}")).start()
@@ -138,6 +140,82 @@ def ended(stream: DataFrame, again: float = 1800, late: str = "0 seconds") -> Da
     return in_order(event_time(stream, late=late), "family", FAMILY_ROW, FAMILY_PART, "family long, " + ENDED, lambda key: Family(key, again))
 
 
+def finding_feed(stream: DataFrame) -> DataFrame:
+    """finding_changes over a stream of alert states: the state keeps what was last reported of each alert. deliver() is its sink."""
+    columns = [f for f in stream.schema.fields if f.name not in ("id", "seq")]
+    facts = F.xxhash64(*[f.name for f in columns])
+    out = "id long, seq long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ", change string"
+
+    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        was, then = held or (None, None)
+        changes = []
+        for state, now in zip(rows["state"], rows["digest"]):
+            live = state != "resolved"
+            changes.append("opened" if live and was in (None, "resolved") else "resolved" if not live and was not in (None, "resolved") else "changed" if live and now != then else None)
+            was, then = state, int(now)
+        made = rows.assign(change=changes)
+        return made[made["change"].notna()][["id", "seq", *[f.name for f in columns], "change"]], (was, then)
+
+    return by_arrival(stream.withColumn("digest", facts), "id", ["seq"], out, "state string, facts long", step)
+
+
+class Recent:
+    """Counts a key's rows of the last `span` seconds at each row; one exactly so old doesn't count. The state is the times that still count."""
+
+    def __init__(self, span: float, least: int) -> None:
+        self.span, self.least, self.times = span, least, []
+
+    def step(self, t: float, n: int) -> list[tuple]:
+        self.times = [(k, x) for k, x in self.times if x > t - self.span] + [(n, t)]
+        return [(n, len(self.times))] if len(self.times) >= self.least else []
+
+    def advance(self, t: float) -> list[tuple]:
+        self.times = [(k, x) for k, x in self.times if x > t - self.span]
+        return []
+
+    def due(self) -> float | None:
+        return self.times[-1][1] + self.span if self.times else None
+
+    def dump(self) -> list[tuple]:
+        return list(self.times)
+
+    def load(self, held: list[tuple]) -> None:
+        self.times = sorted(held, key=lambda x: (x[1], x[0]))
+
+
+def bursts(stream: DataFrame, key: str, span: float, least: int, late: str = "0 seconds") -> DataFrame:
+    """key, n, recent: sliding_count over a stream (key, t in seconds, n), each n once: a row delivered twice within the lateness counts once.
+
+    A row that comes more than `late` behind the newest row of an earlier micro-batch is dropped and counted (late_rows).
+    """
+    rows = event_time(stream, late=late).dropDuplicatesWithinWatermark(["n"])
+    return in_order(rows, key, "t double, n long", "n long, t double", f"{key} long, n long, recent int", lambda _: Recent(span, least))
+
+
+def appended(stream: DataFrame, series: list[str], late: str = "1 millisecond") -> DataFrame:
+    """series, t, v, arrival: rows (series, t seconds, arrival, v) that the append rules keep; of equal times the one of the last arrival counts.
+
+    NaN and infinite values go, and rows older than their series' newest. The watermark stands `late` before the hour of the newest row: a row of an earlier hour than the
+    newest one of an earlier micro-batch is dropped and counted; in one micro-batch no row is too late for another series.
+    """
+    rows = stream.withColumn("ts", F.timestamp_seconds(F.floor(F.col("t") / 3600) * 3600)).withWatermark("ts", late)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in series]).alias("series")
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+
+    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        top, keep = held[0] if held else None, []
+        for t, v in zip(rows["t"], rows["v"]):
+            ok = v == v and abs(v) != float("inf") and (top is None or t >= top)
+            keep.append(ok)
+            top = int(t) if ok else top
+        return rows.loc[keep, [*series, "t", "v", "arrival"]], (top,)
+
+    made = rows.select("ts", *series, "t", "v", "arrival", key)
+    processor = Arrivals(step, ["arrival"], "top long", None)
+    out = ", ".join(f"{c} {kinds[c]}" for c in series) + f", t {kinds['t']}, v {kinds['v']}, arrival {kinds['arrival']}"
+    return on_disk(made).groupBy("series").transformWithStateInPandas(processor, StructType.fromDDL(out), "append", "EventTime")
+
+
 def stale(stream: DataFrame, interval: int, cycles: int = 5, late: str = "0 seconds") -> DataFrame:
     """device_id, last_poll, status unknown: devices without a poll for more than `cycles` intervals, found by an event-time timer."""
 
