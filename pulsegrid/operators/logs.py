@@ -101,7 +101,7 @@ def unknown_sources(df: DataFrame, devices: DataFrame) -> DataFrame:
 def classify(df: DataFrame) -> DataFrame:
     """At most one event for each line (mnemonic, message, severity, device_id): kind, event_severity, subject, dedup_key. The first family that fits counts."""
     up, msg = F.upper("mnemonic"), F.col("message")
-    low, port = F.lower(msg), word_after(msg, "interface", "[a-z-]+[0-9/.:]+")
+    low, port = F.lower(msg), word_after(msg, "interface", "[a-z-]+[0-9][0-9/.:]*")
     has = lambda text, *parts: F.greatest(*[F.instr(text, p) for p in parts], F.lit(0)) > 0
     link = (up.startswith("LINK-") | up.startswith("LINEPROTO-")) & has(up, "UPDOWN")
     config = has(up, "CONFIG_I", "CFGLOG_LOGGEDCMD", "CONFIG-CHANGE") | has(low, "configuration changed", "config changed")
