@@ -245,7 +245,7 @@ def index_documents(df: DataFrame, n_docs: int, n_terms: int, key: str = "doc_id
     return materialize(rows.mapInPandas(run, INDEX), "grid")
 
 
-def search(index: DataFrame, items: DataFrame, n_docs: int, key: str = "item_id", text: str = "text", k: int = 20, items_at_once: int = 256) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, n_docs: int, key: str = "item_id", text: str = "text", k: int = 20, items_at_once: int = 4096, blocks_a_task: int = 3) -> DataFrame:
     """For each item its k best documents: item_id, rank, doc_id, score.
 
     Items are taken items_at_once at a time, which bounds what is sent to the tasks. Weights come from the index's own counts. A task goes
