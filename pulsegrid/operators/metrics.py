@@ -65,7 +65,8 @@ def counter_rate(value: Column, order: Window, bits: int, scale: int = 1) -> Col
 
 
 def counters_to_rates(df: DataFrame) -> DataFrame:
-    """Rates of interface counters: in bits per second from both counter widths, errors per second (32-bit)."""
+    """Rates of interface counters: in bits per second from both counter widths, errors per second (32-bit). Without a column uptime no reboot is known."""
+    df = df if "uptime" in df.columns else df.withColumn("uptime", F.lit(None).cast("long"))
     w = Window.partitionBy("device_id", "if_index").orderBy("ts")
     return df.select("device_id", "if_index", "ts", counter_rate(F.col("in_oct32"), w, 32, 8).alias("bps32"), counter_rate(F.col("in_oct64"), w, 64, 8).alias("bps64"), counter_rate(F.col("in_err"), w, 32).alias("err_rate"))
 

@@ -211,7 +211,7 @@ def appended(stream: DataFrame, series: list[str], late: str = "1 millisecond")
         return rows.loc[keep, [*series, "t", "v", "arrival"]], (top,)
 
     made = rows.select("ts", *series, "t", "v", "arrival", key)
-    processor = Arrivals(step, ["arrival"], "top long", None)
+    processor = Arrivals(step, ["arrival"], "top long", None, "ts")
     out = ", ".join(f"{c} {kinds[c]}" for c in series) + f", t {kinds['t']}, v {kinds['v']}, arrival {kinds['arrival']}"
     return on_disk(made).groupBy("series").transformWithStateInPandas(processor, StructType.fromDDL(out), "append", "EventTime")
 

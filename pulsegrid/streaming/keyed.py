@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -31,17 +31,30 @@ def table(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 _PLAIN = {"long": int, "integer": int, "double": float, "boolean": bool}
 
 
+def count_late(late, n: int) -> None:
+    """Adds to a key's count of rows that came behind the watermark."""
+    if n:
+        late.update(((late.get()[0] if late.exists() else 0) + n,))
+
+
 class Arrivals(StatefulProcessor):
-    """step(state or None, rows of a micro-batch in order) -> rows, new state; the state is one value, which may expire."""
+    """step(state or None, rows of a micro-batch in order) -> rows, new state; the state is one value, which may expire. With a column `ts`, rows that aren't above the watermark are dropped and counted."""
 
-    def __init__(self, step: Callable, order: list[str], state: str, ttl_ms: int | None) -> None:
-        self.step, self.order, self.schema, self.ttl = step, order, state, ttl_ms
+    def __init__(self, step: Callable, order: list[str], state: str, ttl_ms: int | None, ts: str | None = None) -> None:
+        self.step, self.order, self.schema, self.ttl, self.ts = step, order, state, ttl_ms, ts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", self.schema, self.ttl)
+        self.late = handle.getValueState("late", "n long") if self.ts else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(rows, ignore_index=True).sort_values(self.order, kind="stable")
+        if self.ts:
+            known = batch[self.ts].astype("datetime64[ms]").astype("int64") > timerValues.getCurrentWatermarkInMs()
+            count_late(self.late, int((~known).sum()))
+            batch = batch[known]
+            if not len(batch):
+                return
         made, new = self.step(tuple(self.state.get()) if self.state.exists() else None, batch)
         self.state.update(new)
         yield made
@@ -80,6 +93,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.rows)
         self.parts = handle.getMapState("parts", StructType(self.part.fields[:1]), StructType(self.part.fields[1:]))
+        self.late = handle.getValueState("late", "n long")
 
     def _run(self, key: tuple, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
         rows = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=lambda r: r[:2])
@@ -111,7 +125,10 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         kinds = [_PLAIN.get(f.dataType.typeName(), lambda v: v) for f in self.rows.fields]  # a column of whole numbers with nulls comes as one of doubles
         new = [tuple(None if v is None or v != v else k(v) for k, v in zip(kinds, r)) for batch in rows for r in batch[self.rows.names].astype(object).itertuples(index=False)]
-        yield from self._run(key, new, timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        fit = [r for r in new if math.floor(r[0] * 1000) > watermark]
+        count_late(self.late, len(new) - len(fit))
+        yield from self._run(key, fit, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self._run(key, [], timerValues.getCurrentWatermarkInMs())
@@ -123,7 +140,7 @@ class InOrder(StatefulProcessor):
 def in_order(stream: DataFrame, key: str, rows: str, part: str, out: str, start: Callable[..., Fold]) -> DataFrame:
     """A fold per key over rows (t in seconds first, a number for ties second) in the order of their time, whatever order they arrive in; the stream has a watermark on `ts`.
 
-    start(key) makes a key's fold. Rows that come behind the watermark are dropped by Spark and counted in its progress (late_rows). out: the key, then what the fold gives.
+    start(key) makes a key's fold. Rows that come behind the watermark are dropped and counted (late_rows). out: the key, then what the fold gives.
     """
     return on_disk(stream).groupBy(key).transformWithStateInPandas(InOrder(start, rows, part, out), StructType.fromDDL(out), "append", "EventTime")
 
@@ -133,6 +150,7 @@ def event_time(stream: DataFrame, t: str = "t", late: str = "0 seconds") -> Data
     return stream.withColumn("ts", F.timestamp_millis(F.floor(F.col(t) * 1000))).withWatermark("ts", late)
 
 
-def late_rows(query) -> int:
-    """Rows that a finished query has dropped because they came behind its watermark."""
-    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+def late_rows(spark: SparkSession, query, checkpoint: str) -> int:
+    """Rows that a finished query has dropped because they came behind its watermark: those that the folds have counted in their state, and those that Spark has dropped before."""
+    own = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "late").load().agg(F.sum("value.n")).first()[0] or 0
+    return own + sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
