@@ -240,3 +240,14 @@ def test_alert_texts(spark):
     r = A.upsert_alerts(spark.createDataFrame(acts, "dedup_key string, t double, n int, action string, severity int, source string, root_cause string, title string, detail string, impact string")).first()
     assert (r.title, r.detail, r.impact, r.severity, r.root_cause, r.state, r.resolved) == ("three", "d3", "5 below", 1, "r", "resolved", 40.0)
     assert r.evidence == ["snmp, v2 00:00:00", "trap 00:00:10", "topology 00:00:20", "resolved manually by ann 00:00:40"]
+
+
+def test_volatile_lines(spark):
+    text = {
+        "juniper": ("# 2024-01-02 10:00 UTC\nset x\n## Last commit: now", "set x\n"), "mikrotik": ("# jan/02/2024 10:00:00 by RouterOS 6\n# a note\nadd x", "# a note\nadd x\n"),
+        "ubiquiti": ("set system login user x\nset system host-name y", "set system host-name y\n"), "net-snmp": ("  valid_lft 12sec\ninet x", "inet x\n"),
+        "aruba-aos-s": ("; J9 Configuration Editor; Created on release #X\n; note\nhostname x", "; note\nhostname x\n"), "cisco-asa": (": Saved\n\nhostname x  ", "hostname x\n"), "other": ("! Last change at 1\n! kept\nx", "! kept\nx\n"),
+    }
+    df = spark.createDataFrame([(k, a) for k, (a, _) in text.items()], "platform string, config string")
+    made = {r.platform: r.out for r in df.select("platform", snapshots.normalised(F.col("config"), F.col("platform")).alias("out")).collect()}
+    assert made == {k: b for k, (_, b) in text.items()}
