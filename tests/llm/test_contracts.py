@@ -18,10 +18,14 @@ COLUMNS = {
     "op3_quality_scores": "doc_id bigint, held_out boolean, score double, predicted int",
     "op4_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op5_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_repeated_spans": "doc_id bigint, text string, n_sentences int, n_removed int",
     "op7_packed_sequences": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op8_near_duplicate_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op9_mixed_sources": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_languages": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op12_ranked_documents": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 BIG = (1 << 53) + 1
 
@@ -37,6 +41,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     vectors = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(60)] + [(100, None, 1), (None, [1.0] * 6, 1), (BIG, [1.0] * 6, None), (101, [0.0] * 6, 0), (102, [None] * 6, 0)]
+    spark.createDataFrame([(i, f"http://x/{i}", f"<article><h1>t{i}</h1><p>the of a {i}</p></article>") for i in range(20)] + [(None, None, None)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(i, texts[i]) for i in range(9)] + [(None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path, rows
 
@@ -56,6 +62,12 @@ def test_columns_and_rows(spark, folder, name):
     got = Counter(r[0] for r in made.select(key).collect())
     if name == "op8_near_duplicate_vectors":
         assert sum(got.values()) == 65 and got[BIG] == 1
+    elif name == "op11_main_text":
+        assert sum(got.values()) == 21
+    elif name == "op12_ranked_documents":
+        assert got == {i: 20 for i in range(9)}
+    elif name == "op13_hard_negatives":
+        assert set(got) <= {0, 100}
     elif name == "op7_packed_sequences":
         assert set(got) == {r[0] for r in rows}
     else:
