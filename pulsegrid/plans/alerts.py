@@ -54,17 +54,16 @@ from (select *, row_number() over (partition by dedup_key, k order by i desc) as
 
 
 FOLDED = folded(ACTIONS)
-_joined = F.array_join("evidence", ", ")
 
 
 @query("P12_upserted_alerts", FOLDED)
 def p12(d: Data):
-    return O.upsert_alerts(d.sql(ACTIONS), 30000).withColumn("evidence", _joined)
+    return O.upsert_alerts(d.sql(ACTIONS), 30000).withColumn("evidence", F.array_join("evidence", ", "))
 
 
 @query("P23_acted_alerts", folded(BOTH))
 def p23_acted(d: Data):
-    return O.upsert_alerts(d.sql(BOTH), 30000).withColumn("evidence", _joined)
+    return O.upsert_alerts(d.sql(BOTH), 30000).withColumn("evidence", F.array_join("evidence", ", "))
 
 
 @query("P13_resolved_alerts", f"select dedup_key, n, resolved, resolved - opened as seconds from ({FOLDED}) where resolved is not null")
