@@ -82,7 +82,8 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, pe
     the order of their hashes. Every language is learned, so beyond `sample` languages the sample is as large as their number.
     """
     train = df.where(~is_held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("c"))
-    counts = materialize(train.groupBy("c").count(), "languages")
+    hashed = F.xxhash64(F.lit(seed), "k", "t")
+    counts = materialize(train.groupBy("c").agg(F.approx_count_distinct(hashed, 0.05).alias("count")), "languages")  # repeated rows once; what the draw spares covers the error
     n_classes = counts.count()
     if not n_classes:
         return np.zeros((0, 1 << BITS), np.float32), []
@@ -90,8 +91,8 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, sample: int, pe
     # a hash test first, with so much to spare that a language of many rows has `each` left in all but one of e^20 draws, and one of few rows all its rows
     spare = each + 7 * each**0.5 + 24
     limits = small(counts.select("c", F.least(F.lit(scale), F.ceil(F.lit(float(scale) * spare) / F.col("count"))).alias("limit")))
-    hashed = train.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(scale))).join(limits, "c").where(F.col("h") < F.col("limit"))
-    drawn = hashed.select("k", "t", "c", "h").dropDuplicates(["k", "c", "h"])
+    drawn = train.withColumn("h", F.pmod(hashed, F.lit(scale))).join(limits, "c").where(F.col("h") < F.col("limit"))
+    drawn = drawn.select("k", "t", "c", "h").dropDuplicates(["k", "c", "h"])
     drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("c").orderBy("h", "k"))).where(F.col("at") <= each).select("k", "t", "c")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
