@@ -74,7 +74,8 @@ def test_kernel_ridge_against_the_full_kernel():
     model = langid.fit_kernel_ridge(rows, langs, landmarks=len(texts))
     grams = [n_grams(langid.letters_of(t), langid.ORDERS) for t in texts + asked]
     kernel = np.array([[len(g & h) / np.sqrt(len(g) * len(h)) for h in grams[:200]] for g in grams])
-    assert np.abs(rows @ rows.T - kernel[:200]).max() < 0.05  # hashed n-grams meet now and then
+    off = np.abs(rows @ rows.T - kernel[:200])  # hashed n-grams meet: some 100 x 100 n-grams in 2^14 buckets share less than one by chance
+    assert off.mean() < 0.01 and off.max() < 0.1
     goal = np.where(np.array(langs)[:, None] == np.array(model.classes)[None, :], 1.0, -1.0)
     of_class = np.array([langs.count(c) for c in langs], float)
 
