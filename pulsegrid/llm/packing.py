@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -141,19 +142,21 @@ def pack_documents(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
             rows = pd.concat(held, ignore_index=True)
             sequences = pack([len(x) // 4 for x in ids], tiers)
             sums = [sum(p[2] for p in s) for s in sequences]
-            made = []
-            for k, (sequence, n) in enumerate(zip(sequences, sums)):
-                at, tier = 0, n if n in tiers else tiers[-1]
-                step = base + groups.step_of(tier)
-                for doc, start, length in sequence:
-                    piece = ids[doc][4 * start : 4 * (start + length)]
-                    made.append((doc, start, length, zlib.crc32(piece), len(ids[doc]) // 4, base + n_sequences + k, at, n, tier, step, piece))
-                    at += length
-            n_sequences, total = n_sequences + len(sequences), 0
-            for lo in range(0, len(made), 5000):
-                some = made[lo : lo + 5000]
-                pieces = pd.DataFrame([x[1:] for x in some], columns=[f.name for f in schema.fields[len(kept) :]])
-                yield pd.concat([rows.iloc[[x[0] for x in some]].reset_index(drop=True), pieces], axis=1)
+            first, n_sequences, total = base + n_sequences, n_sequences + len(sequences), 0
+
+            def pieces() -> Iterator[tuple]:
+                for k, (sequence, n) in enumerate(zip(sequences, sums)):
+                    at, tier = 0, n if n in tiers else tiers[-1]
+                    step = base + groups.step_of(tier)
+                    for doc, start, length in sequence:
+                        piece = ids[doc][4 * start : 4 * (start + length)]
+                        yield doc, start, length, zlib.crc32(piece), len(ids[doc]) // 4, first + k, at, n, tier, step, piece
+                        at += length
+
+            made = pieces()
+            while some := list(islice(made, 2000)):  # a round's ids are held once, not again as pieces
+                out = pd.DataFrame([x[1:] for x in some], columns=[f.name for f in schema.fields[len(kept) :]])
+                yield pd.concat([rows.iloc[[x[0] for x in some]].reset_index(drop=True), out], axis=1)
             held.clear()
             ids.clear()
 

@@ -8,7 +8,7 @@ import sys
 from array import array
 from collections.abc import Callable
 
-from .base import CACHES, keep_only
+from .base import CACHES, give_back, keep_only
 
 #: Texts of these characters only are plain.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -115,10 +115,11 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's own encoder for a file: kept between tasks."""
     found = _ENCODERS.get((path, kind))
+    keep_only(found)  # before a file is read: reading it takes more for a while than the encoder does
     if found is None:
         found = _ENCODERS[path, kind] = Encoder(path, kind)
         CACHES.append(found)
-    keep_only(found)
+        give_back()
     return found
 
 
