@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.alerts import ACTION, ENDED, FAMILY_PART, FAMILY_ROW, UPSERTED, Alert, Family, with_texts
 from ..operators.state import Status, Threshold
-from .keyed import Arrivals, by_arrival, event_time, in_order, on_disk, table
+from .keyed import by_arrival, event_time, in_order
 
 
 def intake(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
@@ -70,32 +70,28 @@ def totals(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 def statuses(stream: DataFrame, down_after: int = 3) -> DataFrame:
     """device_id, sample_id, status: device_status over a stream of polls."""
 
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    def step(key: int, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
         state = Status(down_after, *(held or ()))
-        made = [state.step(*x) for x in rows[["reachable", "degraded", "maintenance", "upstream_down"]].itertuples(index=False)]
-        return pd.DataFrame({"device_id": rows["device_id"], "sample_id": rows["sample_id"], "status": made}), (state.status, state.fails, state.oks)
+        return [(key, n, state.step(*x)) for n, *x in rows], (state.status, state.fails, state.oks)
 
-    return by_arrival(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, status string", "status string, fails int, oks int", step)
+    inputs = ["sample_id", "reachable", "degraded", "maintenance", "upstream_down"]
+    return by_arrival(stream, "device_id", ["ts", "sample_id"], inputs, "device_id long, sample_id long, status string", "status string, fails int, oks int", step)
 
 
 def alerts(stream: DataFrame, again: float = 1800) -> DataFrame:
     """Alerts (dedup_key, n and their state) that a micro-batch of actions has changed: upsert_alerts over a stream, the newest row of each counts."""
-    state = StructType.fromDDL(UPSERTED)
-    names = state.names
-
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    def step(key: str, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
         alert = Alert(again)
         if held is not None:
             alert.restore(held)
         made = {}
-        for x in rows[["t", *ACTION[2:]]].astype(object).itertuples(index=False):
-            last = alert.step(*[None if v is None or v != v else v for v in x])
+        for x in rows:
+            last = alert.step(*[None if v != v else v for v in x])
             made[last[0]] = last
         made.pop(0, None)
-        out = table(list(made.values()), state).rename(columns={"_k": "n"})
-        return out.assign(dedup_key=rows["dedup_key"].iat[0])[["dedup_key", "n", *names[1:]]], last
+        return [(key, *x) for x in made.values()], last
 
-    return by_arrival(with_texts(stream), "dedup_key", ["t", "n"], "dedup_key string, n int, " + UPSERTED.split(", ", 1)[1], UPSERTED, step, "update")
+    return by_arrival(with_texts(stream), "dedup_key", ["t", "n"], ["t", *ACTION[2:]], "dedup_key string, n int, " + UPSERTED.split(", ", 1)[1], UPSERTED, step, "update")
 
 
 class Ordered:
@@ -146,17 +142,18 @@ def finding_feed(stream: DataFrame) -> DataFrame:
     facts = F.xxhash64(*[f.name for f in columns])
     out = "id long, seq long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ", change string"
 
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    def step(key: int, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
         was, then = held or (None, None)
-        changes = []
-        for state, now in zip(rows["state"], rows["digest"]):
+        out = []
+        for seq, state, now, *facts in rows:
             live = state != "resolved"
-            changes.append("opened" if live and was in (None, "resolved") else "resolved" if not live and was not in (None, "resolved") else "changed" if live and now != then else None)
-            was, then = state, int(now)
-        made = rows.assign(change=changes)
-        return made[made["change"].notna()][["id", "seq", *[f.name for f in columns], "change"]], (was, then)
+            change = "opened" if live and was in (None, "resolved") else "resolved" if not live and was not in (None, "resolved") else "changed" if live and now != then else None
+            was, then = state, now
+            if change:
+                out.append((key, seq, *facts, change))
+        return out, (was, then)
 
-    return by_arrival(stream.withColumn("digest", facts), "id", ["seq"], out, "state string, facts long", step)
+    return by_arrival(stream.withColumn("digest", facts), "id", ["seq"], ["seq", "state", "digest", *[f.name for f in columns]], out, "state string, facts long", step)
 
 
 class Recent:
@@ -202,18 +199,18 @@ def appended(stream: DataFrame, series: list[str], late: str = "1 millisecond")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in series]).alias("series")
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
 
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
-        top, keep = held[0] if held else None, []
-        for t, v in zip(rows["t"], rows["v"]):
-            ok = v == v and abs(v) != float("inf") and (top is None or t >= top)
-            keep.append(ok)
-            top = int(t) if ok else top
-        return rows.loc[keep, [*series, "t", "v", "arrival"]], (top,)
+    def step(key: str, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
+        top, out = held[0] if held else None, []
+        for row in rows:
+            t, v = row[-3], row[-2]
+            if v == v and abs(v) != float("inf") and (top is None or t >= top):
+                top = t
+                out.append(tuple(row))
+        return out, (top,)
 
     made = rows.select("ts", *series, "t", "v", "arrival", key)
-    processor = Arrivals(step, ["arrival"], "top long", None, "ts")
     out = ", ".join(f"{c} {kinds[c]}" for c in series) + f", t {kinds['t']}, v {kinds['v']}, arrival {kinds['arrival']}"
-    return on_disk(made).groupBy("series").transformWithStateInPandas(processor, StructType.fromDDL(out), "append", "EventTime")
+    return by_arrival(made, "series", ["arrival"], [*series, "t", "v", "arrival"], out, "top long", step, ts="ts")
 
 
 def stale(stream: DataFrame, interval: int, cycles: int = 5, late: str = "0 seconds") -> DataFrame:
@@ -236,23 +233,22 @@ def stale(stream: DataFrame, interval: int, cycles: int = 5, late: str = "0 seco
 def thresholds(stream: DataFrame, enter: float, leave: float, cycles: int) -> DataFrame:
     """device_id, sample_id, on: the same rule as in batch, its run count and state kept between batches."""
 
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    def step(key: int, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
         state = Threshold(enter, leave, cycles, *(held or (0, False)))
-        on = [state.step(v) for v in rows["v"]]
-        return pd.DataFrame({"device_id": rows["device_id"], "sample_id": rows["sample_id"], "on": on}), (state.run, state.on)
+        return [(key, n, state.step(v)) for n, v in rows], (state.run, state.on)
 
-    return by_arrival(stream, "device_id", ["ts", "sample_id"], "device_id long, sample_id long, on boolean", "run int, on boolean", step)
+    return by_arrival(stream, "device_id", ["ts", "sample_id"], ["sample_id", "v"], "device_id long, sample_id long, on boolean", "run int, on boolean", step)
 
 
 def suppress(stream: DataFrame, gap: float) -> DataFrame:
     """key, event_id of rows at least `gap` seconds after the last one let through, also across batches."""
 
-    def step(held: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
-        last, keep = (held[0] if held else None), []
-        for t in rows["t"]:
-            ok = last is None or t - last >= gap
-            keep.append(ok)
-            last = t if ok else last
-        return rows.loc[keep, ["key", "event_id"]], (last,)
+    def step(key: str, held: tuple | None, rows: list) -> tuple[list[tuple], tuple]:
+        last, out = (held[0] if held else None), []
+        for t, n in rows:
+            if last is None or t - last >= gap:
+                last = t
+                out.append((key, n))
+        return out, (last,)
 
-    return by_arrival(stream, "key", ["t", "event_id"], "key string, event_id long", "last double", step)
+    return by_arrival(stream, "key", ["t", "event_id"], ["t", "event_id"], "key string, event_id long", "last double", step)

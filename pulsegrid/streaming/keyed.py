@@ -28,45 +28,78 @@ def table(rows: list[tuple], schema: StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series(list(c), dtype=kinds.get(f.dataType.typeName(), object)) for f, c in zip(schema.fields, columns)})
 
 
-_PLAIN = {"long": int, "integer": int, "double": float, "boolean": bool}
+#: Keys are dealt over so many buckets. A bucket is one group of the stream and one entry of its state, so what a group costs (calls of Python and of the
+#: state store, milliseconds) doesn't grow with the keys; memory holds one bucket's keys at a time.
+BUCKETS = 2048
+
+
+def bucketed(stream: DataFrame, key: str) -> DataFrame:
+    """The stream with `_bucket`, the bucket of its key."""
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+
+
+def plain(rows: pd.DataFrame, schema: StructType, names: list[str]) -> Iterator[tuple]:
+    """Rows as tuples of plain values; a column of whole numbers with nulls comes as one of doubles."""
+    columns = []
+    for c in names:
+        values, kind = rows[c].tolist(), schema[c].dataType.typeName()
+        if kind in ("long", "integer") and rows[c].dtype.kind not in "iu":
+            values = [None if v is None or v != v else int(v) for v in values]
+        columns.append(values)
+    return zip(*columns)
 
 
 def count_late(late, n: int) -> None:
-    """Adds to a key's count of rows that came behind the watermark."""
+    """Adds to a bucket's count of rows that came behind the watermark."""
     if n:
         late.update(((late.get()[0] if late.exists() else 0) + n,))
 
 
 class Arrivals(StatefulProcessor):
-    """step(state or None, rows of a micro-batch in order) -> rows, new state; the state is one value, which may expire. With a column `ts`, rows that aren't above the watermark are dropped and counted."""
+    """step(key, state or None, a key's rows of a micro-batch in order) -> rows, new state. The state is a bucket's list of keys, when they changed and their states, which may expire.
 
-    def __init__(self, step: Callable, order: list[str], state: str, ttl_ms: int | None, ts: str | None = None) -> None:
-        self.step, self.order, self.schema, self.ttl, self.ts = step, order, state, ttl_ms, ts
+    With a column `ts`, rows that aren't above the watermark are dropped and counted.
+    """
+
+    def __init__(self, step: Callable, schema: StructType, key: str, order: list[str], inputs: list[str], state: str, out: StructType, ttl_ms: int | None = None, ts: str | None = None) -> None:
+        self.step, self.schema, self.key, self.order, self.inputs, self.out, self.ttl, self.ts = step, schema, key, order, inputs, out, ttl_ms, ts
+        self.state = StructType.fromDDL(f"_key {schema[key].dataType.simpleString()}, _at long, {state}")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", self.schema, self.ttl)
+        self.folds = handle.getListState("folds", self.state, self.ttl)
         self.late = handle.getValueState("late", "n long") if self.ts else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(rows, ignore_index=True).sort_values(self.order, kind="stable")
+        batch = pd.concat(rows, ignore_index=True)
         if self.ts:
             known = batch[self.ts].astype("datetime64[ms]").astype("int64") > timerValues.getCurrentWatermarkInMs()
             count_late(self.late, int((~known).sum()))
             batch = batch[known]
             if not len(batch):
                 return
-        made, new = self.step(tuple(self.state.get()) if self.state.exists() else None, batch)
-        self.state.update(new)
-        yield made
+        groups: dict = {}
+        for k, *row in plain(batch.sort_values(self.order, kind="stable"), self.schema, [self.key, *self.inputs]):
+            groups.setdefault(k, []).append(row)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        held = {k: (at, *state) for k, at, *state in self.folds.get() if not self.ttl or at + self.ttl > now}
+        made: list[tuple] = []
+        for k, some in groups.items():
+            out, state = self.step(k, held[k][1:] if k in held else None, some)
+            held[k] = (now, *state)
+            made += out
+        self.folds.put([(k, *state) for k, state in held.items()])
+        if made:
+            yield table(made, self.out)
 
     def close(self) -> None:
         pass
 
 
-def by_arrival(stream: DataFrame, key: str, order: list[str], out: str, state: str, step: Callable, mode: str = "append", ttl_ms: int | None = None) -> DataFrame:
-    """A fold per key whose state outlives the micro-batch. With ttl_ms a key's state goes once it hasn't changed for so long."""
-    processor = Arrivals(step, order, state, ttl_ms)
-    return on_disk(stream).groupBy(key).transformWithStateInPandas(processor, StructType.fromDDL(out), mode, "ProcessingTime" if ttl_ms else "None")
+def by_arrival(stream: DataFrame, key: str, order: list[str], inputs: list[str], out: str, state: str, step: Callable, mode: str = "append", ttl_ms: int | None = None, ts: str | None = None) -> DataFrame:
+    """A fold per key over rows of `inputs` whose state outlives the micro-batch. With ttl_ms a key's state goes once it hasn't changed for so long; with ts rows behind the watermark go."""
+    schema = StructType.fromDDL(out)
+    processor = Arrivals(step, stream.schema, key, order, inputs, state, schema, ttl_ms, ts)
+    return on_disk(bucketed(stream, key)).groupBy("_bucket").transformWithStateInPandas(processor, schema, mode, "EventTime" if ts else "ProcessingTime" if ttl_ms else "None")
 
 
 class Fold(Protocol):
@@ -80,58 +113,66 @@ class Fold(Protocol):
 
 
 class InOrder(StatefulProcessor):
-    """Rows wait in the state until the watermark has passed them; then they go through the fold in the order of their time.
+    """Rows wait in the state until the watermark has passed them; then they go through their key's fold in the order of their time.
 
-    The state is a list of the waiting rows and a map of the fold's parts by their first field. A timer stands at the first waiting row's time and at the
-    fold's next due time.
+    The state of a bucket is a list of the waiting rows and one of the folds' parts, both with their key. A timer stands at the time of the first waiting row or
+    the first due time of a fold, whatever comes first.
     """
 
-    def __init__(self, start: Callable[..., Fold], rows: str, part: str, out: str) -> None:
-        self.start, self.rows, self.part, self.out = start, StructType.fromDDL(rows), StructType.fromDDL(part), StructType.fromDDL(out)
+    def __init__(self, start: Callable[..., Fold], schema: StructType, key: str, rows: str, part: str, out: str) -> None:
+        kind = f"_key {schema[key].dataType.simpleString()}, "
+        self.start, self.schema, self.key, self.names = start, schema, key, StructType.fromDDL(rows).names
+        self.rows, self.part, self.out = StructType.fromDDL(kind + rows), StructType.fromDDL(kind + part), StructType.fromDDL(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.rows)
-        self.parts = handle.getMapState("parts", StructType(self.part.fields[:1]), StructType(self.part.fields[1:]))
+        self.parts = handle.getListState("parts", self.part)
         self.late = handle.getValueState("late", "n long")
 
-    def _run(self, key: tuple, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        rows = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=lambda r: r[:2])
-        ready = [r for r in rows if math.floor(r[0] * 1000) <= watermark]
-        fold = self.start(*key)
-        held = {k[0]: tuple(v) for k, v in self.parts.iterator()}
-        fold.load([(k, *v) for k, v in held.items()])
-        made: list[tuple] = []
-        for r in ready:
-            made += fold.advance(r[0])
-            made += fold.step(*r)
-        made += fold.advance(watermark / 1000)
-        now = {p[0]: tuple(p[1:]) for p in fold.dump()}
-        for k in held.keys() - now.keys():
-            self.parts.removeKey((k,))
-        for k, v in now.items():
-            if held.get(k) != v:
-                self.parts.updateValue((k,), v)
-        left = rows[len(ready) :]
-        if ready or new:
-            self.waiting.put(left) if left else self.waiting.clear()
+    def _run(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        rows: dict = {}
+        waited = [tuple(r) for r in self.waiting.get()]
+        for k, *r in [*waited, *new]:
+            rows.setdefault(k, []).append(tuple(r))
+        held: dict = {}
+        for k, *p in self.parts.get():
+            held.setdefault(k, []).append(tuple(p))
+        made, parts, left, due = [], [], [], []
+        for k in dict.fromkeys([*held, *rows]):
+            fold = self.start(k)
+            fold.load(held.get(k, []))
+            for r in sorted(rows.get(k, []), key=lambda r: r[:2]):
+                if math.floor(r[0] * 1000) > watermark:
+                    left.append((k, *r))
+                    continue
+                made += [(k, *m) for m in fold.advance(r[0])]
+                made += [(k, *m) for m in fold.step(*r)]
+            made += [(k, *m) for m in fold.advance(watermark / 1000)]
+            parts += [(k, *p) for p in fold.dump()]
+            due.append(fold.due())
+        for state, old, now in ((self.parts, held, parts), (self.waiting, waited, left)):
+            if now:
+                state.put(now)
+            elif old:
+                state.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        for t in {*([left[0][0]] if left else []), *([] if fold.due() is None else [fold.due()])}:
-            self.handle.registerTimer(max(math.ceil(t * 1000), 1))
+        times = [*(r[1] for r in left), *(t for t in due if t is not None)]
+        if times:
+            self.handle.registerTimer(max(math.ceil(min(times) * 1000), 1))
         if made:
-            yield table([(*key, *m) for m in made], self.out)
+            yield table(made, self.out)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kinds = [_PLAIN.get(f.dataType.typeName(), lambda v: v) for f in self.rows.fields]  # a column of whole numbers with nulls comes as one of doubles
-        new = [tuple(None if v is None or v != v else k(v) for k, v in zip(kinds, r)) for batch in rows for r in batch[self.rows.names].astype(object).itertuples(index=False)]
+        new = [tuple(None if v != v else v for v in r) for batch in rows for r in plain(batch, self.schema, [self.key, *self.names])]
         watermark = timerValues.getCurrentWatermarkInMs()
-        fit = [r for r in new if math.floor(r[0] * 1000) > watermark]
+        fit = [r for r in new if math.floor(r[1] * 1000) > watermark]
         count_late(self.late, len(new) - len(fit))
-        yield from self._run(key, fit, watermark)
+        yield from self._run(fit, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._run(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._run([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -142,7 +183,8 @@ def in_order(stream: DataFrame, key: str, rows: str, part: str, out: str, start:
 
     start(key) makes a key's fold. Rows that come behind the watermark are dropped and counted (late_rows). out: the key, then what the fold gives.
     """
-    return on_disk(stream).groupBy(key).transformWithStateInPandas(InOrder(start, rows, part, out), StructType.fromDDL(out), "append", "EventTime")
+    processor = InOrder(start, stream.schema, key, rows, part, out)
+    return on_disk(bucketed(stream, key)).groupBy("_bucket").transformWithStateInPandas(processor, processor.out, "append", "EventTime")
 
 
 def event_time(stream: DataFrame, t: str = "t", late: str = "0 seconds") -> DataFrame:

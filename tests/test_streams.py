@@ -73,3 +73,25 @@ def test_a_replayed_batch_writes_nothing_twice(spark, tmp_path):
     for rows in ([(1, "open")], [(1, "other")]):
         sink(spark.createDataFrame(rows, "id long, state string"), 7)
     assert [r.state for r in spark.read.json(str(tmp_path)).collect()] == ["open"]
+
+
+def test_keys_of_a_bucket_share_a_call_and_a_state(spark, tmp_path, monkeypatch):
+    """Many keys, a null one too, in two buckets: each key keeps its own fold, and the state has an entry for each bucket."""
+    from pulsegrid.operators.state import sliding_count, thresholds
+    from pulsegrid.streaming import keyed
+
+    monkeypatch.setattr(keyed, "BUCKETS", 2, raising=False)
+    schema = "sample_id long, device_id long, ts timestamp, v double"
+    rows = spark.range(600).selectExpr("id as sample_id", "nullif(id % 40, 7) as device_id", "timestamp_seconds(1704067200 + id * 60) as ts", "cast(id * 37 % 100 as double) as v")
+    batches = [[tuple(r) for r in rows.where(f"floor(sample_id / 200) = {k}").collect()] for k in range(3)]
+    stream = landed(spark, f"{tmp_path}/in", schema, *batches)
+    J.run(J.thresholds(stream, 60, 20, 2), f"{tmp_path}/checkpoint", f"{tmp_path}/out")
+    want = thresholds(rows, "device_id", "v", ["ts", "sample_id"], 60, 20, 2).select("device_id", "sample_id", "on")
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, want.collect()))
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "folds").load()
+    assert state.select("key").distinct().count() == 2
+    counted = J.bursts(stream.select("device_id", F.col("ts").cast("double").alias("t"), F.col("sample_id").alias("n")).where("device_id is not null"), "device_id", 7200, 2)
+    J.run(counted, f"{tmp_path}/checkpoint2", f"{tmp_path}/out2")
+    last = rows.agg(F.max("ts")).first()[0]  # what the watermark hasn't passed waits
+    want = sliding_count(rows.where("device_id is not null"), "device_id", 7200, 2).where(F.col("ts") <= F.lit(last)).select("device_id", "sample_id", F.col("recent").cast("int").alias("recent"))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out2").collect())) == sorted(map(tuple, want.collect()))
