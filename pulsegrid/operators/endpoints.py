@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def vendor_of(macs: DataFrame, registry: DataFrame) -> DataFrame:
 def search(rows: DataFrame, text: str = "", device: int | None = None, port: int | None = None, limit: int = 200) -> DataFrame:
     """Endpoints (mac, ips, vendor, device_id, arp_device, if_index, if_name, seen), newest first: by whole MAC, a part of at least
     four hex digits, an address prefix, or text in the vendor or port name; on one device (placed there or in its ARP
-    table), and on one port of it."""
+    table), and on one port of it. Text with dots between one to three digits ("10.2.1.") is an address, not part of a MAC."""
     text = text.strip().lower()
     plain = "".join(c for c in text if c not in ":.-")
     if device is not None:
@@ -71,7 +73,8 @@ def search(rows: DataFrame, text: str = "", device: int | None = None, port: int
     if text:
         has = lambda c: F.coalesce(F.lower(c).contains(text), F.lit(False))
         test = F.coalesce(F.exists(F.split("ips", ","), lambda x: x.startswith(text)), F.lit(False)) | has("vendor") | has("if_name")
-        if len(plain) >= 4 and all(c in "0123456789abcdef" for c in plain):
+        address = re.fullmatch(r"\d{1,3}(\.\d{1,3}){0,3}\.?", text) and "." in text
+        if len(plain) >= 4 and not address and all(c in "0123456789abcdef" for c in plain):
             test = test | F.replace("mac", F.lit(":"), F.lit("")).contains(plain)
         rows = rows.where(test)
     return rows.orderBy(F.desc("seen"), "mac").limit(limit)

@@ -274,3 +274,10 @@ def test_stale_by_timer(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == [(1, 1704067200, "unknown")]
     made = jobs.messages(spark.createDataFrame([('{"device_id": 4}',), ("nonsense",)], "value string"), spark.createDataFrame([], "device_id long").schema).collect()
     assert [r.device_id for r in made if r.device_id] == [4]
+
+
+def test_an_address_is_no_part_of_a_mac(spark):
+    known = spark.createDataFrame([("dd0000001021", "10.9.0.1", "", 1, None, None, None, 4), ("ee0000000000", "10.2.1.7", "", 1, None, None, None, 3)], "mac string, ips string, vendor string, device_id int, arp_device int, if_index int, if_name string, seen int")
+    found = lambda text: [r.mac[:2] for r in endpoints.search(known, text).collect()]
+    assert found("10.2.1.") == found("10.2.1.7") == ["ee"] and found("10.21") == []
+    assert found("1021") == found("00:10:21") == found("0000.1021") == ["dd"]
