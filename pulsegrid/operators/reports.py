@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import between, civil_time, epoch, since
+from ..functions.joins import left_join
 from .metrics import series_stats
 
 
@@ -117,7 +118,7 @@ def findings(alerts: DataFrame, devices: DataFrame, sites: DataFrame, interfaces
     s = sites.select("site_id", F.col("name").alias("_site"))
     i = interfaces.select("object", F.nullif("name", F.lit("")).alias("_if"), F.nullif("alias", F.lit("")).alias("_alias"))
     p = probes.select("object", F.col("name").alias("_probe"), F.col("target").alias("_to"), F.col("type").alias("_type"))
-    rows = alerts.join(d, "device_id", "left").join(s, "site_id", "left").join(p, "object", "left").join(i, "object", "left")
+    rows = left_join(left_join(alerts, "device_id", d).join(s, "site_id", "left"), "object", p, i)
     level = F.when(F.col("severity") == "critical", "critical").when(F.col("severity") == "major", "high").when(F.col("severity") == "minor", "medium").when(F.col("severity") == "info", "info").otherwise("low")
     name, ip, ident = F.nullif(F.col("_n"), F.lit("")), F.nullif(F.col("_ip"), F.lit("")), F.col("device_id").cast("string")
     device = F.coalesce(F.when(name != ip, F.concat(name, F.lit(" ("), ip, F.lit(")"))), name, ip, F.when(F.col("_probe").isNull(), ident))
@@ -233,7 +234,7 @@ def sanitise_json(df: DataFrame, column: str) -> DataFrame:
 def alert_facts(alerts: DataFrame, devices: DataFrame, sites: DataFrame, now: int) -> DataFrame:
     """What is known of each alert: duration or age, its root's title, and its detail unless a log line or trap raised it."""
     roots = alerts.select(F.col("id").alias("root_cause"), F.col("title").alias("root_title"))
-    rows = alerts.join(roots, "root_cause", "left").join(devices.select("device_id", F.col("name").alias("device")), "device_id", "left").join(sites.select("site_id", F.col("name").alias("site")), "site_id", "left")
+    rows = left_join(alerts, "root_cause", roots).join(devices.select("device_id", F.col("name").alias("device")), "device_id", "left").join(sites.select("site_id", F.col("name").alias("site")), "site_id", "left")
     t = epoch(F.col("opened_at"))
     from_text = F.exists("evidence", lambda x: x.startswith("syslog ") | x.startswith("trap "))
     return rows.select("id", "device", "site", "root_title", F.when(F.col("state") == "resolved", epoch(F.col("resolved_at")) - t).alias("duration_s"), F.when(F.col("state") != "resolved", F.lit(now) - t).alias("open_s"), F.when(~from_text, F.col("detail")).alias("detail"))

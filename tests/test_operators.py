@@ -281,3 +281,28 @@ def test_an_address_is_no_part_of_a_mac(spark):
     found = lambda text: [r.mac[:2] for r in endpoints.search(known, text).collect()]
     assert found("10.2.1.") == found("10.2.1.7") == ["ee"] and found("10.21") == []
     assert found("1021") == found("00:10:21") == found("0000.1021") == ["dd"]
+
+
+def busiest_task(df):
+    """The most rows that one task of the last stage holds, with four tasks, and all rows."""
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return max(n), sum(n)
+
+
+def test_alerts_without_a_root_dont_meet_in_one_task(spark):
+    a = spark.range(0, 4000, 1, 4).selectExpr("id", "case when id % 50 = 3 then id - 1 end as root_cause", "concat('t', id) as title", "id as device_id", "id as site_id", "'open' as state", "timestamp_ntz'2024-01-01' as opened_at", "timestamp_ntz'2024-01-01' as resolved_at", "array('snmp') as evidence", "'d' as detail")
+    devices, sites = spark.range(4000).selectExpr("id as device_id", "concat('d', id) as name"), spark.range(4000).selectExpr("id as site_id", "concat('s', id) as name")
+    facts = reports.alert_facts(a, devices, sites, 1704153600)
+    assert facts.count() == 4000 and facts.where("root_title is not null").count() == facts.where("root_title = concat('t', id - 1)").count() == 80
+    roots = reports.left_join(a, "root_cause", a.select(F.col("id").alias("root_cause"), F.col("title").alias("root_title")))
+    most, rows_ = busiest_task(roots)
+    assert rows_ == 4000 and most < 2000
