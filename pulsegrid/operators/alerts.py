@@ -306,7 +306,22 @@ def to_notify(alerts: DataFrame, now: int, least: str = "minor", resolved_too: b
         inside = (minute >= quiet[0]) & (minute < quiet[1]) if quiet[0] <= quiet[1] else (minute >= quiet[0]) | (minute < quiet[1])
         rows = rows.where(~inside | ((F.col("severity") == "critical") & F.lit(critical_always)))
     rows = rows.withColumn("_ready", F.lit(True)).join(F.broadcast(ready), "_ready", "left_semi").drop("_ready")  # one row or none
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(rank(F.col("severity"))), "opened_at", "id")))  # what goes out in one message
+    return _placed(rows)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """`place` of alerts, the severest first, then the oldest opened, then by id: numbers within a severity's minute, after the running counts of the minutes of a day and of the days before it."""
+    minute = F.coalesce(F.floor(epoch(F.col("opened_at")) / 60), F.lit(-(1 << 40)))  # null stands first
+    rows = rows.withColumns({"_level": -rank(F.col("severity")), "_minute": minute})
+    minutes = rows.groupBy("_level", "_minute").agg(F.count("*").alias("_n")).withColumn("_day", F.floor(F.col("_minute") / 1440))
+    days = minutes.groupBy("_level", "_day").agg(F.sum("_n").alias("_n"))
+    upto = lambda *by: F.coalesce(F.sum("_n").over((Window.partitionBy(*by[0]) if by[0] else Window).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_level", "_day", upto([], ["_level", "_day"]).alias("_before"))
+    minutes = minutes.select("_level", "_minute", "_day", upto(["_level", "_day"], ["_minute"]).alias("_inside"))
+    starts = minutes.join(days, ["_level", "_day"]).select("_level", "_minute", (F.col("_before") + F.col("_inside")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_level", "_minute").orderBy("opened_at", "id"))
+    made = rows.withColumn("_own", own).join(starts, ["_level", "_minute"])
+    return made.withColumn("place", (F.col("_start") + F.col("_own")).cast("int")).drop("_level", "_minute", "_own", "_start")
 
 
 def named_peers(interfaces: DataFrame, links: DataFrame, devices: DataFrame) -> DataFrame:

@@ -306,3 +306,14 @@ def test_alerts_without_a_root_dont_meet_in_one_task(spark):
     roots = reports.left_join(a, "root_cause", a.select(F.col("id").alias("root_cause"), F.col("title").alias("root_title")))
     most, rows_ = busiest_task(roots)
     assert rows_ == 4000 and most < 2000
+
+
+def test_places_are_counted_without_one_task(spark):
+    """An alert without an opening stands first in its severity; equal times go by id; days and minutes follow one another."""
+    a = spark.range(0, 3000, 1, 4).selectExpr("id", "case id % 3 when 0 then 'critical' when 1 then 'minor' else 'major' end as severity", "'open' as state", "false as notified", "case when id % 100 <> 7 then timestamp_seconds(1704067200 + id * 7919 % 400 * 400) end as opened_at", "timestamp_seconds(0) as updated_at")
+    made = alerts.to_notify(a, 1705000000)
+    levels = {"critical": 0, "major": 1, "minor": 2}
+    want = sorted(a.collect(), key=lambda r: (levels[r.severity], r.opened_at is not None, r.opened_at or T0, r.id))
+    assert [r.id for r in sorted(made.collect(), key=lambda r: r.place)] == [r.id for r in want] and sorted(r.place for r in made.collect()) == list(range(1, 3001))
+    most, rows_ = busiest_task(made)
+    assert rows_ == 3000 and most < 1500
