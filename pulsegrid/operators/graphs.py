@@ -58,15 +58,16 @@ def _chains(core: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(rows.where("nu is null").join(inner.select(F.col("node").alias("u"), F.lit(True).alias("inner")), "u", "left").select("u", "end", "len", F.coalesce("inner", F.lit(False)).alias("inner")))
 
 
-def distances(edges: DataFrame, roots: DataFrame, hops: int = 8) -> DataFrame:
+def distances(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
     """node, dist: the length of the shortest path from the nearest root (node), for all nodes that one reaches.
 
-    edges: a, b, w (a long above 0), undirected. Where every node is at most `hops` edges away, each hop is a join. Deeper graphs are contracted: nodes with one
+    edges: a, b, w (a long above 0), undirected. Where every node is at most `hops` edges away (8, or log2 of the number of edges if that is more), each hop is a join. Deeper graphs are contracted: nodes with one
     neighbour and chains of nodes with two go, the rest is solved in the same way, and what went takes its distance from the
     ends that stayed. A chain of n nodes so takes about log2 n rounds, and a tree as many contractions as its size halves.
     """
     edges, roots = materialize(_tidy(edges)), materialize(roots.select("node").distinct())
-    found, final = _spread(edges, roots, hops)
+    most = max(8, edges.count().bit_length()) if hops is None else hops  # a contraction takes as many rounds or more
+    found, final = _spread(edges, roots, most)
     return found if final else _contracted(edges, roots)
 
 

@@ -251,3 +251,11 @@ def test_volatile_lines(spark):
     df = spark.createDataFrame([(k, a) for k, (a, _) in text.items()], "platform string, config string")
     made = {r.platform: r.out for r in df.select("platform", snapshots.normalised(F.col("config"), F.col("platform")).alias("out")).collect()}
     assert made == {k: b for k, (_, b) in text.items()}
+
+
+def test_a_tree_of_eleven_levels_isnt_contracted(spark, monkeypatch):
+    """As deep as a tree of so many devices has to be: each level is one join."""
+    monkeypatch.setattr(graphs, "_contracted", lambda *_: pytest.fail("contracted"))
+    edges = spark.range(2, 4096).selectExpr("id as a", "floor(id / 2) as b", "cast(1 as bigint) as w")
+    dist = graphs.distances(edges, spark.createDataFrame([(1,)], "node long"))
+    assert dist.count() == 4095 and dist.where("dist <> floor(log2(node))").isEmpty()
