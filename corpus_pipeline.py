@@ -17,6 +17,9 @@ LEAST_SCORE = 0.4
 
 #: Runs of three sentences with fewer words go on: unrelated texts share runs of one-word sentences by chance.
 LEAST_WORDS = 8
+#: Rows in an Arrow batch at most. With Spark's 10,000 a batch of texts takes tens of MB, in the JVM's native memory, which the C library keeps, and again in the worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Folders that the last stage's result reads.
 _LEFT: set[str] = set()
 
@@ -24,10 +27,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(work: Stage) -> Stage:
-    """A stage that first deletes what the one before kept for its result: that is written by now. Folders that docs itself reads stay."""
+    """A stage that first deletes what the one before kept for its result: that is written by now. Folders that docs itself reads stay.
+
+    Sets the session's Arrow batches to BATCH_ROWS rows if they are longer; it stays so, as the caller runs the result.
+    """
 
     @wraps(work)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
         read = {part for file in docs.inputFiles() for part in file.split("/")}
         for path in [p for p in _LEFT if p.rpartition("/")[2] not in read]:
             delete(spark, path)

@@ -404,3 +404,16 @@ def test_stages_take_odd_tables(spark, docs, none):
         empty = stage(spark, odd.limit(0), "")
         assert empty.columns == odd.columns and empty.count() == 0
     assert corpus_pipeline.packed(spark, odd, "").count() > 0 and corpus_pipeline.packed(spark, odd.limit(0), "").count() == 0
+
+
+def test_stages_read_short_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = corpus_pipeline.stage(lambda spark, docs, _: docs.mapInPandas(lambda batches: (b[:1].assign(id=len(b)) for b in batches), "id long"))
+    try:
+        made = [r[0] for r in sizes(spark, spark.range(0, 4500, 1, 1), "").collect()]
+        assert sum(made) == 4500 and max(made) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, "7")  # shorter ones stay
+        assert max(r[0] for r in sizes(spark, spark.range(0, 100, 1, 1), "").collect()) == 7
+    finally:
+        spark.conf.set(key, before)
