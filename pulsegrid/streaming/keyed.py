@@ -182,9 +182,11 @@ def in_order(stream: DataFrame, key: str, rows: str, part: str, out: str, start:
     """A fold per key over rows (t in seconds first, a number for ties second) in the order of their time, whatever order they arrive in; the stream has a watermark on `ts`.
 
     start(key) makes a key's fold. Rows that come behind the watermark are dropped and counted (late_rows). out: the key, then what the fold gives.
+    Only the columns that a fold reads go to Python: pandas holds no timestamp after the year 2262, and `ts` may lie there.
     """
     processor = InOrder(start, stream.schema, key, rows, part, out)
-    return on_disk(bucketed(stream, key)).groupBy("_bucket").transformWithStateInPandas(processor, processor.out, "append", "EventTime")
+    dealt = bucketed(stream, key).select("_bucket", key, *processor.names)
+    return on_disk(dealt).groupBy("_bucket").transformWithStateInPandas(processor, processor.out, "append", "EventTime")
 
 
 def event_time(stream: DataFrame, t: str = "t", late: str = "0 seconds") -> DataFrame:

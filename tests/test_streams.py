@@ -39,6 +39,16 @@ def test_actions_in_the_order_of_their_time(spark, tmp_path):
     assert [r.t for r in got] == [10, 20, 30, 50, 60, 70] and got[-1].state == want.state == "open" and got[-1].evidence == want.evidence and got[2].state == "acked" and late_rows(spark, query, f"{tmp_path}/checkpoint") == 1
 
 
+def test_folds_in_order_of_times_beyond_pandas(spark, tmp_path):
+    """Times after the year 2262, which pandas' timestamps don't reach: ends of alerts as in batch."""
+    at, schema = 1e10, "family long, t double, n long, id long, kind string, lasts double"
+    batches = [[(10, at + 10, 1, 10, "raise", 50.5), (10, at + 20, 2, 11, "raise", None)], [(10, at + 200, 3, 11, "up", None)], [(10, at + 400, 4, 12, "raise", None)]]
+    J.run(J.ended(landed(spark, f"{tmp_path}/in", schema, *batches)), f"{tmp_path}/checkpoint", f"{tmp_path}/out")
+    want = A.ended_alerts(spark.createDataFrame([r for b in batches for r in b], schema), at + 400)
+    made = spark.read.parquet(f"{tmp_path}/out")
+    assert made.count() == 2 and sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+
+
 def bucket(t, v, s="a"):
     return (s, t, v)
 
