@@ -201,7 +201,7 @@ class Family:
         return self._free(t)
 
 
-FAMILY_ROW, FAMILY_PART = "t double, n long, id long, kind string, lasts double", "id long, opened double, updated double, resolved double, lasts double, occurrences int, up boolean"
+FAMILY_ROW = "t double, n long, id long, kind string, lasts double"
 ENDED = "id long, opened double, resolved double, reason string, occurrences int"
 
 

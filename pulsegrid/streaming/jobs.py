@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.alerts import ACTION, ENDED, FAMILY_PART, FAMILY_ROW, UPSERTED, Alert, Family, with_texts
+from ..operators.alerts import ACTION, ENDED, FAMILY_ROW, UPSERTED, Alert, Family, with_texts
 from ..operators.state import Status, Threshold
 from .keyed import by_arrival, event_time, in_order
 
@@ -128,12 +128,12 @@ def acted_alerts(events: DataFrame, operators: DataFrame, again: float = 1800, l
     the watermark is dropped and counted (late_rows).
     """
     both = event_time(with_texts(events), late=late).unionByName(event_time(with_texts(operators), late=late))
-    return in_order(both, "dedup_key", ACTION_ROW, "part int, " + UPSERTED, "dedup_key string, t double, seq long, " + UPSERTED, lambda key: Ordered(again))
+    return in_order(both, "dedup_key", ACTION_ROW, "dedup_key string, t double, seq long, " + UPSERTED, lambda key: Ordered(again))
 
 
 def ended(stream: DataFrame, again: float = 1800, late: str = "0 seconds") -> DataFrame:
     """family and ENDED: ended_alerts over a stream; limits are event-time timers, as many as a family has alerts."""
-    return in_order(event_time(stream, late=late), "family", FAMILY_ROW, FAMILY_PART, "family long, " + ENDED, lambda key: Family(key, again))
+    return in_order(event_time(stream, late=late), "family", FAMILY_ROW, "family long, " + ENDED, lambda key: Family(key, again))
 
 
 def finding_feed(stream: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def bursts(stream: DataFrame, key: str, span: float, least: int, late: str = "0
     A row that comes more than `late` behind the newest row of an earlier micro-batch is dropped and counted (late_rows).
     """
     rows = event_time(stream, late=late).dropDuplicatesWithinWatermark(["n"])
-    return in_order(rows, key, "t double, n long", "n long, t double", f"{key} long, n long, recent int", lambda _: Recent(span, least))
+    return in_order(rows, key, "t double, n long", f"{key} long, n long, recent int", lambda _: Recent(span, least))
 
 
 def appended(stream: DataFrame, series: list[str], late: str = "1 millisecond") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -49,6 +50,20 @@ def plain(rows: pd.DataFrame, schema: StructType, names: list[str]) -> Iterator[
     return zip(*columns)
 
 
+#: Rows of an entry of a packed list, and of a batch that a fold gives.
+PACK = 10_000
+
+
+def packed(rows: list[tuple]) -> list[tuple]:
+    """Rows of plain values as few entries of a list state, whose every entry costs tens of microseconds."""
+    return [(pickle.dumps(rows[i : i + PACK], pickle.HIGHEST_PROTOCOL),) for i in range(0, len(rows), PACK)]
+
+
+def unpacked(state) -> Iterator[tuple]:
+    for (entry,) in state.get():
+        yield from pickle.loads(entry)
+
+
 def count_late(late, n: int) -> None:
     """Adds to a bucket's count of rows that came behind the watermark."""
     if n:
@@ -115,45 +130,48 @@ class Fold(Protocol):
 class InOrder(StatefulProcessor):
     """Rows wait in the state until the watermark has passed them; then they go through their key's fold in the order of their time.
 
-    The state of a bucket is a list of the waiting rows and one of the folds' parts, both with their key. A timer stands at the time of the first waiting row or
+    The state of a bucket is a list of the waiting rows and one of the folds' parts, both with their key, packed. A timer stands at the time of the first waiting row or
     the first due time of a fold, whatever comes first.
     """
 
-    def __init__(self, start: Callable[..., Fold], schema: StructType, key: str, rows: str, part: str, out: str) -> None:
-        kind = f"_key {schema[key].dataType.simpleString()}, "
-        self.start, self.schema, self.key, self.names = start, schema, key, StructType.fromDDL(rows).names
-        self.rows, self.part, self.out = StructType.fromDDL(kind + rows), StructType.fromDDL(kind + part), StructType.fromDDL(out)
+    def __init__(self, start: Callable[..., Fold], schema: StructType, key: str, rows: str, out: str) -> None:
+        self.start, self.schema, self.key = start, schema, key
+        self.names, self.out = StructType.fromDDL(rows).names, StructType.fromDDL(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.parts = handle.getListState("parts", self.part)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.parts = handle.getListState("parts", "rows binary")
         self.late = handle.getValueState("late", "n long")
 
     def _run(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
         rows: dict = {}
-        waited = [tuple(r) for r in self.waiting.get()]
-        for k, *r in [*waited, *new]:
-            rows.setdefault(k, []).append(tuple(r))
+        left: list[tuple] = []
+        waited = False
+        for r in unpacked(self.waiting):
+            waited = True
+            (left if math.floor(r[1] * 1000) > watermark else rows.setdefault(r[0], [])).append(r)
+        for r in new:
+            (left if math.floor(r[1] * 1000) > watermark else rows.setdefault(r[0], [])).append(r)
         held: dict = {}
-        for k, *p in self.parts.get():
+        for k, *p in unpacked(self.parts):
             held.setdefault(k, []).append(tuple(p))
-        made, parts, left, due = [], [], [], []
-        for k in dict.fromkeys([*held, *rows]):
+        made, parts, due = [], [], []
+        for k in dict.fromkeys([*held, *rows, *(r[0] for r in left)]):
             fold = self.start(k)
             fold.load(held.get(k, []))
-            for r in sorted(rows.get(k, []), key=lambda r: r[:2]):
-                if math.floor(r[0] * 1000) > watermark:
-                    left.append((k, *r))
-                    continue
+            for _, *r in sorted(rows.pop(k, []), key=lambda r: r[1:3]):
                 made += [(k, *m) for m in fold.advance(r[0])]
                 made += [(k, *m) for m in fold.step(*r)]
+                if len(made) >= PACK:
+                    yield table(made, self.out)
+                    made = []
             made += [(k, *m) for m in fold.advance(watermark / 1000)]
             parts += [(k, *p) for p in fold.dump()]
             due.append(fold.due())
         for state, old, now in ((self.parts, held, parts), (self.waiting, waited, left)):
             if now:
-                state.put(now)
+                state.put(packed(now))
             elif old:
                 state.clear()
         for t in list(self.handle.listTimers()):
@@ -178,13 +196,13 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(stream: DataFrame, key: str, rows: str, part: str, out: str, start: Callable[..., Fold]) -> DataFrame:
+def in_order(stream: DataFrame, key: str, rows: str, out: str, start: Callable[..., Fold]) -> DataFrame:
     """A fold per key over rows (t in seconds first, a number for ties second) in the order of their time, whatever order they arrive in; the stream has a watermark on `ts`.
 
     start(key) makes a key's fold. Rows that come behind the watermark are dropped and counted (late_rows). out: the key, then what the fold gives.
     Only the columns that a fold reads go to Python: pandas holds no timestamp after the year 2262, and `ts` may lie there.
     """
-    processor = InOrder(start, stream.schema, key, rows, part, out)
+    processor = InOrder(start, stream.schema, key, rows, out)
     dealt = bucketed(stream, key).select("_bucket", key, *processor.names)
     return on_disk(dealt).groupBy("_bucket").transformWithStateInPandas(processor, processor.out, "append", "EventTime")
 

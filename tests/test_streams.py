@@ -49,6 +49,26 @@ def test_folds_in_order_of_times_beyond_pandas(spark, tmp_path):
     assert made.count() == 2 and sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_actions_of_a_busy_key_beyond_pandas(spark, tmp_path, monkeypatch):
+    """Actions after the year 2262, more of a key than an entry of the state holds; a bucket's waiting rows are few entries."""
+    from pulsegrid.streaming import keyed
+
+    monkeypatch.setattr(keyed, "PACK", 50, raising=False)
+    schema, kinds = "dedup_key string, t double, n long, action string, severity int, source string, root_cause string", ["raise", "resolve", "raise", "notified", "ack", "manual"]
+    acts = [[("k", 1e10 + 100 * n, n, kinds[(n * n + n // 7) % 6], n % 4, "x", None) for n in range(150 * b, 150 * b + 150)] for b in range(3)]
+    monitors, hands = [[[r for r in b if (r[3] in ("ack", "manual")) == own] for b in acts] for own in (False, True)]
+    end = [("z", 1e10 + 100000, 1000, "notified", 3, "x", None)]
+    made = J.acted_alerts(landed(spark, f"{tmp_path}/a", schema, *monitors, end), landed(spark, f"{tmp_path}/b", schema, *hands, end), 150)
+    J.run(made, f"{tmp_path}/checkpoint", f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").where("dedup_key = 'k'")
+    names = ["state", "opened", "updated", "resolved", "occurrences", "notified", "evidence"]
+    last = rows.groupBy(F.col("_k").alias("n")).agg(F.max_by(F.struct(*names), "t").alias("x")).select("n", "x.*")
+    want = A.upsert_alerts(spark.createDataFrame([r for b in acts for r in b], schema), 150).select("n", *names)
+    assert sorted(map(str, last.collect())) == sorted(map(str, want.collect())) and want.count() > 1
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "waiting").option("batchId", 0).load()
+    assert state.count() <= 4
+
+
 def bucket(t, v, s="a"):
     return (s, t, v)
 
